@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from convsift.functions.dates import filter_by_date, parse_date_filter
 from convsift.functions.patterns import build_matcher
+from convsift.functions.editdist import allowed_errors
+from convsift.operators.fuzzy import MIN_MATCH_CHARS, search_fuzzy
+from convsift.operators.items import PATH_TOKEN, build_items
 from convsift.operators.keyword import search_keyword
 from convsift.operators.report import match_entries, trace_entries
 from convsift.operators.trace import trace_file, trace_files
@@ -138,6 +141,13 @@ _KEYWORD_DATE = {
                                 "2024-01-04",
                                 ("2024-01-04 00:00:00", "2024-01-04 23:59:59.999")),
 }
+_FUZZY = {
+    "fuzzy_substring": dict(query="thatantion", threshold=0.3, limit=30, sources=("conv",)),
+    "fuzzy_topk": dict(query="reaument", threshold=0.25, limit=10, role="user", sources=("conv",)),
+    "fuzzy_default_threshold": dict(query="whenever", limit=50, sources=("conv",)),
+    "fuzzy_paths": dict(query="shared.ts", threshold=0.2, limit=40, sources=("evt",)),
+    "fuzzy_no_match": dict(query="qwertyuiop", threshold=0.1, limit=5, sources=("conv",)),
+}
 _TRACE = {
     "trace_exact": dict(path="src/f12.ts"),
     "trace_basename": dict(path="f7.ts", project_id="proj_1", limit=30),
@@ -147,6 +157,22 @@ _TRACE = {
 }
 
 
+def _fz(spark, sf_dir, *, query, threshold=None, limit=50, role=None, project_id=None, sources=ALL):
+    h = _hist(spark, sf_dir, sources)
+    return search_fuzzy(h, query, threshold=threshold, limit=limit, role=role, project_id=project_id)
+
+
+def _fz_sql(*, query, threshold=None, limit=50, role=None, project_id=None, sources=ALL):
+    t = 0.4 if threshold is None else threshold
+    m = len(query)
+    k = min(allowed_errors(m, t), m - MIN_MATCH_CHARS)
+    return O.fuzzy_sql(query, k, limit, PATH_TOKEN, sources, role, project_id)
+
+
+def q_items_build(spark, sf_dir):
+    return build_items(_hist(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "normalise_sessions": q_normalise_sessions,
@@ -164,6 +190,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         out[name] = partial(_kw, date=date, **kw)
     for name, kw in _TRACE.items():
         out[name] = partial(_trace, **kw)
+    for name, kw in _FUZZY.items():
+        out[name] = partial(_fz, **kw)
+    out["items_build"] = q_items_build
     out["trace_batch"] = q_trace_batch
     out["trace_batch_limited"] = q_trace_batch_limited
     out["report_matches"] = q_report_matches
@@ -196,6 +225,9 @@ def oracle_sql() -> dict[str, str]:
         out[name] = _kw_sql(date_bounds=bounds, **kw)
     for name, kw in _TRACE.items():
         out[name] = O.trace_sql(kw["path"], kw.get("limit", 50), ("evt",), kw.get("project_id"))
+    for name, kw in _FUZZY.items():
+        out[name] = _fz_sql(**kw)
+    out["items_build"] = O.items_sql(PATH_TOKEN)
     out["trace_batch"] = O.trace_batch_sql(BATCH_QUERIES_SQL)
     out["trace_batch_limited"] = O.trace_batch_sql(BATCH_QUERIES_SQL, limit_per_query=5)
     out["report_matches"] = _kw_sql(query="tion", sources=("conv",), limit=20, report=True)

@@ -317,3 +317,78 @@ r AS (SELECT * FROM flagged {lim})
 SELECT r.query, {TRACE_SELECT}
 FROM r ASOF LEFT JOIN prompts p ON r.session_id = p.session_id AND r.timestamp > p.msg_created_ms
 JOIN sessions s ON s.session_id = r.session_id"""
+
+
+# ---------------------------------------------------------------- items / fuzzy
+
+def items_cte(path_token: str) -> str:
+    """``items``: the searchable strings of fuzzy search, with walk keys."""
+    key = ("project_id, role, session_id, message_id, part_id, msg_created_ms AS timestamp")
+    walk = "session_updated_ms AS k_updated_ms, 1 AS k_phase, msg_created_ms AS k_msg_ms, created_ms AS k_part_ms"
+    return f"""items AS (
+  SELECT project_id, NULL::VARCHAR AS role, session_id, NULL::VARCHAR AS message_id, NULL::VARCHAR AS part_id,
+         updated_ms AS timestamp, 'title' AS match_type, title AS content, updated_ms AS k_updated_ms,
+         0 AS k_phase, NULL::BIGINT AS k_msg_ms, NULL::BIGINT AS k_part_ms, 0 AS k_slot, 0 AS k_ord
+  FROM sessions
+  UNION ALL
+  SELECT {key}, 'message', text, {walk}, 0, 0 FROM parts WHERE type = 'text' AND length(text) > 0
+  UNION ALL
+  SELECT {key}, 'tool', concat(tool, ' ', coalesce(nullif(state_title, ''), '')), {walk}, 1, 0
+  FROM parts WHERE type = 'tool' AND length(tool) > 0
+  UNION ALL
+  SELECT {key}, 'filepath', tok, {walk}, 2, i - 1
+  FROM (SELECT *, unnest(toks) AS tok, generate_subscripts(toks, 1) AS i
+        FROM (SELECT *, regexp_extract_all(concat(coalesce(input_json, '{{}}'), ' ', coalesce(output, '')),
+                                           {sql_str(path_token)}) AS toks
+              FROM parts WHERE type = 'tool' AND has_state))
+  UNION ALL
+  SELECT {key}, 'filepath', f, {walk}, 3, i - 1
+  FROM (SELECT *, unnest(files) AS f, generate_subscripts(files, 1) AS i FROM parts WHERE type = 'patch')
+  WHERE f IS NOT NULL)"""
+
+
+def items_sql(path_token: str, sources=("conv", "evt", "page")) -> str:
+    return f"{history_ctes(sources)},\n{items_cte(path_token)}\nSELECT * FROM items"
+
+
+def fuzzy_sql(query: str, max_dist: int, limit: int, path_token: str, sources=("conv",),
+              role: str | None = None, project_id: str | None = None) -> str:
+    """Brute force: Levenshtein of the query against every substring of
+    length m-k … m+k of every item.  Non-ASCII characters of the lower-cased
+    text become one placeholder byte (DuckDB's distance counts bytes), which
+    keeps positions and distances for an ASCII query."""
+    q = query.lower()
+    m, k = len(q), max_dist
+    filt = [f"content IS NOT NULL AND length(content) >= {m - k}"]
+    if role:
+        filt.append(f"(role IS NULL OR role = {sql_str(role)})")
+    if project_id:
+        filt.append(f"project_id = {sql_str(project_id)}")
+    keys = "session_id, k_phase, pk, k_slot, k_ord"
+    return f"""{history_ctes(sources)},
+{items_cte(path_token)},
+it AS (SELECT *, coalesce(part_id, '') AS pk,
+              regexp_replace(lower(content), '[^\\x00-\\x7F]', chr(1), 'g') AS lc,
+              len(list_filter(string_split(content, ' '), lambda w: w <> '')) AS n_words
+       FROM items WHERE {' AND '.join(filt)}),
+cand AS (SELECT {keys}, s, levenshtein({sql_str(q)}, substring(lc, s, L)) AS d
+         FROM it, range(1, length(lc) + 1) r(s), range({m - k}, {m + k + 1}) w(L)
+         WHERE s + L - 1 <= length(lc)),
+dmin AS (SELECT {keys}, min(d) AS dist FROM cand GROUP BY ALL),
+best AS (SELECT c.session_id, c.k_phase, c.pk, c.k_slot, c.k_ord, min(c.d) AS dist, min(c.s) - 1 AS start
+         FROM cand c JOIN dmin USING ({keys}) WHERE c.d = dmin.dist GROUP BY ALL),
+top AS (SELECT it.*, b.dist, b.start FROM it JOIN best b USING ({keys})
+        WHERE b.dist <= {k} AND {m} - b.dist >= 2
+        ORDER BY b.dist, it.n_words, {SCAN_ORDER_SQL} LIMIT {limit}),
+cut AS (SELECT *,
+          CASE WHEN least(length(content), start + 80) > greatest(start - 20, 0)
+               THEN substring(content, greatest(start - 20, 0) + 1,
+                              least(length(content), start + 80) - greatest(start - 20, 0)) ELSE '' END AS ex0,
+          CASE WHEN least(length(content), start + 200) > greatest(start - 100, 0)
+               THEN substring(content, greatest(start - 100, 0) + 1,
+                              least(length(content), start + 200) - greatest(start - 100, 0)) ELSE '' END AS cx0
+        FROM top),
+fin AS (SELECT *, coalesce(nullif(ex0, ''), {sql_str(query)}) AS excerpt FROM cut)
+SELECT f.session_id, s.title AS session_title, f.timestamp, f.match_type, f.excerpt,
+       coalesce(nullif(f.cx0, ''), f.excerpt) AS context, f.message_id, f.part_id, s.directory AS project_directory
+FROM fin f JOIN sessions s USING (session_id)"""

@@ -29,6 +29,7 @@ def get_spark(master: str | None = None, app_name: str = "convsift",
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     ensure_checkpoint_dir(spark)
