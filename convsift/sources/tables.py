@@ -137,23 +137,30 @@ def decode_parts(part: DataFrame, on_corrupt: str = "skip") -> DataFrame:
     return staged.select("part_id", "message_id", "created_ms", *decode_part_payload(F.col("data")))
 
 
-def assemble(sessions: DataFrame, messages: DataFrame, parts: DataFrame) -> History:
+def assemble(sessions: DataFrame, messages: DataFrame, parts: DataFrame,
+             trim_keys: bool = False) -> History:
     """Attach ownership: messages get their session's project, parts get the
     role/time of their message and the project/update time of the session.
 
-    Inner joins keep only what a walk from sessions can reach.  Both joins are
-    plain equi-joins; AQE broadcasts a side when it is small at run time and
-    splits skewed keys (one huge session) otherwise.
+    ``messages.session_id`` / ``parts.message_id`` hold the parent reference;
+    with ``trim_keys`` it is compared with the trimmed parent id (the file
+    layout looks a parent up by ``id.trim()``).  Inner joins keep only what a
+    walk from sessions can reach.  Both are plain equi-joins: AQE broadcasts a
+    side that is small at run time and splits skewed keys otherwise.
     """
-    s = sessions.select("session_id", "project_id", F.col("updated_ms").alias("session_updated_ms"))
-    msgs = messages.join(s, "session_id", "inner")
+    key = (lambda c: F.trim(F.col(c))) if trim_keys else F.col
+    s = sessions.select(key("session_id").alias("_sref"), "session_id", "project_id",
+                        F.col("updated_ms").alias("session_updated_ms"))
+    msgs = (messages.withColumnRenamed("session_id", "_sref")
+            .join(s, "_sref", "inner").drop("_sref"))
     messages_out = msgs.select("message_id", "session_id", "project_id", "role", "agent", "created_ms")
-    m = msgs.select("message_id", "session_id", "project_id", "role",
+    m = msgs.select(key("message_id").alias("_mref"), "message_id", "session_id", "project_id", "role",
                     F.col("created_ms").alias("msg_created_ms"), "session_updated_ms")
-    parts_out = parts.join(m, "message_id", "inner").select(
-        "part_id", "message_id", "session_id", "project_id", "role", "msg_created_ms",
-        "session_updated_ms", "created_ms", "type", "text", "tool", "has_state",
-        "input_json", "output", "state_title", "files")
+    parts_out = (parts.withColumnRenamed("message_id", "_mref")
+                 .join(m, "_mref", "inner")
+                 .select("part_id", "message_id", "session_id", "project_id", "role", "msg_created_ms",
+                         "session_updated_ms", "created_ms", "type", "text", "tool", "has_state",
+                         "input_json", "output", "state_title", "files"))
     return History(sessions, messages_out, parts_out)
 
 
