@@ -1,0 +1,3 @@
+"""Streaming: the reference has no streaming operators (no watermark, window
+or state).  This package only offers the JSON-tree scan as an incremental
+Structured Streaming ingest (:mod:`convsift.streaming.ingest`)."""
