@@ -6,9 +6,9 @@ held as columns, not as nesting):
 * ``sessions``  one row per session
 * ``messages``  one row per message, with its session's project
 * ``parts``     one row per searchable part, denormalised at ingest with
-  the owning message's role / creation time and the session's project /
-  update time, so that every search scans ``parts`` once without a join
-  ahead of its limit.
+  the owning message's role / creation time and the session's project,
+  update time, title and directory, so that every search is one scan of
+  ``parts`` (plus ``sessions`` for title matches) with no join at all.
 
 Times are epoch milliseconds (BIGINT) everywhere; they are only turned into
 timestamps for display.
@@ -48,6 +48,8 @@ PART_SCHEMA = T.StructType([
     T.StructField("role", T.StringType(), True),
     T.StructField("msg_created_ms", T.LongType(), True),
     T.StructField("session_updated_ms", T.LongType(), True),
+    T.StructField("session_title", T.StringType(), True),
+    T.StructField("project_directory", T.StringType(), True),
     T.StructField("created_ms", T.LongType(), True),
     T.StructField("type", T.StringType(), False),
     T.StructField("text", T.StringType(), True),

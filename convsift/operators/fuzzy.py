@@ -22,8 +22,8 @@ Plan:
    original-case slice;
 5. best window per item: an aggregate that combines map-side (all windows of
    an item sit in the task that exploded it);
-6. top-k by (score, words, walk order), session attributes joined onto the
-   ≤ k rows, newest first.
+6. top-k by (score, words, walk order), newest first; session title and
+   directory travel with the items, so no join is needed.
 """
 
 from __future__ import annotations
@@ -32,7 +32,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.broadcast import broadcast_if_bounded
 from ..functions.editdist import allowed_errors, best_alignment
 from ..functions.text import slice_text, word_count
 from ..model import MATCH_COLUMNS, History, scan_order
@@ -46,7 +45,8 @@ CONTEXT_BEFORE, CONTEXT_AFTER = 100, 200
 EXCERPT_BEFORE, EXCERPT_AFTER = 20, 80
 
 _KEY = ["session_id", "k_phase", "message_id", "part_id", "k_slot", "k_ord"]
-_CARRY = ["k_updated_ms", "k_msg_ms", "k_part_ms", "timestamp", "match_type", "n_words"]
+_CARRY = ["k_updated_ms", "k_msg_ms", "k_part_ms", "timestamp", "match_type", "n_words",
+          "session_title", "project_directory"]
 
 
 def fuzzy_limit(limit: int | None) -> int:
@@ -80,7 +80,10 @@ def alignment_udf(query: str, max_dist: int):
             "start": pd.Series(start, dtype="Int32").mask(miss),
         })
 
-    return align
+    # Marked non-deterministic only so that Catalyst does not push the
+    # "dist is not null" filter below the projection and inline (re-run) the
+    # UDF there; the function itself is deterministic.
+    return align.asNondeterministic()
 
 
 def _windows(items: DataFrame, m: int, k: int) -> DataFrame:
@@ -175,13 +178,14 @@ def search_fuzzy(history: History, query: str, threshold: float | None = None,
     if scores is None or n == 0:
         return spark.createDataFrame([], _empty_schema())
     top = scores.orderBy(*_rank()).limit(n)
-    s = h.sessions.select("session_id", F.col("title").alias("session_title"),
-                          F.col("directory").alias("project_directory"))
+    # One flat projection (no column built on another) keeps the limit a
+    # plain top-N (TakeOrderedAndProject) below it.
     q = F.lit(query)
-    excerpt = F.coalesce(F.when(F.length("excerpt") > 0, F.col("excerpt")), q)
-    context = F.coalesce(F.when(F.length("context") > 0, F.col("context")), excerpt)
-    return (broadcast_if_bounded(top, n).join(s, "session_id", "inner")
-            .withColumn("excerpt", excerpt).withColumn("context", context)
+    ex, cx = F.col("excerpt"), F.col("context")
+    excerpt = F.when(F.length(ex) > 0, ex).otherwise(q)
+    context = F.when(F.length(cx) > 0, cx).when(F.length(ex) > 0, ex).otherwise(q)
+    rest = [c for c in top.columns if c not in ("excerpt", "context")]
+    return (top.select(*rest, excerpt.alias("excerpt"), context.alias("context"))
             .orderBy(F.col("timestamp").desc(), *_rank())
             .select(*MATCH_COLUMNS))
 

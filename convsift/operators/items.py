@@ -26,6 +26,7 @@ PATH_TOKEN = "(?:/[^/" + JS_SPACE_CLASS + "]+)+"
 ITEM_COLUMNS = [
     "project_id", "role", "session_id", "message_id", "part_id", "timestamp", "match_type",
     "content", "k_updated_ms", "k_phase", "k_msg_ms", "k_part_ms", "k_slot", "k_ord",
+    "session_title", "project_directory",
 ]
 
 _ITEM_TYPE = "array<struct<k_slot:int,k_ord:int,match_type:string,content:string>>"
@@ -48,7 +49,8 @@ def title_items(sessions: DataFrame) -> DataFrame:
         F.col("updated_ms").alias("timestamp"), F.lit("title").alias("match_type"),
         F.col("title").alias("content"), F.col("updated_ms").alias("k_updated_ms"),
         F.lit(PHASE_TITLE).alias("k_phase"), F.lit(None).cast("long").alias("k_msg_ms"),
-        F.lit(None).cast("long").alias("k_part_ms"), F.lit(0).alias("k_slot"), F.lit(0).alias("k_ord"))
+        F.lit(None).cast("long").alias("k_part_ms"), F.lit(0).alias("k_slot"), F.lit(0).alias("k_ord"),
+        F.col("title").alias("session_title"), F.col("directory").alias("project_directory"))
 
 
 def part_items(parts: DataFrame) -> DataFrame:
@@ -66,13 +68,14 @@ def part_items(parts: DataFrame) -> DataFrame:
                      F.coalesce(_list_items(tokens, SLOT_TOOL_IO), F.array().cast(_ITEM_TYPE)),
                      F.coalesce(_list_items(files, SLOT_PATCH), F.array().cast(_ITEM_TYPE)))
     return (parts.select("project_id", "role", "session_id", "message_id", "part_id", "msg_created_ms",
-                         "created_ms", "session_updated_ms", F.explode(F.array_compact(lists)).alias("it"))
+                         "created_ms", "session_updated_ms", "session_title", "project_directory",
+                         F.explode(F.array_compact(lists)).alias("it"))
             .select("project_id", "role", "session_id", "message_id", "part_id",
                     F.col("msg_created_ms").alias("timestamp"), F.col("it.match_type").alias("match_type"),
                     F.col("it.content").alias("content"), F.col("session_updated_ms").alias("k_updated_ms"),
                     F.lit(PHASE_PARTS).alias("k_phase"), F.col("msg_created_ms").alias("k_msg_ms"),
                     F.col("created_ms").alias("k_part_ms"), F.col("it.k_slot").alias("k_slot"),
-                    F.col("it.k_ord").alias("k_ord")))
+                    F.col("it.k_ord").alias("k_ord"), "session_title", "project_directory"))
 
 
 def build_items(history: History) -> DataFrame:

@@ -12,8 +12,8 @@ array that is exploded, so no part is read twice.  Title matches come from
 ``sessions``.  The first-N of the walk is a top-N on the scan key, which
 Spark runs as ``TakeOrderedAndProject`` (a bounded heap per task, no global
 sort).  Excerpts and contexts (a second regex evaluation) are computed only
-for the ≤ N surviving rows, and session attributes are joined onto those
-rows alone.
+for the ≤ N surviving rows; session title and directory travel with each
+part (denormalised at ingest), so no join is needed.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.broadcast import broadcast_if_bounded
 from ..functions.patterns import Matcher
 from ..functions.text import (keyword_context, nonempty, or_else, tool_io_context,
                               tool_name_context)
@@ -63,7 +62,8 @@ def title_candidates(sessions: DataFrame, m: Matcher) -> DataFrame:
         F.lit(None).cast("long").alias("k_part_ms"), F.lit(None).cast("string").alias("part_id"),
         F.lit(0).alias("k_slot"), F.lit(0).alias("k_ord"),
         F.col("updated_ms").alias("timestamp"), F.lit("title").alias("match_type"),
-        F.lit(None).cast("string").alias("src"), t.alias("excerpt_fixed"), t.alias("context_fixed"))
+        F.lit(None).cast("string").alias("src"), t.alias("excerpt_fixed"), t.alias("context_fixed"),
+        t.alias("session_title"), F.col("directory").alias("project_directory"))
 
 
 def part_candidates(parts: DataFrame, m: Matcher) -> DataFrame:
@@ -94,7 +94,7 @@ def part_candidates(parts: DataFrame, m: Matcher) -> DataFrame:
     return (
         parts
         .select("session_updated_ms", "session_id", "msg_created_ms", "message_id",
-                "created_ms", "part_id", F.explode(hits).alias("h"))
+                "created_ms", "part_id", "session_title", "project_directory", F.explode(hits).alias("h"))
         .select(
             F.col("session_updated_ms").alias("k_updated_ms"), "session_id",
             F.lit(PHASE_PARTS).alias("k_phase"),
@@ -102,7 +102,8 @@ def part_candidates(parts: DataFrame, m: Matcher) -> DataFrame:
             F.col("created_ms").alias("k_part_ms"), "part_id",
             F.col("h.k_slot").alias("k_slot"), F.col("h.k_ord").alias("k_ord"),
             F.col("msg_created_ms").alias("timestamp"),
-            *[F.col(f"h.{f}").alias(f) for f in _HIT_FIELDS[2:]]))
+            *[F.col(f"h.{f}").alias(f) for f in _HIT_FIELDS[2:]],
+            "session_title", "project_directory"))
 
 
 def first_matches(history: History, m: Matcher, limit: int, role: str | None = None,
@@ -119,17 +120,15 @@ def first_matches(history: History, m: Matcher, limit: int, role: str | None = N
     return cands.orderBy(*scan_order()).limit(limit)
 
 
-def finish_matches(limited: DataFrame, sessions: DataFrame, m: Matcher, limit: int) -> DataFrame:
-    """Attach session attributes and render excerpt / context for ≤ limit rows."""
-    s = sessions.select("session_id", F.col("title").alias("session_title"),
-                        F.col("directory").alias("project_directory"))
-    joined = broadcast_if_bounded(limited, limit).join(s, "session_id", "inner")
+def finish_matches(limited: DataFrame, m: Matcher) -> DataFrame:
+    """Render excerpt / context for the ≤ limit rows, newest first.
+
+    The top-N leaves one partition, so this final sort needs no exchange."""
     src = F.col("src")
     excerpt = F.coalesce(F.col("excerpt_fixed"), m.first(src))
     context = F.coalesce(F.col("context_fixed"), keyword_context(src, excerpt))
-    return (joined
-            .withColumn("excerpt", excerpt)
-            .withColumn("context", context)
+    # One flat projection keeps the limit a plain top-N below it.
+    return (limited.select("*", excerpt.alias("excerpt"), context.alias("context"))
             .orderBy(F.col("timestamp").desc(), *scan_order()))
 
 
@@ -146,7 +145,7 @@ def search_keyword(history: History, m: Matcher, limit: int | None = None,
     if role is not None and role not in ("user", "assistant"):
         raise ValueError("role must be 'user' or 'assistant'")
     h = history.scoped(project_id)
-    out = finish_matches(first_matches(h, m, n, role, corpus_range), h.sessions, m, n)
+    out = finish_matches(first_matches(h, m, n, role, corpus_range), m)
     if keep_scan_key:
         return out
     return out.select(*MATCH_COLUMNS)

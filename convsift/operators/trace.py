@@ -12,7 +12,8 @@ Plan (single path): one pass over ``parts`` with the path rule as a
 predicate (no union: a part is either a tool call or a patch); the
 de-duplication is an aggregate with map-side combine; the arg-min is a
 scalar subquery (one row, no cross join); ordering + limit is a top-N; the
-prompt lookup and the title join run on the ≤ N surviving rows only.
+prompt lookup runs on the ≤ N surviving rows only (session titles travel
+with the parts, so no join is needed for them).
 
 Plan (batch, :func:`trace_files`): a table of queries is matched with two
 equi-joins (full path, last path component), so the path rule becomes hash
@@ -26,7 +27,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.broadcast import broadcast_if_bounded
 from ..functions.paths import PathQuery, last_component, normalize_query_col
 from ..model import TRACE_COLUMNS, History
 from .asof import latest_before
@@ -56,7 +56,7 @@ def _tool_path() -> Column:
 def _touch_cols(path: Column) -> list[Column]:
     is_tool = F.col("type") == "tool"
     return [
-        "session_id", "message_id", "part_id",
+        "session_id", "session_title", "message_id", "part_id",
         F.col("msg_created_ms").alias("timestamp"),
         F.col("created_ms").alias("part_created_ms"),
         F.when(is_tool, F.lit(0)).otherwise(F.lit(1)).alias("source_priority"),
@@ -79,9 +79,10 @@ def touches_for(parts: DataFrame, q: PathQuery) -> DataFrame:
 
 def dedupe(touches: DataFrame, keys: list[str]) -> DataFrame:
     """Keep one touch per key: tool calls before patches, then part order."""
-    best = F.min(F.struct("source_priority", "part_created_ms", "part_id", "tool_name", "timestamp"))
+    best = F.min(F.struct("source_priority", "part_created_ms", "part_id", "tool_name", "timestamp",
+                          "session_title"))
     return (touches.groupBy(*keys).agg(best.alias("b"))
-            .select(*keys, "b.timestamp", "b.source_priority", "b.tool_name"))
+            .select(*keys, "b.timestamp", "b.source_priority", "b.tool_name", "b.session_title"))
 
 
 def _first_key() -> Column:
@@ -112,11 +113,6 @@ def attach_prompts(touches: DataFrame, parts: DataFrame, row_bound: int | None)
     return out.withColumn("user_prompt", F.col("prompt.text")).drop("prompt")
 
 
-def attach_titles(df: DataFrame, sessions: DataFrame, row_bound: int | None) -> DataFrame:
-    s = sessions.select("session_id", F.col("title").alias("session_title"))
-    return broadcast_if_bounded(df, row_bound).join(s, "session_id", "inner")
-
-
 def trace_file(history: History, file_path: str, limit: int | None = None,
                project_id: str | None = None) -> DataFrame:
     """Touch history of one file; rows newest first (``TRACE_COLUMNS``)."""
@@ -128,8 +124,7 @@ def trace_file(history: History, file_path: str, limit: int | None = None,
     first = touches.select(F.min(_first_key())).scalar()
     flagged = touches.withColumn("first_touch", F.coalesce(_first_key() == first, F.lit(False)))
     limited = flagged.orderBy(*_newest_first()).limit(n)
-    with_prompt = attach_prompts(limited, h.parts, n)
-    return (attach_titles(with_prompt, h.sessions, n)
+    return (attach_prompts(limited, h.parts, n)
             .orderBy(*_newest_first())
             .select(*TRACE_COLUMNS))
 
@@ -165,7 +160,7 @@ def trace_files(history: History, queries: DataFrame, query_col: str = "query",
     bare = cands.join(qn.where(~F.col("exact")), cands["last_component"] == qn["q"], "inner")
     matched = exact.unionByName(bare).drop("q", "exact", "last_component")
     # A patch contributes only its first matching file (per query).
-    per_part = (matched.groupBy("query", "session_id", "message_id", "part_id", "timestamp",
+    per_part = (matched.groupBy("query", "session_id", "session_title", "message_id", "part_id", "timestamp",
                                 "part_created_ms", "source_priority", "tool_name")
                 .agg(F.min(F.struct("pos", "file_path")).alias("f"))
                 .withColumn("file_path", F.col("f.file_path")).drop("f"))
@@ -177,7 +172,7 @@ def trace_files(history: History, queries: DataFrame, query_col: str = "query",
         flagged = top_n_per_group(flagged, "query", _newest_first(), trace_limit(limit_per_query))
     out = attach_prompts(flagged, h.parts, None) if with_prompts else \
         flagged.withColumn("user_prompt", F.lit(None).cast("string"))
-    return attach_titles(out, h.sessions, None).select("query", *TRACE_COLUMNS)
+    return out.select("query", *TRACE_COLUMNS)
 
 
 def top_n_per_group(df: DataFrame, group: str, order: list[Column], n: int,

@@ -14,7 +14,8 @@ from ..sources.driver_tables import (CONV_BASE_MS, CONV_PROJECTS, CONV_SESSION_S
                                      EVENT_PROJECTS, PAGE_BASE_MS, PAGE_STRIDE_MS, TURN_STRIDE_MS)
 
 PART_COLS = ("part_id, message_id, session_id, project_id, role, msg_created_ms, session_updated_ms, "
-             "created_ms, type, text, tool, has_state, input_json, output, state_title, files")
+             "session_title, project_directory, created_ms, type, text, tool, has_state, input_json, "
+             "output, state_title, files")
 SESSION_COLS = "session_id, project_id, title, directory, created_ms, updated_ms"
 MESSAGE_COLS = "message_id, session_id, project_id, role, agent, created_ms"
 
@@ -33,11 +34,14 @@ conv_messages AS (
          concat('proj_', c.conv_id % {CONV_PROJECTS}) AS project_id, c.role AS role,
          coalesce(CASE WHEN c.role = 'assistant' THEN 'build' ELSE c.role END, '') AS agent,
          s.created_ms + c.turn * {TURN_STRIDE_MS} AS created_ms,
-         s.created_ms + s.max_turn * {TURN_STRIDE_MS} AS session_updated_ms, c.conv_id, c.turn, c.text
+         s.created_ms + s.max_turn * {TURN_STRIDE_MS} AS session_updated_ms,
+         substring(s.first_text, 1, 60) AS session_title,
+         concat('/data/proj_', c.conv_id % {CONV_PROJECTS}) AS project_directory, c.conv_id, c.turn, c.text
   FROM conversations c JOIN conv_s s USING (conv_id)),
 conv_parts AS (
   SELECT concat('prt_c', conv_id, '_', turn) AS part_id, message_id, session_id, project_id, role,
-         created_ms AS msg_created_ms, session_updated_ms, created_ms, 'text' AS type, text,
+         created_ms AS msg_created_ms, session_updated_ms, session_title, project_directory,
+         created_ms, 'text' AS type, text,
          NULL::VARCHAR AS tool, false AS has_state, NULL::VARCHAR AS input_json, NULL::VARCHAR AS output,
          NULL::VARCHAR AS state_title, NULL::VARCHAR[] AS files
   FROM conv_messages)"""
@@ -58,13 +62,16 @@ evt_base AS (
          concat('proj_', e.user_id % {EVENT_PROJECTS}) AS project_id,
          CASE WHEN e.event_type IN ('click', 'view') THEN 'user' ELSE 'assistant' END AS role,
          CASE WHEN e.event_type IN ('click', 'view') THEN 'user' ELSE 'build' END AS agent,
-         e.ms AS created_ms, u.last_ms AS session_updated_ms, e.event_id, e.event_type, e.props, e.k,
+         e.ms AS created_ms, u.last_ms AS session_updated_ms,
+         concat('user ', e.user_id, ' activity') AS session_title,
+         concat('/data/proj_', e.user_id % {EVENT_PROJECTS}) AS project_directory,
+         e.event_id, e.event_type, e.props, e.k,
          concat('src/f', e.k, '.ts') AS path
   FROM ev e JOIN evt_u u USING (user_id)),
 evt_messages AS (SELECT {MESSAGE_COLS} FROM evt_base),
 evt_parts AS (
   SELECT concat('prt_e', event_id, '_0') AS part_id, message_id, session_id, project_id, role,
-         created_ms AS msg_created_ms, session_updated_ms, created_ms,
+         created_ms AS msg_created_ms, session_updated_ms, session_title, project_directory, created_ms,
          CASE WHEN event_type IN ('click', 'view') THEN 'text' ELSE 'tool' END AS type,
          CASE WHEN event_type IN ('click', 'view') THEN concat(event_type, ' ', props) END AS text,
          CASE WHEN event_type IN ('click', 'view') THEN NULL WHEN event_type = 'purchase' THEN 'write'
@@ -81,7 +88,7 @@ evt_parts AS (
   FROM evt_base
   UNION ALL
   SELECT concat('prt_e', event_id, '_1'), message_id, session_id, project_id, role, created_ms,
-         session_updated_ms, created_ms + 1, 'patch', NULL, NULL, false, NULL, NULL, NULL,
+         session_updated_ms, session_title, project_directory, created_ms + 1, 'patch', NULL, NULL, false, NULL, NULL, NULL,
          [path, 'src/shared.ts']
   FROM evt_base WHERE event_type = 'purchase')"""
 
@@ -96,7 +103,8 @@ page_sessions AS (
   SELECT concat('ses_h', host) AS session_id, 'proj_web' AS project_id, host AS title,
          concat('/web/', host) AS directory, first_ms - 500 AS created_ms, last_ms AS updated_ms
   FROM pg_h),
-page_base AS (SELECT p.*, h.last_ms AS session_updated_ms FROM pg p JOIN pg_h h USING (host)),
+page_base AS (SELECT p.*, h.last_ms AS session_updated_ms, p.host AS session_title,
+                     concat('/web/', p.host) AS project_directory FROM pg p JOIN pg_h h USING (host)),
 page_messages AS (
   SELECT concat('msg_p', page_id, '_0') AS message_id, concat('ses_h', host) AS session_id,
          'proj_web' AS project_id, 'user' AS role, 'user' AS agent, ms - 500 AS created_ms FROM page_base
@@ -106,19 +114,22 @@ page_messages AS (
 page_parts AS (
   SELECT concat('prt_p', page_id, '_0') AS part_id, concat('msg_p', page_id, '_0') AS message_id,
          concat('ses_h', host) AS session_id, 'proj_web' AS project_id, 'user' AS role,
-         ms - 500 AS msg_created_ms, session_updated_ms, ms - 500 AS created_ms, 'text' AS type,
+         ms - 500 AS msg_created_ms, session_updated_ms, session_title, project_directory,
+         ms - 500 AS created_ms, 'text' AS type,
          concat('fetch ', url) AS text, NULL::VARCHAR AS tool, false AS has_state,
          NULL::VARCHAR AS input_json, NULL::VARCHAR AS output, NULL::VARCHAR AS state_title,
          NULL::VARCHAR[] AS files
   FROM page_base
   UNION ALL
   SELECT concat('prt_p', page_id, '_1'), concat('msg_p', page_id, '_1'), concat('ses_h', host),
-         'proj_web', 'assistant', ms, session_updated_ms, ms + 1, 'tool', NULL, 'webfetch', true,
+         'proj_web', 'assistant', ms, session_updated_ms, session_title, project_directory,
+         ms + 1, 'tool', NULL, 'webfetch', true,
          json_object('url', url)::VARCHAR, html, url, NULL
   FROM page_base
   UNION ALL
   SELECT concat('prt_p', page_id, '_2'), concat('msg_p', page_id, '_1'), concat('ses_h', host),
-         'proj_web', 'assistant', ms, session_updated_ms, ms + 2, 'patch', NULL, NULL, false,
+         'proj_web', 'assistant', ms, session_updated_ms, session_title, project_directory,
+         ms + 2, 'patch', NULL, NULL, false,
          NULL, NULL, NULL, [upath]
   FROM page_base)"""
 
@@ -325,24 +336,26 @@ def items_cte(path_token: str) -> str:
     """``items``: the searchable strings of fuzzy search, with walk keys."""
     key = ("project_id, role, session_id, message_id, part_id, msg_created_ms AS timestamp")
     walk = "session_updated_ms AS k_updated_ms, 1 AS k_phase, msg_created_ms AS k_msg_ms, created_ms AS k_part_ms"
+    tail = "session_title, project_directory"
     return f"""items AS (
   SELECT project_id, NULL::VARCHAR AS role, session_id, NULL::VARCHAR AS message_id, NULL::VARCHAR AS part_id,
          updated_ms AS timestamp, 'title' AS match_type, title AS content, updated_ms AS k_updated_ms,
-         0 AS k_phase, NULL::BIGINT AS k_msg_ms, NULL::BIGINT AS k_part_ms, 0 AS k_slot, 0 AS k_ord
+         0 AS k_phase, NULL::BIGINT AS k_msg_ms, NULL::BIGINT AS k_part_ms, 0 AS k_slot, 0 AS k_ord,
+         title AS session_title, directory AS project_directory
   FROM sessions
   UNION ALL
-  SELECT {key}, 'message', text, {walk}, 0, 0 FROM parts WHERE type = 'text' AND length(text) > 0
+  SELECT {key}, 'message', text, {walk}, 0, 0, {tail} FROM parts WHERE type = 'text' AND length(text) > 0
   UNION ALL
-  SELECT {key}, 'tool', concat(tool, ' ', coalesce(nullif(state_title, ''), '')), {walk}, 1, 0
+  SELECT {key}, 'tool', concat(tool, ' ', coalesce(nullif(state_title, ''), '')), {walk}, 1, 0, {tail}
   FROM parts WHERE type = 'tool' AND length(tool) > 0
   UNION ALL
-  SELECT {key}, 'filepath', tok, {walk}, 2, i - 1
+  SELECT {key}, 'filepath', tok, {walk}, 2, i - 1, {tail}
   FROM (SELECT *, unnest(toks) AS tok, generate_subscripts(toks, 1) AS i
         FROM (SELECT *, regexp_extract_all(concat(coalesce(input_json, '{{}}'), ' ', coalesce(output, '')),
                                            {sql_str(path_token)}) AS toks
               FROM parts WHERE type = 'tool' AND has_state))
   UNION ALL
-  SELECT {key}, 'filepath', f, {walk}, 3, i - 1
+  SELECT {key}, 'filepath', f, {walk}, 3, i - 1, {tail}
   FROM (SELECT *, unnest(files) AS f, generate_subscripts(files, 1) AS i FROM parts WHERE type = 'patch')
   WHERE f IS NOT NULL)"""
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import PART_TYPES, History
+from ..model import PART_SCHEMA, PART_TYPES, History
 from ..functions.text import nonempty
 
 MESSAGE_JSON = "role string, agent string, _corrupt_record string"
@@ -150,17 +150,17 @@ def assemble(sessions: DataFrame, messages: DataFrame, parts: DataFrame,
     """
     key = (lambda c: F.trim(F.col(c))) if trim_keys else F.col
     s = sessions.select(key("session_id").alias("_sref"), "session_id", "project_id",
-                        F.col("updated_ms").alias("session_updated_ms"))
+                        F.col("updated_ms").alias("session_updated_ms"),
+                        F.col("title").alias("session_title"), F.col("directory").alias("project_directory"))
     msgs = (messages.withColumnRenamed("session_id", "_sref")
             .join(s, "_sref", "inner").drop("_sref"))
     messages_out = msgs.select("message_id", "session_id", "project_id", "role", "agent", "created_ms")
     m = msgs.select(key("message_id").alias("_mref"), "message_id", "session_id", "project_id", "role",
-                    F.col("created_ms").alias("msg_created_ms"), "session_updated_ms")
+                    F.col("created_ms").alias("msg_created_ms"), "session_updated_ms",
+                    "session_title", "project_directory")
     parts_out = (parts.withColumnRenamed("message_id", "_mref")
                  .join(m, "_mref", "inner")
-                 .select("part_id", "message_id", "session_id", "project_id", "role", "msg_created_ms",
-                         "session_updated_ms", "created_ms", "type", "text", "tool", "has_state",
-                         "input_json", "output", "state_title", "files"))
+                 .select(*PART_SCHEMA.fieldNames()))
     return History(sessions, messages_out, parts_out)
 
 

@@ -50,10 +50,13 @@ def start_part_ingest(spark: SparkSession, root: str, out_path: str, checkpoint:
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         snapshot = read_json_tree(spark, root)
         owners = (snapshot.messages
-                  .join(snapshot.sessions.select("session_id", F.col("updated_ms").alias("session_updated_ms")),
+                  .join(snapshot.sessions.select("session_id", F.col("updated_ms").alias("session_updated_ms"),
+                                                 F.col("title").alias("session_title"),
+                                                 F.col("directory").alias("project_directory")),
                         "session_id", "inner")
                   .select(F.trim(F.col("message_id")).alias("_mref"), "message_id", "session_id", "project_id",
-                          "role", F.col("created_ms").alias("msg_created_ms"), "session_updated_ms"))
+                          "role", F.col("created_ms").alias("msg_created_ms"), "session_updated_ms",
+                          "session_title", "project_directory"))
         parts = (_decode_part_files(batch).withColumnRenamed("message_id", "_mref")
                  .join(owners, "_mref", "inner").select(*PART_SCHEMA.fieldNames()))
         parts.write.mode("overwrite").parquet(os.path.join(out_path, "parts", f"batch_id={batch_id}"))

@@ -76,10 +76,11 @@ def test_long_text_windows_match_single_pass(spark):
     random.seed(7)
     body = "".join(random.choice("abcdefgh ") for _ in range(5000))
     text = body[:3000] + "convsiftx" + body[3000:]
-    df = spark.createDataFrame([("s", 0, None, None, 0, 0, 1, 1, 1, 1, "message", text)],
+    df = spark.createDataFrame([("s", 0, None, None, 0, 0, 1, 1, 1, 1, "message", text, "t", "/d")],
                                "session_id string, k_phase int, message_id string, part_id string, k_slot int, "
                                "k_ord int, k_updated_ms long, k_msg_ms long, k_part_ms long, timestamp long, "
-                               "match_type string, content string")
+                               "match_type string, content string, session_title string, "
+                               "project_directory string")
     got = fz.fuzzy_scores(df, "convsift", 0.25).collect()
     d, s = best_alignment([text.lower()], "convsift", min(allowed_errors(8, 0.25), 6))
     assert len(got) == 1 and (got[0]["dist"], got[0]["start"]) == (int(d[0]), int(s[0])) == (0, 3000)

@@ -15,7 +15,10 @@ from fixture_data import search_history, trace_history
 
 
 def plan(df):
-    return df._jdf.queryExecution().executedPlan().toString()
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain("formatted")
+    return buf.getvalue()
 
 
 @pytest.fixture(scope="module")
@@ -36,10 +39,7 @@ def test_keyword_is_one_parts_scan_and_top_n(spark, pq):
     assert "TakeOrderedAndProject" in p
     assert p.count("parts") >= 1
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
-    buf = io.StringIO()
-    with contextlib.redirect_stdout(buf):
-        df.explain("formatted")
-    formatted = buf.getvalue()
+    formatted = p
     assert "PushedFilters: [IsNotNull(project_id), EqualTo(project_id,mock-project-123)" in formatted
 
 
