@@ -80,10 +80,7 @@ def alignment_udf(query: str, max_dist: int):
             "start": pd.Series(start, dtype="Int32").mask(miss),
         })
 
-    # Marked non-deterministic only so that Catalyst does not push the
-    # "dist is not null" filter below the projection and inline (re-run) the
-    # UDF there; the function itself is deterministic.
-    return align.asNondeterministic()
+    return align
 
 
 def _windows(items: DataFrame, m: int, k: int) -> DataFrame:
@@ -132,7 +129,12 @@ def fuzzy_scores(items: DataFrame, query: str, threshold: float) -> DataFrame:
     pre = _prefilter(F.col("win"), query_pieces(q, k))
     if pre is not None:
         w = w.where(pre)
-    scored = (w.withColumn("al", alignment_udf(q, k)(F.col("win")))
+    # The score comes out of a one-element generator: a filter on generator
+    # output is never pushed below it, so the UDF runs once per window (a
+    # filter on a plain projection would be pushed down with the UDF inlined,
+    # running it twice).  The UDF stays deterministic, so a lost executor's
+    # shuffle output is simply recomputed.
+    scored = (w.select(*w.columns, F.inline(F.array(F.struct(alignment_udf(q, k)(F.col("win")).alias("al")))))
               .where(F.col("al.dist").isNotNull())
               .withColumn("g", F.col("off") + F.col("al.start")))
     g, src, off, n = F.col("g"), F.col("ctx_src"), F.col("ctx_off"), F.col("n_chars")

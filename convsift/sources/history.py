@@ -8,9 +8,9 @@
   :func:`normalise_tables` directly, e.g. with ``spark.read.jdbc``);
 * ``json_tree`` — the one-object-per-file layout.
 
-``write_history`` range-partitions by (project, session) and sorts inside
-files, so Parquet min/max statistics prune a project scope and a huge
-project still spreads over many files.
+``write_history`` range-partitions by (project, session, time) and sorts
+inside files, so Parquet min/max statistics prune a project scope, and a
+huge project — or a single huge session — still spreads over many files.
 """
 
 from __future__ import annotations
@@ -52,7 +52,9 @@ def write_history(history: History, path: str, partitions: int | None = None,
     }
     for name, df in zip(TABLES, (history.sessions, history.messages, history.parts)):
         keys = order[name]
-        (df.repartitionByRange(n, *[F.col(k) for k in keys[:2]])
+        # The full key (with times) goes into the range bounds, so one session
+        # holding a large share of all rows is cut into several files.
+        (df.repartitionByRange(n, *[F.col(k) for k in keys])
            .sortWithinPartitions(*keys)
            .write.mode(mode).parquet(os.path.join(path, name)))
 
@@ -61,6 +63,6 @@ def write_items(items, path: str, partitions: int | None = None, mode: str = "ov
     """Persist a fuzzy item table (see :func:`convsift.operators.items.build_items`)."""
     spark = items.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (items.repartitionByRange(n, "project_id", "session_id")
+    (items.repartitionByRange(n, "project_id", "session_id", "k_msg_ms")
           .sortWithinPartitions("project_id", "session_id", "k_msg_ms")
           .write.mode(mode).parquet(path))
