@@ -65,11 +65,18 @@ def _touch_cols(path: Column) -> list[Column]:
     ]
 
 
-def touches_for(parts: DataFrame, q: PathQuery) -> DataFrame:
+def _stored(path: Column, normalize_stored: bool) -> Column:
+    """A stored path as matched: as written, or with ``\\`` turned into ``/``
+    (opt-in; by default only the query is normalised)."""
+    return normalize_query_col(path) if normalize_stored else path
+
+
+def touches_for(parts: DataFrame, q: PathQuery, normalize_stored: bool = False) -> DataFrame:
     """All touches of one path query (before de-duplication)."""
     is_tool = (F.col("type") == "tool") & F.col("tool").isin(*TOUCH_TOOLS)
-    tp = _tool_path()
-    first_file = F.get(F.filter(F.col("files"), lambda f: f.isNotNull() & q.matches(f)), 0)
+    tp = _stored(_tool_path(), normalize_stored)
+    files = F.transform(F.col("files"), lambda f: _stored(f, normalize_stored))
+    first_file = F.get(F.filter(files, lambda f: f.isNotNull() & q.matches(f)), 0)
     path = (F.when(is_tool, F.when(q.matches(tp), tp))
             .when(F.col("type") == "patch", first_file))
     return (_assistant_parts(parts)
@@ -114,13 +121,22 @@ def attach_prompts(touches: DataFrame, parts: DataFrame, row_bound: int | None)
 
 
 def trace_file(history: History, file_path: str, limit: int | None = None,
-               project_id: str | None = None) -> DataFrame:
-    """Touch history of one file; rows newest first (``TRACE_COLUMNS``)."""
+               project_id: str | None = None, corpus_range=None,
+               normalize_stored: bool = False) -> DataFrame:
+    """Touch history of one file; rows newest first (``TRACE_COLUMNS``).
+
+    ``corpus_range`` keeps only touches inside a :class:`DateRange` *before*
+    the first-touch flag and the limit (prompts are still looked up over the
+    whole session)."""
     n = trace_limit(limit)
     q = PathQuery.of(file_path)
     h = history.scoped(project_id)
     keys = ["session_id", "message_id", "file_path"]
-    touches = dedupe(touches_for(h.parts, q), keys)
+    found = touches_for(h.parts, q, normalize_stored)
+    if corpus_range is not None:
+        found = found.where(F.col("timestamp").between(F.lit(corpus_range.start_ms),
+                                                       F.lit(corpus_range.end_ms)))
+    touches = dedupe(found, keys)
     first = touches.select(F.min(_first_key())).scalar()
     flagged = touches.withColumn("first_touch", F.coalesce(_first_key() == first, F.lit(False)))
     limited = flagged.orderBy(*_newest_first()).limit(n)
@@ -129,14 +145,14 @@ def trace_file(history: History, file_path: str, limit: int | None = None,
             .select(*TRACE_COLUMNS))
 
 
-def _batch_candidates(parts: DataFrame) -> DataFrame:
+def _batch_candidates(parts: DataFrame, normalize_stored: bool = False) -> DataFrame:
     """Every stored path a touch could match: tool inputs and patch files."""
     ap = _assistant_parts(parts)
     tools = (ap.where((F.col("type") == "tool") & F.col("tool").isin(*TOUCH_TOOLS))
-             .select(*_touch_cols(_tool_path()), F.lit(0).alias("pos")))
+             .select(*_touch_cols(_stored(_tool_path(), normalize_stored)), F.lit(0).alias("pos")))
     patches = (ap.where(F.col("type") == "patch")
                .select("*", F.posexplode("files").alias("pos", "_f"))
-               .select(*_touch_cols(F.col("_f")), "pos"))
+               .select(*_touch_cols(_stored(F.col("_f"), normalize_stored)), "pos"))
     return (tools.unionByName(patches)
             .where(F.col("file_path").isNotNull() & (F.length("file_path") > 0))
             .withColumn("last_component", last_component(F.col("file_path"))))
@@ -144,7 +160,7 @@ def _batch_candidates(parts: DataFrame) -> DataFrame:
 
 def trace_files(history: History, queries: DataFrame, query_col: str = "query",
                 limit_per_query: int | None = None, project_id: str | None = None,
-                with_prompts: bool = True) -> DataFrame:
+                with_prompts: bool = True, normalize_stored: bool = False) -> DataFrame:
     """Trace every path of ``queries[query_col]`` at once.
 
     Same per-query semantics as :func:`trace_file` (first touch per query);
@@ -155,7 +171,7 @@ def trace_files(history: History, queries: DataFrame, query_col: str = "query",
     qn = (queries.select(F.col(query_col).alias("query")).distinct()
           .withColumn("q", normalize_query_col(F.col("query")))
           .withColumn("exact", F.instr(F.col("q"), "/") > 0))
-    cands = _batch_candidates(h.parts)
+    cands = _batch_candidates(h.parts, normalize_stored)
     exact = cands.join(qn.where("exact"), cands["file_path"] == qn["q"], "inner")
     bare = cands.join(qn.where(~F.col("exact")), cands["last_component"] == qn["q"], "inner")
     matched = exact.unionByName(bare).drop("q", "exact", "last_component")

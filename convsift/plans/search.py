@@ -44,11 +44,7 @@ def search(history: History, query: str | None = None, file_path: str | None = N
     corpus = rng if date_scope == "corpus" else None
 
     if file_path:
-        h = history
-        if corpus is not None:
-            h = History(history.sessions, history.messages,
-                        history.parts.where(history.parts.msg_created_ms.between(corpus.start_ms, corpus.end_ms)))
-        out = trace_file(h, file_path, limit=limit, project_id=project_id)
+        out = trace_file(history, file_path, limit=limit, project_id=project_id, corpus_range=corpus)
     elif mode == "fuzzy":
         out = search_fuzzy(history, query, threshold=fuzzy_threshold, limit=limit, role=role,
                            project_id=project_id, items=items, corpus_range=corpus)

@@ -40,6 +40,16 @@ def _check_policy(on_corrupt: str) -> None:
         raise ValueError("on_corrupt must be 'skip' or 'fail'")
 
 
+def _observed(df: DataFrame, ok: Column, observation, name: str) -> DataFrame:
+    """Attach a ``<name>`` count of rows dropped as malformed (P11).
+
+    ``observation`` is a :class:`pyspark.sql.Observation`; its value is
+    available after the first action on the result."""
+    if observation is None:
+        return df
+    return df.observe(observation, F.sum(F.when(ok, 0).otherwise(1)).alias(name))
+
+
 def _valid(decoded: Column, raw: Column, on_corrupt: str) -> Column:
     """True for a row whose JSON parsed; under ``fail`` a bad row aborts the job."""
     ok = raw.isNotNull() & decoded.isNotNull() & decoded["_corrupt_record"].isNull()
@@ -85,7 +95,7 @@ def decode_sessions(session: DataFrame) -> DataFrame:
     )
 
 
-def decode_messages(message: DataFrame, on_corrupt: str = "skip") -> DataFrame:
+def decode_messages(message: DataFrame, on_corrupt: str = "skip", observation=None) -> DataFrame:
     """Raw ``message`` rows → (message_id, session_id, role, agent, created_ms)."""
     _check_policy(on_corrupt)
     j = F.from_json(F.col("data"), MESSAGE_JSON, JSON_OPTIONS)
@@ -93,8 +103,10 @@ def decode_messages(message: DataFrame, on_corrupt: str = "skip") -> DataFrame:
         F.col("id").cast("string").alias("message_id"),
         F.col("session_id").cast("string").alias("session_id"),
         F.col("time_created").cast("long").alias("created_ms"), F.col("data"))
+    parsed = parse_once(staged, j, ["message_id", "session_id", "created_ms", "data"])
+    ok = F.col("data").isNotNull() & F.col("j").isNotNull() & F.col("j._corrupt_record").isNull()
     return (
-        parse_once(staged, j, ["message_id", "session_id", "created_ms", "data"])
+        _observed(parsed, ok, observation, "corrupt_messages")
         .where(_valid(F.col("j"), F.col("data"), on_corrupt))
         .select(
             "message_id", "session_id",
@@ -121,7 +133,7 @@ def decode_part_payload(data: Column) -> list[Column]:
     ]
 
 
-def decode_parts(part: DataFrame, on_corrupt: str = "skip") -> DataFrame:
+def decode_parts(part: DataFrame, on_corrupt: str = "skip", observation=None) -> DataFrame:
     """Raw ``part`` rows → decoded parts of the four kept types."""
     _check_policy(on_corrupt)
     j = F.from_json(F.col("data"), PART_JSON, JSON_OPTIONS)
@@ -129,8 +141,10 @@ def decode_parts(part: DataFrame, on_corrupt: str = "skip") -> DataFrame:
         F.col("id").cast("string").alias("part_id"),
         F.col("message_id").cast("string").alias("message_id"),
         F.col("time_created").cast("long").alias("created_ms"), F.col("data"))
+    parsed = parse_once(raw, j, ["part_id", "message_id", "created_ms", "data"])
+    ok = F.col("data").isNotNull() & F.col("j").isNotNull() & F.col("j._corrupt_record").isNull()
     staged = (
-        parse_once(raw, j, ["part_id", "message_id", "created_ms", "data"])
+        _observed(parsed, ok, observation, "corrupt_parts")
         .where(_valid(F.col("j"), F.col("data"), on_corrupt))
         .where(F.col("j.type").isin(*PART_TYPES))
     )
@@ -165,7 +179,12 @@ def assemble(sessions: DataFrame, messages: DataFrame, parts: DataFrame,
 
 
 def normalise_tables(session: DataFrame, message: DataFrame, part: DataFrame,
-                     on_corrupt: str = "skip") -> History:
-    """Raw row tables → :class:`History`."""
-    return assemble(decode_sessions(session), decode_messages(message, on_corrupt),
-                    decode_parts(part, on_corrupt))
+                     on_corrupt: str = "skip", message_observation=None,
+                     part_observation=None) -> History:
+    """Raw row tables → :class:`History`.
+
+    Pass :class:`pyspark.sql.Observation` objects to count the malformed
+    messages / parts that were skipped."""
+    return assemble(decode_sessions(session),
+                    decode_messages(message, on_corrupt, message_observation),
+                    decode_parts(part, on_corrupt, part_observation))

@@ -106,3 +106,31 @@ def test_parquet_roundtrip_and_unified_search(spark, tree_root):
     after = search(h, query="the", limit=1, date="2024-01-30").count()
     before = search(h, query="the", limit=1, date="2024-01-30", date_scope="corpus").count()
     assert (after, before) == (0, 1)
+
+
+def test_corrupt_rows_are_counted(spark):
+    from pyspark.sql import Observation
+    obs = Observation("corrupt")
+    s = spark.createDataFrame(fx.TRACE_SESSIONS, fx.SESSION_COLS)
+    m = spark.createDataFrame(fx.TRACE_MESSAGES, fx.MESSAGE_COLS)
+    p = spark.createDataFrame(fx.TRACE_PARTS, fx.PART_COLS)
+    h = normalise_tables(s, m, p, part_observation=obs)
+    assert h.parts.count() == len(fx.TRACE_PARTS) - 1
+    assert obs.get["corrupt_parts"] == 1
+
+
+def test_fail_policy_raises(spark):
+    s = spark.createDataFrame(fx.TRACE_SESSIONS, fx.SESSION_COLS)
+    m = spark.createDataFrame(fx.TRACE_MESSAGES, fx.MESSAGE_COLS)
+    p = spark.createDataFrame(fx.TRACE_PARTS, fx.PART_COLS)
+    with pytest.raises(Exception, match="Malformed JSON"):
+        normalise_tables(s, m, p, on_corrupt="fail").parts.collect()
+
+
+def test_stored_backslash_paths_opt_in(spark):
+    s = spark.createDataFrame([("s1", "p", "x", "/d", "t", "v1", 1, 2)], fx.SESSION_COLS)
+    m = spark.createDataFrame([("m1", "s1", 5, 5, '{"role":"assistant"}')], fx.MESSAGE_COLS)
+    p = spark.createDataFrame([("a", "m1", "s1", 6, 6, '{"type":"patch","files":["src\\\\win.ts"]}')], fx.PART_COLS)
+    h = normalise_tables(s, m, p)
+    assert trace_file(h, "src/win.ts").count() == 0
+    assert [r.file_path for r in trace_file(h, "src/win.ts", normalize_stored=True).collect()] == ["src/win.ts"]
