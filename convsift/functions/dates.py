@@ -15,13 +15,17 @@ from datetime import date, datetime, time, timedelta, timezone, tzinfo
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The accepted forms and the error texts.
-SUPPORTED_FORMATS = ('"today", "yesterday", "last N days/weeks/months", '
-                     '"YYYY-MM-DD", "YYYY-MM", "YYYY-MM-DD to YYYY-MM-DD"')
+# The accepted forms (patterns) and the error texts.
 _RELATIVE = re.compile(r"^last (\d+) (day|week|month)s?$")
 _RANGE = re.compile(r"^(\d{4}-\d{2}-\d{2})\s+to\s+(\d{4}-\d{2}-\d{2})$")
 _ISO = re.compile(r"^(\d{4}-\d{2}(?:-\d{2})?)$")
 _MONTH = re.compile(r"^\d{4}-\d{2}$")
+SUPPORTED_FORMATS = ('"today", "yesterday", "last N days/weeks/months", '
+                     '"YYYY-MM-DD", "YYYY-MM", "YYYY-MM-DD to YYYY-MM-DD"')
+ERR_RANGE = "Invalid date range: {text}"
+ERR_ORDER = "Start date must be before end date: {text}"
+ERR_DATE = "Invalid date: {text}"
+ERR_FORMAT = "Unrecognized date filter format: {text}. Supported formats: {formats}"
 
 
 @dataclass(frozen=True)
@@ -98,10 +102,10 @@ def parse_date_filter(text: str, now: datetime | None = None,
     if m:
         a, b = _iso_date(m.group(1)), _iso_date(m.group(2))
         if a is None or b is None:
-            raise ValueError(f"Invalid date range: {text}")
+            raise ValueError(ERR_RANGE.format(text=text))
         start, end = _start_of(a, tz), _end_of(b, tz)
         if start > end:
-            raise ValueError(f"Start date must be before end date: {text}")
+            raise ValueError(ERR_ORDER.format(text=text))
         return DateRange(_ms(start), _ms(end))
 
     m = _ISO.match(norm)
@@ -110,16 +114,16 @@ def parse_date_filter(text: str, now: datetime | None = None,
         if _MONTH.match(s):
             first = _iso_date(s + "-01")
             if first is None:
-                raise ValueError(f"Invalid date: {text}")
+                raise ValueError(ERR_DATE.format(text=text))
             nxt = date(first.year + (first.month == 12), first.month % 12 + 1, 1)
             last = nxt - timedelta(days=1)
             return DateRange(_ms(_start_of(first, tz)), _ms(_end_of(last, tz)))
         d = _iso_date(s)
         if d is None:
-            raise ValueError(f"Invalid date: {text}")
+            raise ValueError(ERR_DATE.format(text=text))
         return DateRange(_ms(_start_of(d, tz)), _ms(_end_of(d, tz)))
 
-    raise ValueError(f"Unrecognized date filter format: {text}. Supported formats: {SUPPORTED_FORMATS}")
+    raise ValueError(ERR_FORMAT.format(text=text, formats=SUPPORTED_FORMATS))
 
 
 def in_range(ts: Column, rng: DateRange) -> Column:

@@ -2,65 +2,80 @@
 
 Each result row gets its report block as an ``entry`` column built with
 ``concat_ws`` (null lines vanish), and a ``header`` column with the result
-count (a scalar subquery, so rows are never gathered into one task).  The
+count.  The
 full text is assembled on the driver from the ≤ limit rows of a finished
 search — the only collect in the library.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ms_to_text, nonempty
 
-# Fixed texts of the reports.
+# The texts of both reports, in the order they are printed.
 NO_MATCHES = "No matches found in conversation history."
-NO_TRACE_MATCHES = "No file trace matches found in conversation history."
 MATCH_HEADER = "Found {n} matches in conversation history:"
+MATCH_LINES = ("## {title}", "- Session ID: {session}", "- Project: {directory}", "- Date: {date}",
+               "- Match Type: {type}", '- Excerpt: "{excerpt}"', "- Context: ...{context}...")
+NO_TRACE_MATCHES = "No file trace matches found in conversation history."
 TRACE_HEADER = "Found {n} file trace matches in conversation history:"
+TRACE_LINES = ("## {title}", "- Session ID: {session}", "- Date: {date}", "- Status: {status}",
+               "- File: {file}", "- Tool: {tool}", '- Preceding User Prompt: "{prompt}"')
+STATUS_FIRST, STATUS_LATER = "First seen", "Later touch"
+
 
+def _line(template: str, value: Column) -> Column:
+    """One report line: the template's text around its single ``{…}`` slot."""
+    before, rest = template.split("{", 1)
+    after = rest.split("}", 1)[1]
+    return F.concat(F.lit(before), F.coalesce(value, F.lit("")), F.lit(after))
 
-def _line(prefix: str, value: Column, suffix: str = "") -> Column:
-    return F.concat(F.lit(prefix), F.coalesce(value, F.lit("")), F.lit(suffix))
 
+def _header(template: str) -> Column:
+    """Header with the row count of the report.
 
-def _header(df: DataFrame, template: str) -> Column:
+    A report covers one finished search: at most ``limit`` rows that the
+    top-N already left in a single partition, so a window over all rows adds
+    no exchange and, unlike a scalar subquery, does not run the search twice.
+    """
     before, after = template.split("{n}")
-    n = df.select(F.count(F.lit(1))).scalar()
+    n = F.count(F.lit(1)).over(Window.partitionBy())
     return F.concat(F.lit(before), n.cast("string"), F.lit(after))
 
 
 def match_entries(matches: DataFrame) -> DataFrame:
     """Add ``entry`` and ``header`` to keyword / fuzzy results."""
     ctx, ex = F.col("context"), F.col("excerpt")
+    title, session, directory, date, mtype, excerpt, context = MATCH_LINES
     entry = F.concat_ws(
         "\n",
-        _line("## ", F.col("session_title")),
-        _line("- Session ID: ", F.col("session_id")),
-        _line("- Project: ", F.col("project_directory")),
-        _line("- Date: ", ms_to_text(F.col("timestamp"))),
-        _line("- Match Type: ", F.col("match_type")),
-        _line('- Excerpt: "', ex, '"'),
-        F.when(nonempty(ctx) & (ctx != F.coalesce(ex, F.lit(""))), _line("- Context: ...", ctx, "...")),
+        _line(title, F.col("session_title")),
+        _line(session, F.col("session_id")),
+        _line(directory, F.col("project_directory")),
+        _line(date, ms_to_text(F.col("timestamp"))),
+        _line(mtype, F.col("match_type")),
+        _line(excerpt, ex),
+        F.when(nonempty(ctx) & (ctx != F.coalesce(ex, F.lit(""))), _line(context, ctx)),
     )
-    return matches.withColumn("entry", entry).withColumn("header", _header(matches, MATCH_HEADER))
+    return matches.withColumn("entry", entry).withColumn("header", _header(MATCH_HEADER))
 
 
 def trace_entries(traces: DataFrame) -> DataFrame:
     """Add ``entry`` and ``header`` to trace results."""
+    title, session, date, status, file, tool, prompt = TRACE_LINES
     entry = F.concat_ws(
         "\n",
-        _line("## ", F.col("session_title")),
-        _line("- Session ID: ", F.col("session_id")),
-        _line("- Date: ", ms_to_text(F.col("timestamp"))),
-        F.concat(F.lit("- Status: "), F.when(F.col("first_touch"), F.lit("First seen"))
-                 .otherwise(F.lit("Later touch"))),
-        _line("- File: ", F.col("file_path")),
-        F.when(nonempty(F.col("tool_name")), _line("- Tool: ", F.col("tool_name"))),
-        F.when(nonempty(F.col("user_prompt")), _line('- Preceding User Prompt: "', F.col("user_prompt"), '"')),
+        _line(title, F.col("session_title")),
+        _line(session, F.col("session_id")),
+        _line(date, ms_to_text(F.col("timestamp"))),
+        _line(status, F.when(F.col("first_touch"), F.lit(STATUS_FIRST)).otherwise(F.lit(STATUS_LATER))),
+        _line(file, F.col("file_path")),
+        F.when(nonempty(F.col("tool_name")), _line(tool, F.col("tool_name"))),
+        F.when(nonempty(F.col("user_prompt")), _line(prompt, F.col("user_prompt"))),
     )
-    return traces.withColumn("entry", entry).withColumn("header", _header(traces, TRACE_HEADER))
+    return traces.withColumn("entry", entry).withColumn("header", _header(TRACE_HEADER))
 
 
 def _render(entries: list[str], header: str, empty: str) -> str:
