@@ -23,6 +23,7 @@ from convsift.operators.keyword import search_keyword
 from convsift.operators.report import match_entries, trace_entries
 from convsift.operators.trace import trace_file, trace_files
 from convsift.plans import oracle_sql as O
+from convsift.plans.search import search
 from convsift.sources.driver_tables import driver_history
 
 ALL = ("conv", "evt", "page")
@@ -154,6 +155,8 @@ _TRACE = {
     "trace_backslash": dict(path="src\\f7.ts", project_id="proj_1", limit=30),
     "trace_shared_patch_only": dict(path="src/shared.ts", limit=100),
     "trace_first_touch_all": dict(path="shared.ts", limit=5000),
+    "trace_prompt_asof": dict(path="src/f7.ts", limit=100000),
+    "trace_first_touch": dict(path="f7.ts", project_id="proj_2", limit=3),
 }
 
 
@@ -173,6 +176,25 @@ def q_items_build(spark, sf_dir):
     return build_items(_hist(spark, sf_dir))
 
 
+def q_items_paths(spark, sf_dir):
+    it = build_items(_hist(spark, sf_dir, ("page",)))
+    return it.where((F.col("match_type") == "filepath") & (F.col("k_slot") == 2))
+
+
+def q_unified_trace_date(spark, sf_dir):
+    return search(_hist(spark, sf_dir, ("evt",)), file_path="f12.ts", date="2024-01-10 to 2024-01-20")
+
+
+def q_unified_keyword_corpus_date(spark, sf_dir):
+    return search(_hist(spark, sf_dir, ("conv",)), query="the", limit=30, date="2024-01-03",
+                  date_scope="corpus")
+
+
+def q_unified_fuzzy_corpus_date(spark, sf_dir):
+    return search(_hist(spark, sf_dir, ("conv",)), query="whenever", mode="fuzzy", limit=25,
+                  date="2024-01-02 to 2024-01-03", date_scope="corpus")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "normalise_sessions": q_normalise_sessions,
@@ -193,6 +215,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     for name, kw in _FUZZY.items():
         out[name] = partial(_fz, **kw)
     out["items_build"] = q_items_build
+    out["items_paths"] = q_items_paths
+    out["unified_trace_date"] = q_unified_trace_date
+    out["unified_keyword_corpus_date"] = q_unified_keyword_corpus_date
+    out["unified_fuzzy_corpus_date"] = q_unified_fuzzy_corpus_date
     out["trace_batch"] = q_trace_batch
     out["trace_batch_limited"] = q_trace_batch_limited
     out["report_matches"] = q_report_matches
@@ -228,6 +254,15 @@ def oracle_sql() -> dict[str, str]:
     for name, kw in _FUZZY.items():
         out[name] = _fz_sql(**kw)
     out["items_build"] = O.items_sql(PATH_TOKEN)
+    out["items_paths"] = (f"{O.history_ctes(('page',))},\n{O.items_cte(PATH_TOKEN)}\n"
+                          "SELECT * FROM items WHERE match_type = 'filepath' AND k_slot = 2")
+    out["unified_trace_date"] = O.trace_sql("f12.ts", 50, ("evt",), None,
+                                            date_range=("2024-01-10 00:00:00", "2024-01-20 23:59:59.999"))
+    out["unified_keyword_corpus_date"] = O.keyword_sql(O.SqlMatcher("the"), 30, ("conv",),
+                      corpus_range=("2024-01-03 00:00:00", "2024-01-03 23:59:59.999"))
+    k = min(allowed_errors(8, 0.4), 8 - MIN_MATCH_CHARS)
+    out["unified_fuzzy_corpus_date"] = O.fuzzy_sql("whenever", k, 25, PATH_TOKEN, ("conv",),
+                                                   corpus_range=("2024-01-02 00:00:00", "2024-01-03 23:59:59.999"))
     out["trace_batch"] = O.trace_batch_sql(BATCH_QUERIES_SQL)
     out["trace_batch_limited"] = O.trace_batch_sql(BATCH_QUERIES_SQL, limit_per_query=5)
     out["report_matches"] = _kw_sql(query="tion", sources=("conv",), limit=20, report=True)

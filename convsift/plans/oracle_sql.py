@@ -176,15 +176,23 @@ SCAN_ORDER_SQL = ("k_updated_ms DESC NULLS LAST, session_id, k_phase, k_msg_ms N
                   "message_id NULLS FIRST, k_part_ms NULLS FIRST, part_id NULLS FIRST, k_slot, k_ord")
 
 
+def _bounds(b: tuple[str, str]) -> str:
+    return f"BETWEEN epoch_ms(TIMESTAMP {sql_str(b[0])}) AND epoch_ms(TIMESTAMP {sql_str(b[1])})"
+
+
 def keyword_sql(m: SqlMatcher, limit: int, sources=("conv", "evt", "page"), role: str | None = None,
                 project_id: str | None = None, date_range: tuple[str, str] | None = None,
-                report: bool = False) -> str:
+                report: bool = False, corpus_range: tuple[str, str] | None = None) -> str:
     """Keyword search: first ``limit`` matches in walk order (then an
     optional date filter on the result, as the reference applies it)."""
-    scope_s = f"WHERE project_id = {sql_str(project_id)}" if project_id else ""
+    scope_s_l = [f"project_id = {sql_str(project_id)}"] if project_id else []
     scope_p = [f"project_id = {sql_str(project_id)}"] if project_id else []
     if role:
         scope_p.append(f"role = {sql_str(role)}")
+    if corpus_range:
+        scope_s_l.append(f"updated_ms {_bounds(corpus_range)}")
+        scope_p.append(f"msg_created_ms {_bounds(corpus_range)}")
+    scope_s = ("WHERE " + " AND ".join(scope_s_l)) if scope_s_l else ""
     where_p = ("WHERE " + " AND ".join(scope_p)) if scope_p else ""
     key = ("session_updated_ms AS k_updated_ms, session_id, 1 AS k_phase, msg_created_ms AS k_msg_ms, "
            "message_id, created_ms AS k_part_ms, part_id")
@@ -256,7 +264,7 @@ def _prompts_cte() -> str:
 
 
 def trace_sql(query: str, limit: int = 50, sources=("evt",), project_id: str | None = None,
-              report: bool = False) -> str:
+              report: bool = False, date_range: tuple[str, str] | None = None) -> str:
     scope = f"AND project_id = {sql_str(project_id)}" if project_id else ""
     select = TRACE_SELECT
     if report:
@@ -289,7 +297,8 @@ flagged AS (
 r AS (SELECT * FROM flagged ORDER BY timestamp DESC, source_priority, session_id, message_id, file_path LIMIT {limit})
 SELECT {select}
 FROM r ASOF LEFT JOIN prompts p ON r.session_id = p.session_id AND r.timestamp > p.msg_created_ms
-JOIN sessions s ON s.session_id = r.session_id"""
+JOIN sessions s ON s.session_id = r.session_id
+{f"WHERE r.timestamp {_bounds(date_range)}" if date_range else ""}"""
 
 
 def trace_batch_sql(queries_sql: str, sources=("evt",), limit_per_query: int | None = None) -> str:
@@ -365,7 +374,8 @@ def items_sql(path_token: str, sources=("conv", "evt", "page")) -> str:
 
 
 def fuzzy_sql(query: str, max_dist: int, limit: int, path_token: str, sources=("conv",),
-              role: str | None = None, project_id: str | None = None) -> str:
+              role: str | None = None, project_id: str | None = None,
+              corpus_range: tuple[str, str] | None = None) -> str:
     """Brute force: Levenshtein of the query against every substring of
     length m-k … m+k of every item.  Non-ASCII characters of the lower-cased
     text become one placeholder byte (DuckDB's distance counts bytes), which
@@ -377,6 +387,8 @@ def fuzzy_sql(query: str, max_dist: int, limit: int, path_token: str, sources=("
         filt.append(f"(role IS NULL OR role = {sql_str(role)})")
     if project_id:
         filt.append(f"project_id = {sql_str(project_id)}")
+    if corpus_range:
+        filt.append(f"timestamp {_bounds(corpus_range)}")
     keys = "session_id, k_phase, pk, k_slot, k_ord"
     return f"""{history_ctes(sources)},
 {items_cte(path_token)},
