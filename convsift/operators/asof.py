@@ -24,7 +24,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.broadcast import broadcast_if_bounded
 
@@ -65,19 +64,19 @@ def latest_before(left: DataFrame, right: DataFrame, by: str, left_ts: str,
              .where(F.col("_side") == 0)
              .select(F.col(by).alias("_g"), "_b", "_local", "_l"))
 
-    summaries = R.groupBy(by, "_b").agg(F.max("_v").alias("_best"))
-    left_buckets = L.select(by, "_b").distinct().withColumn("_best", F.lit(None).cast(v_type))
+    # One row per (group, bucket) seen on either side — right rows bring their
+    # best value, left rows only the bucket — in a single map-side-combined
+    # aggregate; a running max over those bucket rows gives each bucket the
+    # best value of all earlier buckets.
+    buckets = (R.select(F.col(by), "_b", F.col("_v").alias("_best"))
+               .unionByName(L.select(F.col(by), "_b", F.lit(None).cast(v_type).alias("_best")))
+               .groupBy(by, "_b").agg(F.max("_best").alias("_best")))
     w_carry = (Window.partitionBy(by).orderBy("_b")
                .rowsBetween(Window.unboundedPreceding, -1))
-    carry = (summaries.unionByName(left_buckets)
-             .groupBy(by, "_b").agg(F.max("_best").alias("_best"))
-             .withColumn("_carry", F.max("_best").over(w_carry))
+    carry = (buckets.withColumn("_carry", F.max("_best").over(w_carry))
              .select(F.col(by).alias("_g"), "_b", "_carry"))
 
     joined = local.join(carry, ["_g", "_b"], "left")
     return joined.select(*[F.col("_l")[c].alias(c) for c in left_cols],
                          F.coalesce(F.col("_local"), F.col("_carry")).alias(out_col))
 
-
-def struct_type_of(df: DataFrame, c: Column) -> T.DataType:
-    return df.select(c.alias("x")).schema["x"].dataType
