@@ -7,6 +7,8 @@ over all of it.  ``oracle_sql`` states the same result for DuckDB.
 
 from __future__ import annotations
 
+import os
+import sys
 from collections.abc import Callable
 from datetime import datetime, timezone
 from functools import partial
@@ -14,6 +16,10 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_HERE = os.path.dirname(os.path.abspath(__file__))
+if _HERE not in sys.path:
+    sys.path.insert(0, _HERE)
+
 from convsift.functions.dates import filter_by_date, parse_date_filter
 from convsift.functions.patterns import build_matcher
 from convsift.functions.editdist import allowed_errors

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from ..functions.editdist import allowed_errors, best_alignment
 from ..functions.text import slice_text, word_count
 from ..model import MATCH_COLUMNS, History, scan_order
+from ..session import ship_package
 from .items import build_items
 
 DEFAULT_THRESHOLD = 0.4
@@ -134,6 +135,7 @@ def fuzzy_scores(items: DataFrame, query: str, threshold: float) -> DataFrame:
     # filter on a plain projection would be pushed down with the UDF inlined,
     # running it twice).  The UDF stays deterministic, so a lost executor's
     # shuffle output is simply recomputed.
+    ship_package(items.sparkSession)
     scored = (w.select(*w.columns, F.inline(F.array(F.struct(alignment_udf(q, k)(F.col("win")).alias("al")))))
               .where(F.col("al.dist").isNotNull())
               .withColumn("g", F.col("off") + F.col("al.start")))
