@@ -4,7 +4,13 @@ that lies strictly earlier (J3).
 The classic formulation — union both sides, one window per group ordered by
 time — puts a whole group into one task, so one enormous session would
 serialise the job.  Here the window is partitioned by *(group, time
-bucket)*, which spreads a hot group over as many tasks as it has buckets:
+bucket)*, which spreads a hot group over as many tasks as it has buckets.
+Buckets are a day wide, except where a (group, day) holds more than
+``hot_rows`` rows: there the day is cut into sub-buckets sized from that
+group's own time span (count, min and max come from one map-side-combined
+aggregate), so even a burst holding a third of all rows is spread over many
+windows.  Only rows sharing one millisecond cannot be split.  Bucket keys
+stay in time order:
 
 1. local answer: union left and right rows, window per (group, bucket)
    ordered by (time, side) with the frame ending one row before the current
@@ -28,11 +34,39 @@ from pyspark.sql import functions as F
 from ..functions.broadcast import broadcast_if_bounded
 
 DAY_MS = 86_400_000
+HOT_ROWS = 1_000_000          # rows one window task may take before its bucket is split
+_SUB_BITS = 27                # room for 86,400,000 one-millisecond sub-buckets of a day
+
+
+def _bucketize(L: DataFrame, R: DataFrame, by: str, ts_l: str, ts_r: str, bucket_ms: int,
+               hot_rows: int):
+    """Add the bucket key ``_b`` to both sides (same rule on both)."""
+    day = lambda c: F.floor(F.col(c) / F.lit(bucket_ms)).cast("long")
+    # Hot (group, day)s get sub-buckets sized from their own time span, so a
+    # burst is split as well as a busy day: about count / hot_rows pieces.
+    hot = (L.select(F.col(by), day(ts_l).alias("_d"), F.col(ts_l).alias("_ts"))
+           .unionByName(R.select(F.col(by), day(ts_r).alias("_d"), F.col(ts_r).alias("_ts")))
+           .groupBy(by, "_d")
+           .agg(F.count(F.lit(1)).alias("_n"), F.min("_ts").alias("_lo"), F.max("_ts").alias("_hi"))
+           .where(F.col("_n") > hot_rows)
+           .select(by, "_d", "_lo",
+                   F.greatest(F.lit(1).cast("long"),
+                              F.floor((F.col("_hi") - F.col("_lo") + 1) * F.lit(hot_rows).cast("long")
+                                      / F.col("_n")).cast("long")).alias("_w")))
+
+    def add(df: DataFrame, ts: str) -> DataFrame:
+        d = df.withColumn("_d", day(ts)).join(hot, [by, "_d"], "left")
+        origin = F.coalesce(F.col("_lo"), F.col("_d") * F.lit(bucket_ms).cast("long"))
+        sub = F.floor((F.col(ts) - origin) / F.coalesce(F.col("_w"), F.lit(bucket_ms).cast("long")))
+        return d.withColumn("_b", F.shiftleft(F.col("_d"), _SUB_BITS) + sub.cast("long")).drop("_d", "_lo", "_w")
+
+    return add(L, ts_l), add(R, ts_r)
 
 
 def latest_before(left: DataFrame, right: DataFrame, by: str, left_ts: str,
                   right_ts: str, right_value: Column, out_col: str = "asof",
-                  bucket_ms: int = DAY_MS, left_row_bound: int | None = None) -> DataFrame:
+                  bucket_ms: int = DAY_MS, left_row_bound: int | None = None,
+                  hot_rows: int = HOT_ROWS) -> DataFrame:
     """Return ``left`` with ``out_col`` = max ``right_value`` over right rows
     with the same ``by`` and ``right_ts < left_ts`` (null when none).
 
@@ -42,12 +76,11 @@ def latest_before(left: DataFrame, right: DataFrame, by: str, left_ts: str,
     so a lookup for a few rows does not shuffle the whole right side.
     """
     left_cols = left.columns
-    L = left.withColumn("_b", F.floor(F.col(left_ts) / F.lit(bucket_ms)).cast("long"))
     R = right.select(F.col(by), F.col(right_ts).alias("_t"), right_value.alias("_v"))
     if left_row_bound is not None:
-        groups = broadcast_if_bounded(L.select(by).distinct(), left_row_bound)
+        groups = broadcast_if_bounded(left.select(by).distinct(), left_row_bound)
         R = R.join(groups, by, "left_semi")
-    R = R.withColumn("_b", F.floor(F.col("_t") / F.lit(bucket_ms)).cast("long"))
+    L, R = _bucketize(left, R, by, left_ts, "_t", bucket_ms, hot_rows)
 
     v_type = R.schema["_v"].dataType
     l_struct = F.struct(*[F.col(c) for c in left_cols])

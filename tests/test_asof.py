@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 from convsift.operators.asof import latest_before
 
 
-@pytest.mark.parametrize("bucket_ms,bound", [(10, None), (7, 500), (1000, None), (86_400_000, 500)])
-def test_latest_strictly_before_matches_brute_force(spark, bucket_ms, bound):
+@pytest.mark.parametrize("bucket_ms,bound,hot", [(10, None, 1_000_000), (7, 500, 1_000_000),
+                                                  (1000, None, 1_000_000), (86_400_000, 500, 1_000_000),
+                                                  (1000, None, 20), (86_400_000, 500, 5)])
+def test_latest_strictly_before_matches_brute_force(spark, bucket_ms, bound, hot):
     rnd = random.Random(bucket_ms)
     # group "hot" holds most rows; times collide often (ties must stay strict)
     left = [(i, rnd.choice(["hot", "hot", "hot", "a", "b"]), rnd.randint(0, 200)) for i in range(300)]
@@ -15,9 +17,18 @@ def test_latest_strictly_before_matches_brute_force(spark, bucket_ms, bound):
     ldf = spark.createDataFrame(left, "id int, g string, t long")
     rdf = spark.createDataFrame(right, "g string, rt long, val string")
     out = latest_before(ldf, rdf, "g", "t", "rt", F.struct("rt", "val"), bucket_ms=bucket_ms,
-                        left_row_bound=bound)
+                        left_row_bound=bound, hot_rows=hot)
     got = {r.id: (None if r.asof is None else (r.asof.rt, r.asof.val)) for r in out.collect()}
     for i, g, t in left:
         cands = [(rt, v) for gg, rt, v in right if gg == g and rt < t]
         assert got[i] == (max(cands) if cands else None), (i, g, t)
     assert len(got) == len(left)
+
+
+def test_hot_group_is_split(spark):
+    from convsift.operators.asof import _bucketize
+    rows = [("hot", t) for t in range(1000)] + [("cold", t) for t in range(10)]
+    df = spark.createDataFrame(rows, "g string, t long")
+    L, _ = _bucketize(df, df.withColumnRenamed("t", "rt"), "g", "t", "rt", 86_400_000, 100)
+    per = {r.g: r.n for r in L.groupBy("g").agg(F.countDistinct("_b").alias("n")).collect()}
+    assert per["cold"] == 1 and per["hot"] >= 10
