@@ -39,13 +39,19 @@ _SUB_BITS = 27                # room for 86,400,000 one-millisecond sub-buckets
 
 
 def _bucketize(L: DataFrame, R: DataFrame, by: str, ts_l: str, ts_r: str, bucket_ms: int,
-               hot_rows: int):
-    """Add the bucket key ``_b`` to both sides (same rule on both)."""
+               hot_rows: int, count_left: bool = True):
+    """Add the bucket key ``_b`` to both sides (same rule on both).
+
+    Any rule that is the same on both sides is correct; the counts only steer
+    load balance.  A left side of proven small size cannot make a group hot,
+    so ``count_left=False`` skips reading it for the counts."""
     day = lambda c: F.floor(F.col(c) / F.lit(bucket_ms)).cast("long")
     # Hot (group, day)s get sub-buckets sized from their own time span, so a
     # burst is split as well as a busy day: about count / hot_rows pieces.
-    hot = (L.select(F.col(by), day(ts_l).alias("_d"), F.col(ts_l).alias("_ts"))
-           .unionByName(R.select(F.col(by), day(ts_r).alias("_d"), F.col(ts_r).alias("_ts")))
+    rows = R.select(F.col(by), day(ts_r).alias("_d"), F.col(ts_r).alias("_ts"))
+    if count_left:
+        rows = rows.unionByName(L.select(F.col(by), day(ts_l).alias("_d"), F.col(ts_l).alias("_ts")))
+    hot = (rows
            .groupBy(by, "_d")
            .agg(F.count(F.lit(1)).alias("_n"), F.min("_ts").alias("_lo"), F.max("_ts").alias("_hi"))
            .where(F.col("_n") > hot_rows)
@@ -80,7 +86,8 @@ def latest_before(left: DataFrame, right: DataFrame, by: str, left_ts: str,
     if left_row_bound is not None:
         groups = broadcast_if_bounded(left.select(by).distinct(), left_row_bound)
         R = R.join(groups, by, "left_semi")
-    L, R = _bucketize(left, R, by, left_ts, "_t", bucket_ms, hot_rows)
+    L, R = _bucketize(left, R, by, left_ts, "_t", bucket_ms, hot_rows,
+                      count_left=left_row_bound is None or left_row_bound > hot_rows)
 
     v_type = R.schema["_v"].dataType
     l_struct = F.struct(*[F.col(c) for c in left_cols])
