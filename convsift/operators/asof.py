@@ -1,29 +1,25 @@
 """As-of lookup: for each left row, the latest right row of the same group
 that lies strictly earlier (J3).
 
-The classic formulation — union both sides, one window per group ordered by
-time — puts a whole group into one task, so one enormous session would
-serialise the job.  Here the window is partitioned by *(group, time
-bucket)*, which spreads a hot group over as many tasks as it has buckets.
-Buckets are a day wide, except where a (group, day) holds more than
-``hot_rows`` rows: there the day is cut into sub-buckets sized from that
-group's own time span (count, min and max come from one map-side-combined
-aggregate), so even a burst holding a third of all rows is spread over many
-windows.  Only rows sharing one millisecond cannot be split.  Bucket keys
-stay in time order:
-
-1. local answer: union left and right rows, window per (group, bucket)
-   ordered by (time, side) with the frame ending one row before the current
-   one; at equal times left rows sort first, so the match stays strictly
-   earlier;
-2. carry: the best right row of each (group, bucket) — an aggregate with
-   map-side combine — and, per group, a running max over *bucket summaries*
-   (one row per bucket, not per event) gives the best row of all earlier
-   buckets;
-3. answer = local answer, else the carry of the row's bucket.
-
-Right rows are compared by a struct whose leading fields are the ordering
-keys, so ``max`` picks the latest one deterministically.
+Formulation: union both sides and run a window ordered by (time, side) whose
+frame ends one row before the current one; at equal times left rows sort
+first, so the match stays strictly earlier.  Right rows are compared by a
+struct whose leading fields are the ordering keys, so ``max`` picks the
+latest one deterministically.
+
+Skew: a window partitioned by group alone would put one enormous group
+into one task.  Rows per group are therefore counted first (one aggregate
+with map-side combine) and the driver checks whether any group exceeds
+``hot_rows``:
+
+* none (the usual case): one window partition per group, nothing else;
+* some: those groups are cut into time buckets sized from their own span
+  (about count / hot_rows buckets each), the window runs per
+  (group, bucket), and a running max over per-bucket summaries of the hot
+  groups (one row per bucket, not per event) carries the best value of all
+  earlier buckets; answer = local result, else that carry.
+
+Only rows sharing one millisecond of one group cannot be split.
 """
 
 from __future__ import annotations
@@ -33,46 +29,37 @@ from pyspark.sql import functions as F
 
 from ..functions.broadcast import broadcast_if_bounded
 
-DAY_MS = 86_400_000
-HOT_ROWS = 1_000_000          # rows one window task may take before its bucket is split
-_SUB_BITS = 27                # room for 86,400,000 one-millisecond sub-buckets of a day
+HOT_ROWS = 1_000_000          # rows one window task may take before its group is split
 
 
-def _bucketize(L: DataFrame, R: DataFrame, by: str, ts_l: str, ts_r: str, bucket_ms: int,
-               hot_rows: int, count_left: bool = True):
-    """Add the bucket key ``_b`` to both sides (same rule on both).
+def _hot_groups(L: DataFrame, R: DataFrame, by: str, ts_l: str, hot_rows: int,
+                count_left: bool) -> DataFrame:
+    """Groups above ``hot_rows`` rows with their bucket origin and width.
 
     Any rule that is the same on both sides is correct; the counts only steer
-    load balance.  A left side of proven small size cannot make a group hot,
-    so ``count_left=False`` skips reading it for the counts."""
-    day = lambda c: F.floor(F.col(c) / F.lit(bucket_ms)).cast("long")
-    # Hot (group, day)s get sub-buckets sized from their own time span, so a
-    # burst is split as well as a busy day: about count / hot_rows pieces.
-    rows = R.select(F.col(by), day(ts_r).alias("_d"), F.col(ts_r).alias("_ts"))
+    load balance, so a left side of proven small size is not counted."""
+    rows = R.select(F.col(by), F.col("_t"))
     if count_left:
-        rows = rows.unionByName(L.select(F.col(by), day(ts_l).alias("_d"), F.col(ts_l).alias("_ts")))
-    hot = (rows
-           .groupBy(by, "_d")
-           .agg(F.count(F.lit(1)).alias("_n"), F.min("_ts").alias("_lo"), F.max("_ts").alias("_hi"))
-           .where(F.col("_n") > hot_rows)
-           .select(by, "_d", "_lo",
-                   F.greatest(F.lit(1).cast("long"),
-                              F.floor((F.col("_hi") - F.col("_lo") + 1) * F.lit(hot_rows).cast("long")
-                                      / F.col("_n")).cast("long")).alias("_w")))
+        rows = rows.unionByName(L.select(F.col(by), F.col(ts_l).alias("_t")))
+    return (rows.groupBy(by)
+            .agg(F.count(F.lit(1)).alias("_n"), F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
+            .where(F.col("_n") > hot_rows)
+            .select(by, "_lo", F.greatest(
+                F.lit(1).cast("long"),
+                F.floor((F.col("_hi") - F.col("_lo") + 1) * F.lit(hot_rows).cast("long") / F.col("_n"))
+                .cast("long")).alias("_w")))
 
-    def add(df: DataFrame, ts: str) -> DataFrame:
-        d = df.withColumn("_d", day(ts)).join(hot, [by, "_d"], "left")
-        origin = F.coalesce(F.col("_lo"), F.col("_d") * F.lit(bucket_ms).cast("long"))
-        sub = F.floor((F.col(ts) - origin) / F.coalesce(F.col("_w"), F.lit(bucket_ms).cast("long")))
-        return d.withColumn("_b", F.shiftleft(F.col("_d"), _SUB_BITS) + sub.cast("long")).drop("_d", "_lo", "_w")
 
-    return add(L, ts_l), add(R, ts_r)
+def _with_bucket(df: DataFrame, hot: DataFrame, by: str, ts: str) -> DataFrame:
+    d = df.join(hot, by, "left")
+    b = F.when(F.col("_w").isNull(), F.lit(0).cast("long")) \
+        .otherwise(F.floor((F.col(ts) - F.col("_lo")) / F.col("_w")).cast("long"))
+    return d.withColumn("_b", b).withColumn("_split", F.col("_w").isNotNull()).drop("_lo", "_w")
 
 
 def latest_before(left: DataFrame, right: DataFrame, by: str, left_ts: str,
                   right_ts: str, right_value: Column, out_col: str = "asof",
-                  bucket_ms: int = DAY_MS, left_row_bound: int | None = None,
-                  hot_rows: int = HOT_ROWS) -> DataFrame:
+                  left_row_bound: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Return ``left`` with ``out_col`` = max ``right_value`` over right rows
     with the same ``by`` and ``right_ts < left_ts`` (null when none).
 
@@ -80,19 +67,27 @@ def latest_before(left: DataFrame, right: DataFrame, by: str, left_ts: str,
     When ``left_row_bound`` proves ``left`` small, right rows are first
     restricted to the groups present on the left (a broadcast semi-join),
     so a lookup for a few rows does not shuffle the whole right side.
+    Runs one small job on the driver's behalf (the hot-group check).
     """
     left_cols = left.columns
     R = right.select(F.col(by), F.col(right_ts).alias("_t"), right_value.alias("_v"))
     if left_row_bound is not None:
         groups = broadcast_if_bounded(left.select(by).distinct(), left_row_bound)
         R = R.join(groups, by, "left_semi")
-    L, R = _bucketize(left, R, by, left_ts, "_t", bucket_ms, hot_rows,
-                      count_left=left_row_bound is None or left_row_bound > hot_rows)
+
+    count_left = left_row_bound is None or left_row_bound > hot_rows
+    hot = _hot_groups(left, R, by, left_ts, hot_rows, count_left)
+    split = not hot.isEmpty()
+    if split:
+        L = _with_bucket(left, hot, by, left_ts)
+        R = _with_bucket(R, hot, by, "_t")
+    else:
+        L = left.withColumn("_b", F.lit(0).cast("long")).withColumn("_split", F.lit(False))
+        R = R.withColumn("_b", F.lit(0).cast("long")).withColumn("_split", F.lit(False))
 
     v_type = R.schema["_v"].dataType
     l_struct = F.struct(*[F.col(c) for c in left_cols])
     l_type = L.select(l_struct.alias("_l")).schema["_l"].dataType
-
     u_left = L.select(F.col(by), "_b", F.col(left_ts).alias("_t"), F.lit(0).alias("_side"),
                       F.lit(None).cast(v_type).alias("_v"), l_struct.alias("_l"))
     u_right = R.select(F.col(by), "_b", "_t", F.lit(1).alias("_side"), "_v",
@@ -103,20 +98,18 @@ def latest_before(left: DataFrame, right: DataFrame, by: str, left_ts: str,
              .withColumn("_local", F.max(F.when(F.col("_side") == 1, F.col("_v"))).over(w_local))
              .where(F.col("_side") == 0)
              .select(F.col(by).alias("_g"), "_b", "_local", "_l"))
-
-    # One row per (group, bucket) seen on either side — right rows bring their
-    # best value, left rows only the bucket — in a single map-side-combined
-    # aggregate; a running max over those bucket rows gives each bucket the
-    # best value of all earlier buckets.
-    buckets = (R.select(F.col(by), "_b", F.col("_v").alias("_best"))
-               .unionByName(L.select(F.col(by), "_b", F.lit(None).cast(v_type).alias("_best")))
+    if not split:
+        return local.select(*[F.col("_l")[c].alias(c) for c in left_cols], F.col("_local").alias(out_col))
+
+    # Hot groups only: one row per (group, bucket) seen on either side (right
+    # rows bring their best value) in one map-side-combined aggregate, then a
+    # running max over those bucket rows carries earlier buckets forward.
+    buckets = (R.where("_split").select(F.col(by), "_b", F.col("_v").alias("_best"))
+               .unionByName(L.where("_split").select(F.col(by), "_b", F.lit(None).cast(v_type).alias("_best")))
                .groupBy(by, "_b").agg(F.max("_best").alias("_best")))
-    w_carry = (Window.partitionBy(by).orderBy("_b")
-               .rowsBetween(Window.unboundedPreceding, -1))
+    w_carry = Window.partitionBy(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carry = (buckets.withColumn("_carry", F.max("_best").over(w_carry))
              .select(F.col(by).alias("_g"), "_b", "_carry"))
-
     joined = local.join(carry, ["_g", "_b"], "left")
     return joined.select(*[F.col("_l")[c].alias(c) for c in left_cols],
                          F.coalesce(F.col("_local"), F.col("_carry")).alias(out_col))
-

@@ -6,17 +6,16 @@ from pyspark.sql import functions as F
 from convsift.operators.asof import latest_before
 
 
-@pytest.mark.parametrize("bucket_ms,bound,hot", [(10, None, 1_000_000), (7, 500, 1_000_000),
-                                                  (1000, None, 1_000_000), (86_400_000, 500, 1_000_000),
-                                                  (1000, None, 20), (86_400_000, 500, 5)])
-def test_latest_strictly_before_matches_brute_force(spark, bucket_ms, bound, hot):
-    rnd = random.Random(bucket_ms)
+@pytest.mark.parametrize("seed,bound,hot", [(1, None, 1_000_000), (2, 500, 1_000_000),
+                                             (3, None, 20), (4, 500, 5), (5, None, 1), (6, 500, 150)])
+def test_latest_strictly_before_matches_brute_force(spark, seed, bound, hot):
+    rnd = random.Random(seed)
     # group "hot" holds most rows; times collide often (ties must stay strict)
     left = [(i, rnd.choice(["hot", "hot", "hot", "a", "b"]), rnd.randint(0, 200)) for i in range(300)]
     right = [(rnd.choice(["hot", "hot", "a", "c"]), rnd.randint(0, 200), f"v{j}") for j in range(400)]
     ldf = spark.createDataFrame(left, "id int, g string, t long")
     rdf = spark.createDataFrame(right, "g string, rt long, val string")
-    out = latest_before(ldf, rdf, "g", "t", "rt", F.struct("rt", "val"), bucket_ms=bucket_ms,
+    out = latest_before(ldf, rdf, "g", "t", "rt", F.struct("rt", "val"),
                         left_row_bound=bound, hot_rows=hot)
     got = {r.id: (None if r.asof is None else (r.asof.rt, r.asof.val)) for r in out.collect()}
     for i, g, t in left:
@@ -26,9 +25,10 @@ def test_latest_strictly_before_matches_brute_force(spark, bucket_ms, bound, hot
 
 
 def test_hot_group_is_split(spark):
-    from convsift.operators.asof import _bucketize
+    from convsift.operators.asof import _hot_groups, _with_bucket
     rows = [("hot", t) for t in range(1000)] + [("cold", t) for t in range(10)]
     df = spark.createDataFrame(rows, "g string, t long")
-    L, _ = _bucketize(df, df.withColumnRenamed("t", "rt"), "g", "t", "rt", 86_400_000, 100)
-    per = {r.g: r.n for r in L.groupBy("g").agg(F.countDistinct("_b").alias("n")).collect()}
+    hot = _hot_groups(df, df.withColumnRenamed("t", "_t"), "g", "t", 100, True)
+    b = _with_bucket(df, hot, "g", "t")
+    per = {r.g: r.n for r in b.groupBy("g").agg(F.countDistinct("_b").alias("n")).collect()}
     assert per["cold"] == 1 and per["hot"] >= 10
