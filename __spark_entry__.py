@@ -142,6 +142,9 @@ _KEYWORD = {
     "keyword_limit_scan_order": dict(query="an", sources=("conv",), limit=7),
     "keyword_project_scope": dict(query="er", sources=("conv", "evt"), project_id="proj_1", limit=30),
     "keyword_all_sources": dict(query="at", sources=ALL, limit=50),
+    "keyword_documents": dict(query="tion", sources=("doc",), limit=50),
+    "keyword_documents_regex": dict(query="ver[a-z]+ung", sources=("doc",), regex=True, limit=40),
+    "keyword_documents_role": dict(query="keit", sources=("doc",), role="assistant", limit=30),
 }
 _KEYWORD_DATE = {
     "keyword_limit_then_date": (dict(query="the", sources=("conv",), limit=40),
@@ -155,6 +158,12 @@ _FUZZY = {
     "fuzzy_paths": dict(query="shared.ts", threshold=0.2, limit=40, sources=("evt",)),
     "fuzzy_no_match": dict(query="qwertyuiop", threshold=0.1, limit=5, sources=("conv",)),
 }
+# Whole documents (up to 10^5 characters each): the SQL brute force takes minutes
+# here, so this one has no SQL statement; tests/test_documents.py checks it
+# against whole-text scoring on the smallest tables instead.
+_FUZZY_NO_SQL = {
+    "fuzzy_documents": dict(query="reaument", threshold=0.25, limit=20, sources=("doc",)),
+}
 _TRACE = {
     "trace_exact": dict(path="src/f12.ts"),
     "trace_basename": dict(path="f7.ts", project_id="proj_1", limit=30),
@@ -218,7 +227,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         out[name] = partial(_kw, date=date, **kw)
     for name, kw in _TRACE.items():
         out[name] = partial(_trace, **kw)
-    for name, kw in _FUZZY.items():
+    for name, kw in {**_FUZZY, **_FUZZY_NO_SQL}.items():
         out[name] = partial(_fz, **kw)
     out["items_build"] = q_items_build
     out["items_paths"] = q_items_paths

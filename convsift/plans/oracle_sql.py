@@ -10,8 +10,9 @@ independent from the Spark one.
 
 from __future__ import annotations
 
-from ..sources.driver_tables import (CONV_BASE_MS, CONV_PROJECTS, CONV_SESSION_STRIDE_MS,
-                                     EVENT_PROJECTS, PAGE_BASE_MS, PAGE_STRIDE_MS, TURN_STRIDE_MS)
+from ..sources.driver_tables import (CONV_BASE_MS, CONV_PROJECTS, CONV_SESSION_STRIDE_MS, DOC_BASE_MS,
+                                     DOC_STRIDE_MS, EVENT_PROJECTS, PAGE_BASE_MS, PAGE_STRIDE_MS,
+                                     TURN_STRIDE_MS)
 
 PART_COLS = ("part_id, message_id, session_id, project_id, role, msg_created_ms, session_updated_ms, "
              "session_title, project_directory, created_ms, type, text, tool, has_state, input_json, "
@@ -133,7 +134,32 @@ page_parts AS (
          NULL, NULL, NULL, [upath]
   FROM page_base)"""
 
-_SOURCES = {"conv": CONV, "evt": EVT, "page": PAGE}
+DOC = f"""
+dc AS (SELECT doc_id, text, lang, source, {DOC_BASE_MS} + doc_id * {DOC_STRIDE_MS} AS ms FROM documents),
+dc_s AS (SELECT source, lang, min(ms) AS first_ms, max(ms) AS last_ms FROM dc GROUP BY source, lang),
+doc_sessions AS (
+  SELECT concat('ses_d', source, '_', lang) AS session_id, concat('proj_', lang) AS project_id,
+         concat(source, ' ', lang, ' archive') AS title, concat('/docs/', lang) AS directory,
+         first_ms AS created_ms, last_ms AS updated_ms
+  FROM dc_s),
+doc_base AS (
+  SELECT d.*, s.last_ms AS session_updated_ms, concat(d.source, ' ', d.lang, ' archive') AS session_title,
+         concat('/docs/', d.lang) AS project_directory,
+         CASE WHEN d.lang IN ('en', 'fr') THEN 'user' ELSE 'assistant' END AS role
+  FROM dc d JOIN dc_s s USING (source, lang)),
+doc_messages AS (
+  SELECT concat('msg_d', doc_id) AS message_id, concat('ses_d', source, '_', lang) AS session_id,
+         concat('proj_', lang) AS project_id, role, 'reader' AS agent, ms AS created_ms
+  FROM doc_base),
+doc_parts AS (
+  SELECT concat('prt_d', doc_id) AS part_id, concat('msg_d', doc_id) AS message_id,
+         concat('ses_d', source, '_', lang) AS session_id, concat('proj_', lang) AS project_id, role,
+         ms AS msg_created_ms, session_updated_ms, session_title, project_directory, ms AS created_ms,
+         'text' AS type, text, NULL::VARCHAR AS tool, false AS has_state, NULL::VARCHAR AS input_json,
+         NULL::VARCHAR AS output, NULL::VARCHAR AS state_title, NULL::VARCHAR[] AS files
+  FROM doc_base)"""
+
+_SOURCES = {"conv": CONV, "evt": EVT, "page": PAGE, "doc": DOC}
 
 
 def history_ctes(sources=("conv", "evt", "page")) -> str:

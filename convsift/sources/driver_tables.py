@@ -14,6 +14,10 @@ export.  Every row of the source tables is used.
   shell command on it.
 * pages: a host is a session; per page a user prompt, a ``webfetch`` tool
   call whose output is the HTML, and a patch naming the URL path.
+* documents: a (source, language) pair is a session in project
+  ``proj_<lang>``; each document is one message whose single text part is
+  the whole document (English and French ones as user messages, the others
+  as assistant messages).
 """
 
 from __future__ import annotations
@@ -33,6 +37,9 @@ CONV_SESSION_STRIDE_MS = 3600000  # one hour between conversations
 TURN_STRIDE_MS = 60000            # one minute between turns
 PAGE_BASE_MS = 1706745600000      # 2024-02-01T00:00:00Z
 PAGE_STRIDE_MS = 1000
+DOC_BASE_MS = 1709251200000       # 2024-03-01T00:00:00Z
+DOC_STRIDE_MS = 60000
+DOC_USER_LANGS = ("en", "fr")
 CONV_PROJECTS = 5
 EVENT_PROJECTS = 3
 USER_EVENTS = ("click", "view")
@@ -189,7 +196,34 @@ def page_tables(spark: SparkSession, sf_dir: str) -> RawTables:
     return RawTables(session, message, part)
 
 
-ADAPTERS = {"conv": conversation_tables, "evt": event_tables, "page": page_tables}
+def document_tables(spark: SparkSession, sf_dir: str) -> RawTables:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+    ms = F.lit(DOC_BASE_MS) + F.col("doc_id") * F.lit(DOC_STRIDE_MS)
+    ses_id = _s("ses_d", F.col("source"), "_", F.col("lang"))
+    project = _s("proj_", F.col("lang"))
+    docs = docs.withColumn("ms", ms)
+    per = docs.groupBy("source", "lang").agg(F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms"))
+    session = _session_rows(per.select(
+        ses_id.alias("id"), project.alias("project_id"), _s(F.col("source"), "-", F.col("lang")).alias("slug"),
+        _s("/docs/", F.col("lang")).alias("directory"),
+        _s(F.col("source"), " ", F.col("lang"), " archive").alias("title"), F.lit("v1").alias("version"),
+        F.col("first_ms").alias("time_created"), F.col("last_ms").alias("time_updated")))
+    is_user = F.col("lang").isin(*DOC_USER_LANGS)
+    role = F.when(is_user, F.lit("user")).otherwise(F.lit("assistant"))
+    msg_id = _s("msg_d", _str(F.col("doc_id")))
+    message = docs.select(
+        msg_id.alias("id"), ses_id.alias("session_id"), F.col("ms").alias("time_created"),
+        F.col("ms").alias("time_updated"),
+        F.to_json(F.struct(role.alias("role"), F.lit("reader").alias("agent"))).alias("data"))
+    part = docs.select(
+        _s("prt_d", _str(F.col("doc_id"))).alias("id"), msg_id.alias("message_id"), ses_id.alias("session_id"),
+        F.col("ms").alias("time_created"), F.col("ms").alias("time_updated"),
+        F.to_json(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))).alias("data"))
+    return RawTables(session, message, part)
+
+
+ADAPTERS = {"conv": conversation_tables, "evt": event_tables, "page": page_tables,
+            "doc": document_tables}
 
 
 def driver_raw_tables(spark: SparkSession, sf_dir: str, sources=("conv", "evt", "page")) -> RawTables:
