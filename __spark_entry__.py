@@ -270,7 +270,7 @@ def oracle_sql() -> dict[str, str]:
         out[name] = _fz_sql(**kw)
     out["items_build"] = O.items_sql(PATH_TOKEN)
     out["items_paths"] = (f"{O.history_ctes(('page',))},\n{O.items_cte(PATH_TOKEN)}\n"
-                          "SELECT * FROM items WHERE match_type = 'filepath' AND k_slot = 2")
+                          f"SELECT *, {O.N_WORDS_SQL} FROM items WHERE match_type = 'filepath' AND k_slot = 2")
     out["unified_trace_date"] = O.trace_sql("f12.ts", 50, ("evt",), None,
                                             date_range=("2024-01-10 00:00:00", "2024-01-20 23:59:59.999"))
     out["unified_keyword_corpus_date"] = O.keyword_sql(O.SqlMatcher("the"), 30, ("conv",),

@@ -51,7 +51,7 @@ def main() -> None:
     out_dir = scratch_path(spark, f"bench-{uuid.uuid4().hex[:8]}")
 
     def ingest():
-        h = driver_history(spark, sf_dir)
+        h = driver_history(spark, sf_dir, ("conv", "evt", "page", "doc"))
         write_history(h, f"{out_dir}/history", partitions=cpus)
         hp = load_history(spark, f"{out_dir}/history")
         write_items(build_items(hp), f"{out_dir}/items", partitions=cpus)

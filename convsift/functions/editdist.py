@@ -20,7 +20,7 @@ from __future__ import annotations
 import numpy as np
 
 _PAD = np.uint32(0xFFFFFFFF)   # never a code point
-GROUP_ROWS = 2048
+GROUP_ROWS = 4096
 
 
 def allowed_errors(m: int, threshold: float) -> int:
@@ -46,43 +46,76 @@ def _peq(query_rev: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _scan_group(texts_rev: list[str], keys: np.ndarray, masks: np.ndarray, m: int):
-    """Run the bit-parallel scan over one group of reversed texts."""
+    """Run the bit-parallel scan over one group of reversed texts.
+
+    Rows are ordered longest first, so at step j the rows still running are a
+    prefix; character masks are laid out step-major so each step reads one
+    contiguous row; all updates are in place on preallocated buffers.
+    """
     n = len(texts_rev)
     lens = np.fromiter((len(t) for t in texts_rev), dtype=np.int64, count=n)
-    width = int(lens.max()) if n else 0
-    codes = np.full((n, max(width, 1)), _PAD, dtype=np.uint32)
-    for i, t in enumerate(texts_rev):
+    order = np.argsort(-lens, kind="stable")
+    lens_sorted = lens[order]
+    width = int(lens_sorted[0]) if n else 0
+    codes = np.full((max(width, 1), n), _PAD, dtype=np.uint32)
+    for col, i in enumerate(order):
+        t = texts_rev[i]
         if t:
-            codes[i, :len(t)] = _codes(t)
+            codes[:len(t), col] = _codes(t)
     idx = np.searchsorted(keys, codes)
     np.minimum(idx, len(keys) - 1, out=idx)
     eq_all = np.where(keys[idx] == codes, masks[idx], np.uint64(0))
+    del codes, idx
+    # live[j] = number of rows longer than j (a prefix, rows being longest first)
+    live = n - np.searchsorted(lens_sorted[::-1], np.arange(width), side="right")
 
     full = np.uint64((1 << m) - 1) if m < 64 else np.uint64(0xFFFFFFFFFFFFFFFF)
-    top = np.uint64(1 << (m - 1))
+    shift = np.uint64(m - 1)
     one = np.uint64(1)
     pv = np.full(n, full, dtype=np.uint64)
     mv = np.zeros(n, dtype=np.uint64)
+    xv, xh, ph, mh, t = (np.empty(n, dtype=np.uint64) for _ in range(5))
     score = np.full(n, m, dtype=np.int64)
     best = np.full(n, m, dtype=np.int64)
     last = np.full(n, -1, dtype=np.int64)
+    delta = np.empty(n, dtype=np.int64)
+    hit = np.empty(n, dtype=bool)
     for j in range(width):
-        eq = eq_all[:, j]
-        xv = eq | mv
-        xh = (((eq & pv) + pv) ^ pv) | eq
-        ph = mv | ~(xh | pv)
-        mh = pv & xh
-        score += (ph & top != 0).astype(np.int64) - (mh & top != 0).astype(np.int64)
-        ph = ph << one
-        mh = mh << one
-        pv = (mh | ~(xv | ph)) & full
-        mv = ph & xv
-        live = j < lens
-        better = live & (score < best)
-        same = live & (score == best)
-        best = np.where(better, score, best)
-        last = np.where(better | same, j, last)
-    return lens, best, last
+        c = int(live[j])
+        eq = eq_all[j, :c]
+        Pv, Mv, Xv, Xh, Ph, Mh, T = pv[:c], mv[:c], xv[:c], xh[:c], ph[:c], mh[:c], t[:c]
+        np.bitwise_or(eq, Mv, out=Xv)
+        np.bitwise_and(eq, Pv, out=T)
+        np.add(T, Pv, out=T)
+        np.bitwise_xor(T, Pv, out=T)
+        np.bitwise_or(T, eq, out=Xh)
+        np.bitwise_or(Xh, Pv, out=T)
+        np.invert(T, out=T)
+        np.bitwise_or(Mv, T, out=Ph)
+        np.bitwise_and(Pv, Xh, out=Mh)
+        # score += top bit of Ph - top bit of Mh
+        D = delta[:c]
+        np.right_shift(Ph, shift, out=T)
+        np.bitwise_and(T, one, out=T)
+        np.copyto(D, T, casting="unsafe")
+        np.right_shift(Mh, shift, out=T)
+        np.bitwise_and(T, one, out=T)
+        np.subtract(D, T, out=D, casting="unsafe")
+        np.add(score[:c], D, out=score[:c])
+        np.left_shift(Ph, one, out=Ph)
+        np.left_shift(Mh, one, out=Mh)
+        np.bitwise_or(Xv, Ph, out=T)
+        np.invert(T, out=T)
+        np.bitwise_or(Mh, T, out=T)
+        np.bitwise_and(T, full, out=Pv)
+        np.bitwise_and(Ph, Xv, out=Mv)
+        B = best[:c]
+        np.minimum(B, score[:c], out=B)
+        np.equal(score[:c], B, out=hit[:c])
+        np.copyto(last[:c], j, where=hit[:c])
+    inv = np.empty_like(order)
+    inv[order] = np.arange(n)
+    return lens, best[inv], last[inv]
 
 
 def _scan_bigint(text_rev: str, query_rev: str):

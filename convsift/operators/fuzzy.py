@@ -90,10 +90,12 @@ def _windows(items: DataFrame, m: int, k: int) -> DataFrame:
     span = WINDOW + m + k
     length = F.length("content")
     offsets = F.sequence(F.lit(0), F.greatest(length - F.lit(1), F.lit(0)), F.lit(WINDOW))
+    # Lower-case once per item (before the explode), then cut the windows.
     return (items
-            .select(*_KEY, *_CARRY, "content", length.alias("n_chars"), F.explode(offsets).alias("off"))
+            .select(*_KEY, *_CARRY, "content", F.lower("content").alias("lc"), length.alias("n_chars"),
+                    F.explode(offsets).alias("off"))
             .select(*_KEY, *_CARRY, "n_chars", "off",
-                    F.lower(F.substring("content", F.col("off") + 1, span)).alias("win"),
+                    F.substring("lc", F.col("off") + 1, span).alias("win"),
                     F.greatest(F.col("off") - CONTEXT_BEFORE, F.lit(0)).alias("ctx_off"),
                     F.substring("content", F.greatest(F.col("off") - CONTEXT_BEFORE, F.lit(0)) + 1,
                                 span + CONTEXT_BEFORE + CONTEXT_AFTER).alias("ctx_src")))

@@ -26,7 +26,7 @@ PATH_TOKEN = "(?:/[^/" + JS_SPACE_CLASS + "]+)+"
 ITEM_COLUMNS = [
     "project_id", "role", "session_id", "message_id", "part_id", "timestamp", "match_type",
     "content", "k_updated_ms", "k_phase", "k_msg_ms", "k_part_ms", "k_slot", "k_ord",
-    "session_title", "project_directory",
+    "session_title", "project_directory", "n_words",
 ]
 
 _ITEM_TYPE = "array<struct<k_slot:int,k_ord:int,match_type:string,content:string>>"
@@ -81,9 +81,12 @@ def part_items(parts: DataFrame) -> DataFrame:
 def build_items(history: History) -> DataFrame:
     """All searchable items of a history (``ITEM_COLUMNS``).
 
-    ``role`` is the message role (null for titles, which every role sees).
+    ``role`` is the message role (null for titles, which every role sees);
+    ``n_words`` (runs of non-space characters) is the ranking's length term,
+    computed once here rather than by every search.
     """
-    return title_items(history.sessions).unionByName(part_items(history.parts)).select(*ITEM_COLUMNS)
+    items = title_items(history.sessions).unionByName(part_items(history.parts))
+    return with_word_count(items).select(*ITEM_COLUMNS)
 
 
 def with_word_count(items: DataFrame) -> DataFrame:

@@ -395,8 +395,11 @@ def items_cte(path_token: str) -> str:
   WHERE f IS NOT NULL)"""
 
 
+N_WORDS_SQL = "len(list_filter(string_split(coalesce(content, ''), ' '), lambda w: w <> '')) AS n_words"
+
+
 def items_sql(path_token: str, sources=("conv", "evt", "page")) -> str:
-    return f"{history_ctes(sources)},\n{items_cte(path_token)}\nSELECT * FROM items"
+    return f"{history_ctes(sources)},\n{items_cte(path_token)}\nSELECT *, {N_WORDS_SQL} FROM items"
 
 
 def fuzzy_sql(query: str, max_dist: int, limit: int, path_token: str, sources=("conv",),

@@ -8,9 +8,10 @@
   :func:`normalise_tables` directly, e.g. with ``spark.read.jdbc``);
 * ``json_tree`` — the one-object-per-file layout.
 
-``write_history`` range-partitions by (project, session, time) and sorts
-inside files, so Parquet min/max statistics prune a project scope, and a
-huge project — or a single huge session — still spreads over many files.
+``write_history`` sorts every file by (project, session, time), so Parquet
+row-group statistics prune a project scope; the text-heavy ``parts`` table
+is hash-partitioned so files carry even shares of long texts and of any
+huge session.
 """
 
 from __future__ import annotations
@@ -42,7 +43,17 @@ def load_history(spark: SparkSession, path: str, layout: str = "parquet",
 
 def write_history(history: History, path: str, partitions: int | None = None,
                   mode: str = "overwrite") -> None:
-    """Write the three relations as Parquet, clustered by project and session."""
+    """Write the three relations as Parquet, sorted by project and session.
+
+    ``sessions`` and ``messages`` (small, uniform rows) are range-partitioned
+    by their full key.  ``parts`` carries the texts, whose sizes vary by five
+    orders of magnitude, so it is hash-partitioned by (session, part): every
+    file gets an even share of long texts (a row-count range split would pack
+    them into a few files and make one task the straggler of every search),
+    and a hot session spreads over all files.  Inside each file rows are
+    sorted by (project, session, time), so Parquet row-group statistics still
+    prune a project scope.
+    """
     spark = history.sessions.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = {
@@ -52,17 +63,19 @@ def write_history(history: History, path: str, partitions: int | None = None,
     }
     for name, df in zip(TABLES, (history.sessions, history.messages, history.parts)):
         keys = order[name]
-        # The full key (with times) goes into the range bounds, so one session
-        # holding a large share of all rows is cut into several files.
-        (df.repartitionByRange(n, *[F.col(k) for k in keys])
-           .sortWithinPartitions(*keys)
-           .write.mode(mode).parquet(os.path.join(path, name)))
+        if name == "parts":
+            df = df.repartition(n, "session_id", "part_id")
+        else:
+            df = df.repartitionByRange(n, *[F.col(k) for k in keys])
+        df.sortWithinPartitions(*keys).write.mode(mode).parquet(os.path.join(path, name))
 
 
 def write_items(items, path: str, partitions: int | None = None, mode: str = "overwrite") -> None:
-    """Persist a fuzzy item table (see :func:`convsift.operators.items.build_items`)."""
+    """Persist a fuzzy item table (see :func:`convsift.operators.items.build_items`),
+    hash-partitioned like ``parts`` (even share of long texts per file) and
+    sorted by project and session inside files."""
     spark = items.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (items.repartitionByRange(n, "project_id", "session_id", "k_msg_ms")
+    (items.repartition(n, "session_id", "part_id", "k_slot", "k_ord")
           .sortWithinPartitions("project_id", "session_id", "k_msg_ms")
           .write.mode(mode).parquet(path))
