@@ -5,7 +5,6 @@ the check for ``fuzzy_documents``)."""
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from convsift.functions.editdist import allowed_errors, best_alignment

@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from convsift.functions.editdist import allowed_errors, best_alignment
 from convsift.model import History

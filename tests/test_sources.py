@@ -4,7 +4,6 @@ import tempfile
 import pytest
 
 from convsift.functions.patterns import build_matcher
-from convsift.model import History
 from convsift.operators.keyword import search_keyword
 from convsift.operators.trace import trace_file
 from convsift.plans.search import search, search_report
