@@ -34,3 +34,15 @@ def test_registered_query_runs(spark):
     assert df.columns == ["session_id", "session_title", "timestamp", "match_type", "excerpt", "context",
                           "message_id", "part_id", "project_directory"]
     assert len(rows) <= 20
+
+
+def test_long_texts_spread_over_files(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from convsift.sources.history import load_history, write_history
+    write_history(driver_history(spark, SF, ("conv", "doc")), str(tmp_path / "h"), partitions=4)
+    parts = load_history(spark, str(tmp_path / "h")).parts
+    per_file = (parts.where(F.col("part_id").startswith("prt_d"))
+                .groupBy(F.input_file_name().alias("f")).agg(F.sum(F.length("text")).alias("chars"))
+                .collect())
+    chars = sorted(r.chars for r in per_file)
+    assert len(chars) == 4 and chars[-1] < 0.5 * sum(chars)     # no file holds most of the text
