@@ -84,6 +84,14 @@ def _render(entries: list[str], header: str, empty: str) -> str:
     return header + "\n\n" + "\n\n".join(entries) + "\n"
 
 
+def write_report(entries: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Text sink (S8/S9): one report block per line group, written by the
+    executors (``match_entries`` / ``trace_entries`` output).  A finished
+    search is one ordered partition, so its report lands in one ordered file;
+    a batch result is written in parallel."""
+    entries.select(F.concat(F.col("entry"), F.lit("\n")).alias("value")).write.mode(mode).text(path)
+
+
 def format_matches(matches: DataFrame) -> str:
     """Full report text of a (limited) keyword or fuzzy result."""
     rows = match_entries(matches).select("entry").collect()

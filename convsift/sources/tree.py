@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..model import PART_TYPES, History
-from .tables import JSON_OPTIONS, PART_JSON, _check_policy, _valid, assemble, decode_part_payload, parse_once
+from .tables import (JSON_OPTIONS, PART_JSON, _check_policy, _observed, _valid, assemble,
+                     decode_part_payload, parse_once)
 
 SESSION_FILE_JSON = ("id string, projectID string, title string, directory string, "
                      "time struct<created bigint, updated bigint>, _corrupt_record string")
@@ -46,17 +47,26 @@ def _files(spark: SparkSession, pattern: str) -> DataFrame:
     return df.select(_folder(F.col("_metadata.file_path")).alias("folder"), F.col("value").alias("data"))
 
 
+def _observed_levels(df: DataFrame, observation, name: str) -> DataFrame:
+    ok = F.col("data").isNotNull() & F.col("j").isNotNull() & F.col("j._corrupt_record").isNull()
+    return _observed(df, ok, observation, name)
+
+
 def read_json_tree(spark: SparkSession, root: str, project_id: str | None = None,
-                   on_corrupt: str = "skip") -> History:
+                   on_corrupt: str = "skip", observations: dict | None = None) -> History:
     """History of a JSON-tree export; ``project_id`` narrows the session scan
-    to one project folder."""
+    to one project folder.  ``observations`` may map ``"sessions"``,
+    ``"messages"`` and ``"parts"`` to :class:`pyspark.sql.Observation` objects
+    that count the unreadable files skipped at that level (metric
+    ``corrupt_<level>``)."""
+    obs = observations or {}
     _check_policy(on_corrupt)
     root = root.rstrip("/")
     proj = project_id if project_id is not None else "*"
 
     sf = _files(spark, f"{root}/session/{proj}/*.json")
     sj = F.from_json(F.col("data"), SESSION_FILE_JSON, JSON_OPTIONS)
-    sessions = (parse_once(sf, sj, ["folder", "data"])
+    sessions = (_observed_levels(parse_once(sf, sj, ["folder", "data"]), obs.get("sessions"), "corrupt_sessions")
                 .where(_valid(F.col("j"), F.col("data"), on_corrupt) & F.col("j.id").isNotNull())
                 .select(F.col("j.id").alias("session_id"), F.col("folder").alias("project_id"),
                         F.col("j.title").alias("title"), F.col("j.directory").alias("directory"),
@@ -64,7 +74,7 @@ def read_json_tree(spark: SparkSession, root: str, project_id: str | None = None
 
     mf = _files(spark, f"{root}/message/*/*.json")
     mj = F.from_json(F.col("data"), MESSAGE_FILE_JSON, JSON_OPTIONS)
-    messages = (parse_once(mf, mj, ["folder", "data"])
+    messages = (_observed_levels(parse_once(mf, mj, ["folder", "data"]), obs.get("messages"), "corrupt_messages")
                 .where(_valid(F.col("j"), F.col("data"), on_corrupt) & F.col("j.id").isNotNull())
                 .select(F.col("j.id").alias("message_id"), F.col("folder").alias("session_id"),
                         F.col("j.role").alias("role"),
@@ -73,7 +83,7 @@ def read_json_tree(spark: SparkSession, root: str, project_id: str | None = None
 
     pf = _files(spark, f"{root}/part/*/*.json")
     pj = F.from_json(F.col("data"), PART_FILE_JSON, JSON_OPTIONS)
-    parts = (parse_once(pf, pj, ["folder", "data"])
+    parts = (_observed_levels(parse_once(pf, pj, ["folder", "data"]), obs.get("parts"), "corrupt_parts")
              .where(_valid(F.col("j"), F.col("data"), on_corrupt) & F.col("j.id").isNotNull())
              .where(F.col("j.type").isin(*PART_TYPES))
              .select(F.col("j.id").alias("part_id"), F.col("folder").alias("message_id"),

@@ -133,3 +133,20 @@ def test_stored_backslash_paths_opt_in(spark):
     h = normalise_tables(s, m, p)
     assert trace_file(h, "src/win.ts").count() == 0
     assert [r.file_path for r in trace_file(h, "src/win.ts", normalize_stored=True).collect()] == ["src/win.ts"]
+
+
+def test_tree_corrupt_files_counted(spark, tree_root):
+    from pyspark.sql import Observation
+    obs = {"sessions": Observation("s"), "parts": Observation("p")}
+    h = read_json_tree(spark, tree_root, observations=obs)
+    assert h.sessions.count() == 13 and h.parts.count() > 0
+    assert obs["sessions"].get["corrupt_sessions"] == 1      # "not-valid-json{"
+    assert obs["parts"].get["corrupt_parts"] == 1            # the malformed patch part
+
+
+def test_report_text_sink(spark, tmp_path):
+    from convsift.operators.report import trace_entries, write_report
+    out = str(tmp_path / "report")
+    write_report(trace_entries(trace_file(table_history(spark), "src/auth.ts", project_id="proj_main")), out)
+    text = "".join(open(os.path.join(out, f)).read() for f in sorted(os.listdir(out)) if f.startswith("part-"))
+    assert text.count("## ") == 3 and "- Status: First seen" in text
