@@ -15,9 +15,9 @@ scalar subquery (one row, no cross join); ordering + limit is a top-N; the
 prompt lookup runs on the ≤ N surviving rows only (session titles travel
 with the parts, so no join is needed for them).
 
-Plan (batch, :func:`trace_files`): a table of queries is matched with two
-equi-joins (full path, last path component), so the path rule becomes hash
-join keys; per-query arg-min is an aggregate joined back; per-query limits
+Plan (batch, :func:`trace_files`): a table of queries is matched with one
+equi-join on (key, exact) after each candidate is offered under its full
+path and its last component, so the path rule becomes hash join keys; per-query arg-min is an aggregate joined back; per-query limits
 use a two-stage top-N (salted, then per query) so one hot query never
 lands whole in one task.
 """
@@ -172,9 +172,15 @@ def trace_files(history: History, queries: DataFrame, query_col: str = "query",
           .withColumn("q", normalize_query_col(F.col("query")))
           .withColumn("exact", F.instr(F.col("q"), "/") > 0))
     cands = _batch_candidates(h.parts, normalize_stored)
-    exact = cands.join(qn.where("exact"), cands["file_path"] == qn["q"], "inner")
-    bare = cands.join(qn.where(~F.col("exact")), cands["last_component"] == qn["q"], "inner")
-    matched = exact.unionByName(bare).drop("q", "exact", "last_component")
+    # Each candidate is offered under two keys — its full path (for queries
+    # with a "/") and its last component (for bare names) — so the path rule
+    # is one equi-join on (key, exact) and ``parts`` is read once.
+    keyed = cands.select(*cands.columns, F.explode(F.array(
+        F.struct(F.col("file_path").alias("key"), F.lit(True).alias("kexact")),
+        F.struct(F.col("last_component").alias("key"), F.lit(False).alias("kexact")))).alias("_k"))
+    keyed = keyed.select(*cands.columns, F.col("_k.key").alias("key"), F.col("_k.kexact").alias("kexact"))
+    matched = (keyed.join(qn, (keyed["key"] == qn["q"]) & (keyed["kexact"] == qn["exact"]), "inner")
+               .drop("q", "exact", "key", "kexact", "last_component"))
     # A patch contributes only its first matching file (per query).
     per_part = (matched.groupBy("query", "session_id", "session_title", "message_id", "part_id", "timestamp",
                                 "part_created_ms", "source_priority", "tool_name")
