@@ -69,3 +69,12 @@ def test_cli_keyword_report(stored, capsys):
 
 def test_cli_needs_query_or_path(stored):
     assert main(["--history", stored]) == 2
+
+
+def test_cli_json_tree_fuzzy(capsys, tmp_path):
+    root = str(tmp_path / "tree")
+    fx.write_json_tree(root, fx.SEARCH_SESSIONS, fx.SEARCH_MESSAGES, fx.SEARCH_PARTS)
+    assert main(["--history", root, "--layout", "json_tree", "--query", "autentication",
+                 "--mode", "fuzzy", "--fuzzy-threshold", "0.4", "--limit", "3"]) == 0
+    out = capsys.readouterr().out
+    assert out.startswith("Found ") and "- Session ID: ses_002" in out
