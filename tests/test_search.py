@@ -78,3 +78,14 @@ def test_cli_json_tree_fuzzy(capsys, tmp_path):
                  "--mode", "fuzzy", "--fuzzy-threshold", "0.4", "--limit", "3"]) == 0
     out = capsys.readouterr().out
     assert out.startswith("Found ") and "- Session ID: ses_002" in out
+
+
+def test_limit_zero_semantics(spark):
+    h = fx.trace_history(spark)
+    assert search(h, file_path="src/auth.ts", limit=0).count() == 0
+    assert search(h, query="auth", mode="fuzzy", limit=0).count() == 0
+    assert search(h, query="auth", limit=0).count() == search(h, query="auth", limit=50).count() > 0
+    assert search_report(h, file_path="src/auth.ts", limit=0) == \
+        "No file trace matches found in conversation history."
+    with pytest.raises(ValueError):
+        search(h, query="auth", limit=-1)
