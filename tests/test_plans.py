@@ -37,7 +37,9 @@ def test_keyword_is_one_parts_scan_and_top_n(spark, pq):
     df = search_keyword(pq, build_matcher("storage", spark=spark), limit=10, project_id="mock-project-123")
     p = plan(df)
     assert "TakeOrderedAndProject" in p
-    assert p.count("parts") >= 1
+    head = p.split("\n\n")[0]
+    assert head.count("Scan parquet") == 2          # sessions (titles) + parts, each read once
+    assert "Exchange" not in head                   # no shuffle: top-N and a single-partition sort
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
     formatted = p
     assert "PushedFilters: [IsNotNull(project_id), EqualTo(project_id,mock-project-123)" in formatted
