@@ -32,6 +32,14 @@ from convsift.plans import oracle_sql as O
 from convsift.plans.search import search
 from convsift.sources.driver_tables import driver_history
 
+try:  # the training-data operators and their pipeline are optional
+    import corpus_pipeline
+    from convsift.llm import registry as llm_registry
+except ModuleNotFoundError as error:
+    if error.name not in ("corpus_pipeline", "convsift.llm"):
+        raise
+    corpus_pipeline = llm_registry = None
+
 ALL = ("conv", "evt", "page")
 SMOKE_DIR = "/root/testdata/sf0.001"
 
@@ -238,6 +246,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out["trace_batch_limited"] = q_trace_batch_limited
     out["report_matches"] = q_report_matches
     out["report_trace"] = q_report_trace
+    if llm_registry is not None:
+        out.update(llm_registry.queries())
+        out["pipeline"] = corpus_pipeline.run
     return out
 
 
@@ -282,6 +293,10 @@ def oracle_sql() -> dict[str, str]:
     out["trace_batch_limited"] = O.trace_batch_sql(BATCH_QUERIES_SQL, limit_per_query=5)
     out["report_matches"] = _kw_sql(query="tion", sources=("conv",), limit=20, report=True)
     out["report_trace"] = O.trace_sql("f3.ts", 20, ("evt",), None, report=True)
+    if llm_registry is not None:
+        out.update(llm_registry.oracle_sql())
+        if corpus_pipeline.ORACLE_SQL:
+            out["pipeline"] = corpus_pipeline.ORACLE_SQL
     return out
 
 
