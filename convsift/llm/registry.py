@@ -7,6 +7,7 @@ import importlib
 #: (query name, module); each module has ``query(spark, sf_dir)`` and ORACLE_SQL (or None).
 _OPERATORS = [
     ("op7_quality_rules", "quality_rules"),
+    ("op9_mixing", "mixing"),
 ]
 
 
