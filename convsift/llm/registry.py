@@ -8,6 +8,7 @@ import importlib
 _OPERATORS = [
     ("op2_warc", "warc"),
     ("op3_fingerprints", "fingerprints"),
+    ("op4_language_id", "language_id"),
     ("op6_packing", "packing"),
     ("op7_quality_rules", "quality_rules"),
     ("op9_mixing", "mixing"),
