@@ -113,21 +113,30 @@ def next_ids(docs: DataFrame) -> DataFrame:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text, n_chars) plus the next document's head and sketch."""
+    """``docs`` (doc_id, text, n_chars) plus the next document's head and sketch.
+
+    The texts are dealt by doc_id once, for both sides: to meet the id before
+    them, to whom only a head and a sketch go, and to receive the next one's.
+    """
     after = next_ids(docs)
     after = after.select(F.col("_id").alias("_before"), F.col("_next").alias("_id"), "_need")
-    empties = docs.where("doc_id IS NULL").agg(F.max(F.floor(F.col("n_chars") / 4)).alias("_need"))
-    first = docs.agg(F.min("doc_id").alias("_id"))
-    nulls = first.join(empties, F.lit(True)).where("_need IS NOT NULL AND _id IS NOT NULL")
-    after = after.unionByName(nulls.select(F.lit(None).cast("bigint").alias("_before"), "_id", "_need"))
-    right = docs.join(after, F.col("doc_id") == F.col("_id"))
-    right = with_sketch(right, "text", "_sketch").select(
-        F.col("_before"), F.substring(F.col("text"), F.lit(1), F.col("_need").cast("int")).alias("_head"), "_sketch")
-    counted = docs.agg(F.count("doc_id").alias("n"), F.countDistinct("doc_id").alias("d")).first()
+    docs = docs.join(after, F.col("doc_id") == F.col("_id"), "left")
+    right = with_sketch(docs.where("_before IS NOT NULL"), "text", "_sketch").select(
+        F.col("_before").alias("_to"), F.substring(F.col("text"), F.lit(1), F.col("_need").cast("int")).alias("_head"),
+        "_sketch")
+    counted = docs.select("doc_id").agg(F.count("doc_id").alias("n"), F.countDistinct("doc_id").alias("d"),
+                                        F.count(F.lit(1)).alias("all"), F.min("doc_id").alias("first")).first()
     if counted["n"] != counted["d"]:
-        right = right.groupBy("_before").agg(F.min(F.struct("_head", "_sketch")).alias("_m")).select(
-            "_before", "_m._head", "_m._sketch")
-    return docs.join(right, F.col("doc_id").eqNullSafe(F.col("_before")), "left").drop("_before")
+        right = right.groupBy("_to").agg(F.min(F.struct("_head", "_sketch")).alias("_m")).select(
+            "_to", "_m._head", "_m._sketch")
+    out = docs.join(right, F.col("doc_id") == F.col("_to"), "left").drop("_to", "_id", "_before", "_need")
+    if counted["n"] != counted["all"] and counted["n"]:
+        # One row: the first document, which follows the rows without an id.
+        first = docs.where(F.col("doc_id") == counted["first"]).agg(F.min("text").alias("_t"))
+        first = with_sketch(first, "_t", "_s")
+        out = out.join(F.broadcast(first), F.col("doc_id").isNull(), "left")
+        out = out.withColumns({"_head": F.coalesce("_head", "_t"), "_sketch": F.coalesce("_sketch", "_s")}).drop("_t", "_s")
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
