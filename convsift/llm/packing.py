@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from convsift.llm.common import documents, materialise, ship_package, text_bytes
+from convsift.llm.common import documents, groups_by_bytes, materialise, ship_package, text_bytes
 
 CAPACITY = 4096
 END_ID = 1
@@ -37,9 +37,9 @@ DEPTH = 4
 #: Share of all tokens, in the shortest lengths, that patterns leave to fill the open ends.
 RESERVE = 0.25
 #: Rows that one rank group of a length holds, about.
-GROUP_ROWS = 20_000
+GROUP_ROWS = 2_000
 #: Words whose ids a task keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 
 
 # ------------------------------------------------------------------ the plan
@@ -204,36 +204,84 @@ _UNLIKE_SPACE = re.compile("[\x1c-\x1f]")
 
 class Encoder:
     """Token ids of texts; ids of a blank-separated run never depend on its
-    neighbours (the tokenizer drops white space), so runs are encoded once."""
+    neighbours (the tokenizer drops white space), so runs are encoded once.
+
+    Runs not yet known are encoded in one text, a special token between them;
+    in the documents themselves such a token's string is ordinary text.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, tuple] = {}
+        self.plain, self.parted = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.encode_special_tokens = True
+        special = self.parted.get_added_tokens_decoder()
+        self.mark_id = min(special)
+        self.mark = special[self.mark_id].content
+        self.special = [t.content for t in special.values()]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, "<u4")
+
+    def _learn(self, new: list[str]) -> None:
+        starts, sizes, flats, at = [self.start], [self.size], [self.flat], len(self.flat)
+        odd = [r for r in new if "<" in r and any(t in r for t in self.special)]
+        if odd:
+            strange = set(odd)
+            new = [r for r in new if r not in strange]
+        for lo in range(0, len(new), 2_000):
+            part = new[lo:lo + 2_000]
+            ids = np.array(self.parted.encode(f" {self.mark} ".join(part), add_special_tokens=False).ids, "<u4")
+            marks = np.concatenate([[-1], np.flatnonzero(ids == self.mark_id), [len(ids)]])
+            if len(marks) != len(part) + 1:
+                raise ValueError("the special token does not part the runs")
+            starts.append(at + marks[:-1] + 1)
+            sizes.append(np.diff(marks) - 1)
+            flats.append(ids)
+            at += len(ids)
+        for r in odd:
+            ids = np.array(self.plain.encode(r, add_special_tokens=False).ids, "<u4")
+            starts.append(np.array([at]))
+            sizes.append(np.array([len(ids)]))
+            flats.append(ids)
+            at += len(ids)
+        for r in new + odd:
+            self.known[r] = len(self.known)
+        self.start, self.size, self.flat = (np.concatenate(x) for x in (starts, sizes, flats))
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        runs = [[t] if _UNLIKE_SPACE.search(t) else t.split() for t in texts]
         if len(self.known) > CACHE_WORDS:
-            self.known = {}
+            self._forget()
         known = self.known
-        new = list({r for rs in runs for r in rs if r not in known})
-        for lo in range(0, len(new), 20_000):
-            part = new[lo:lo + 20_000]
-            for r, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[r] = e.ids
-        out = []
-        for rs in runs:
-            flat = [i for r in rs for i in known[r]]
-            flat.append(END_ID)
-            out.append(np.array(flat, "<u4"))
-        for r in new:
-            if len(r) > 100:
-                del known[r]
+        runs = [[t] if _UNLIKE_SPACE.search(t) else t.split() for t in texts]
+        new = {r for rs in runs for r in rs if r not in known}
+        if new:
+            self._learn(sorted(new))
+        count = np.fromiter((len(rs) for rs in runs), np.int64, len(runs))
+        which = np.fromiter((known[r] for rs in runs for r in rs), np.int64, int(count.sum()))
+        size = self.size[which]
+        ends = np.cumsum(size)
+        ids = self.flat[np.repeat(self.start[which] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        cuts = np.concatenate([[0], ends])[np.cumsum(count)]
+        out = [np.append(part, np.array([END_ID], "<u4")) for part in np.split(ids, cuts[:-1])]
+        if any(len(r) > 100 for r in new):
+            self._forget()  # long runs are not worth their room
         return out
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The worker's encoder; what it knows serves the worker's later tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of every piece of every document."""
     import pyarrow as pa
@@ -241,21 +289,17 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY)
     ship_package(docs.sparkSession)
 
     def cut(batches):
-        encoder = Encoder(tokenizer_path)
+        encode = encoder(tokenizer_path).ids
         for b in batches:
             ids = b.column("doc_id").to_pylist()
-            texts = [t.decode("utf-8", "replace") for t in text_bytes(b.column("text"))]
-            rows, lo = [], 0
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size + len(texts[hi]) < 2_000_000):
-                    size += len(texts[hi])
-                    hi += 1
-                for doc, tokens in zip(ids[lo:hi], encoder.ids(texts[lo:hi])):
+            texts = text_bytes(b.column("text"))
+            rows = []
+            for lo, hi in groups_by_bytes(texts):
+                some = [t.decode("utf-8", "replace") for t in texts[lo:hi]]
+                for doc, tokens in zip(ids[lo:hi], encode(some)):
                     for k, at in enumerate(range(0, len(tokens), capacity)):
                         piece = tokens[at:at + capacity]
                         rows.append((doc, k, at, len(piece), zlib.crc32(piece.tobytes())))
-                lo = hi
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             columns = list(zip(*rows)) or [()] * 5
