@@ -11,6 +11,7 @@ _OPERATORS = [
     ("op4_language_id", "language_id"),
     ("op6_packing", "packing"),
     ("op7_quality_rules", "quality_rules"),
+    ("op8_toxicity", "toxicity"),
     ("op9_mixing", "mixing"),
 ]
 
