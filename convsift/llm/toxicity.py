@@ -127,8 +127,8 @@ class Kernel:
             return out
         # No value exceeds the sum of the words' weights times the largest landmark weights.
         maybe = np.flatnonzero(self.bits[self._slot(key)])
-        at = np.searchsorted(self.keys, key[maybe])
-        most = np.where(self.keys[np.minimum(at, len(self.keys) - 1)] == key[maybe], self.most[at], 0)
+        at = np.minimum(np.searchsorted(self.keys, key[maybe]), len(self.keys) - 1)
+        most = np.where(self.keys[at] == key[maybe], self.most[at], 0)
         bound = np.bincount(owner[maybe], weight[maybe] * most, len(words))
         worth = bound >= FLOOR * np.sqrt(np.bincount(owner, weight * weight, len(words)))
         use = np.flatnonzero(worth[owner] & (bound > 0)[owner])
