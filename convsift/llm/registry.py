@@ -13,6 +13,7 @@ _OPERATORS = [
     ("op7_quality_rules", "quality_rules"),
     ("op8_toxicity", "toxicity"),
     ("op9_mixing", "mixing"),
+    ("op10_line_dedup", "line_dedup"),
 ]
 
 
