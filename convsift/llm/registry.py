@@ -9,6 +9,7 @@ _OPERATORS = [
     ("op2_warc", "warc"),
     ("op3_fingerprints", "fingerprints"),
     ("op4_language_id", "language_id"),
+    ("op5_personal_data", "pii"),
     ("op6_packing", "packing"),
     ("op7_quality_rules", "quality_rules"),
     ("op8_toxicity", "toxicity"),
