@@ -6,6 +6,7 @@ import importlib
 
 #: (query name, module); each module has ``query(spark, sf_dir)`` and ORACLE_SQL (or None).
 _OPERATORS = [
+    ("op1_near_duplicates", "minhash"),
     ("op2_warc", "warc"),
     ("op3_fingerprints", "fingerprints"),
     ("op4_language_id", "language_id"),
