@@ -31,7 +31,7 @@ MAX_REPEAT = 3
 #: More membership patterns than this are refused (they are solved on the driver).
 MAX_PATTERNS = 20_000
 #: Rows that one ordered bucket of a pattern holds, about.
-BUCKET_ROWS = 2_000
+BUCKET_ROWS = 800
 
 
 def fill_targets(sizes: list[int], weights: list[float], max_repeat: int = MAX_REPEAT) -> list[float]:

@@ -16,8 +16,10 @@ result; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import bisect
+import json
 import re
 import zlib
+from array import array
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from convsift.llm.common import documents, groups_by_bytes, materialise, ship_package, text_bytes
+from convsift.llm.common import Words, documents, groups_by_bytes, materialise, ship_package, text_bytes
 
 CAPACITY = 4096
 END_ID = 1
@@ -37,9 +39,9 @@ DEPTH = 4
 #: Share of all tokens, in the shortest lengths, that patterns leave to fill the open ends.
 RESERVE = 0.25
 #: Rows that one rank group of a length holds, about.
-GROUP_ROWS = 2_000
+GROUP_ROWS = 800
 #: Words whose ids a task keeps.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 1_000_000
 
 
 # ------------------------------------------------------------------ the plan
@@ -198,78 +200,89 @@ def _one_by_one(pattern, bins, left):
 
 # ------------------------------------------------------------------ tokens
 
-#: Controls at which Python's split() cuts and the tokenizer does not.
-_UNLIKE_SPACE = re.compile("[\x1c-\x1f]")
+#: Characters that NFC leaves alone and that lower-case one by one.
+_PLAIN = re.compile("[\x21-\x7e\xa1-\u012f\u0132-\u0148\u014a-\u017e]+")
+
+
+def _visible_bytes() -> dict[int, int]:
+    """Byte-level vocabularies show bytes that do not print as code points from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+_VISIBLE = _visible_bytes()
 
 
 class Encoder:
     """Token ids of texts; ids of a blank-separated run never depend on its
-    neighbours (the tokenizer drops white space), so runs are encoded once.
+    neighbours (the tokenizer drops white space), so runs, known by their 64-bit
+    hashes, are encoded once.
 
-    Runs not yet known are encoded in one text, a special token between them;
-    in the documents themselves such a token's string is ordinary text.
+    Runs of plain Latin characters are lower-cased and cut here, in the
+    tokenizer's own way, and only their pieces go through its merges; all other
+    runs go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
-        self.plain, self.parted = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
-        special = self.parted.get_added_tokens_decoder()
-        self.mark_id = min(special)
-        self.mark = special[self.mark_id].content
-        self.special = [t.content for t in special.values()]
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        steps = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        cutters = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        self.cut = None
+        if steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in cutters] == ["Split", "ByteLevel"]:
+            self.cut = regex.compile(cutters[0]["pattern"]["Regex"]).findall
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[int, int] = {}
+        self.pieces: dict[str, bytes] = {}
         self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, "<u4")
 
-    def _learn(self, new: list[str]) -> None:
-        starts, sizes, flats, at = [self.start], [self.size], [self.flat], len(self.flat)
-        odd = [r for r in new if "<" in r and any(t in r for t in self.special)]
-        if odd:
-            strange = set(odd)
-            new = [r for r in new if r not in strange]
-        for lo in range(0, len(new), 2_000):
-            part = new[lo:lo + 2_000]
-            ids = np.array(self.parted.encode(f" {self.mark} ".join(part), add_special_tokens=False).ids, "<u4")
-            marks = np.concatenate([[-1], np.flatnonzero(ids == self.mark_id), [len(ids)]])
-            if len(marks) != len(part) + 1:
-                raise ValueError("the special token does not part the runs")
-            starts.append(at + marks[:-1] + 1)
-            sizes.append(np.diff(marks) - 1)
-            flats.append(ids)
-            at += len(ids)
-        for r in odd:
-            ids = np.array(self.plain.encode(r, add_special_tokens=False).ids, "<u4")
-            starts.append(np.array([at]))
-            sizes.append(np.array([len(ids)]))
-            flats.append(ids)
-            at += len(ids)
-        for r in new + odd:
-            self.known[r] = len(self.known)
-        self.start, self.size, self.flat = (np.concatenate(x) for x in (starts, sizes, flats))
-
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > CACHE_WORDS:
+    def _run(self, run: str) -> bytes:
+        if self.cut is None or not _PLAIN.fullmatch(run):
+            return np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
+        out = []
+        for piece in self.cut(run.lower()):
+            ids = self.pieces.get(piece)
+            if ids is None:
+                merged = self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(_VISIBLE))
+                ids = self.pieces[piece] = array("I", [t.id for t in merged]).tobytes()
+            out.append(ids)
+        return b"".join(out)
+
+    def _learn(self, runs: list[bytes], hashes: list[int]) -> None:
+        ids = [self._run(r.decode("utf-8", "replace")) for r in runs]
+        size = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), "<u4")])
+        self.known.update(zip(hashes, range(len(self.known), len(self.known) + len(hashes))))
+
+    def ids(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of every text, with END_ID at its end."""
+        if len(self.known) > CACHE_WORDS or len(self.flat) > 10 * CACHE_WORDS:
             self._forget()
-        known = self.known
-        runs = [[t] if _UNLIKE_SPACE.search(t) else t.split() for t in texts]
-        new = {r for rs in runs for r in rs if r not in known}
-        if new:
-            self._learn(sorted(new))
-        count = np.fromiter((len(rs) for rs in runs), np.int64, len(runs))
-        which = np.fromiter((known[r] for rs in runs for r in rs), np.int64, int(count.sum()))
+        w = Words(texts, lower=False)
+        hashes, first, back = np.unique(w.hashes(), return_index=True, return_inverse=True)
+        place = np.fromiter((self.known.get(h, -1) for h in hashes.tolist()), np.int64, len(hashes))
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            raw = w.bytes.tobytes()
+            place[new] = np.arange(len(self.known), len(self.known) + len(new))
+            self._learn([raw[w.start[i]:w.end[i]] for i in first[new]], hashes[new].tolist())
+        which = place[back]
         size = self.size[which]
         ends = np.cumsum(size)
         ids = self.flat[np.repeat(self.start[which] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-        cuts = np.concatenate([[0], ends])[np.cumsum(count)]
-        out = [np.append(part, np.array([END_ID], "<u4")) for part in np.split(ids, cuts[:-1])]
-        if any(len(r) > 100 for r in new):
-            self._forget()  # long runs are not worth their room
-        return out
+        cuts = np.concatenate([[0], ends])[w.first]
+        return [np.append(ids[a:b], np.array([END_ID], "<u4")) for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -295,8 +308,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY)
             texts = text_bytes(b.column("text"))
             rows = []
             for lo, hi in groups_by_bytes(texts):
-                some = [t.decode("utf-8", "replace") for t in texts[lo:hi]]
-                for doc, tokens in zip(ids[lo:hi], encode(some)):
+                for doc, tokens in zip(ids[lo:hi], encode(texts[lo:hi])):
                     for k, at in enumerate(range(0, len(tokens), capacity)):
                         piece = tokens[at:at + capacity]
                         rows.append((doc, k, at, len(piece), zlib.crc32(piece.tobytes())))
