@@ -1,8 +1,72 @@
-"""Corpus pipeline: the stages that turn documents into packed sequences."""
+"""Corpus pipeline: language ID, line dedup, near-dedup, mixing, packing.
 
-STAGES: list = []
+Every stage takes (spark, docs, sf_dir), works on all rows that its predecessor
+kept, and returns a DataFrame; all but the last return the columns of documents.
+``run`` writes every stage as Parquet in the shared scratch folder and rereads it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from convsift.llm import language_id, line_dedup, minhash, mixing, packing
+from convsift.llm.common import documents, materialise, n_words
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; the operator's rejects go.
+
+    Learns from the documents' own labels.
+    """
+    model = language_id.fit(docs)
+    return language_id.identify(docs.select(*COLUMNS), model).where("NOT rejected").select(*COLUMNS)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the chunks of lines that an earlier document has; those left without words go."""
+    out = line_dedup.dedup_lines(docs.select(*COLUMNS))
+    out = out.where((F.col("removed_chunks") == 0) | (n_words(F.col("text")) > 0))
+    changed = F.col("removed_chunks") > 0
+    return out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of every group of near-duplicates."""
+    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id"))).select(*COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    out = mixing.mix_sources(docs.select(*COLUMNS), n_words(F.col("text")), F.array("source"))
+    copies = F.array_repeat(F.lit(0), F.col("copies"))
+    return out.withColumn("_copy", F.explode(copies)).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their places in sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("language_id", identify_languages),
+    ("line_dedup", drop_repeated_lines),
+    ("near_dedup", drop_near_duplicates),
+    ("mixing", mix),
+    ("packing", pack),
+]
+
+# The language model, the shifted cuts and the tokenizer have no SQL form.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = materialise(docs, f"stage-{name}")
+    return docs
