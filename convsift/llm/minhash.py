@@ -40,7 +40,8 @@ GROUP_MEMBERS = 1_000
 GROUP_SHINGLES = 2_000_000
 #: Members of a block, where blocks are verified against each other.
 BLOCK = 500
-_NO_ID = (1 << 63) - 1
+#: Rows without an id get one above this, from their text.
+_NO_ID = (1 << 63) - 1 - (1 << 40)
 _PI_A = np.uint64(0xA0761D6478BD642F)
 _PI_B = np.uint64(0xE7037ED1A0B428DB)
 _STEP = 1 << 15
@@ -258,7 +259,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     ship_package(docs.sparkSession)
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("_id"), "text")
+    own = F.lit(_NO_ID) + F.pmod(F.xxhash64("text"), F.lit(1 << 40))
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), own).alias("_id"), "text")
     rows = materialise(_sketch(docs), "sketches")
     classes = materialise(rows.where("n > 0").groupBy("key").agg(
         F.min("_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"),
@@ -311,7 +313,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = F.coalesce("least", "_id")
 
     def given(c):
-        return F.when(c != _NO_ID, c)
+        return F.when(c < _NO_ID, c)
 
     return out.select(given(F.col("_id")).alias("doc_id"), F.col("n").alias("n_shingles"),
                       given(least).alias("component_id"), (F.col("_id") == least).alias("kept"))
