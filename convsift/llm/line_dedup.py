@@ -127,20 +127,27 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     first = materialise(first, "repeated-chunks")
     again = skew_lookup(found, first, "chash", ["_first"], "n").where("_first IS NOT NULL")
     mine = F.struct("_id", "_row", "pos") == F.col("_first")
-    per_doc = again.select("_id", "_row", F.struct("pos", "chash", mine.alias("stays")).alias("c")).groupBy(
-        "_id", "_row").agg(F.array_sort(F.collect_set("c")).alias("_again"))
-    per_doc = materialise(per_doc, "repeated-by-document").withColumnsRenamed({"_id": "_pi", "_row": "_pr"})
+    again = materialise(again.select("_id", "_row", "pos", "chash", mine.alias("stays")), "repeats")
 
-    # The bytes of repeated chunks, from the texts dealt by row once for this and for the result.
-    joined = docs.join(per_doc, (F.col("_id") == F.col("_pi")) & (F.col("_row") == F.col("_pr")), "left")
-    some = joined.where("_again IS NOT NULL").withColumn("_b", _bodies("text", F.col("_again.pos")))
+    # Bytes are compared by their least and greatest under a hash, which pre-aggregate.
+    per_doc = again.groupBy(F.col("_id").alias("_pi"), F.col("_row").alias("_pr")).agg(
+        F.array_sort(F.collect_set(F.struct("pos", "chash"))).alias("_again"))
+    some = docs.select("_id", "_row", "text").join(per_doc, (F.col("_id") == F.col("_pi")) & (F.col("_row") == F.col("_pr")))
+    some = some.select("_id", "_row", "_again", _bodies("text", F.col("_again.pos")).alias("_b"))
     some = some.select("_id", "_row", F.explode(F.arrays_zip("_again", "_b")).alias("z"))
-    some = some.select("_id", "_row", "z._again.pos", "z._again.chash", "z._again.stays", "z._b.body")
-    kept = some.where("stays").groupBy("chash").agg(F.max("body").alias("_kept"))
-    kept = kept.join(first.select(F.col("chash").alias("_c"), "n"), F.col("chash") == F.col("_c")).drop("_c")
-    same = skew_lookup(some.where("NOT stays"), kept, "chash", ["_kept"], "n").where("body = _kept")
-    gone = same.groupBy(F.col("_id").alias("_gi"), F.col("_row").alias("_gr")).agg(F.collect_set("pos").alias("_gone"))
-    out = joined.join(gone, (F.col("_id") == F.col("_gi")) & (F.col("_row") == F.col("_gr")), "left")
+    some = some.select("_id", "_row", "z._again.pos", "z._again.chash", "z._b.body")
+    apart = some.groupBy("chash").agg(F.min("body").alias("lo"), F.max("body").alias("hi")).where("lo <> hi")
+    apart = materialise(apart.select(F.col("chash").alias("_a")), "unlike-chunks")
+    gone = again.where("NOT stays")
+    if apart.head(1):
+        # Different bytes under one hash: the first occurrence of the same bytes stays.
+        alike = some.join(apart, F.col("chash") == F.col("_a")).withColumn("at", F.struct("_id", "_row", "pos"))
+        least = alike.groupBy(F.col("chash").alias("_lc"), F.col("body").alias("_lb")).agg(F.min("at").alias("_first"))
+        alike = alike.join(least, (F.col("chash") == F.col("_lc")) & (F.col("body") == F.col("_lb")))
+        gone = gone.join(apart, F.col("chash") == F.col("_a"), "left_anti").select("_id", "_row", "pos").unionByName(
+            alike.where("at <> _first").select("_id", "_row", "pos"))
+    gone = gone.groupBy(F.col("_id").alias("_gi"), F.col("_row").alias("_gr")).agg(F.collect_set("pos").alias("_gone"))
+    out = docs.join(gone, (F.col("_id") == F.col("_gi")) & (F.col("_row") == F.col("_gr")), "left")
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(_without("text", "_gone"))
     return out.select(*(c for c in own if c != "text"), text.alias("text"),
                       F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("removed_chunks")).select(
