@@ -31,15 +31,15 @@ from convsift.llm.common import Words, documents, groups_by_bytes, materialise,
 
 DECAY = 0.7
 SPAN = 5
-LANDMARKS = 96
-CONTRASTS = 32
-SAMPLE = 4000
-SENTENCES = 24
+LANDMARKS = 64
+CONTRASTS = 24
+SAMPLE = 2500
+SENTENCES = 8
 #: Landmarks are words whose likelihood ratio for label 1 is at least this.
 MIN_LEAN = 14.0
 CANDIDATES = 3000
 #: Likeness under which a word says nothing.
-FLOOR = 0.2
+FLOOR = 0.35
 THRESHOLD = 0.3
 #: Hashes of words without likeness that a worker remembers.
 MEMORY = 3_000_000
