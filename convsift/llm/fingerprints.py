@@ -84,8 +84,8 @@ def to_text(a: Column) -> Column:
 
 def from_text(s: Column) -> Column:
     """The sketch that ``to_text`` wrote."""
-    at = F.sequence(F.lit(0), F.length(s) / 16 - 1)
-    part = F.transform(at, lambda i: s.substr((i * 16 + 1).cast("int"), F.lit(16)))
+    at = F.sequence(F.lit(0), (F.length(s) / 16).cast("int") - 1)
+    part = F.transform(at, lambda i: s.substr(i * 16 + 1, F.lit(16)))
     high = F.transform(part, lambda p: F.shiftleft(F.conv(p.substr(1, 8), 16, 10).cast("long"), 32)
                        + F.conv(p.substr(9, 8), 16, 10).cast("long"))
     return F.when(F.length(s) > 0, high).otherwise(F.array().cast("array<bigint>"))
