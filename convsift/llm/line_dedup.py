@@ -3,9 +3,12 @@
 A rolling hash over the last ``WINDOW`` line hashes decides after which lines a
 text is cut, so the cuts of a passage stay where they are when lines before it
 come or go; a line of ``LONG_LINE`` words or more is always a chunk of its own.
-Chunks of several lines, or of one long line, with ``MIN_WORDS`` words or more
-are compared over the whole corpus: the occurrence with the smallest doc_id (then
-the first in its text) stays, the others go after a comparison of the bytes.
+A text is cut ``LEVELS`` times with different hashes, so that the ends of a
+passage, too, are cut cleanly in one of them.  Chunks of two lines or more, or of
+one long line, are compared over the whole corpus: the occurrence with the
+smallest doc_id (then the first in its text) stays, the lines of the others go;
+equal hashes are confirmed on the chunks' bytes.  A line only goes when an earlier
+place has it, so the first place of every line stays.
 
 Defined results: null and empty texts stay as they are; equal rows (same doc_id
 and text) keep the same text; a null doc_id counts as larger than all others; a
@@ -19,97 +22,103 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
+from xxhash import xxh3_64_intdigest
 
 from convsift.llm.common import documents, groups_by_bytes, materialise, ship_package, skew_lookup, text_bytes
 
 WINDOW = 2
-#: A cut comes after about one line in CUT.
+LEVELS = 4
+#: From two lines on, a cut comes after about one line in CUT.
 CUT = 2
 LONG_LINE = 30
-MIN_WORDS = 20
+MIN_WORDS = 12
 MAX_LINES = 64
 _M64 = (1 << 64) - 1
 _P = 0x9FB21C651E98DF25
 
 
-def chunk_ends(lines: list[bytes]) -> list[int]:
+def chunk_ends(lines: list[bytes], level: int = 0) -> list[int]:
     """Ascending ends (exclusive) of the chunks of ``lines``."""
-    from xxhash import xxh3_64_intdigest
+    return _ends([xxh3_64_intdigest(x) for x in lines], [len(x.split()) for x in lines], level)
 
+
+def _ends(hashes: list[int], words: list[int], level: int) -> list[int]:
     ends: list[int] = []
-    last: list[int] = []
-    start = 0
-    for i, line in enumerate(lines):
-        words = len(line.split())
-        if words >= LONG_LINE and i > start:
-            ends.append(i)
-            start = i
-        last = [*last[1 - WINDOW:], xxh3_64_intdigest(line)]
-        rolling = 0
-        for h in last:
-            rolling = (rolling * _P + h) & _M64
-        rolling ^= rolling >> 32
-        if words >= LONG_LINE or (words and (rolling * _P & _M64) >> 32 < (1 << 32) // CUT) or i + 1 - start >= MAX_LINES:
+    start, before = 0, 0
+    salt = (2 * level + 1) * _P & _M64
+    for i, (h, n) in enumerate(zip(hashes, words)):
+        if n >= LONG_LINE:
+            if i > start:
+                ends.append(i)
             ends.append(i + 1)
             start = i + 1
-    if start < len(lines):
-        ends.append(len(lines))
+        else:
+            # The window is this line and the one before it.
+            rolling = ((before * _P + h) & _M64) * salt & _M64
+            if i - start >= MAX_LINES - 1 or (i > start and n and (rolling ^ rolling >> 29) * _P >> 32 & 0xFFFFFFFF < (1 << 32) // CUT):
+                ends.append(i + 1)
+                start = i + 1
+        before = h
+    if start < len(words):
+        ends.append(len(words))
     return ends
 
 
-def chunks(text: bytes) -> list[tuple[int, bytes, bool]]:
-    """(number, bytes, compared) of every chunk; joined by line feeds they are the text."""
+def chunks(text: bytes) -> list[tuple[int, int, bytes]]:
+    """(first line, line after the last, bytes) of every chunk that is compared, of all levels."""
     lines = text.split(b"\n")
-    out, start = [], 0
-    for k, end in enumerate(chunk_ends(lines)):
-        part = lines[start:end]
-        body = b"\n".join(part)
-        words = len(body.split())
-        several = sum(1 for x in part if x.strip()) > 1
-        out.append((k, body, words >= MIN_WORDS and (several or words >= LONG_LINE)))
-        start = end
-    return out
+    hashes, words = [xxh3_64_intdigest(x) for x in lines], [len(x.split()) for x in lines]
+    out = {}
+    for level in range(LEVELS):
+        start = 0
+        for end in _ends(hashes, words, level):
+            if (start, end) not in out:
+                part = words[start:end]
+                several = sum(1 for n in part if n) > 1 and sum(part) >= MIN_WORDS
+                if several or max(part) >= LONG_LINE:
+                    out[start, end] = b"\n".join(lines[start:end])
+            start = end
+    return [(a, b, body) for (a, b), body in out.items()]
 
 
 def _compared(rows: DataFrame) -> DataFrame:
-    """_id, _row (hash of the text), pos and chash of every chunk that is compared."""
+    """_lid, _lrow (hash of the text), pos, stop and chash of every chunk that is compared."""
     import pyarrow as pa
-    from xxhash import xxh3_64_intdigest
 
     def cut(batches):
         for b in batches:
-            ids, keys = b.column("_id").to_pylist(), b.column("_row").to_pylist()
+            ids, keys = b.column("_lid").to_pylist(), b.column("_lrow").to_pylist()
             texts = text_bytes(b.column("text"))
             for lo, hi in groups_by_bytes(texts):
-                out = [(i, r, k, xxh3_64_intdigest(body) - (1 << 63))
-                       for i, r, t in zip(ids[lo:hi], keys[lo:hi], texts[lo:hi])
-                       for k, body, use in chunks(t) if use]
-                columns = list(zip(*out)) or [()] * 4
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64())
+                out = [(i, r, first, stop, xxh3_64_intdigest(body) - (1 << 63))
+                       for i, r, t in zip(ids[lo:hi], keys[lo:hi], texts[lo:hi]) for first, stop, body in chunks(t)]
+                columns = list(zip(*out)) or [()] * 5
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)],
-                                                 names=["_id", "_row", "pos", "chash"])
+                                                 names=["_lid", "_lrow", "pos", "stop", "chash"])
 
-    return rows.select("_id", "_row", "text").mapInArrow(cut, "_id bigint, _row bigint, pos int, chash bigint")
+    return rows.select("_lid", "_lrow", "text").mapInArrow(
+        cut, "_lid bigint, _lrow bigint, pos int, stop int, chash bigint")
 
 
-@F.pandas_udf(ArrayType(StructType().add("pos", "integer").add("body", "binary")))
+@F.pandas_udf(ArrayType(StructType().add("pos", "integer").add("stop", "integer").add("body", "binary")))
 def _bodies(text: pd.Series, wanted: pd.Series) -> pd.Series:
-    """Bytes of the wanted chunks of a text."""
+    """Bytes of the wanted spans of lines of a text."""
     out = []
-    for t, ks in zip(text, wanted):
-        want = set() if ks is None else set(ks)
-        out.append([{"pos": k, "body": body} for k, body, _ in chunks((t or "").encode()) if k in want] if want else [])
+    for t, spans in zip(text, wanted):
+        lines = (t or "").encode().split(b"\n")
+        out.append([{"pos": s["pos"], "stop": s["stop"], "body": b"\n".join(lines[s["pos"]:s["stop"]])} for s in spans])
     return pd.Series(out)
 
 
 @F.pandas_udf(StringType())
 def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
-    """A text without the chunks with the given numbers."""
+    """A text without the given spans of lines."""
     out = []
-    for t, ks in zip(text, gone):
-        if t is not None and ks is not None and len(ks):
-            drop = set(ks)
-            t = b"\n".join(body for k, body, _ in chunks(t.encode()) if k not in drop).decode()
+    for t, spans in zip(text, gone):
+        if t is not None and spans is not None and len(spans):
+            drop = {k for s in spans for k in range(s["pos"], s["stop"])}
+            t = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in drop)
         out.append(t)
     return pd.Series(out, dtype=object)
 
@@ -119,35 +128,35 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     ship_package(docs.sparkSession)
     own = [c for c in docs.columns if c != "removed_chunks"]
     # Rows are told apart by id and text; a null id sorts last.
-    docs = docs.select(*own, F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1)).alias("_id"),
-                       F.xxhash64("text").alias("_row"))
+    docs = docs.select(*own, F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1)).alias("_lid"),
+                       F.xxhash64("text").alias("_lrow"))
     found = materialise(_compared(docs), "chunks")
-    first = found.groupBy("chash").agg(F.min(F.struct("_id", "_row", "pos")).alias("_first"),
+    first = found.groupBy("chash").agg(F.min(F.struct("_lid", "_lrow", "pos")).alias("_first"),
                                        F.count(F.lit(1)).alias("n")).where("n > 1")
     first = materialise(first, "repeated-chunks")
     again = skew_lookup(found, first, "chash", ["_first"], "n").where("_first IS NOT NULL")
-    mine = F.struct("_id", "_row", "pos") == F.col("_first")
-    again = materialise(again.select("_id", "_row", "pos", "chash", mine.alias("stays")), "repeats")
+    mine = F.struct("_lid", "_lrow", "pos") == F.col("_first")
+    again = materialise(again.select("_lid", "_lrow", "pos", "stop", "chash", mine.alias("stays")), "repeats")
 
     # Bytes are compared by their least and greatest under a hash, which pre-aggregate.
-    per_doc = again.groupBy(F.col("_id").alias("_pi"), F.col("_row").alias("_pr")).agg(
-        F.array_sort(F.collect_set(F.struct("pos", "chash"))).alias("_again"))
-    some = docs.select("_id", "_row", "text").join(per_doc, (F.col("_id") == F.col("_pi")) & (F.col("_row") == F.col("_pr")))
-    some = some.select("_id", "_row", "_again", _bodies("text", F.col("_again.pos")).alias("_b"))
-    some = some.select("_id", "_row", F.explode(F.arrays_zip("_again", "_b")).alias("z"))
-    some = some.select("_id", "_row", "z._again.pos", "z._again.chash", "z._b.body")
+    per_doc = again.groupBy(F.col("_lid").alias("_pi"), F.col("_lrow").alias("_pr")).agg(
+        F.array_sort(F.collect_set(F.struct("pos", "stop", "chash"))).alias("_again"))
+    some = docs.select("_lid", "_lrow", "text").join(per_doc, (F.col("_lid") == F.col("_pi")) & (F.col("_lrow") == F.col("_pr")))
+    some = some.select("_lid", "_lrow", "_again", _bodies("text", F.col("_again")).alias("_b"))
+    some = some.select("_lid", "_lrow", F.explode(F.arrays_zip("_again", "_b")).alias("z"))
+    some = some.select("_lid", "_lrow", "z._again.pos", "z._again.stop", "z._again.chash", "z._b.body")
     apart = some.groupBy("chash").agg(F.min("body").alias("lo"), F.max("body").alias("hi")).where("lo <> hi")
     apart = materialise(apart.select(F.col("chash").alias("_a")), "unlike-chunks")
     gone = again.where("NOT stays")
     if apart.head(1):
         # Different bytes under one hash: the first occurrence of the same bytes stays.
-        alike = some.join(apart, F.col("chash") == F.col("_a")).withColumn("at", F.struct("_id", "_row", "pos"))
+        alike = some.join(apart, F.col("chash") == F.col("_a")).withColumn("at", F.struct("_lid", "_lrow", "pos"))
         least = alike.groupBy(F.col("chash").alias("_lc"), F.col("body").alias("_lb")).agg(F.min("at").alias("_first"))
         alike = alike.join(least, (F.col("chash") == F.col("_lc")) & (F.col("body") == F.col("_lb")))
-        gone = gone.join(apart, F.col("chash") == F.col("_a"), "left_anti").select("_id", "_row", "pos").unionByName(
-            alike.where("at <> _first").select("_id", "_row", "pos"))
-    gone = gone.groupBy(F.col("_id").alias("_gi"), F.col("_row").alias("_gr")).agg(F.collect_set("pos").alias("_gone"))
-    out = docs.join(gone, (F.col("_id") == F.col("_gi")) & (F.col("_row") == F.col("_gr")), "left")
+        gone = gone.join(apart, F.col("chash") == F.col("_a"), "left_anti").select("_lid", "_lrow", "pos", "stop").unionByName(
+            alike.where("at <> _first").select("_lid", "_lrow", "pos", "stop"))
+    gone = gone.groupBy(F.col("_lid").alias("_gi"), F.col("_lrow").alias("_gr")).agg(F.collect_set(F.struct("pos", "stop")).alias("_gone"))
+    out = docs.join(gone, (F.col("_lid") == F.col("_gi")) & (F.col("_lrow") == F.col("_gr")), "left")
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(_without("text", "_gone"))
     return out.select(*(c for c in own if c != "text"), text.alias("text"),
                       F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("removed_chunks")).select(
