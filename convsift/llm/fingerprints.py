@@ -101,7 +101,7 @@ def next_ids(docs: DataFrame) -> DataFrame:
     """
     ids = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(
         F.max(F.floor(F.col("n_chars") / 4)).alias("_need"))
-    n = docs.count()
+    n = ids.count()
     parts = max(1, min(MAX_PARTS, -(-n // PART_IDS)))
     ids = materialise(ids.repartitionByRange(parts, "_id").withColumn("_p", F.spark_partition_id()), "ids")
     inner = ids.withColumn("_n", F.lead("_id").over(Window.partitionBy("_p").orderBy("_id")))
@@ -113,36 +113,36 @@ def next_ids(docs: DataFrame) -> DataFrame:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text, n_chars) plus the next document's head and sketch.
+    """``docs`` (doc_id, text) plus n_chars and the next document's head and sketch.
 
     The texts are dealt by doc_id once, for both sides: to meet the id before
     them, to whom only a head and a sketch go, and to receive the next one's.
     """
-    after = next_ids(docs)
-    after = after.select(F.col("_id").alias("_before"), F.col("_next").alias("_id"), "_need")
-    docs = docs.join(after, F.col("doc_id") == F.col("_id"), "left")
-    right = with_sketch(docs.where("_before IS NOT NULL"), "text", "_sketch").select(
+    counted = docs.agg(F.count("doc_id").alias("n"), F.countDistinct("doc_id").alias("d"),
+                       F.count(F.lit(1)).alias("all"), F.min("doc_id").alias("first")).first()
+    after = next_ids(docs.select("doc_id", F.length("text").alias("n_chars")))
+    after = after.select(F.col("_id").alias("_before"), F.col("_next").alias("_id"), "_need").hint("merge")
+    # Both sides read the same columns of the same rows, so one exchange serves both.
+    dealt = docs.select("doc_id", "text").where("doc_id IS NOT NULL").join(after, F.col("doc_id") == F.col("_id"))
+    right = with_sketch(dealt, "text", "_sketch").select(
         F.col("_before").alias("_to"), F.substring(F.col("text"), F.lit(1), F.col("_need").cast("int")).alias("_head"),
         "_sketch")
-    counted = docs.select("doc_id").agg(F.count("doc_id").alias("n"), F.countDistinct("doc_id").alias("d"),
-                                        F.count(F.lit(1)).alias("all"), F.min("doc_id").alias("first")).first()
     if counted["n"] != counted["d"]:
         right = right.groupBy("_to").agg(F.min(F.struct("_head", "_sketch")).alias("_m")).select(
             "_to", "_m._head", "_m._sketch")
-    out = docs.join(right, F.col("doc_id") == F.col("_to"), "left").drop("_to", "_id", "_before", "_need")
-    if counted["n"] != counted["all"] and counted["n"]:
+    out = dealt.select("doc_id", "text").join(right.hint("merge"), F.col("doc_id") == F.col("_to"), "left").drop("_to")
+    if counted["n"] != counted["all"]:
         # One row: the first document, which follows the rows without an id.
-        first = docs.where(F.col("doc_id") == counted["first"]).agg(F.min("text").alias("_t"))
-        first = with_sketch(first, "_t", "_s")
-        out = out.join(F.broadcast(first), F.col("doc_id").isNull(), "left")
-        out = out.withColumns({"_head": F.coalesce("_head", "_t"), "_sketch": F.coalesce("_sketch", "_s")}).drop("_t", "_s")
-    return out
+        first = docs.where(F.col("doc_id") == F.lit(counted["first"]).cast("bigint")).agg(F.min("text").alias("_head"))
+        lost = docs.select("doc_id", "text").where("doc_id IS NULL").join(F.broadcast(with_sketch(first, "_head", "_sketch")))
+        out = out.unionByName(lost)
+    return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select(F.col("doc_id").cast("bigint").alias("doc_id"),
                                            F.coalesce("text", F.lit("")).alias("text"))
-    docs = with_next(docs.withColumn("n_chars", F.length("text").cast("long")))
+    docs = with_next(docs)
     cut = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - cut),
                       F.substring(F.coalesce("_head", F.lit("")), F.lit(1), cut))
