@@ -290,7 +290,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                      pa.array(np.diff(first).astype(np.int64)), lists.cast(pa.list_(pa.int64()))],
                     names=["rep", "comp", "m", "s", "x", "n", "keys"])
 
-    sets = docs.join(groups, F.col("_id") == F.col("rep")).select("rep", "comp", "m", "s", "x", "text")
+    sets = docs.join(groups.hint("merge"), F.col("_id") == F.col("rep")).select("rep", "comp", "m", "s", "x", "text")
     sets = sets.mapInArrow(full, "rep bigint, comp bigint, m bigint, s bigint, x bigint, n bigint, keys array<bigint>")
     sets = materialise(sets.where("n > 0"), "sets")
     whole = (F.col("m") <= GROUP_MEMBERS) & (F.col("s") <= GROUP_SHINGLES)
