@@ -299,20 +299,22 @@ def _landmarks(counts: list) -> list[str]:
     return chosen + plain
 
 
-def fit(labelled: DataFrame) -> Model:
-    """Learn from columns ``doc_id``, ``text`` and ``toxic`` (0 or 1)."""
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Learn from ``text`` of ``docs`` and ``toxic`` (0 or 1) of ``labels``, by ``doc_id``."""
     import pyarrow as pa
 
-    spark = labelled.sparkSession
+    spark = docs.sparkSession
     ship_package(spark)
-    rows = labelled.where("doc_id IS NOT NULL AND toxic IN (0, 1)")
-    n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    labels = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    n = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n.get(0) or not n.get(1):
         return Model()
+    # The sample is drawn from the labels: at most 3 * SAMPLE rows, safe to broadcast to the texts.
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(1 << 30)
     bound = F.when(F.col("toxic") == 1, min(1.0, SAMPLE / n[1])).otherwise(min(1.0, SAMPLE / n[0]))
-    rows = materialise(rows.where(draw < bound).select(F.col("doc_id").cast("bigint").alias("doc_id"), "toxic", "text"),
-                       "toxic-sample")
+    drawn = labels.where(draw < bound).orderBy("doc_id", "toxic").limit(3 * SAMPLE)
+    rows = materialise(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id")
+                       .select("doc_id", "toxic", "text"), "toxic-sample")
     words = F.array_distinct(F.transform(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+"),
                                          lambda w: F.regexp_replace(w, r"^[^\p{L}]+|[^\p{L}]+$", "")))
     tally = rows.select("toxic", F.explode(words).alias("word")).where(F.length("word").between(3, LONGEST))
@@ -347,8 +349,7 @@ def fit(labelled: DataFrame) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int32()), pa.array(d, pa.binary())],
                                                  names=["doc_id", "toxic", "x"])
 
-    sample = rows.withColumn("toxic", F.col("toxic").cast("int")).select("doc_id", "toxic", "text")
-    got = sorted(sample.mapInArrow(vectors, "doc_id bigint, toxic int, x binary").collect(),
+    got = sorted(rows.mapInArrow(vectors, "doc_id bigint, toxic int, x binary").collect(),
                  key=lambda r: (r["doc_id"], r["toxic"], r["x"]))
     # Nyström: rows times the inverse root of the landmarks' own kernel.
     own = kernel.likeness(landmarks).astype(float)
@@ -398,8 +399,8 @@ def held_out(doc_id: Column) -> Column:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id")))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    labelled = docs.where("NOT held_out").join(labels.where(~held_out(F.col("doc_id"))), "doc_id")
-    return toxicity(docs, fit(labelled)).select("doc_id", "held_out", "score", "predicted")
+    model = fit(docs.where("NOT held_out"), labels.where(~held_out(F.col("doc_id"))))
+    return toxicity(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
 ORACLE_SQL = None

@@ -24,9 +24,14 @@ def corpus(seed=1, n=700):
     return rows
 
 
+def fit(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    return tx.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+
+
 @pytest.fixture(scope="module")
 def model(spark):
-    return tx.fit(spark.createDataFrame(corpus(), "doc_id bigint, text string, toxic int"))
+    return fit(spark, corpus())
 
 
 def test_held_out(model):
@@ -91,6 +96,6 @@ def test_query(spark, make_docs, tmp_path, clashing):
 
 def test_nothing_to_learn(spark, make_docs):
     for rows in ([], [(1, "a b c", 1)], [(1, "a b c", 0), (2, "d", 0)]):
-        m = tx.fit(spark.createDataFrame(rows, "doc_id bigint, text string, toxic int"))
+        m = fit(spark, rows)
         assert (m.scores([b"a b c", b""]) == 0).all()
     assert tx.toxicity(make_docs([]), tx.Model()).collect() == []
