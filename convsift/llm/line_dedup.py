@@ -141,7 +141,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     # Bytes are compared by their least and greatest under a hash, which pre-aggregate.
     per_doc = again.groupBy(F.col("_lid").alias("_pi"), F.col("_lrow").alias("_pr")).agg(
         F.array_sort(F.collect_set(F.struct("pos", "stop", "chash"))).alias("_again"))
-    some = docs.select("_lid", "_lrow", "text").join(per_doc, (F.col("_lid") == F.col("_pi")) & (F.col("_lrow") == F.col("_pr")))
+    some = docs.select("_lid", "_lrow", "text").join(per_doc.hint("merge"), (F.col("_lid") == F.col("_pi")) & (F.col("_lrow") == F.col("_pr")))
     some = some.select("_lid", "_lrow", "_again", _bodies("text", F.col("_again")).alias("_b"))
     some = some.select("_lid", "_lrow", F.explode(F.arrays_zip("_again", "_b")).alias("z"))
     some = some.select("_lid", "_lrow", "z._again.pos", "z._again.stop", "z._again.chash", "z._b.body")
@@ -156,7 +156,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         gone = gone.join(apart, F.col("chash") == F.col("_a"), "left_anti").select("_lid", "_lrow", "pos", "stop").unionByName(
             alike.where("at <> _first").select("_lid", "_lrow", "pos", "stop"))
     gone = gone.groupBy(F.col("_lid").alias("_gi"), F.col("_lrow").alias("_gr")).agg(F.collect_set(F.struct("pos", "stop")).alias("_gone"))
-    out = docs.join(gone, (F.col("_lid") == F.col("_gi")) & (F.col("_lrow") == F.col("_gr")), "left")
+    out = docs.join(gone.hint("merge"), (F.col("_lid") == F.col("_gi")) & (F.col("_lrow") == F.col("_gr")), "left")
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(_without("text", "_gone"))
     return out.select(*(c for c in own if c != "text"), text.alias("text"),
                       F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("removed_chunks")).select(
