@@ -59,7 +59,7 @@ _AGAINST = {"email": "example|noreply", "ip": r"version|release|\bv\.?$|section"
             "phone": r"isbn|order|part|model", "secret": "example|dummy|placeholder", "ssn": "isbn|part|model",
             "name": "street|avenue|strasse"}
 _GAZETTEER = {
-    "email": r"(?i)(?:\.|dot )(?:com|org|net|edu|gov|io|de|fr|es|uk|eu|info|co)$",
+    "email": r"(?i)(?:\.|dot[)\]}]? ?)(?:com|org|net|edu|gov|io|de|fr|es|uk|eu|info|co)$",
     "ip": r"^(?!0|255|2[4-5][0-9])",
     "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5))",
     "phone": r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])|^\(?[2-9][0-9]{2}",
@@ -73,38 +73,40 @@ LABELERS = 5
 
 # ------------------------------------------------------------------ candidates
 
-def _matches(text: Column, pattern: str, maybe: str) -> Column:
-    """Array of (start, body, before, after) of all matches, in one linear walk.
+def _with_matches(df: DataFrame, text: str, pattern: str, maybe: str, out: str) -> DataFrame:
+    """``df`` with an array of (gap before, body, character after) of all matches.
 
-    Starts are running sums over the parts between matches; the sums go block by
-    block, so that very many matches in one text stay cheap.
+    The parts between matches are a column of their own: inside the function over
+    the matches, the text would be split again for every match.
     """
-    body = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.split(text, pattern, -1)
-    z = F.transform(body, lambda b, i: F.struct(F.get(parts, i).alias("gap"), b.alias("body"),
-                                                F.substring(F.get(parts, i + 1), 1, 1).alias("after")))
-    return F.when(text.rlike(maybe), z).otherwise(
-        F.array().cast("array<struct<gap: string, body: string, after: string>>"))
+    t = F.col(text)
+    none = F.array().cast("array<string>")
+    df = df.withColumn("_body", F.when(t.rlike(maybe), F.regexp_extract_all(t, F.lit(pattern), F.lit(0))).otherwise(none))
+    df = df.withColumn("_part", F.when(F.size("_body") > 0, F.split(t, pattern, -1)).otherwise(none))
+    z = F.transform("_body", lambda b, i: F.struct(F.get("_part", i).alias("gap"), b.alias("body"),
+                                                   F.substring(F.get("_part", i + 1), 1, 1).alias("after")))
+    return df.withColumn(out, z).drop("_body", "_part")
 
 
 def _placed(z: Column) -> Column:
-    sizes = F.transform(z, lambda x: F.length(x["gap"]) + F.length(x["body"]))
-    empty = F.array().cast("array<struct<start: int, body: string, before: string, after: string>>")
+    """Matches with their starts: a running sum, kept per block so that growing
+    the array stays cheap where one text has very many matches."""
+    kind = "struct<start: int, body: string, before: string, after: string>"
+    none, nothing = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
 
-    def block(b):
-        first = F.aggregate(F.slice(sizes, F.lit(1), b * _BLOCK), F.lit(0), lambda a, x: a + x)
+    def step(acc, x):
+        start = acc["at"] + F.length(x["gap"])
+        one = F.struct(start.alias("start"), x["body"].alias("body"),
+                       F.lower(F.substring(x["gap"], -40, 40)).alias("before"), x["after"].alias("after"))
+        return F.struct((start + F.length(x["body"])).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-        def step(acc, x):
-            start = acc["at"] + F.length(x["gap"])
-            one = F.struct(start.alias("start"), x["body"].alias("body"),
-                           F.lower(F.substring(x["gap"], -40, 40)).alias("before"), x["after"].alias("after"))
-            return F.struct((start + F.length(x["body"])).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-        return F.aggregate(F.slice(z, b * _BLOCK + 1, F.lit(_BLOCK)), F.struct(first.alias("at"), empty.alias("out")),
-                           step, lambda acc: acc["out"])
+    def block(acc, b):
+        got = F.aggregate(F.slice(z, b * _BLOCK + 1, F.lit(_BLOCK)), F.struct(acc["at"].alias("at"), none.alias("out")), step)
+        return F.struct(got["at"].alias("at"), F.concat(acc["out"], F.array(got["out"])).alias("out"))
 
     blocks = F.sequence(F.lit(0), F.floor((F.size(z) - 1) / _BLOCK).cast("int"))
-    return F.when(F.size(z) > 0, F.flatten(F.transform(blocks, block))).otherwise(empty)
+    start = F.struct(F.lit(0).alias("at"), nothing.alias("out"))
+    return F.when(F.size(z) > 0, F.aggregate(blocks, start, block, lambda acc: F.flatten(acc["out"]))).otherwise(none)
 
 
 def _luhn(digits: Column) -> Column:
@@ -163,7 +165,7 @@ def find_candidates(docs: DataFrame) -> DataFrame:
     for base, patterns in ((True, BASE), (False, MORE)):
         for kind, pattern in patterns.items():
             m, c = f"_m{kind}{base}", f"_c{kind}{base}"
-            out = out.withColumn(m, _matches(F.col("_t"), pattern, _MAYBE[kind, base]))
+            out = _with_matches(out, "_t", pattern, _MAYBE[kind, base], m)
             out = out.withColumn(c, _candidates(kind, base, _placed(F.col(m)))).drop(m)
             columns.append(c)
     return out.withColumn("candidates", F.array_sort(F.concat(*columns))).drop("_t", *columns)
