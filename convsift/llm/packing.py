@@ -40,7 +40,8 @@ DEPTH = 4
 RESERVE = 0.25
 #: Rows that one rank group of a length holds, about.
 GROUP_ROWS = 800
-#: Words whose ids a task keeps.
+#: Runs and pieces whose ids a worker keeps.
+CACHE_PIECES = 150_000
 CACHE_WORDS = 1_000_000
 
 
@@ -214,6 +215,15 @@ def _visible_bytes() -> dict[int, int]:
 _VISIBLE = _visible_bytes()
 
 
+_NONE = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def _merged(a: tuple, b: tuple) -> tuple:
+    hashes, places = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+    order = np.argsort(hashes, kind="stable")
+    return hashes[order], places[order]
+
+
 class Encoder:
     """Token ids of texts; ids of a blank-separated run never depend on its
     neighbours (the tokenizer drops white space), so runs, known by their 64-bit
@@ -240,8 +250,9 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
         self.pieces: dict[str, bytes] = {}
+        # Known runs: sorted hashes with their places, old ones and recent ones apart.
+        self.known = [_NONE, _NONE]
         self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, "<u4")
 
@@ -252,31 +263,46 @@ class Encoder:
         for piece in self.cut(run.lower()):
             ids = self.pieces.get(piece)
             if ids is None:
+                if len(self.pieces) > CACHE_PIECES:
+                    self.pieces = {}
                 merged = self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(_VISIBLE))
                 ids = self.pieces[piece] = array("I", [t.id for t in merged]).tobytes()
             out.append(ids)
         return b"".join(out)
 
-    def _learn(self, runs: list[bytes], hashes: list[int]) -> None:
+    def _places(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of runs by their hashes, -1 where a run is not known."""
+        out = np.full(len(hashes), -1, np.int64)
+        for known, places in self.known:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                out = np.where(known[at] == hashes, places[at], out)
+        return out
+
+    def _learn(self, runs: list[bytes], hashes: np.ndarray) -> np.ndarray:
+        """Encode new runs (ascending hashes); their places."""
         ids = [self._run(r.decode("utf-8", "replace")) for r in runs]
         size = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
+        places = len(self.size) + np.arange(len(ids))
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
         self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), "<u4")])
-        self.known.update(zip(hashes, range(len(self.known), len(self.known) + len(hashes))))
+        old, recent = self.known
+        recent = _merged(recent, (hashes, places))
+        self.known = [old, recent] if 8 * len(recent[0]) < len(old[0]) else [_merged(old, recent), _NONE]
+        return places
 
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of every text, with END_ID at its end."""
-        if len(self.known) > CACHE_WORDS or len(self.flat) > 10 * CACHE_WORDS:
+        if len(self.size) > CACHE_WORDS or len(self.flat) > 10 * CACHE_WORDS:
             self._forget()
         w = Words(texts, lower=False)
         hashes, first, back = np.unique(w.hashes(), return_index=True, return_inverse=True)
-        place = np.fromiter((self.known.get(h, -1) for h in hashes.tolist()), np.int64, len(hashes))
+        place = self._places(hashes)
         new = np.flatnonzero(place < 0)
         if len(new):
             raw = w.bytes.tobytes()
-            place[new] = np.arange(len(self.known), len(self.known) + len(new))
-            self._learn([raw[w.start[i]:w.end[i]] for i in first[new]], hashes[new].tolist())
+            place[new] = self._learn([raw[w.start[i]:w.end[i]] for i in first[new]], hashes[new])
         which = place[back]
         size = self.size[which]
         ends = np.cumsum(size)
