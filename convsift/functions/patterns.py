@@ -8,6 +8,8 @@ literal needs no regex at all and uses ``contains`` / ``instr``.
 
 from __future__ import annotations
 
+import re
+import string
 from dataclasses import dataclass
 
 from pyspark.sql import Column, SparkSession
@@ -19,32 +21,84 @@ def quote_literal(text: str) -> str:
     return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
+# JavaScript's white space and line terminators, as class members.
+_JS_SPACE = "\\t\\n\\x0B\\f\\r \\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF"
+_JS_LINE_END = "\\n\\r\\u2028\\u2029"
+#: Escaped letters with a meaning of their own in JavaScript; others stand for themselves.
+_JS_ESCAPES = set("bBcdDfknrtuwWx")
+_QUANTIFIER = re.compile(r"\{[0-9]+(?:,[0-9]*)?\}")
+
+
+def _escape(pattern: str, i: int, in_class: bool) -> tuple[str, int]:
+    """Java form of the escape at ``pattern[i]`` and the index after it."""
+    ch = pattern[i + 1]
+    if ch == "s":
+        return (_JS_SPACE if in_class else f"[{_JS_SPACE}]"), i + 2
+    if ch == "S":
+        return f"[^{_JS_SPACE}]", i + 2
+    if ch == "v":
+        return "\\x0B", i + 2
+    if ch == "b" and in_class:
+        return "\\x08", i + 2
+    if ch == "0" and not pattern[i + 2:i + 3].isdigit():
+        return "\\x00", i + 2
+    if ch in "ux":
+        n = 4 if ch == "u" else 2
+        digits = pattern[i + 2:i + 2 + n]
+        if len(digits) == n and all(c in string.hexdigits for c in digits):
+            return pattern[i:i + 2 + n], i + 2 + n
+        return ch, i + 2
+    if ch == "k" and not pattern.startswith("<", i + 2):
+        return ch, i + 2
+    if ch.isalpha() and ch not in _JS_ESCAPES:
+        return ch, i + 2
+    return pattern[i:i + 2], i + 2
+
+
+def _class(pattern: str, i: int) -> tuple[str, int]:
+    """Java form of the character class at ``pattern[i]`` and the index after it."""
+    if pattern.startswith("[^]", i):
+        return "[\\s\\S]", i + 3
+    if pattern.startswith("[]", i):
+        return "(?!)", i + 2
+    out = ["["]
+    i += 1
+    if pattern.startswith("^", i):
+        out.append("^")
+        i += 1
+    while i < len(pattern) and pattern[i] != "]":
+        if pattern[i] == "\\" and i + 1 < len(pattern):
+            part, i = _escape(pattern, i, True)
+        else:
+            # Nested classes, intersections and a later ^ are Java's only.
+            part = "\\" + pattern[i] if pattern[i] in "[&^" else pattern[i]
+            i += 1
+        out.append(part)
+    return "".join(out) + pattern[i:i + 1], i + 1
+
+
 def translate_js_regex(pattern: str) -> str:
     """Rewrite the parts of a JavaScript regex whose Java meaning differs.
 
-    Without the multiline flag a JavaScript ``$`` matches only at the very end
-    of the input, while Java's also matches before a final line terminator,
-    so an unescaped ``$`` outside a character class becomes ``\\z``.
+    Without flags, ``$`` matches only at the very end of the input, ``.`` stops
+    at JavaScript's four line terminators, ``\\s`` is its wider white-space class,
+    a ``{`` that begins no quantifier and a ``[`` inside a class are literal,
+    ``[]`` matches nothing and ``[^]`` anything, and an escaped letter without a
+    meaning stands for itself.
     """
     out: list[str] = []
-    i, in_class = 0, False
+    i = 0
     while i < len(pattern):
         ch = pattern[i]
         if ch == "\\" and i + 1 < len(pattern):
-            out.append(pattern[i:i + 2])
-            i += 2
-            continue
-        if in_class:
-            if ch == "]":
-                in_class = False
+            part, i = _escape(pattern, i, False)
         elif ch == "[":
-            in_class = True
-        elif ch == "$":
-            out.append("\\z")
-            i += 1
-            continue
-        out.append(ch)
-        i += 1
+            part, i = _class(pattern, i)
+        elif ch == "{" and not _QUANTIFIER.match(pattern, i):
+            part, i = "\\{", i + 1
+        else:
+            part, i = {"$": "\\z", ".": f"[^{_JS_LINE_END}]"}.get(ch, ch), i + 1
+        out.append(part)
     return "".join(out)
 
 

@@ -13,8 +13,8 @@ with map-side combine) and the driver checks whether any group exceeds
 ``hot_rows``:
 
 * none (the usual case): one window partition per group, nothing else;
-* some: those groups are cut into time buckets sized from their own span
-  (about count / hot_rows buckets each), the window runs per
+* some: those groups are cut at quantiles of their own times (about
+  count / hot_rows buckets each, ``MAX_BUCKETS`` at most), the window runs per
   (group, bucket), and a running max over per-bucket summaries of the hot
   groups (one row per bucket, not per event) carries the best value of all
   earlier buckets; answer = local result, else that carry.
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from ..functions.broadcast import broadcast_if_bounded
 
+MAX_BUCKETS = 256             # finest split of one hot group
 HOT_ROWS = 1_000_000          # rows one window task may take before its group is split
 
 
@@ -41,20 +42,24 @@ def _hot_groups(L: DataFrame, R: DataFrame, by: str, ts_l: str, hot_rows: int,
     rows = R.select(F.col(by), F.col("_t"))
     if count_left:
         rows = rows.unionByName(L.select(F.col(by), F.col(ts_l).alias("_t")))
-    return (rows.groupBy(by)
-            .agg(F.count(F.lit(1)).alias("_n"), F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
-            .where(F.col("_n") > hot_rows)
-            .select(by, "_lo", F.greatest(
-                F.lit(1).cast("long"),
-                F.floor((F.col("_hi") - F.col("_lo") + 1) * F.lit(hot_rows).cast("long") / F.col("_n"))
-                .cast("long")).alias("_w")))
+    # Bounds are quantiles of the group's own times, so buckets hold equal shares
+    # however the times bunch; a group that is not hot needs no bounds.
+    counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+    parts = F.least(F.lit(MAX_BUCKETS), F.ceil(F.col("_n") / F.lit(hot_rows)) + 1)
+    shares = F.array(*(F.lit(i / MAX_BUCKETS) for i in range(1, MAX_BUCKETS)))
+    hot = rows.join(counts, by).groupBy(by).agg(
+        F.percentile_approx("_t", shares, 100 * MAX_BUCKETS).alias("_q"), F.max(parts).alias("_k"))
+    # Of the finest bounds, every (MAX_BUCKETS / parts)-th.
+    step = F.greatest(F.lit(1), F.floor(F.lit(MAX_BUCKETS) / F.col("_k")).cast("int"))
+    return hot.select(by, F.array_distinct(F.filter("_q", lambda x, i: (i + 1) % step == 0)).alias("_q"))
 
 
 def _with_bucket(df: DataFrame, hot: DataFrame, by: str, ts: str) -> DataFrame:
+    """Bucket number: how many bounds lie below the time (so equal times stay together)."""
     d = df.join(hot, by, "left")
-    b = F.when(F.col("_w").isNull(), F.lit(0).cast("long")) \
-        .otherwise(F.floor((F.col(ts) - F.col("_lo")) / F.col("_w")).cast("long"))
-    return d.withColumn("_b", b).withColumn("_split", F.col("_w").isNotNull()).drop("_lo", "_w")
+    b = F.when(F.col("_q").isNull(), F.lit(0).cast("long")) \
+        .otherwise(F.size(F.filter("_q", lambda x: x < F.col(ts))).cast("long"))
+    return d.withColumn("_b", b).withColumn("_split", F.col("_q").isNotNull()).drop("_q")
 
 
 def latest_before(left: DataFrame, right: DataFrame, by: str, left_ts: str,

@@ -10,30 +10,32 @@ of the leftmost best alignment.
 
 Plan:
 1. items (G5) scoped by project / role;
-2. each item cut into overlapping windows of ``WINDOW`` characters (overlap
-   m + k, so every candidate substring lies wholly inside one window): rows
-   stay small whatever a text's length, so Arrow batches stay bounded;
+2. each text is cut once, in linear time, into chunks of at least ``WINDOW``
+   characters; a window is a chunk and the head of the next one, so every
+   candidate substring lies wholly in a window and the whole text stays behind;
 3. exact prefilter (Wu–Manber partition lemma): a substring with ≤ k errors
    contains one of k + 1 query pieces intact, so windows containing none of
    them are dropped with native ``contains``;
-4. one Arrow ``pandas_udf`` scores the surviving windows (bit-parallel, whole
-   batch at once, :mod:`convsift.functions.editdist`) and returns distance
-   and start; the excerpt / context are cut there from the window's own
-   original-case slice;
-5. best window per item: an aggregate that combines map-side (all windows of
-   an item sit in the task that exploded it);
-6. top-k by (score, words, walk order), newest first; session title and
-   directory travel with the items, so no join is needed.
+4. one Arrow ``pandas_udf`` lower-cases and scores the surviving windows
+   (bit-parallel, whole batch at once, :mod:`convsift.functions.editdist`) and
+   returns distance and start in the window's own characters, packed in a long;
+5. best window per item: the least of these longs, combined map-side;
+6. top-k by (score, words, walk order); only then the ≤ k items are looked up
+   again and their excerpt and context cut, newest first.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ..functions.editdist import allowed_errors, best_alignment
-from ..functions.text import slice_text, word_count
+from ..functions.broadcast import broadcast_if_bounded
+from ..functions.text import around, word_count
 from ..model import MATCH_COLUMNS, History, scan_order
 from ..session import ship_package
 from .items import build_items
@@ -46,8 +48,8 @@ CONTEXT_BEFORE, CONTEXT_AFTER = 100, 200
 EXCERPT_BEFORE, EXCERPT_AFTER = 20, 80
 
 _KEY = ["session_id", "k_phase", "message_id", "part_id", "k_slot", "k_ord"]
-_CARRY = ["k_updated_ms", "k_msg_ms", "k_part_ms", "timestamp", "match_type", "n_words",
-          "session_title", "project_directory"]
+_RANK = ["k_updated_ms", "k_msg_ms", "k_part_ms", "n_words"]
+_DIST_SHIFT = 40
 
 
 def fuzzy_limit(limit: int | None) -> int:
@@ -68,37 +70,40 @@ def query_pieces(q: str, k: int) -> list[str]:
     return [q[bounds[i]:bounds[i + 1]] for i in range(k + 1)]
 
 
+def _folded(text: str) -> tuple[str, list[int] | None]:
+    """Lower-cased text, and where each of its characters comes from if lengths differ."""
+    low = text.lower()
+    if len(low) == len(text):
+        return low, None
+    chars = [c.lower() for c in text]
+    return "".join(chars), [i for i, c in enumerate(chars) for _ in c]
+
+
 def alignment_udf(query: str, max_dist: int):
-    """Arrow UDF: lower-cased window text → struct(dist, start) or null."""
-
-    @F.pandas_udf("struct<dist:int,start:int>")
-    def align(texts: pd.Series) -> pd.DataFrame:
-        vals = [t if isinstance(t, str) else None for t in texts.tolist()]
-        dist, start = best_alignment(vals, query, max_dist)
-        miss = dist < 0
-        return pd.DataFrame({
-            "dist": pd.Series(dist, dtype="Int32").mask(miss),
-            "start": pd.Series(start, dtype="Int32").mask(miss),
-        })
+    """Arrow UDF: window text, offset → dist << 40 | start in the whole text, or null."""
+
+    @F.pandas_udf(LongType())
+    def align(texts: pd.Series, offsets: pd.Series) -> pd.Series:
+        folded = [_folded(t) for t in texts]
+        dist, start = best_alignment([low for low, _ in folded], query, max_dist)
+        out = [None if d < 0 else (int(d) << _DIST_SHIFT) | int(off + (back[s] if back else s))
+               for (_, back), d, s, off in zip(folded, dist, start, offsets)]
+        return pd.Series(out, dtype="Int64")
 
     return align
 
 
 def _windows(items: DataFrame, m: int, k: int) -> DataFrame:
-    """One row per window: lower-cased text for scoring plus an original-case
-    slice wide enough for the excerpt and context of any start inside it."""
-    span = WINDOW + m + k
-    length = F.length("content")
-    offsets = F.sequence(F.lit(0), F.greatest(length - F.lit(1), F.lit(0)), F.lit(WINDOW))
-    # Lower-case once per item (before the explode), then cut the windows.
-    return (items
-            .select(*_KEY, *_CARRY, "content", F.lower("content").alias("lc"), length.alias("n_chars"),
-                    F.explode(offsets).alias("off"))
-            .select(*_KEY, *_CARRY, "n_chars", "off",
-                    F.substring("lc", F.col("off") + 1, span).alias("win"),
-                    F.greatest(F.col("off") - CONTEXT_BEFORE, F.lit(0)).alias("ctx_off"),
-                    F.substring("content", F.greatest(F.col("off") - CONTEXT_BEFORE, F.lit(0)) + 1,
-                                span + CONTEXT_BEFORE + CONTEXT_AFTER).alias("ctx_src")))
+    """One row per window: ``win`` and its offset ``off``, without the whole text."""
+    width = max(WINDOW, m + k)
+    # The chunks are a column of their own; inside the function over them the
+    # text would be cut again for every chunk.
+    chunks = F.regexp_extract_all("content", F.lit(f"(?s).{{1,{width}}}"), F.lit(0))
+    cut = items.select(*_KEY, *_RANK, chunks.alias("_c"))
+    windows = F.transform("_c", lambda c, i: F.struct(
+        (i * width).cast("long").alias("off"),
+        F.concat(c, F.substring(F.coalesce(F.get("_c", i + 1), F.lit("")), 1, m + k)).alias("win")))
+    return cut.select(*_KEY, *_RANK, F.inline(windows))
 
 
 def _prefilter(win: Column, pieces: list[str]) -> Column | None:
@@ -106,21 +111,13 @@ def _prefilter(win: Column, pieces: list[str]) -> Column | None:
         return None
     cond = None
     for p in dict.fromkeys(pieces):
-        c = win.contains(F.lit(p))
+        c = F.lower(win).contains(F.lit(p))
         cond = c if cond is None else (cond | c)
     return cond
 
 
-def _cut(src: Column, src_off: Column, n_chars: Column, g: Column, before: int, after: int) -> Column:
-    """``content.slice(max(0, g-before), min(len, g+after))`` from a slice of
-    content that begins at ``src_off``."""
-    start = F.greatest(g - before, F.lit(0))
-    end = F.least(n_chars, g + after)
-    return slice_text(src, start - src_off, end - src_off)
-
-
-def fuzzy_scores(items: DataFrame, query: str, threshold: float) -> DataFrame:
-    """Matching items with ``dist``, ``score`` and their excerpt / context."""
+def fuzzy_scores(items: DataFrame, query: str, threshold: float) -> DataFrame | None:
+    """Keys, ranks, ``dist``, ``start`` and ``score`` of the matching items."""
     q = query.lower()
     m = len(q)
     k = min(allowed_errors(m, threshold), m - MIN_MATCH_CHARS)
@@ -128,7 +125,8 @@ def fuzzy_scores(items: DataFrame, query: str, threshold: float) -> DataFrame:
         return None
     if "n_words" not in items.columns:
         items = items.withColumn("n_words", word_count(F.col("content")))
-    w = _windows(items.where(F.col("content").isNotNull() & (F.length("content") >= m - k)), m, k)
+    # Lower-casing may lengthen a text (at most threefold), so only shorter ones are out.
+    w = _windows(items.where(F.col("content").isNotNull() & (3 * F.length("content") >= m - k)), m, k)
     pre = _prefilter(F.col("win"), query_pieces(q, k))
     if pre is not None:
         w = w.where(pre)
@@ -138,18 +136,13 @@ def fuzzy_scores(items: DataFrame, query: str, threshold: float) -> DataFrame:
     # running it twice).  The UDF stays deterministic, so a lost executor's
     # shuffle output is simply recomputed.
     ship_package(items.sparkSession)
-    scored = (w.select(*w.columns, F.inline(F.array(F.struct(alignment_udf(q, k)(F.col("win")).alias("al")))))
-              .where(F.col("al.dist").isNotNull())
-              .withColumn("g", F.col("off") + F.col("al.start")))
-    g, src, off, n = F.col("g"), F.col("ctx_src"), F.col("ctx_off"), F.col("n_chars")
-    excerpt = _cut(src, off, n, g, EXCERPT_BEFORE, EXCERPT_AFTER)
-    context = _cut(src, off, n, g, CONTEXT_BEFORE, CONTEXT_AFTER)
-    best = F.min(F.struct(F.col("al.dist").alias("dist"), g.alias("start"),
-                          excerpt.alias("excerpt"), context.alias("context")))
-    per_item = scored.groupBy(*_KEY, *_CARRY).agg(best.alias("b"))
-    return per_item.select(*_KEY, *_CARRY, F.col("b.dist").alias("dist"), F.col("b.start").alias("start"),
-                           (F.col("b.dist") / F.lit(m)).alias("score"),
-                           F.col("b.excerpt").alias("excerpt"), F.col("b.context").alias("context"))
+    al = F.struct(alignment_udf(q, k)(F.col("win"), F.col("off")).alias("al"))
+    scored = w.select(*_KEY, *_RANK, F.inline(F.array(al))).where(F.col("al").isNotNull())
+    best = scored.groupBy(*_KEY, *_RANK).agg(F.min("al").alias("b"))
+    dist = F.shiftright("b", _DIST_SHIFT).cast("int")
+    return best.select(*_KEY, *_RANK, dist.alias("dist"),
+                       F.col("b").bitwiseAND(F.lit((1 << _DIST_SHIFT) - 1)).cast("int").alias("start"),
+                       (dist / F.lit(m)).alias("score"))
 
 
 def _rank() -> list[Column]:
@@ -176,22 +169,27 @@ def search_fuzzy(history: History, query: str, threshold: float | None = None,
     if items is not None and project_id is not None:
         it = it.where(F.col("project_id") == F.lit(project_id))
     if role is not None:
-        it = it.where(F.col("role").isNull() | (F.col("role") == F.lit(role)))
+        # Titles have no role and are searched whatever the role.
+        it = it.where((F.col("match_type") == "title") | (F.col("role") == F.lit(role)))
     if corpus_range is not None:
         it = it.where(F.col("timestamp").between(F.lit(corpus_range.start_ms), F.lit(corpus_range.end_ms)))
     scores = fuzzy_scores(it, query, t)
     spark = history.sessions.sparkSession
     if scores is None or n == 0:
         return spark.createDataFrame([], _empty_schema())
-    top = scores.orderBy(*_rank()).limit(n)
-    # One flat projection (no column built on another) keeps the limit a
-    # plain top-N (TakeOrderedAndProject) below it.
+    top = scores.orderBy(*_rank()).limit(n).select(*_KEY, "dist", "start")
+    # At most n keys come back to the items for their texts.
+    keys = broadcast_if_bounded(top.withColumnsRenamed({c: f"_{c}" for c in _KEY}), n)
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in _KEY]
+    if "n_words" not in it.columns:
+        it = it.withColumn("n_words", word_count(F.col("content")))
+    found = it.join(keys, reduce(lambda a, b: a & b, same))
     q = F.lit(query)
-    ex, cx = F.col("excerpt"), F.col("context")
+    ex = around(F.col("content"), F.col("start"), EXCERPT_BEFORE, EXCERPT_AFTER)
+    cx = around(F.col("content"), F.col("start"), CONTEXT_BEFORE, CONTEXT_AFTER)
     excerpt = F.when(F.length(ex) > 0, ex).otherwise(q)
-    context = F.when(F.length(cx) > 0, cx).when(F.length(ex) > 0, ex).otherwise(q)
-    rest = [c for c in top.columns if c not in ("excerpt", "context")]
-    return (top.select(*rest, excerpt.alias("excerpt"), context.alias("context"))
+    context = F.when(F.length(cx) > 0, cx).otherwise(excerpt)
+    return (found.withColumns({"excerpt": excerpt, "context": context})
             .orderBy(F.col("timestamp").desc(), *_rank())
             .select(*MATCH_COLUMNS))
 

@@ -28,6 +28,8 @@ from ..model import (MATCH_COLUMNS, PHASE_PARTS, PHASE_TITLE, SLOT_PATCH, SLOT_T
                      SLOT_TOOL, SLOT_TOOL_IO, History, scan_order)
 
 DEFAULT_LIMIT = 50
+#: Longest text that a match carries whole into the top-N.
+CARRIED_CHARS = 2_000
 
 _HIT_FIELDS = ("k_slot", "k_ord", "match_type", "src", "excerpt_fixed", "context_fixed")
 
@@ -73,15 +75,26 @@ def part_candidates(parts: DataFrame, m: Matcher) -> DataFrame:
     in_s = F.coalesce(F.col("input_json"), F.lit("{}"))
     out_s = F.coalesce(or_else(F.col("output")), F.lit(""))
 
+    # Long texts leave their excerpt and context behind, so the top-N carries no whole text.
+    def long_excerpt(c):
+        return F.when(F.length(c) > CARRIED_CHARS, m.first(c))
+
+    def long_context(c):
+        return F.when(F.length(c) > CARRIED_CHARS, keyword_context(c, m.first(c)))
+
+    def carried(c):
+        return F.when(F.length(c) <= CARRIED_CHARS, c)
+
     text_hit = (typ == "text") & nonempty(text) & m.test(text)
     tool_hit = (typ == "tool") & nonempty(tool) & m.test(tool)
+    io = F.when(m.test(in_s), in_s).otherwise(out_s)
     io_hit = (typ == "tool") & F.coalesce(F.col("has_state"), F.lit(False)) & (m.test(in_s) | m.test(out_s))
 
     singles = F.array(
-        F.when(text_hit, _hit(SLOT_TEXT, F.lit(0), "message", text, None, None)),
+        F.when(text_hit, _hit(SLOT_TEXT, F.lit(0), "message", carried(text), long_excerpt(text), long_context(text))),
         F.when(tool_hit, _hit(SLOT_TOOL, F.lit(0), "tool", None, tool, tool_name_context(tool, title))),
         F.when(io_hit, _hit(SLOT_TOOL_IO, F.lit(0), "filepath",
-                            F.when(m.test(in_s), in_s).otherwise(out_s), None,
+                            carried(io), long_excerpt(io),
                             tool_io_context(tool, title))),
     )
     files = F.when(typ == "patch", F.col("files"))

@@ -27,7 +27,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.broadcast import MAX_BROADCAST_ROWS
 from ..functions.paths import PathQuery, last_component, normalize_query_col
 from ..model import TRACE_COLUMNS, History
 from .asof import latest_before
@@ -140,14 +139,7 @@ def trace_file(history: History, file_path: str, limit: int | None = None,
     touches = dedupe(found, keys)
     first = touches.select(F.min(_first_key())).scalar()
     flagged = touches.withColumn("first_touch", F.coalesce(_first_key() == first, F.lit(False)))
-    # The ≤ n surviving touches feed the prompt lookup three times (its hot-
-    # group check, the semi-join restricting prompts, the window); caching
-    # this bounded result computes the touch pipeline once.  The cache holds at
-    # most n small rows, is rebuilt from lineage if an executor is lost, and is
-    # released by Spark's context cleaner once the result is dropped.
     limited = flagged.orderBy(*_newest_first()).limit(n)
-    if n <= MAX_BROADCAST_ROWS:
-        limited = limited.cache()
     return (attach_prompts(limited, h.parts, n)
             .orderBy(*_newest_first())
             .select(*TRACE_COLUMNS))

@@ -413,7 +413,7 @@ def fuzzy_sql(query: str, max_dist: int, limit: int, path_token: str, sources=("
     m, k = len(q), max_dist
     filt = [f"content IS NOT NULL AND length(content) >= {m - k}"]
     if role:
-        filt.append(f"(role IS NULL OR role = {sql_str(role)})")
+        filt.append(f"(match_type = 'title' OR role = {sql_str(role)})")
     if project_id:
         filt.append(f"project_id = {sql_str(project_id)}")
     if corpus_range:

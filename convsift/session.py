@@ -32,7 +32,6 @@ def get_spark(master: str | None = None, app_name: str = "convsift",
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
-    ensure_checkpoint_dir(spark)
     return spark
 
 
@@ -49,6 +48,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     path = tempfile.mkdtemp(prefix="convsift-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path

@@ -18,9 +18,10 @@ from ..model import PART_SCHEMA, PART_TYPES, History
 from ..functions.text import nonempty
 
 MESSAGE_JSON = "role string, agent string, _corrupt_record string"
-PART_JSON = ("type string, text string, tool string, "
-             "state struct<input string, output string, title string>, "
-             "files array<string>, _corrupt_record string")
+# Fields are read as text, whatever their JSON type, and decoded at second level:
+# a field of an unexpected shape is null, and only unparsable text is corrupt.
+PART_JSON = "type string, text string, tool string, state string, files string, _corrupt_record string"
+STATE_JSON = "input string, output string, title string"
 JSON_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
 
 
@@ -120,16 +121,19 @@ def decode_part_payload(data: Column) -> list[Column]:
     """Columns of one part decoded from its JSON ``data`` (``j`` must be in scope)."""
     t = F.col("j.type")
     is_tool = t == "tool"
-    raw_input = F.col("j.state.input")
+    state = F.when(F.col("j.state").startswith("{"), F.from_json(F.col("j.state"), STATE_JSON))
+    files = F.when(F.col("j.files").startswith("["), F.from_json(F.col("j.files"), "array<string>"))
+    has_state = is_tool & F.col("j.state").isNotNull() & ~F.col("j.state").isin("", "0", "false")
+    raw_input = state["input"]
     return [
         t.alias("type"),
         F.when(t == "text", F.col("j.text")).alias("text"),
         F.when(is_tool, F.col("j.tool")).alias("tool"),
-        F.when(is_tool, F.col("j.state").isNotNull()).otherwise(F.lit(False)).alias("has_state"),
-        F.when(is_tool & F.col("j.state").isNotNull(), stringify_input(raw_input, data)).alias("input_json"),
-        F.when(is_tool, F.col("j.state.output")).alias("output"),
-        F.when(is_tool, F.col("j.state.title")).alias("state_title"),
-        F.when(t == "patch", F.col("j.files")).alias("files"),
+        F.coalesce(has_state, F.lit(False)).alias("has_state"),
+        F.when(has_state, stringify_input(raw_input, data)).alias("input_json"),
+        F.when(is_tool, state["output"]).alias("output"),
+        F.when(is_tool, state["title"]).alias("state_title"),
+        F.when(t == "patch", files).alias("files"),
     ]
 
 

@@ -18,6 +18,8 @@ Being many small files, the layout is meant to be ingested once
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -27,9 +29,24 @@ from .tables import (JSON_OPTIONS, PART_JSON, _check_policy, _observed, _valid,
                      decode_part_payload, parse_once)
 
 SESSION_FILE_JSON = ("id string, projectID string, title string, directory string, "
-                     "time struct<created bigint, updated bigint>, _corrupt_record string")
-MESSAGE_FILE_JSON = "id string, sessionID string, role string, agent string, time struct<created bigint>, _corrupt_record string"
-PART_FILE_JSON = PART_JSON.replace("_corrupt_record string", "id string, time struct<created bigint, start bigint>, _corrupt_record string")
+                     "time string, _corrupt_record string")
+MESSAGE_FILE_JSON = "id string, sessionID string, role string, agent string, time string, _corrupt_record string"
+PART_FILE_JSON = PART_JSON.replace("_corrupt_record string", "id string, time string, _corrupt_record string")
+
+
+def _ms(field: str) -> Column:
+    """Milliseconds of a ``time`` field, whatever way the number is written."""
+    return F.get_json_object(F.col("j.time"), f"$.{field}").try_cast("double").cast("long")
+
+
+def _state_start() -> Column:
+    """A tool call without times of its own starts when its state does."""
+    return F.get_json_object(F.col("j.state"), "$.time.start").try_cast("double").cast("long")
+
+
+def _literal(name: str) -> str:
+    """A folder name in a path pattern, its pattern characters escaped."""
+    return re.sub(r"([\\\[\]{}*?,])", r"\\\1", name)
 
 
 def _folder(path: Column) -> Column:
@@ -42,7 +59,9 @@ def _files(spark: SparkSession, pattern: str) -> DataFrame:
     """(folder, text) per file matching ``pattern``; empty when none exist."""
     try:
         df = spark.read.text(pattern, wholetext=True)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], "folder string, data string")
     return df.select(_folder(F.col("_metadata.file_path")).alias("folder"), F.col("value").alias("data"))
 
@@ -62,7 +81,8 @@ def read_json_tree(spark: SparkSession, root: str, project_id: str | None = None
     obs = observations or {}
     _check_policy(on_corrupt)
     root = root.rstrip("/")
-    proj = project_id if project_id is not None else "*"
+    proj = _literal(project_id) if project_id is not None else "*"
+    root = _literal(root)
 
     sf = _files(spark, f"{root}/session/{proj}/*.json")
     sj = F.from_json(F.col("data"), SESSION_FILE_JSON, JSON_OPTIONS)
@@ -70,7 +90,7 @@ def read_json_tree(spark: SparkSession, root: str, project_id: str | None = None
                 .where(_valid(F.col("j"), F.col("data"), on_corrupt) & F.col("j.id").isNotNull())
                 .select(F.col("j.id").alias("session_id"), F.col("folder").alias("project_id"),
                         F.col("j.title").alias("title"), F.col("j.directory").alias("directory"),
-                        F.col("j.time.created").alias("created_ms"), F.col("j.time.updated").alias("updated_ms")))
+                        _ms("created").alias("created_ms"), _ms("updated").alias("updated_ms")))
 
     mf = _files(spark, f"{root}/message/*/*.json")
     mj = F.from_json(F.col("data"), MESSAGE_FILE_JSON, JSON_OPTIONS)
@@ -79,7 +99,7 @@ def read_json_tree(spark: SparkSession, root: str, project_id: str | None = None
                 .select(F.col("j.id").alias("message_id"), F.col("folder").alias("session_id"),
                         F.col("j.role").alias("role"),
                         F.coalesce(F.when(F.length("j.agent") > 0, F.col("j.agent")), F.lit("")).alias("agent"),
-                        F.col("j.time.created").alias("created_ms")))
+                        _ms("created").alias("created_ms")))
 
     pf = _files(spark, f"{root}/part/*/*.json")
     pj = F.from_json(F.col("data"), PART_FILE_JSON, JSON_OPTIONS)
@@ -87,6 +107,6 @@ def read_json_tree(spark: SparkSession, root: str, project_id: str | None = None
              .where(_valid(F.col("j"), F.col("data"), on_corrupt) & F.col("j.id").isNotNull())
              .where(F.col("j.type").isin(*PART_TYPES))
              .select(F.col("j.id").alias("part_id"), F.col("folder").alias("message_id"),
-                     F.coalesce(F.col("j.time.created"), F.col("j.time.start")).alias("created_ms"),
+                     F.coalesce(_ms("created"), _ms("start"), _state_start()).alias("created_ms"),
                      *decode_part_payload(F.col("data"))))
     return assemble(sessions, messages, parts, trim_keys=True)
