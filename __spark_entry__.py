@@ -30,7 +30,8 @@ from convsift.operators.report import match_entries, trace_entries
 from convsift.operators.trace import trace_file, trace_files
 from convsift.plans import oracle_sql as O
 from convsift.plans.search import search
-from convsift.sources.driver_tables import driver_history
+from convsift.sources.driver_tables import driver_history, event_tables
+from convsift.sources.tables import decode_parts
 
 try:  # the training-data operators and their pipeline are optional
     import corpus_pipeline
@@ -40,7 +41,7 @@ except ModuleNotFoundError as error:
         raise
     corpus_pipeline = llm_registry = None
 
-ALL = ("conv", "evt", "page")
+ALL = ("conv", "evt", "page", "doc")
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 
@@ -117,6 +118,58 @@ def q_date_filter_relative(spark, sf_dir):
     return filter_by_date(m, parse_date_filter("last 1 week", now=now))
 
 
+#: Date forms relative to a fixed moment, and the bounds that they mean.
+NOW = datetime(2024, 1, 20, 12, 30, tzinfo=timezone.utc)
+_DATE_FORMS = {
+    "date_filter_today": ("today", "2024-01-20 00:00:00", "2024-01-20 23:59:59.999"),
+    "date_filter_yesterday": ("yesterday", "2024-01-19 00:00:00", "2024-01-19 23:59:59.999"),
+    "date_filter_days": ("last 3 days", "2024-01-17 00:00:00", "2024-01-20 12:30:00"),
+    "date_filter_months": ("last 2 months", "2023-11-20 00:00:00", "2024-01-20 12:30:00"),
+}
+
+
+def _date_form(spark, sf_dir, *, form):
+    m = _hist(spark, sf_dir, ("evt",)).messages.withColumnRenamed("created_ms", "timestamp")
+    return filter_by_date(m, parse_date_filter(form, now=NOW))
+
+
+# ------------------------------------------------- damaged and odd payloads
+
+def _odd_parts(spark, sf_dir, case):
+    """Parts of the events adapter, every fifth payload changed (by event number)."""
+    raw = event_tables(spark, sf_dir)
+    n = F.regexp_extract("message_id", "([0-9]+)$", 1).cast("long")
+    data = F.col("data")
+    changed = {
+        "malformed": F.concat(data, F.lit("}")).substr(F.lit(2), F.length(data)),
+        "mistyped": F.concat(F.lit('{"state":"done","files":"x",'), F.regexp_replace(data, '"(state|files)":', '"_$1":').substr(F.lit(2), F.length(data) + 2)),
+        "other": F.lit('{"type":"step-start","text":"x","files":["a"]}'),
+    }[case]
+    part = raw.part.withColumn("data", F.when(n % 5 == 0, changed).otherwise(data))
+    return decode_parts(part).groupBy("type").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.size("files")).cast("long").alias("files"),
+        F.sum(F.length("input_json")).cast("long").alias("input_chars"),
+        F.sum(F.col("has_state").cast("int")).cast("long").alias("states"))
+
+
+_ODD_SQL = {
+    "malformed": ("n % 5 <> 0", "n % 5 <> 0"),
+    "mistyped": ("true", "n % 5 <> 0"),
+    "other": ("n % 5 <> 0", "n % 5 <> 0"),
+}
+
+
+def _odd_parts_sql(case):
+    """Counts over the normalised parts; changed rows are gone or have lost their odd fields."""
+    kept, whole = _ODD_SQL[case]
+    return f"""{O.history_ctes(('evt',))},
+p AS (SELECT *, regexp_extract(message_id, '([0-9]+)$', 1)::BIGINT AS n FROM parts)
+SELECT type, count(*) AS n, sum(CASE WHEN {whole} THEN len(files) END)::BIGINT AS files,
+       sum(CASE WHEN {whole} THEN length(input_json) WHEN type = 'tool' THEN 2 END)::BIGINT AS input_chars,
+       sum((type = 'tool')::INT)::BIGINT AS states
+FROM p WHERE {kept} GROUP BY type"""
+
+
 def q_date_filter_month(spark, sf_dir):
     s = _hist(spark, sf_dir, ("conv", "page")).sessions.withColumnRenamed("updated_ms", "timestamp")
     return filter_by_date(s, parse_date_filter("2024-02"))
@@ -152,8 +205,12 @@ _KEYWORD = {
     "keyword_all_sources": dict(query="at", sources=ALL, limit=50),
     "keyword_documents": dict(query="tion", sources=("doc",), limit=50),
     "keyword_documents_regex": dict(query="ver[a-z]+ung", sources=("doc",), regex=True, limit=40),
+    "keyword_regex_dialect": dict(query=r'[{[]"k":\s*"?1[^]*}$', sources=("evt",), regex=True, limit=45),
+    "keyword_default_limit": dict(query="e", sources=("conv",), limit=None),
     "keyword_documents_role": dict(query="keit", sources=("doc",), role="assistant", limit=30),
 }
+#: The same pattern in the SQL engine's dialect, where that differs.
+_SQL_PATTERNS = {"keyword_regex_dialect": r'[{\[]"k":\s*"?1[\s\S]*\}\z'}
 _KEYWORD_DATE = {
     "keyword_limit_then_date": (dict(query="the", sources=("conv",), limit=40),
                                 "2024-01-04",
@@ -164,13 +221,9 @@ _FUZZY = {
     "fuzzy_topk": dict(query="reaument", threshold=0.25, limit=10, role="user", sources=("conv",)),
     "fuzzy_default_threshold": dict(query="whenever", limit=50, sources=("conv",)),
     "fuzzy_paths": dict(query="shared.ts", threshold=0.2, limit=40, sources=("evt",)),
-    "fuzzy_no_match": dict(query="qwertyuiop", threshold=0.1, limit=5, sources=("conv",)),
-}
-# Whole documents (up to 10^5 characters each): the SQL brute force takes minutes
-# here, so this one has no SQL statement; tests/test_documents.py checks it
-# against whole-text scoring on the smallest tables instead.
-_FUZZY_NO_SQL = {
+    "fuzzy_default_limit": dict(query="the", limit=None, sources=("conv",), role="user"),
     "fuzzy_documents": dict(query="reaument", threshold=0.25, limit=20, sources=("doc",)),
+    "fuzzy_no_match": dict(query="qwertyuiop", threshold=0.1, limit=5, sources=("conv",)),
 }
 _TRACE = {
     "trace_exact": dict(path="src/f12.ts"),
@@ -179,6 +232,7 @@ _TRACE = {
     "trace_shared_patch_only": dict(path="src/shared.ts", limit=100),
     "trace_first_touch_all": dict(path="shared.ts", limit=5000),
     "trace_prompt_asof": dict(path="src/f7.ts", limit=100000),
+    "trace_default_limit": dict(path="shared.ts", limit=None),
     "trace_first_touch": dict(path="f7.ts", project_id="proj_2", limit=3),
 }
 
@@ -189,6 +243,7 @@ def _fz(spark, sf_dir, *, query, threshold=None, limit=50, role=None, project_id
 
 
 def _fz_sql(*, query, threshold=None, limit=50, role=None, project_id=None, sources=ALL):
+    limit = 50 if limit is None else limit
     t = 0.4 if threshold is None else threshold
     m = len(query)
     k = min(allowed_errors(m, t), m - MIN_MATCH_CHARS)
@@ -229,13 +284,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "date_filter_relative": q_date_filter_relative,
         "date_filter_month": q_date_filter_month,
     }
+    for name, (form, _, _) in _DATE_FORMS.items():
+        out[name] = partial(_date_form, form=form)
+    out["json_malformed_skipped"] = partial(_odd_parts, case="malformed")
+    out["json_mistyped_kept"] = partial(_odd_parts, case="mistyped")
+    out["part_type_whitelist"] = partial(_odd_parts, case="other")
     for name, kw in _KEYWORD.items():
         out[name] = partial(_kw, **kw)
     for name, (kw, date, _) in _KEYWORD_DATE.items():
         out[name] = partial(_kw, date=date, **kw)
     for name, kw in _TRACE.items():
         out[name] = partial(_trace, **kw)
-    for name, kw in {**_FUZZY, **_FUZZY_NO_SQL}.items():
+    for name, kw in _FUZZY.items():
         out[name] = partial(_fz, **kw)
     out["items_build"] = q_items_build
     out["items_paths"] = q_items_paths
@@ -271,15 +331,22 @@ def oracle_sql() -> dict[str, str]:
                              "created_ms, updated_ms AS timestamp FROM sessions WHERE updated_ms BETWEEN "
                              "epoch_ms(TIMESTAMP '2024-02-01 00:00:00') AND epoch_ms(TIMESTAMP '2024-02-29 23:59:59.999')",
     }
+    for name, (_, lo, hi) in _DATE_FORMS.items():
+        out[name] = (f"{O.history_ctes(('evt',))} SELECT message_id, session_id, project_id, role, agent, created_ms "
+                     f"AS timestamp FROM messages WHERE created_ms BETWEEN epoch_ms(TIMESTAMP '{lo}') AND "
+                     f"epoch_ms(TIMESTAMP '{hi}')")
+    out["json_malformed_skipped"] = _odd_parts_sql("malformed")
+    out["json_mistyped_kept"] = _odd_parts_sql("mistyped")
+    out["part_type_whitelist"] = _odd_parts_sql("other")
     for name, kw in _KEYWORD.items():
-        out[name] = _kw_sql(**kw)
+        out[name] = _kw_sql(**{**kw, "limit": kw["limit"] or 50, "query": _SQL_PATTERNS.get(name, kw["query"])})
     for name, (kw, _, bounds) in _KEYWORD_DATE.items():
         out[name] = _kw_sql(date_bounds=bounds, **kw)
     for name, kw in _TRACE.items():
-        out[name] = O.trace_sql(kw["path"], kw.get("limit", 50), ("evt",), kw.get("project_id"))
+        out[name] = O.trace_sql(kw["path"], kw.get("limit") or 50, ("evt",), kw.get("project_id"))
     for name, kw in _FUZZY.items():
         out[name] = _fz_sql(**kw)
-    out["items_build"] = O.items_sql(PATH_TOKEN)
+    out["items_build"] = O.items_sql(PATH_TOKEN, ALL)
     out["items_paths"] = (f"{O.history_ctes(('page',))},\n{O.items_cte(PATH_TOKEN)}\n"
                           f"SELECT *, {O.N_WORDS_SQL} FROM items WHERE match_type = 'filepath' AND k_slot = 2")
     out["unified_trace_date"] = O.trace_sql("f12.ts", 50, ("evt",), None,

@@ -55,6 +55,8 @@ def _months_back_overflowing(d: date, n: int) -> date:
     """Move ``d`` back ``n`` months keeping the day number and letting it
     overflow into the next month (31 Mar - 1 month = 2 Mar in 2024)."""
     idx = d.year * 12 + (d.month - 1) - n
+    if idx < 12:
+        return date.min
     first = date(idx // 12, idx % 12 + 1, 1)
     return first + timedelta(days=d.day - 1)
 
@@ -90,10 +92,10 @@ def parse_date_filter(text: str, now: datetime | None = None,
     m = _RELATIVE.match(norm)
     if m:
         n, unit = int(m.group(1)), m.group(2)
-        if unit == "day":
-            start = today - timedelta(days=n)
-        elif unit == "week":
-            start = today - timedelta(days=7 * n)
+        # Counts that reach before the first date mean all of the past.
+        days = {"day": n, "week": 7 * n}.get(unit)
+        if days is not None:
+            start = today - timedelta(days=days) if days < today.toordinal() else date.min
         else:
             start = _months_back_overflowing(today, n)
         return DateRange(_ms(_start_of(start, tz)), _ms(now))

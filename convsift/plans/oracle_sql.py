@@ -406,7 +406,7 @@ def fuzzy_sql(query: str, max_dist: int, limit: int, path_token: str, sources=("
               role: str | None = None, project_id: str | None = None,
               corpus_range: tuple[str, str] | None = None) -> str:
     """Brute force: Levenshtein of the query against every substring of
-    length m-k … m+k of every item.  Non-ASCII characters of the lower-cased
+    length m-k … m+k of every item, block by block of start positions.  Non-ASCII characters of the lower-cased
     text become one placeholder byte (DuckDB's distance counts bytes), which
     keeps positions and distances for an ASCII query."""
     q = query.lower()
@@ -425,9 +425,12 @@ it AS (SELECT *, coalesce(part_id, '') AS pk,
               regexp_replace(lower(content), '[^\\x00-\\x7F]', chr(1), 'g') AS lc,
               len(list_filter(string_split(content, ' '), lambda w: w <> '')) AS n_words
        FROM items WHERE {' AND '.join(filt)}),
-cand AS (SELECT {keys}, s, levenshtein({sql_str(q)}, substring(lc, s, L)) AS d
-         FROM it, range(1, length(lc) + 1) r(s), range({m - k}, {m + k + 1}) w(L)
-         WHERE s + L - 1 <= length(lc)),
+win AS (SELECT {keys}, o, substring(lc, o + 1, {255 + m + k}) AS wt
+        FROM it, range(0, length(lc), 256) r(o)),
+cand AS (SELECT * FROM (
+           SELECT {keys}, o + s AS s, levenshtein({sql_str(q)}, substring(wt, s, L)) AS d
+           FROM win, range(1, least(256, length(wt)) + 1) r(s), range({m - k}, {m + k + 1}) w(L)
+           WHERE s + L - 1 <= length(wt)) WHERE d <= {k}),
 dmin AS (SELECT {keys}, min(d) AS dist FROM cand GROUP BY ALL),
 best AS (SELECT c.session_id, c.k_phase, c.pk, c.k_slot, c.k_ord, min(c.d) AS dist, min(c.s) - 1 AS start
          FROM cand c JOIN dmin USING ({keys}) WHERE c.d = dmin.dist GROUP BY ALL),
