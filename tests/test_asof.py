@@ -32,3 +32,12 @@ def test_hot_group_is_split(spark):
     b = _with_bucket(df, hot, "g", "t")
     per = {r.g: r.n for r in b.groupBy("g").agg(F.countDistinct("_b").alias("n")).collect()}
     assert per["cold"] == 1 and per["hot"] >= 10
+
+
+def test_outlier_does_not_undo_the_split(spark):
+    from convsift.operators.asof import _hot_groups, _with_bucket
+    rows = [("hot", 0)] + [("hot", 10_000_000 + t) for t in range(2000)]
+    df = spark.createDataFrame(rows, "g string, t long")
+    hot = _hot_groups(df, df.withColumnRenamed("t", "_t"), "g", "t", 400, False)
+    sizes = [r["count"] for r in _with_bucket(df, hot, "g", "t").groupBy("_b").count().collect()]
+    assert sum(sizes) == 2001 and max(sizes) <= 2 * 400

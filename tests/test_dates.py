@@ -55,3 +55,9 @@ def test_filter_inclusive_bounds(spark):
     assert ids(parse_date_filter("2024-02")) == ["4"]
     assert ids(parse_date_filter("2023-01")) == []
     assert filter_by_date(df, None).count() == 4
+
+
+@pytest.mark.parametrize("text", ["last 99999999 days", "last 99999999999 weeks", "last 99999 months"])
+def test_counts_beyond_the_calendar_mean_all_of_the_past(text):
+    r = parse_date_filter(text, now=NOW)
+    assert r.start_ms < ms("0002-01-01T00:00:00") and r.end_ms == ms("2024-03-31T15:45:10")

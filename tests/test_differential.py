@@ -1,11 +1,8 @@
-"""Spark operators against a plain-Python walk of the same history.
-
-The walk follows the reference's loops literally (sessions newest-updated
-first, messages and parts oldest first, first N matches, stable newest-first
-sort; trace: dedupe / earliest / latest earlier prompt) on small random
-histories whose times span several days, so ties, limits and the as-of
-lookup across time buckets are all exercised.  Ties the reference leaves
-open are broken by id, as documented.
+"""Spark operators against brute force over the same small random histories.
+
+Keyword: every match of every row is listed with its walk key (SURVEY §2: O1,
+O2, O4), sorted, the first N taken and shown newest first.  Times collide and
+span days, so ties, limits and the as-of lookup across buckets are exercised.
 """
 
 import json
@@ -18,7 +15,7 @@ from convsift.functions.patterns import build_matcher
 from convsift.operators.keyword import search_keyword
 from convsift.operators.trace import trace_file
 from convsift.sources.tables import normalise_tables
-import fixture_data as fx
+import history_data as fx
 
 WORDS = ["alpha", "beta", "Gamma", "delta", "storage", "Store", "auth", "login", "the", "pool"]
 PATHS = ["src/a.ts", "src/b.ts", "lib/a.ts", "a.ts", "src/deep/b.ts"]
@@ -62,54 +59,40 @@ def random_history(seed):
 
 # ------------------------------------------------------------ walk oracles
 
-def walk_keyword(sessions, messages, parts, query, limit, role=None, project=None):
-    pat = re.compile(re.escape(query), re.IGNORECASE)
-    out = []
-    ss = sorted((s for s in sessions if project is None or s[1] == project), key=lambda s: (-s[7], s[0]))
-    for s in ss:
-        if len(out) >= limit:
-            break
-        sid, _, _, directory, title = s[0], s[1], s[2], s[3], s[4]
-        row = lambda ts, mt, ex, cx, mid=None, pid=None: (sid, title, ts, mt, ex, cx, mid, pid, directory)  # noqa
-        if pat.search(title):
-            out.append(row(s[7], "title", title, title))
-        for m in sorted((m for m in messages if m[1] == sid), key=lambda m: (m[2], m[0])):
-            if len(out) >= limit:
-                break
-            md = json.loads(m[4])
-            if role and md["role"] != role:
-                continue
-            for p in sorted((p for p in parts if p[1] == m[0]), key=lambda p: (p[3], p[0])):
-                if len(out) >= limit:
-                    break
-                d = json.loads(p[5])
-                if d["type"] == "text" and d.get("text") and pat.search(d["text"]):
-                    t = d["text"]
-                    mm = pat.search(t).group(0)
-                    i = t.index(mm)
-                    out.append(row(m[2], "message", mm, t[max(0, i - 100):min(len(t), i + len(mm) + 100)], m[0], p[0]))
-                    if len(out) >= limit:
-                        break
-                if d["type"] == "tool" and d.get("tool") and pat.search(d["tool"]):
-                    out.append(row(m[2], "tool", d["tool"], d["state"].get("title") or d["tool"], m[0], p[0]))
-                    if len(out) >= limit:
-                        break
-                if d["type"] == "tool" and d.get("state"):
-                    ins = json.dumps(d["state"].get("input") or {}, separators=(",", ":"))
-                    outs = d["state"].get("output") or ""
-                    hit = pat.search(ins) or pat.search(outs)
-                    if hit:
-                        out.append(row(m[2], "filepath", hit.group(0),
-                                       d["state"].get("title") or d.get("tool") or "", m[0], p[0]))
-                        if len(out) >= limit:
-                            break
-                if d["type"] == "patch" and d.get("files"):
-                    for f in d["files"]:
-                        if len(out) >= limit:
-                            break
-                        if pat.search(f):
-                            out.append(row(m[2], "filepath", f, f"Modified file: {f}", m[0], p[0]))
-    return sorted(out, key=lambda r: -r[2])
+def part_matches(d, hit):
+    """(slot, order, type, excerpt, context) of every match of one part."""
+    def around(text):
+        word = hit(text).group()
+        i = text.index(word)
+        return word, text[max(0, i - 100):i + len(word) + 100]
+
+    found = []
+    if d["type"] == "text" and hit(d["text"]):
+        found.append((1, 0, "message", *around(d["text"])))
+    if d["type"] == "tool":
+        label = d["state"]["title"] or d["tool"]
+        texts = [json.dumps(d["state"]["input"], separators=(",", ":")), d["state"]["output"]]
+        if hit(d["tool"]):
+            found.append((2, 0, "tool", d["tool"], label))
+        found += [(3, 0, "filepath", hit(t).group(), label) for t in texts if hit(t)][:1]
+    if d["type"] == "patch":
+        found += [(4, i, "filepath", f, "Modified file: " + f) for i, f in enumerate(d["files"]) if hit(f)]
+    return found
+
+
+def brute_keyword(sessions, messages, parts, query, limit, role=None, project=None):
+    hit = re.compile(re.escape(query), re.IGNORECASE).search
+    session = {s[0]: s for s in sessions if project in (None, s[1])}
+    message = {m[0]: m for m in messages if m[1] in session and role in (None, json.loads(m[4])["role"])}
+    found = [((-s[7], s[0], 0), s[7], s, "title", s[4], s[4], None, None) for s in session.values() if hit(s[4])]
+    for p in parts:
+        if p[1] in message:
+            m = message[p[1]]
+            s = session[m[1]]
+            found += [((-s[7], s[0], 1, m[2], m[0], p[3], p[0], slot, i), m[2], s, kind, ex, cx, m[0], p[0])
+                      for slot, i, kind, ex, cx in part_matches(json.loads(p[5]), hit)]
+    first = sorted(found, key=lambda f: f[0])[:limit]
+    return [(s[0], s[4], t, kind, ex, cx, mid, pid, s[3]) for _, t, s, kind, ex, cx, mid, pid in sorted(first, key=lambda f: -f[1])]
 
 
 def walk_trace(sessions, messages, parts, query, limit=50, project=None):
@@ -149,7 +132,7 @@ def walk_trace(sessions, messages, parts, query, limit=50, project=None):
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
-def test_keyword_matches_walk(spark, seed):
+def test_keyword_matches_brute_force(spark, seed):
     s, m, p = random_history(seed)
     h = normalise_tables(spark.createDataFrame(s, fx.SESSION_COLS), spark.createDataFrame(m, fx.MESSAGE_COLS),
                          spark.createDataFrame(p, fx.PART_COLS))
@@ -157,7 +140,7 @@ def test_keyword_matches_walk(spark, seed):
                                         ("a.ts", 50, None, "p1"), ("GAMMA", 12, "assistant", None)]:
         got = [tuple(r) for r in search_keyword(h, build_matcher(query, spark=spark), limit=limit,
                                                 role=role, project_id=project).collect()]
-        want = walk_keyword(s, m, p, query, limit, role, project)
+        want = brute_keyword(s, m, p, query, limit, role, project)
         assert got == want, (seed, query)
 
 

@@ -1,115 +1,97 @@
 import pytest
 from pyspark.sql import functions as F
 
-from convsift.functions.dates import parse_date_filter, filter_by_date
-from convsift.functions.patterns import build_matcher
-from convsift.model import History
+from convsift.functions.dates import filter_by_date, parse_date_filter
+from convsift.functions.patterns import build_matcher, translate_js_regex
+from convsift.operators import keyword as kwd
 from convsift.operators.keyword import search_keyword
-from fixture_data import P1, P2, search_history
+from history_data import HOUSE, ORCHARD, history
 
 
 @pytest.fixture(scope="module")
 def hist(spark):
-    h = search_history(spark)
-    return History(h.sessions.cache(), h.messages.cache(), h.parts.cache())
+    return history(spark)
 
 
-def kw(spark, hist, q, **opts):
-    regex = opts.pop("regex", False)
-    cs = opts.pop("case_sensitive", False)
-    m = build_matcher(q, regex=regex, case_sensitive=cs, spark=spark)
+def find(spark, hist, query, regex=False, case_sensitive=False, **opts):
+    m = build_matcher(query, regex=regex, case_sensitive=case_sensitive, spark=spark)
     return [r.asDict() for r in search_keyword(hist, m, **opts).collect()]
 
 
-def test_finds_title_match(spark, hist):
-    r = kw(spark, hist, "storage", limit=5, project_id=P1)
-    assert r and any(x["match_type"] == "title" and "storage" in x["session_title"] for x in r)
+def kinds(found):
+    return sorted((r["match_type"], r["excerpt"], r["context"]) for r in found)
 
 
-def test_case_insensitive_by_default(spark, hist):
-    assert len(kw(spark, hist, "storage", limit=5, project_id=P1)) == len(kw(spark, hist, "STORAGE", limit=5, project_id=P1))
+def test_titles(spark, hist):
+    assert [r["session_title"] for r in find(spark, hist, "irrigation") if r["match_type"] == "title"] == ["Irrigation for the trees"]
+    assert find(spark, hist, "irrigation", project_id=HOUSE) == []
 
 
-def test_case_sensitive(spark, hist):
-    assert kw(spark, hist, "STORAGE", limit=5, case_sensitive=True, project_id=P1) == []
+def test_case(spark, hist):
+    assert find(spark, hist, "VALVE") and len(find(spark, hist, "VALVE")) == len(find(spark, hist, "valve"))
+    assert find(spark, hist, "VALVE", case_sensitive=True) == []
 
 
-def test_limit_and_scan_order(spark, hist):
-    # First N of the walk (sessions newest-updated first), then newest first.
-    full = kw(spark, hist, "the", limit=50)
-    two = kw(spark, hist, "the", limit=2)
-    assert len(two) == 2
-    # the walk visits ses_006 (updated last) first: its message matches "the"
-    assert {x["session_id"] for x in two} <= {"ses_006", "ses_004"}
-    assert len(full) > 2
-
-
-def test_regex(spark, hist):
-    assert kw(spark, hist, "stor.*ge", regex=True, limit=5, project_id=P1)
-
-
-def test_no_match(spark, hist):
-    assert kw(spark, hist, "nonexistent-xyz-123", limit=5) == []
-
-
-def test_patch_filepath(spark, hist):
-    r = kw(spark, hist, "helpers.ts", limit=5, project_id=P1)
-    fp = [x for x in r if x["match_type"] == "filepath"]
-    assert fp and fp[0]["excerpt"] == "src/utils/helpers.ts"
-    assert fp[0]["context"] == "Modified file: src/utils/helpers.ts"
+def test_message_excerpt_and_context(spark, hist):
+    (r,) = [x for x in find(spark, hist, "thermoCOUPLE") if x["match_type"] == "message"]
+    assert r["excerpt"] == "thermocouple" and r["project_directory"] == "/srv/orchard"
+    assert r["context"].startswith("Reuse the greenhouse code") and r["context"].endswith("come hourly.")
 
 
-def test_tool_io_and_name(spark, hist):
-    r = kw(spark, hist, "pool.ts", limit=50, project_id=P2)
-    kinds = sorted((x["match_type"], x["excerpt"], x["context"]) for x in r)
-    assert ("filepath", "pool.ts", "Write connection pool") in kinds          # tool input/output
-    assert ("filepath", "src/db/pool.ts", "Modified file: src/db/pool.ts") in kinds  # patch
-    r = kw(spark, hist, "write", limit=50, project_id=P2)
-    assert ("tool", "write", "Write connection pool") in [(x["match_type"], x["excerpt"], x["context"]) for x in r]
+def test_tools_and_patches(spark, hist):
+    found = kinds(find(spark, hist, "quiet", project_id=HOUSE))
+    assert found == [("filepath", "lib/quiet.py", "Modified file: lib/quiet.py")]
+    found = kinds(find(spark, hist, "toml"))
+    assert ("filepath", "toml", "Pump settings") in found and ("filepath", "conf/pump.toml", "Modified file: conf/pump.toml") in found
+    assert ("tool", "grep", "Look for callers") in kinds(find(spark, hist, "grep"))
 
 
-def test_message_excerpt_and_context(spark, hist):
-    r = kw(spark, hist, "IndexedDB", limit=50)
-    msg = [x for x in r if x["match_type"] == "message"]
-    assert len(msg) == 1 and msg[0]["excerpt"] == "IndexedDB"
-    assert msg[0]["context"] == "I'll help you create a storage module with localStorage and IndexedDB support."
-    assert msg[0]["project_directory"] == "/mock/project"
+def test_first_matches_of_the_walk(spark, hist):
+    # The walk starts at the session updated last.
+    assert {r["session_id"] for r in find(spark, hist, "valve", limit=2)} == {"s-trees"}
+    times = [r["timestamp"] for r in find(spark, hist, "e")]
+    assert times == sorted(times, reverse=True)
 
 
-def test_role_filter_keeps_titles(spark, hist):
-    r = kw(spark, hist, "storage", limit=50, role="assistant")
-    assert any(x["match_type"] == "title" for x in r)
-    assert all(x["message_id"] in (None, "msg_002") for x in r)
+def test_role(spark, hist):
+    found = find(spark, hist, "valve", role="user")
+    assert {r["match_type"] for r in found} == {"title", "message"}
+    assert {r["message_id"] for r in found} == {None, "s-audit-m0"}
 
 
-def test_global_and_sorted_newest_first(spark, hist):
-    r = kw(spark, hist, "e", limit=50)
-    assert {x["project_directory"] for x in r} == {"/mock/project", "/mock/other-project"}
-    ts = [x["timestamp"] for x in r]
-    assert ts == sorted(ts, reverse=True)
+def test_limits(spark, hist):
+    assert len(find(spark, hist, "e", limit=0)) == len(find(spark, hist, "e")) == min(50, len(find(spark, hist, "e", limit=500)))
+    with pytest.raises(ValueError):
+        find(spark, hist, "e", limit=-2)
 
 
-def test_limit_zero_means_default(spark, hist):
-    assert len(kw(spark, hist, "e", limit=0)) == len(kw(spark, hist, "e", limit=50))
+def test_date_after_or_before_the_limit(spark, hist):
+    m, day = build_matcher("the", spark=spark), parse_date_filter("2025-05-05")
+    assert filter_by_date(search_keyword(hist, m, limit=1), day).count() == 0
+    assert search_keyword(hist, m, limit=1, corpus_range=day).count() == 1
 
 
-def test_limit_then_date(spark, hist):
-    m = build_matcher("the", spark=spark)
-    res = search_keyword(hist, m, limit=1)
-    rng = parse_date_filter("2024-01-30")
-    # the single first match lies on 2024-02-04 (ses_006), so filtering after the limit leaves none,
-    # while scoping the corpus first finds the 2024-01-30 messages that contain "the"
-    assert filter_by_date(res, rng).count() == 0
-    assert search_keyword(hist, m, limit=1, corpus_range=rng).count() == 1
+def test_long_texts_do_not_travel(spark, hist, monkeypatch):
+    for query, regex in (("the", False), ("soil.*dry", True), ("lib", False), ("^Re[a-z]+", True)):
+        whole = find(spark, hist, query, regex=regex)
+        monkeypatch.setattr(kwd, "CARRIED_CHARS", 5)
+        assert find(spark, hist, query, regex=regex) == whole and whole
+        monkeypatch.undo()
 
 
-def test_invalid_regex_raises_before_job(spark):
+def test_invalid_regex_raises_before_any_job(spark):
     with pytest.raises(ValueError):
         build_matcher("a(b", regex=True, spark=spark)
 
 
-def test_js_dollar_means_end_of_input(spark, hist):
-    # Java "$" would also match before a final newline; JavaScript's does not.
-    df = spark.createDataFrame([("abc\n",), ("abc",)], "t string")
-    m = build_matcher("abc$", regex=True, spark=spark)
-    assert [r.t for r in df.where(m.test(F.col("t"))).collect()] == ["abc"]
+@pytest.mark.parametrize("pattern,hits,misses", [
+    ("abc$", ["abc"], ["abc\n"]), ("interface {", ["interface { x"], ["interface"]), (r"foo\(\) {", ["foo() {"], ["foo()"]),
+    ("x{2}y", ["xxy"], ["xy", "x{2}y"]), ("x{,2}", ["x{,2}"], ["xx"]), ("[[]", ["a[b"], ["ab"]), ("a[^]b", ["a\nb", "axb"], ["ab"]),
+    ("[a&&b]c", ["&c", "ac", "bc"], ["xc"]), (r"a\sb", ["a b", "a b", "a﻿b", "a b"], ["ab"]),
+    (r"a\Sb", ["axb"], ["a b"]), (r"[\s,]b", [" b", ",b"], ["xb"]), (r"\Qx", ["Qx"], ["x"]), (r"a\zb", ["azb"], ["a"]),
+    (r"\h", ["h"], [" "]), (r"a\vb", ["a\x0bb"], ["a\nb"]), ("a.b", ["a\u0085b"], ["a\nb", "a b"]), ("[]", [], ["", "a"]),
+    (r"A\x42", ["AB"], ["u0041"]), (r"[\]]", ["]"], ["a"]), ("[a-c^]d", ["^d", "bd"], ["d"]), (r"\d+\.\w", ["12.a"], ["12a"])])
+def test_javascript_dialect(spark, pattern, hits, misses):
+    m = build_matcher(pattern, regex=True, spark=spark)
+    df = spark.createDataFrame([(t,) for t in hits + misses], "t string")
+    assert {r.t for r in df.where(m.test(F.col("t"))).collect()} == set(hits), translate_js_regex(pattern)

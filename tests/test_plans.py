@@ -11,7 +11,7 @@ from convsift.operators.fuzzy import search_fuzzy
 from convsift.operators.keyword import search_keyword
 from convsift.operators.trace import trace_file, trace_files
 from convsift.sources.history import load_history, write_history
-from fixture_data import search_history, trace_history
+from history_data import HOUSE, history
 
 
 def plan(df):
@@ -24,17 +24,12 @@ def plan(df):
 @pytest.fixture(scope="module")
 def pq(spark):
     out = tempfile.mkdtemp(prefix="convsift-plans-")
-    h = search_history(spark)
-    t = trace_history(spark)
-    from convsift.model import History
-    both = History(h.sessions.unionByName(t.sessions), h.messages.unionByName(t.messages),
-                   h.parts.unionByName(t.parts))
-    write_history(both, out, partitions=2)
+    write_history(history(spark), out, partitions=2)
     return load_history(spark, out)
 
 
 def test_keyword_is_one_parts_scan_and_top_n(spark, pq):
-    df = search_keyword(pq, build_matcher("storage", spark=spark), limit=10, project_id="mock-project-123")
+    df = search_keyword(pq, build_matcher("valve", spark=spark), limit=10, project_id=HOUSE)
     p = plan(df)
     assert "TakeOrderedAndProject" in p
     head = p.split("\n\n")[0]
@@ -42,17 +37,17 @@ def test_keyword_is_one_parts_scan_and_top_n(spark, pq):
     assert "Exchange" not in head                   # no shuffle: top-N and a single-partition sort
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
     formatted = p
-    assert "PushedFilters: [IsNotNull(project_id), EqualTo(project_id,mock-project-123)" in formatted
+    assert "PushedFilters: [IsNotNull(project_id), EqualTo(project_id,greenhouse)" in formatted
 
 
 def test_fuzzy_uses_arrow_udf_and_top_n(spark, pq):
-    p = plan(search_fuzzy(pq, "storage", threshold=0.3, limit=5))
+    p = plan(search_fuzzy(pq, "valve", threshold=0.3, limit=5))
     assert "ArrowEvalPython" in p and "TakeOrderedAndProject" in p
     assert "BatchEvalPython" not in p          # no row-at-a-time Python
 
 
 def test_trace_has_no_pairwise_join(spark, pq):
-    for df in (trace_file(pq, "src/auth.ts"),
-               trace_files(pq, spark.createDataFrame([("auth.ts",), ("src/config.ts",)], "query string"))):
+    for df in (trace_file(pq, "lib/valve.py"),
+               trace_files(pq, spark.createDataFrame([("valve.py",), ("conf/pump.toml",)], "query string"))):
         p = plan(df)
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p

@@ -1,6 +1,5 @@
-"""The unified entry and the command line (the tool's argument surface)."""
+"""The unified entry and the command line."""
 
-import tempfile
 from datetime import datetime, timezone
 
 import pytest
@@ -8,84 +7,63 @@ import pytest
 from convsift.__main__ import main
 from convsift.plans.search import search, search_report
 from convsift.sources.history import write_history
-import fixture_data as fx
+import history_data as data
 
 
 @pytest.fixture(scope="module")
 def hist(spark):
-    return fx.search_history(spark)
+    return data.history(spark)
 
 
 @pytest.fixture(scope="module")
-def stored(spark):
-    out = tempfile.mkdtemp(prefix="convsift-cli-")
-    write_history(fx.trace_history(spark), out, partitions=2)
+def stored(hist, tmp_path_factory):
+    out = str(tmp_path_factory.mktemp("stored"))
+    write_history(hist, out, partitions=2)
     return out
 
 
-def test_requires_query_or_path(hist):
+def test_needs_query_or_path(hist, stored):
     with pytest.raises(ValueError, match="Either 'query' or 'filePath' must be provided"):
         search(hist, query="", file_path="")
+    assert main(["--history", stored]) == 2
 
 
-def test_rejects_unknown_mode_and_scope(hist):
-    with pytest.raises(ValueError):
-        search(hist, query="x", mode="semantic")
+@pytest.mark.parametrize("wrong", [{"mode": "semantic"}, {"date_scope": "both"}, {"limit": -1}])
+def test_wrong_arguments(hist, wrong):
     with pytest.raises(ValueError):
-        search(hist, query="x", date_scope="both")
+        search(hist, query="valve", **wrong)
 
 
-def test_path_wins_over_query(spark):
-    h = fx.trace_history(spark)
-    r = search(h, query="anything at all", file_path="src/config.ts", mode="fuzzy")
-    assert r.columns[:2] == ["session_id", "session_title"] and "first_touch" in r.columns
-    assert [x.session_id for x in r.collect()] == ["ses_f"]
+def test_path_wins_over_query(hist):
+    r = search(hist, query="anything", file_path="conf/pump.toml", mode="fuzzy")
+    assert "first_touch" in r.columns and [x.session_id for x in r.collect()] == ["s-setup"]
 
 
-def test_future_date_gives_nothing(hist):
-    now = datetime(2030, 1, 1, tzinfo=timezone.utc)
+def test_dates_to_come_find_nothing(hist):
+    now = datetime(2031, 1, 1, tzinfo=timezone.utc)
     assert search(hist, query="the", date="today", now=now).count() == 0
-    assert search_report(hist, query="the", date="2029-12", now=now) == \
-        "No matches found in conversation history."
+    assert search_report(hist, query="the", date="2030-12", now=now) == "No matches found in conversation history."
 
 
-def test_fuzzy_through_entry(hist):
-    r = search(hist, query="autentication", mode="fuzzy", fuzzy_threshold=0.4, limit=5).collect()
-    assert r and r[0].session_id == "ses_002"
+def test_modes(hist):
+    assert search(hist, query="irigation", mode="fuzzy", fuzzy_threshold=0.3).first().session_id == "s-trees"
+    assert search(hist, query="s.il", regex=True).first().session_id == "s-valve"
 
 
-def test_cli_trace_report(stored, capsys):
-    assert main(["--history", stored, "--file-path", "auth.ts", "--project-id", "proj_main",
-                 "--limit", "2"]) == 0
-    out = capsys.readouterr().out
-    assert out.startswith("Found 2 file trace matches in conversation history:")
-    assert "- Session ID: ses_d" in out and "- Status: Later touch" in out
+def test_limit_zero(hist):
+    assert search(hist, file_path="valve.py", limit=0).count() == 0
+    assert search(hist, query="valve", mode="fuzzy", limit=0).count() == 0
+    assert search(hist, query="valve", limit=0).count() == search(hist, query="valve", limit=50).count() > 0
+    assert search_report(hist, file_path="valve.py", limit=0) == "No file trace matches found in conversation history."
 
 
-def test_cli_keyword_report(stored, capsys):
-    assert main(["--history", stored, "--query", "rate", "--limit", "3"]) == 0
-    assert "- Match Type:" in capsys.readouterr().out
-
-
-def test_cli_needs_query_or_path(stored):
-    assert main(["--history", stored]) == 2
-
-
-def test_cli_json_tree_fuzzy(capsys, tmp_path):
-    root = str(tmp_path / "tree")
-    fx.write_json_tree(root, fx.SEARCH_SESSIONS, fx.SEARCH_MESSAGES, fx.SEARCH_PARTS)
-    assert main(["--history", root, "--layout", "json_tree", "--query", "autentication",
-                 "--mode", "fuzzy", "--fuzzy-threshold", "0.4", "--limit", "3"]) == 0
+def test_command_line(stored, capsys, tmp_path):
+    assert main(["--history", stored, "--file-path", "valve.py", "--project-id", data.HOUSE, "--limit", "2"]) == 0
     out = capsys.readouterr().out
-    assert out.startswith("Found ") and "- Session ID: ses_002" in out
-
-
-def test_limit_zero_semantics(spark):
-    h = fx.trace_history(spark)
-    assert search(h, file_path="src/auth.ts", limit=0).count() == 0
-    assert search(h, query="auth", mode="fuzzy", limit=0).count() == 0
-    assert search(h, query="auth", limit=0).count() == search(h, query="auth", limit=50).count() > 0
-    assert search_report(h, file_path="src/auth.ts", limit=0) == \
-        "No file trace matches found in conversation history."
-    with pytest.raises(ValueError):
-        search(h, query="auth", limit=-1)
+    assert out.startswith("Found 2 file trace matches") and "- Session ID: s-drip" in out and "- Status: Later touch" in out
+    assert main(["--history", stored, "--query", "pump", "--limit", "3"]) == 0
+    assert "- Match Type:" in capsys.readouterr().out
+    data.write_tree(str(tmp_path), data.SESSIONS, data.MESSAGES, data.PARTS)
+    assert main(["--history", str(tmp_path), "--layout", "json_tree", "--query", "irigation", "--mode", "fuzzy",
+                 "--fuzzy-threshold", "0.3", "--limit", "3"]) == 0
+    assert "- Session ID: s-trees" in capsys.readouterr().out

@@ -1,152 +1,131 @@
 import os
-import tempfile
 
 import pytest
+from pyspark.sql import Observation
 
 from convsift.functions.patterns import build_matcher
 from convsift.operators.keyword import search_keyword
+from convsift.operators.report import trace_entries, write_report
 from convsift.operators.trace import trace_file
 from convsift.plans.search import search, search_report
 from convsift.sources.history import load_history, write_history
 from convsift.sources.tables import normalise_tables
 from convsift.sources.tree import read_json_tree
-import fixture_data as fx
+import history_data as data
+from history_data import compact
 
 
 def rows(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
 
 
+def decoded(spark, parts, message='{"role":"assistant"}'):
+    """Parts of one message, from (id, payload) pairs."""
+    return normalise_tables(*data.frames(spark, (
+        [("one", "p", "x", "/d", "t", "2", 1, 2)], [("m", "one", 5, 5, message), ("torn", "one", 6, 6, "{role")],
+        [(i, "m", "one", 6 + k, 6 + k, body) for k, (i, body) in enumerate(parts)])))
+
+
 @pytest.fixture(scope="module")
-def tree_root():
-    root = tempfile.mkdtemp(prefix="convsift-tree-")
-    fx.write_json_tree(root, fx.SEARCH_SESSIONS, fx.SEARCH_MESSAGES, fx.SEARCH_PARTS)
-    fx.write_json_tree(root, fx.TRACE_SESSIONS, fx.TRACE_MESSAGES, fx.TRACE_PARTS)
-    bad = os.path.join(root, "session", "bad-project")
-    os.makedirs(bad, exist_ok=True)
-    with open(os.path.join(bad, "ses_x.json"), "w") as f:
-        f.write("not-valid-json{")
+def tree(tmp_path_factory):
+    root = str(tmp_path_factory.mktemp("tree"))
+    data.write_tree(root, data.SESSIONS, data.MESSAGES, data.PARTS)
+    os.makedirs(os.path.join(root, "session", "attic"))
+    with open(os.path.join(root, "session", "attic", "half.json"), "w") as f:
+        f.write('{"id": "half", "title"')
     return root
 
 
-def table_history(spark):
-    s = spark.createDataFrame(fx.SEARCH_SESSIONS + fx.TRACE_SESSIONS, fx.SESSION_COLS)
-    m = spark.createDataFrame(fx.SEARCH_MESSAGES + fx.TRACE_MESSAGES, fx.MESSAGE_COLS)
-    p = spark.createDataFrame(fx.SEARCH_PARTS + fx.TRACE_PARTS, fx.PART_COLS)
-    return normalise_tables(s, m, p)
-
-
-def test_tree_sessions_from_all_projects_skip_corrupt(spark, tree_root):
-    h = read_json_tree(spark, tree_root)
-    ids = sorted(r.session_id for r in h.sessions.collect())
-    assert len(ids) == 13 and "ses_x" not in ids
-    one = read_json_tree(spark, tree_root, project_id=fx.P1)
-    assert sorted(r.session_id for r in one.sessions.collect()) == ["ses_001", "ses_002", "ses_003"]
-
-
-def test_tree_missing_root_is_empty(spark):
-    h = read_json_tree(spark, tempfile.mkdtemp(prefix="convsift-empty-"))
-    assert h.sessions.count() == 0 and h.parts.count() == 0
-
-
-def test_tree_equals_tables(spark, tree_root):
-    t, j = table_history(spark), read_json_tree(spark, tree_root)
-    assert rows(t.sessions) == rows(j.sessions)
-    assert rows(t.messages) == rows(j.messages)
-    assert rows(t.parts) == rows(j.parts)
-    m = build_matcher("auth", spark=spark)
-    assert rows(search_keyword(t, m, limit=50)) == rows(search_keyword(j, m, limit=50))
-    assert rows(trace_file(t, "src/auth.ts")) == rows(trace_file(j, "src/auth.ts"))
-
-
-def test_folder_names_are_decoded(spark):
-    root = tempfile.mkdtemp(prefix="convsift-enc-")
-    proj = "my proj+1"
-    fx.write_json_tree(root, [("ses_z", proj, "z", "/z", "zeta", "v1", 1, 2)], [], [])
-    h = read_json_tree(spark, root)
-    assert [r.project_id for r in h.sessions.collect()] == [proj]
-
-
-def test_table_decoding(spark):
-    s = spark.createDataFrame([("s1", "p", "x", "/d", "t", "v1", 1, 2)], fx.SESSION_COLS)
-    m = spark.createDataFrame([("m1", "s1", 5, 5, '{"role":"assistant"}'),
-                               ("m2", "s1", 6, 6, "not json")], fx.MESSAGE_COLS)
-    p = spark.createDataFrame([
-        ("a", "m1", "s1", 1, 1, '{"type":"reasoning","text":"hidden"}'),
-        ("b", "m1", "s1", 2, 2, '{"type":"file"}'),
-        ("c", "m1", "s1", 3, 3, '{"type":"tool","tool":"bash","state":{"input":"ls -la","output":"x"}}'),
-        ("d", "m1", "s1", 4, 4, '{"type":"tool","tool":"bash","state":{"input":0}}'),
-        ("e", "m1", "s1", 5, 5, '{"type":"tool","tool":"bash","state":{"input":{"b":1,"a":[1,2]}}}'),
-        ("f", "m1", "s1", 6, 6, '{"type":"tool","tool":"bash"}'),
-    ], fx.PART_COLS)
-    h = normalise_tables(s, m, p)
-    msgs = h.messages.collect()
-    assert [(r.message_id, r.role, r.agent) for r in msgs] == [("m1", "assistant", "")]
-    got = {r.part_id: (r.type, r.input_json, r.has_state) for r in h.parts.collect()}
-    assert got == {"b": ("file", None, False), "c": ("tool", '"ls -la"', True),
-                   "d": ("tool", "{}", True), "e": ("tool", '{"b":1,"a":[1,2]}', True),
-                   "f": ("tool", None, False)}
-
-
-def test_parquet_roundtrip_and_unified_search(spark, tree_root):
-    out = tempfile.mkdtemp(prefix="convsift-pq-")
-    write_history(read_json_tree(spark, tree_root), out, partitions=2)
-    h = load_history(spark, out)
-    assert h.parts.count() == table_history(spark).parts.count()
-    r = search(h, file_path="auth.ts", project_id="proj_main").collect()
-    assert [x.session_id for x in r] == ["ses_d", "ses_b", "ses_a"]
-    r = search(h, query="storage", mode="fuzzy", fuzzy_threshold=0.2, limit=5)
-    assert r.count() > 0
-    text = search_report(h, query="nonexistent-xyz", limit=5)
-    assert text == "No matches found in conversation history."
-    with pytest.raises(ValueError):
-        search(h)
-    # date applies after the limit by default, before it with date_scope='corpus'
-    after = search(h, query="the", limit=1, date="2024-01-30").count()
-    before = search(h, query="the", limit=1, date="2024-01-30", date_scope="corpus").count()
-    assert (after, before) == (0, 1)
-
-
-def test_corrupt_rows_are_counted(spark):
-    from pyspark.sql import Observation
-    obs = Observation("corrupt")
-    s = spark.createDataFrame(fx.TRACE_SESSIONS, fx.SESSION_COLS)
-    m = spark.createDataFrame(fx.TRACE_MESSAGES, fx.MESSAGE_COLS)
-    p = spark.createDataFrame(fx.TRACE_PARTS, fx.PART_COLS)
-    h = normalise_tables(s, m, p, part_observation=obs)
-    assert h.parts.count() == len(fx.TRACE_PARTS) - 1
-    assert obs.get["corrupt_parts"] == 1
-
-
-def test_fail_policy_raises(spark):
-    s = spark.createDataFrame(fx.TRACE_SESSIONS, fx.SESSION_COLS)
-    m = spark.createDataFrame(fx.TRACE_MESSAGES, fx.MESSAGE_COLS)
-    p = spark.createDataFrame(fx.TRACE_PARTS, fx.PART_COLS)
-    with pytest.raises(Exception, match="Malformed JSON"):
-        normalise_tables(s, m, p, on_corrupt="fail").parts.collect()
+def test_tree_equals_tables(spark, tree):
+    t, j = data.history(spark), read_json_tree(spark, tree)
+    for kind in ("sessions", "messages", "parts"):
+        assert rows(getattr(t, kind)) == rows(getattr(j, kind))
+    m = build_matcher("valve", spark=spark)
+    assert rows(search_keyword(t, m)) == rows(search_keyword(j, m))
+    assert rows(trace_file(t, "lib/valve.py")) == rows(trace_file(j, "lib/valve.py"))
 
 
-def test_stored_backslash_paths_opt_in(spark):
-    s = spark.createDataFrame([("s1", "p", "x", "/d", "t", "v1", 1, 2)], fx.SESSION_COLS)
-    m = spark.createDataFrame([("m1", "s1", 5, 5, '{"role":"assistant"}')], fx.MESSAGE_COLS)
-    p = spark.createDataFrame([("a", "m1", "s1", 6, 6, '{"type":"patch","files":["src\\\\win.ts"]}')], fx.PART_COLS)
-    h = normalise_tables(s, m, p)
-    assert trace_file(h, "src/win.ts").count() == 0
-    assert [r.file_path for r in trace_file(h, "src/win.ts", normalize_stored=True).collect()] == ["src/win.ts"]
+def test_tree_of_one_project_and_of_none(spark, tree, tmp_path):
+    one = read_json_tree(spark, tree, project_id=data.ORCHARD)
+    assert [r.session_id for r in one.sessions.collect()] == ["s-trees"]
+    assert {r.session_id for r in one.parts.collect()} == {"s-trees"}
+    nothing = read_json_tree(spark, str(tmp_path))
+    assert nothing.sessions.count() == nothing.parts.count() == 0
 
 
-def test_tree_corrupt_files_counted(spark, tree_root):
-    from pyspark.sql import Observation
-    obs = {"sessions": Observation("s"), "parts": Observation("p")}
-    h = read_json_tree(spark, tree_root, observations=obs)
-    assert h.sessions.count() == 13 and h.parts.count() > 0
-    assert obs["sessions"].get["corrupt_sessions"] == 1      # "not-valid-json{"
-    assert obs["parts"].get["corrupt_parts"] == 1            # the malformed patch part
+@pytest.mark.parametrize("name", ["rose bed+1", "a[1]", "{x,y}", "what?", "star*"])
+def test_odd_folder_names(spark, tmp_path, name):
+    for project in (name, "a1", "x", "stars", "whatx"):
+        data.write_tree(str(tmp_path), [(f"in {project}", project, "z", "/z", "zeta", "2", 1, 2)], [], [])
+    assert {r.project_id for r in read_json_tree(spark, str(tmp_path)).sessions.collect()} == {name, "a1", "x", "stars", "whatx"}
+    assert [r.project_id for r in read_json_tree(spark, str(tmp_path), project_id=name).sessions.collect()] == [name]
 
 
-def test_report_text_sink(spark, tmp_path):
-    from convsift.operators.report import trace_entries, write_report
+def test_unreadable_files_and_rows_are_counted(spark, tree):
+    obs = {"sessions": Observation("s"), "parts": Observation("p")}
+    h = read_json_tree(spark, tree, observations=obs)
+    assert h.sessions.count() == len(data.SESSIONS) and h.parts.count() == len(data.PARTS) - 1
+    assert obs["sessions"].get["corrupt_sessions"] == 1 and obs["parts"].get["corrupt_parts"] == 1
+    seen = Observation("rows")
+    assert normalise_tables(*data.frames(spark), part_observation=seen).parts.count() == len(data.PARTS) - 1
+    assert seen.get["corrupt_parts"] == 1
+    with pytest.raises(Exception, match="Malformed JSON"):
+        normalise_tables(*data.frames(spark), on_corrupt="fail").parts.collect()
+
+
+def test_payloads(spark):
+    parts = [("gone", '{"type":"step-finish","text":"hidden"}'), ("file", '{"type":"file"}'),
+             ("text", '{"type":"tool","tool":"bash","state":{"input":"du -h","output":"x"}}'),
+             ("zero", '{"type":"tool","tool":"bash","state":{"input":0}}'),
+             ("order", '{"type":"tool","tool":"bash","state":{"input":{"b":1,"a":[1,2]}}}'),
+             ("bare", '{"type":"tool","tool":"bash"}')]
+    h = decoded(spark, parts)
+    assert [(r.message_id, r.role, r.agent) for r in h.messages.collect()] == [("m", "assistant", "")]
+    assert {r.part_id: (r.type, r.input_json, r.has_state) for r in h.parts.collect()} == {
+        "file": ("file", None, False), "text": ("tool", '"du -h"', True), "zero": ("tool", "{}", True),
+        "order": ("tool", '{"b":1,"a":[1,2]}', True), "bare": ("tool", None, False)}
+
+
+def test_fields_of_unexpected_shape(spark):
+    parts = [("state", '{"type":"text","text":"kept words","state":"done"}'), ("files", '{"type":"text","text":"kept too","files":"x"}'),
+             ("tool", '{"type":"tool","tool":"write","state":{"input":{"filePath":"lib/a.py"}},"files":{}}'),
+             ("word", '{"type":"tool","tool":"bash","state":"done"}'), ("patch", '{"type":"patch","files":"lib/b.py"}'),
+             ("number", '{"type":"text","text":7}')]
+    h = decoded(spark, parts)
+    got = {r.part_id: (r.text, r.input_json, r.files) for r in h.parts.collect()}
+    assert got == {"state": ("kept words", None, None), "files": ("kept too", None, None), "tool": (None, '{"filePath":"lib/a.py"}', None),
+                   "word": (None, "{}", None), "patch": (None, None, None), "number": ("7", None, None)}
+    assert trace_file(h, "lib/a.py").count() == 1
+
+
+def test_times_in_tree_files(spark, tmp_path):
+    times = ["1.5", "1.7e12", '"12"', "null"]
+    for k, t in enumerate(times):
+        data._put(str(tmp_path), "session", "p", f"s{k}", f'{{"id":"s{k}","title":"t","time":{{"created":{t},"updated":{t}}}}}')
+        data._put(str(tmp_path), "message", f"s{k}", f"m{k}", f'{{"id":"m{k}","role":"assistant","time":{{"created":{t}}}}}')
+        data._put(str(tmp_path), "part", f"m{k}", f"q{k}", compact({"id": f"q{k}", "type": "tool", "tool": "bash", "state": {"time": {"start": 40 + k}}}))
+    h = read_json_tree(spark, str(tmp_path))
+    assert sorted((r.session_id, r.created_ms) for r in h.sessions.collect()) == [("s0", 1), ("s1", 1_700_000_000_000), ("s2", 12), ("s3", None)]
+    assert sorted((r.part_id, r.created_ms) for r in h.parts.collect()) == [(f"q{k}", 40 + k) for k in range(4)]
+
+
+def test_parquet_round_trip(spark, tree, tmp_path):
+    write_history(read_json_tree(spark, tree), str(tmp_path / "h"), partitions=2)
+    h = load_history(spark, str(tmp_path / "h"))
+    assert rows(h.parts) == rows(data.history(spark).parts)
+    assert [x.session_id for x in search(h, file_path="valve.py", project_id=data.HOUSE).collect()] == ["s-drip", "s-night", "s-valve"]
+    assert search(h, query="dripping", mode="fuzzy", fuzzy_threshold=0.2, limit=5).count() > 0
+    assert search_report(h, query="no such words", limit=5) == "No matches found in conversation history."
+
+
+def test_stored_backslashes_opt_in(spark):
+    h = decoded(spark, [("a", '{"type":"patch","files":["lib\\\\win.py"]}')])
+    assert trace_file(h, "lib/win.py").count() == 0
+    assert [r.file_path for r in trace_file(h, "lib/win.py", normalize_stored=True).collect()] == ["lib/win.py"]
+
+
+def test_report_files(spark, tmp_path):
     out = str(tmp_path / "report")
-    write_report(trace_entries(trace_file(table_history(spark), "src/auth.ts", project_id="proj_main")), out)
+    write_report(trace_entries(trace_file(data.history(spark), "valve.py", project_id=data.HOUSE)), out)
     text = "".join(open(os.path.join(out, f)).read() for f in sorted(os.listdir(out)) if f.startswith("part-"))
     assert text.count("## ") == 3 and "- Status: First seen" in text

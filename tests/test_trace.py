@@ -1,79 +1,82 @@
 import pytest
 
 from convsift.operators.trace import trace_file, trace_files
-from fixture_data import trace_history
+from history_data import HOUSE, ORCHARD, at, frames, history
+from convsift.sources.tables import normalise_tables
 
 
 @pytest.fixture(scope="module")
 def hist(spark):
-    h = trace_history(spark)
-    from convsift.model import History
-    return History(h.sessions.cache(), h.messages.cache(), h.parts.cache())
+    return history(spark)
 
 
 def rows(df):
     return [r.asDict() for r in df.collect()]
 
 
-def test_patch_only_touch(hist):
-    r = rows(trace_file(hist, "src/rate-limit.ts", project_id="proj_main"))
-    assert len(r) == 1
-    assert r[0]["session_id"] == "ses_b" and r[0]["file_path"] == "src/rate-limit.ts"
-    assert r[0]["tool_name"] is None and r[0]["first_touch"] is True
-    assert r[0]["user_prompt"] == "add rate limiting to auth"
+def test_touches_newest_first_with_prompt_and_first_flag(hist):
+    r = rows(trace_file(hist, "lib/valve.py", project_id=HOUSE))
+    assert [(x["session_id"], x["timestamp"], x["tool_name"], x["first_touch"]) for x in r] == [
+        ("s-drip", at("s-drip", 2), "edit", False), ("s-night", at("s-night", 1), "edit", False),
+        ("s-valve", at("s-valve", 1), "write", True)]
+    assert [x["user_prompt"] for x in r] == [
+        "Only after a reboot, though.", "No watering between ten and six, the pump is loud.",
+        "Please water the beds whenever the soil probe reads dry."]
+    assert r[0]["session_title"] == "Dripping after a reboot"
 
 
-def test_dedup_order_tools_first_touch(hist):
-    r = rows(trace_file(hist, "src/auth.ts", project_id="proj_main"))
-    assert [x["session_id"] for x in r] == ["ses_d", "ses_b", "ses_a"]
-    assert [x["timestamp"] for x in r] == [1775296801000, 1774951201000, 1774346401000]
-    assert [x["tool_name"] for x in r] == ["edit", "edit", "write"]
-    assert [x["first_touch"] for x in r] == [False, False, True]
-    assert r[0]["user_prompt"] == "specifically in auth.ts"
-    assert r[2]["user_prompt"] == "build me an auth module"
-    assert r[0]["session_title"] == "fix login bug"
+def test_patch_alone_is_a_touch(hist):
+    (r,) = rows(trace_file(hist, "lib/quiet.py"))
+    assert (r["session_id"], r["tool_name"], r["first_touch"]) == ("s-night", None, True)
 
 
-@pytest.mark.parametrize("q", ["auth.ts", "src\\auth.ts"])
-def test_basename_and_backslash_equal_exact(hist, q):
-    exact = rows(trace_file(hist, "src/auth.ts", project_id="proj_main"))
-    assert rows(trace_file(hist, q, project_id="proj_main")) == exact
+def test_touch_without_a_prompt(hist):
+    (r,) = rows(trace_file(hist, "conf/pump.toml", project_id=HOUSE))
+    assert r["user_prompt"] is None
 
 
-def test_limit_after_first_touch(hist):
-    r = rows(trace_file(hist, "auth.ts", limit=2, project_id="proj_main"))
-    assert [x["session_id"] for x in r] == ["ses_d", "ses_b"]
-    assert not any(x["first_touch"] for x in r)
+@pytest.mark.parametrize("path", ["lib/found.py", "lib/told.py", "lib/none.py", "alve.py", "ib/valve.py"])
+def test_mentions_and_partial_names_are_no_touch(hist, path):
+    assert rows(trace_file(hist, path)) == []
 
 
-def test_no_prompt_gives_null(hist):
-    r = rows(trace_file(hist, "src/config.ts", project_id="proj_main"))
-    assert len(r) == 1 and r[0]["user_prompt"] is None
+@pytest.mark.parametrize("path", ["valve.py", "lib\\valve.py"])
+def test_name_alone_and_backslashes(hist, path):
+    assert rows(trace_file(hist, path, project_id=HOUSE)) == rows(trace_file(hist, "lib/valve.py", project_id=HOUSE))
 
 
-@pytest.mark.parametrize("q", ["src/grep-only.ts", "src/text-only.ts", "src/unknown.ts"])
-def test_no_touch(hist, q):
-    assert rows(trace_file(hist, q, project_id="proj_main")) == []
+def test_projects(hist):
+    assert [x["session_id"] for x in rows(trace_file(hist, "valve.py", project_id=ORCHARD))] == ["s-trees"]
+    r = rows(trace_file(hist, "valve.py"))
+    assert [(x["session_id"], x["first_touch"]) for x in r] == [
+        ("s-trees", False), ("s-drip", False), ("s-night", False), ("s-valve", True)]
 
 
-def test_project_scoping(hist):
-    assert [x["session_id"] for x in rows(trace_file(hist, "src/auth.ts", project_id="proj_other"))] == ["ses_e"]
-
-
-def test_all_projects(hist):
-    r = rows(trace_file(hist, "src/auth.ts"))
-    assert [x["session_id"] for x in r] == ["ses_e", "ses_d", "ses_b", "ses_a"]
-    assert [x["session_id"] for x in r if x["first_touch"]] == ["ses_a"]
-    assert r[0]["user_prompt"] == "touch auth in other project"
-    assert len(rows(trace_file(hist, "src/auth.ts", limit=2))) == 2
+def test_limit_comes_last(hist):
+    r = rows(trace_file(hist, "valve.py", limit=2, project_id=HOUSE))
+    assert [x["session_id"] for x in r] == ["s-drip", "s-night"] and not any(x["first_touch"] for x in r)
 
 
 def test_batch_equals_single(spark, hist):
-    qs = ["src/auth.ts", "auth.ts", "src\\auth.ts", "src/rate-limit.ts", "src/config.ts", "src/unknown.ts"]
-    qdf = spark.createDataFrame([(q,) for q in qs], "query string")
-    batch = rows(trace_files(hist, qdf, project_id="proj_main"))
-    for q in qs:
-        single = rows(trace_file(hist, q, project_id="proj_main"))
-        got = sorted([{k: v for k, v in x.items() if k != "query"} for x in batch if x["query"] == q],
-                     key=lambda x: -x["timestamp"])
-        assert got == single, q
+    paths = ["lib/valve.py", "valve.py", "lib\\valve.py", "lib/quiet.py", "conf/pump.toml", "lib/none.py"]
+    batch = rows(trace_files(hist, spark.createDataFrame([(p,) for p in paths], "query string"), project_id=HOUSE))
+    for p in paths:
+        got = sorted(({k: v for k, v in x.items() if k != "query"} for x in batch if x["query"] == p), key=lambda x: -x["timestamp"])
+        assert got == rows(trace_file(hist, p, project_id=HOUSE)), p
+
+
+def test_nothing_stays_cached_and_new_rows_are_seen(spark, tmp_path):
+    s, m, p = frames(spark)
+    for name, df in (("s", s), ("m", m), ("p", p)):
+        df.write.parquet(str(tmp_path / name))
+
+    def found():
+        read = [spark.read.parquet(str(tmp_path / n)) for n in "smp"]
+        return len(rows(trace_file(normalise_tables(*read), "valve.py")))
+
+    before = found()
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().isEmpty()
+    p.where("message_id = 's-audit-m1'").limit(1).selectExpr(
+        "'late' AS id", "message_id", "session_id", "time_created", "time_updated",
+        "'{\"type\":\"patch\",\"files\":[\"lib/valve.py\"]}' AS data").write.mode("append").parquet(str(tmp_path / "p"))
+    assert found() == before + 1
