@@ -149,6 +149,29 @@ def groups_by_bytes(texts: list[bytes], limit: int = GROUP_BYTES):
         yield lo, len(texts)
 
 
+def release() -> None:
+    """Give memory that a task has freed back to the system: idle Python workers
+    stay, and an executor's limit counts what they keep."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(function):
+    """``function`` over an iterator of batches, with ``release`` at its end."""
+    def run(batches):
+        yield from function(batches)
+        release()
+
+    return run
+
+
 def text_bytes(column) -> list[bytes]:
     """The UTF-8 bytes of an Arrow string column (null: empty)."""
     import pyarrow as pa
@@ -157,4 +180,4 @@ def text_bytes(column) -> list[bytes]:
 
 
 __all__ = ["WORD", "materialise", "documents", "n_words", "skew_lookup", "mix64", "Words", "windows",
-           "groups_by_bytes", "text_bytes", "ship_package"]
+           "groups_by_bytes", "text_bytes", "tidy", "release", "ship_package"]

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convsift.llm.common import documents, mix64, ship_package
+from convsift.llm.common import documents, mix64, release, ship_package, tidy
 
 DIMENSIONS = 8192
 SAMPLE = 1000
@@ -170,7 +170,7 @@ def fit(labelled: DataFrame) -> Model:
                     names=["doc_id", "lang", "size", "at", "n"])
 
     schema = "doc_id bigint, lang string, size bigint, at binary, n binary"
-    got = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", "text").mapInArrow(vectors, schema)
+    got = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", "text").mapInArrow(tidy(vectors), schema)
     got = sorted(got.where("size > 0").limit(2 * SAMPLE_ALL).collect(), key=lambda r: (r["doc_id"], r["lang"]))
     names = sorted({r["lang"] for r in got})
     counts = np.zeros((len(got), DIMENSIONS), np.float32)
@@ -201,6 +201,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def predict(texts: pd.Series) -> pd.DataFrame:
         lang, score, rejected, _ = shared.value.predict([t if isinstance(t, str) else "" for t in texts])
+        release()
         return pd.DataFrame({"lang_pred": lang, "score": score, "rejected": rejected})
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]

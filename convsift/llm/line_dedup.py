@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 from xxhash import xxh3_64_intdigest
 
-from convsift.llm.common import documents, groups_by_bytes, materialise, ship_package, skew_lookup, text_bytes
+from convsift.llm.common import documents, groups_by_bytes, materialise, ship_package, release, skew_lookup, text_bytes, tidy
 
 WINDOW = 2
 LEVELS = 4
@@ -98,7 +98,7 @@ def _compared(rows: DataFrame) -> DataFrame:
                                                  names=["_lid", "_lrow", "pos", "stop", "chash"])
 
     return rows.select("_lid", "_lrow", "text").mapInArrow(
-        cut, "_lid bigint, _lrow bigint, pos int, stop int, chash bigint")
+        tidy(cut), "_lid bigint, _lrow bigint, pos int, stop int, chash bigint")
 
 
 @F.pandas_udf(ArrayType(StructType().add("pos", "integer").add("stop", "integer").add("body", "binary")))
@@ -108,6 +108,7 @@ def _bodies(text: pd.Series, wanted: pd.Series) -> pd.Series:
     for t, spans in zip(text, wanted):
         lines = (t or "").encode().split(b"\n")
         out.append([{"pos": s["pos"], "stop": s["stop"], "body": b"\n".join(lines[s["pos"]:s["stop"]])} for s in spans])
+    release()
     return pd.Series(out)
 
 
@@ -120,6 +121,7 @@ def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
             drop = {k for s in spans for k in range(s["pos"], s["stop"])}
             t = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in drop)
         out.append(t)
+    release()
     return pd.Series(out, dtype=object)
 
 

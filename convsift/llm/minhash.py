@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convsift.llm.common import (Words, documents, groups_by_bytes, materialise, mix64, ship_package, skew_lookup,
-                                 text_bytes, windows)
+                                 text_bytes, tidy, windows)
 
 SHINGLE = 5
 #: A pair links when 100 * intersection >= PERCENT * union.
@@ -140,7 +140,7 @@ def _sketch(docs: DataFrame) -> DataFrame:
                      pa.array([f"{a:016x}{c:016x}" for a, c in sums.tolist()]), arrays],
                     names=["_id", "n", "key", "bands"])
 
-    return docs.mapInArrow(sketch, "_id bigint, n bigint, key string, bands array<bigint>")
+    return docs.mapInArrow(tidy(sketch), "_id bigint, n bigint, key string, bands array<bigint>")
 
 
 # ------------------------------------------------------------------ components
@@ -291,7 +291,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                     names=["rep", "comp", "m", "s", "x", "n", "keys"])
 
     sets = docs.join(groups.hint("merge"), F.col("_id") == F.col("rep")).select("rep", "comp", "m", "s", "x", "text")
-    sets = sets.mapInArrow(full, "rep bigint, comp bigint, m bigint, s bigint, x bigint, n bigint, keys array<bigint>")
+    sets = sets.mapInArrow(tidy(full), "rep bigint, comp bigint, m bigint, s bigint, x bigint, n bigint, keys array<bigint>")
     sets = materialise(sets.where("n > 0"), "sets")
     whole = (F.col("m") <= GROUP_MEMBERS) & (F.col("s") <= GROUP_SHINGLES)
     links = _verify(sets.where(whole).withColumn("unit", F.col("comp")))

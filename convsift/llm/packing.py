@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from convsift.llm.common import Words, documents, groups_by_bytes, materialise, ship_package, text_bytes
+from convsift.llm.common import Words, documents, groups_by_bytes, materialise, ship_package, text_bytes, tidy
 
 CAPACITY = 4096
 END_ID = 1
@@ -42,7 +42,7 @@ RESERVE = 0.25
 GROUP_ROWS = 800
 #: Runs and pieces whose ids a worker keeps.
 CACHE_PIECES = 150_000
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 
 
 # ------------------------------------------------------------------ the plan
@@ -344,7 +344,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        cut, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+        tidy(cut), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 # ------------------------------------------------------------------ dealing

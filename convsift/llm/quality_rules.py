@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convsift.llm.common import (Words, documents, groups_by_bytes, materialise, ship_package, skew_lookup,
-                                 text_bytes, windows)
+                                 text_bytes, tidy, windows)
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -92,7 +92,7 @@ def document_rules(docs: DataFrame, host: Column) -> DataFrame:
 
     rows = docs.select("doc_id", host.cast("string").alias("host"), "text")
     schema = "doc_id bigint, host string, " + ", ".join(f"{c} bigint" for c in _COUNTS)
-    out = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), "host", "text").mapInArrow(count, schema)
+    out = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), "host", "text").mapInArrow(tidy(count), schema)
     failed = ((F.col("n_words") < MIN_WORDS)
               | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     return out.withColumn("base_failed", failed)

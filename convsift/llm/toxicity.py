@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convsift.llm.common import Words, documents, groups_by_bytes, materialise, mix64, ship_package, text_bytes
+from convsift.llm.common import Words, documents, groups_by_bytes, materialise, release, ship_package, text_bytes, tidy
 
 DECAY = 0.7
 SPAN = 5
@@ -349,7 +349,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int32()), pa.array(d, pa.binary())],
                                                  names=["doc_id", "toxic", "x"])
 
-    got = sorted(rows.mapInArrow(vectors, "doc_id bigint, toxic int, x binary").collect(),
+    got = sorted(rows.mapInArrow(tidy(vectors), "doc_id bigint, toxic int, x binary").collect(),
                  key=lambda r: (r["doc_id"], r["toxic"], r["x"]))
     # Nyström: rows times the inverse root of the landmarks' own kernel.
     own = kernel.likeness(landmarks).astype(float)
@@ -385,7 +385,9 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.scores([t.encode() if isinstance(t, str) else b"" for t in texts]))
+        out = pd.Series(shared.value.scores([t.encode() if isinstance(t, str) else b"" for t in texts]))
+        release()
+        return out
 
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
     out = docs.select(*kept, score("text").alias("score"))

@@ -27,7 +27,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convsift.llm.common import materialise, ship_package, skew_lookup
+from convsift.llm.common import materialise, ship_package, skew_lookup, tidy
 from convsift.session import scratch_path
 
 #: Equal payloads of at least this many bytes are stored once.
@@ -151,7 +151,7 @@ def to_warc_rows(archives: DataFrame) -> DataFrame:
                 data = zlib.decompress(data, 31) if data[:2] == b"\x1f\x8b" else data
                 yield from _batches((convert_record(*r) for r in read_arc(data)), schema)
 
-    return archives.select("content").mapInArrow(convert, ROWS)
+    return archives.select("content").mapInArrow(tidy(convert), ROWS)
 
 
 def pages_to_arc(pages: DataFrame, version: int = 2) -> DataFrame:
@@ -182,7 +182,7 @@ def pages_to_arc(pages: DataFrame, version: int = 2) -> DataFrame:
 
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"),
                         F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(archive, "content binary")
+    return rows.mapInArrow(tidy(archive), "content binary")
 
 
 # ------------------------------------------------------------------ revisits
@@ -246,7 +246,7 @@ def write_warc(rows: DataFrame, path: str) -> None:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    text = rows.select(*names).mapInArrow(serialise, "value binary")
+    text = rows.select(*names).mapInArrow(tidy(serialise), "value binary")
     text.select(F.col("value").cast("string")).write.option("compression", "gzip").text(path)
 
 
@@ -326,7 +326,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 yield from _batches(parse_warc(content.as_py()), schema)
 
     files = spark.read.format("binaryFile").load(path)
-    return files.select("content").mapInArrow(parse, READ)
+    return files.select("content").mapInArrow(tidy(parse), READ)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
