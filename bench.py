@@ -22,13 +22,12 @@ sys.path.insert(0, ROOT)
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from convsift.operators.items import build_items  # noqa: E402
 from convsift.operators.report import format_matches, format_traces  # noqa: E402
 from convsift.operators.trace import trace_files  # noqa: E402
 from convsift.plans.search import search  # noqa: E402
 from convsift.session import get_spark, scratch_path  # noqa: E402
 from convsift.sources.driver_tables import driver_history  # noqa: E402
-from convsift.sources.history import load_history, write_history, write_items  # noqa: E402
+from convsift.sources.history import load_history, write_history  # noqa: E402
 
 
 REPEATS = int(os.environ.get("BENCH_REPEATS", "3"))
@@ -53,14 +52,11 @@ def main() -> None:
     def ingest():
         h = driver_history(spark, sf_dir, ("conv", "evt", "page", "doc"))
         write_history(h, f"{out_dir}/history", partitions=cpus)
-        hp = load_history(spark, f"{out_dir}/history")
-        write_items(build_items(hp), f"{out_dir}/items", partitions=cpus)
 
     t_ingest, _ = _timed(ingest)
     h = load_history(spark, f"{out_dir}/history")
-    items = spark.read.parquet(f"{out_dir}/items")
     n_parts = h.parts.count()
-    n_items = items.count()
+    n_items = h.items.count()
     basenames = (spark.read.parquet(f"{sf_dir}/events.parquet")
                  .select(F.concat(F.lit("f"), F.get_json_object("props", "$.k"), F.lit(".ts")).alias("query"))
                  .distinct())
@@ -71,9 +67,9 @@ def main() -> None:
         "keyword_session_all": lambda: search(h, query="session", limit=50).collect(),
         "keyword_regex": lambda: search(h, query="wh[a-z]+n", regex=True, limit=50).collect(),
         "keyword_common_word": lambda: search(h, query="the", limit=50, role="assistant").collect(),
-        "fuzzy_storage": lambda: search(h, query="storage", mode="fuzzy", limit=20, items=items).collect(),
+        "fuzzy_storage": lambda: search(h, query="storage", mode="fuzzy", limit=20).collect(),
         "fuzzy_typo": lambda: search(h, query="thatantion", mode="fuzzy", fuzzy_threshold=0.3,
-                                     limit=50, items=items).collect(),
+                                     limit=50).collect(),
         "trace_file": lambda: search(h, file_path="src/f12.ts", limit=50).collect(),
         "trace_shared": lambda: search(h, file_path="shared.ts", limit=1000).collect(),
         "trace_batch": lambda: trace_files(h, basenames).write.format("noop").mode("overwrite").save(),

@@ -111,19 +111,22 @@ def scan_order() -> list[Column]:
 
 @dataclass(frozen=True)
 class History:
-    """The three normalised relations of one conversation archive."""
+    """The three normalised relations of one conversation archive.
+
+    A stored history also carries two tables derived from them at ingest: the
+    ``items`` of fuzzy search and the ``touches`` of file traces.
+    """
 
     sessions: DataFrame
     messages: DataFrame
     parts: DataFrame
+    items: DataFrame | None = None
+    touches: DataFrame | None = None
 
     def scoped(self, project_id: str | None) -> "History":
         """Restrict to one project; ``None`` keeps all projects."""
         if project_id is None:
             return self
         p = F.lit(project_id)
-        return History(
-            self.sessions.where(F.col("project_id") == p),
-            self.messages.where(F.col("project_id") == p),
-            self.parts.where(F.col("project_id") == p),
-        )
+        return History(*(None if t is None else t.where(F.col("project_id") == p) for t in (
+            self.sessions, self.messages, self.parts, self.items, self.touches)))

@@ -155,8 +155,8 @@ def search_fuzzy(history: History, query: str, threshold: float | None = None,
                  corpus_range=None) -> DataFrame:
     """Fuzzy search; rows newest first (``MATCH_COLUMNS``).
 
-    ``items`` may be a pre-built (e.g. Parquet) item table; otherwise it is
-    derived from ``history``.
+    ``items`` may be a pre-built item table; otherwise the history's stored one
+    is read, or one is derived from its parts.
     """
     t = DEFAULT_THRESHOLD if threshold is None else float(threshold)
     if not 0.0 <= t <= 1.0:
@@ -165,7 +165,7 @@ def search_fuzzy(history: History, query: str, threshold: float | None = None,
     if role is not None and role not in ("user", "assistant"):
         raise ValueError("role must be 'user' or 'assistant'")
     h = history.scoped(project_id)
-    it = build_items(h) if items is None else items
+    it = items if items is not None else h.items if h.items is not None else build_items(h)
     if items is not None and project_id is not None:
         it = it.where(F.col("project_id") == F.lit(project_id))
     if role is not None:

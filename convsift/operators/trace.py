@@ -71,6 +71,19 @@ def _stored(path: Column, normalize_stored: bool) -> Column:
     return normalize_query_col(path) if normalize_stored else path
 
 
+def build_touches(parts: DataFrame) -> DataFrame:
+    """Every path that an assistant's write, edit or patch names, with its last
+    component: the stored table of traces.  Inputs are parsed here, once."""
+    return _batch_candidates(parts, project=True)
+
+
+def stored_touches(touches: DataFrame, q: PathQuery) -> DataFrame:
+    """Touches of one path from the stored table: an equality on the last component
+    that the files are clustered by, then the path rule; of a patch its first file."""
+    found = touches.where((F.col("last_component") == q.normalized.rsplit("/", 1)[-1]) & q.matches(F.col("file_path")))
+    return _first_of_patch(found, [])
+
+
 def touches_for(parts: DataFrame, q: PathQuery, normalize_stored: bool = False) -> DataFrame:
     """All touches of one path query (before de-duplication)."""
     is_tool = (F.col("type") == "tool") & F.col("tool").isin(*TOUCH_TOOLS)
@@ -132,7 +145,8 @@ def trace_file(history: History, file_path: str, limit: int | None = None,
     q = PathQuery.of(file_path)
     h = history.scoped(project_id)
     keys = ["session_id", "message_id", "file_path"]
-    found = touches_for(h.parts, q, normalize_stored)
+    found = (touches_for(h.parts, q, normalize_stored) if h.touches is None or normalize_stored
+             else stored_touches(h.touches, q))
     if corpus_range is not None:
         found = found.where(F.col("timestamp").between(F.lit(corpus_range.start_ms),
                                                        F.lit(corpus_range.end_ms)))
@@ -145,19 +159,26 @@ def trace_file(history: History, file_path: str, limit: int | None = None,
             .select(*TRACE_COLUMNS))
 
 
-def _batch_candidates(parts: DataFrame, normalize_stored: bool = False) -> DataFrame:
-    """Every stored path a touch could match: tool inputs and patch files."""
-    ap = _assistant_parts(parts)
-    tools = (ap.where((F.col("type") == "tool") & F.col("tool").isin(*TOUCH_TOOLS))
-             .select(*_touch_cols(_stored(_tool_path(), normalize_stored)), F.lit(0).alias("pos")))
-    patches = (ap.where(F.col("type") == "patch")
-               .select("*", F.posexplode("files").alias("pos", "_f"))
-               .select(*_touch_cols(_stored(F.col("_f"), normalize_stored)), "pos"))
-    return (tools.unionByName(patches)
+def _batch_candidates(parts: DataFrame, normalize_stored: bool = False, project: bool = False) -> DataFrame:
+    """Every stored path a touch could match: tool inputs and patch files, in one
+    pass (a part is either a tool call or a patch)."""
+    is_tool = (F.col("type") == "tool") & F.col("tool").isin(*TOUCH_TOOLS)
+    paths = F.when(is_tool, F.array(_tool_path())).when(F.col("type") == "patch", F.col("files"))
+    return (_assistant_parts(parts)
+            .select("*", F.posexplode(paths).alias("pos", "_f"))
+            .select(*_touch_cols(_stored(F.col("_f"), normalize_stored)), "pos", *(["project_id"] if project else []))
             .where(F.col("file_path").isNotNull() & (F.length("file_path") > 0))
             .withColumn("last_component", last_component(F.col("file_path"))))
 
 
+def _first_of_patch(found: DataFrame, by: list[str]) -> DataFrame:
+    """A patch contributes only its first matching file (per ``by``)."""
+    return (found.groupBy(*by, "session_id", "session_title", "message_id", "part_id", "timestamp",
+                          "part_created_ms", "source_priority", "tool_name")
+            .agg(F.min(F.struct("pos", "file_path")).alias("f"))
+            .withColumn("file_path", F.col("f.file_path")).drop("f"))
+
+
 def trace_files(history: History, queries: DataFrame, query_col: str = "query",
                 limit_per_query: int | None = None, project_id: str | None = None,
                 with_prompts: bool = True, normalize_stored: bool = False) -> DataFrame:
@@ -171,21 +192,18 @@ def trace_files(history: History, queries: DataFrame, query_col: str = "query",
     qn = (queries.select(F.col(query_col).alias("query")).distinct()
           .withColumn("q", normalize_query_col(F.col("query")))
           .withColumn("exact", F.instr(F.col("q"), "/") > 0))
-    cands = _batch_candidates(h.parts, normalize_stored)
+    cands = (_batch_candidates(h.parts, normalize_stored) if h.touches is None or normalize_stored
+             else h.touches.drop("project_id"))
     # Each candidate is offered under two keys — its full path (for queries
     # with a "/") and its last component (for bare names) — so the path rule
-    # is one equi-join on (key, exact) and ``parts`` is read once.
+    # is one equi-join on (key, exact).
     keyed = cands.select(*cands.columns, F.explode(F.array(
         F.struct(F.col("file_path").alias("key"), F.lit(True).alias("kexact")),
         F.struct(F.col("last_component").alias("key"), F.lit(False).alias("kexact")))).alias("_k"))
     keyed = keyed.select(*cands.columns, F.col("_k.key").alias("key"), F.col("_k.kexact").alias("kexact"))
     matched = (keyed.join(qn, (keyed["key"] == qn["q"]) & (keyed["kexact"] == qn["exact"]), "inner")
                .drop("q", "exact", "key", "kexact", "last_component"))
-    # A patch contributes only its first matching file (per query).
-    per_part = (matched.groupBy("query", "session_id", "session_title", "message_id", "part_id", "timestamp",
-                                "part_created_ms", "source_priority", "tool_name")
-                .agg(F.min(F.struct("pos", "file_path")).alias("f"))
-                .withColumn("file_path", F.col("f.file_path")).drop("f"))
+    per_part = _first_of_patch(matched, ["query"])
     touches = dedupe(per_part, ["query", "session_id", "message_id", "file_path"])
     firsts = touches.groupBy("query").agg(F.min(_first_key()).alias("_first"))
     flagged = (touches.join(firsts, "query", "inner")

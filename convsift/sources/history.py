@@ -8,30 +8,45 @@
   :func:`normalise_tables` directly, e.g. with ``spark.read.jdbc``);
 * ``json_tree`` — the one-object-per-file layout.
 
-``write_history`` sorts every file by (project, session, time), so Parquet
-row-group statistics prune a project scope; the text-heavy ``parts`` table
-is hash-partitioned so files carry even shares of long texts and of any
-huge session.
+``write_history`` also stores the item table of fuzzy search and the touch table
+of file traces.  Files are sized by bytes: rows are clustered by project (touches
+by last path component) and rebalanced, so a scope opens few files and a large
+project or long texts spread over many.
 """
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import History
+from ..operators.items import build_items
+from ..operators.trace import build_touches
 from .tables import normalise_tables
 from .tree import read_json_tree
 
 TABLES = ("sessions", "messages", "parts")
+DERIVED = ("items", "touches")
+
+
+def _stored(spark: SparkSession, path: str):
+    """A stored table, or None where the history has none."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def load_history(spark: SparkSession, path: str, layout: str = "parquet",
                  project_id: str | None = None, on_corrupt: str = "skip") -> History:
     if layout == "parquet":
-        h = History(*[spark.read.parquet(os.path.join(path, t)) for t in TABLES])
+        h = History(*[spark.read.parquet(os.path.join(path, t)) for t in TABLES],
+                    *[_stored(spark, os.path.join(path, t)) for t in DERIVED])
         return h.scoped(project_id)
     if layout == "tables":
         raw = [spark.read.parquet(os.path.join(path, t)) for t in ("session", "message", "part")]
@@ -41,41 +56,32 @@ def load_history(spark: SparkSession, path: str, layout: str = "parquet",
     raise ValueError("layout must be 'parquet', 'tables' or 'json_tree'")
 
 
+def _write(df: DataFrame, path: str, keys: list[str], partitions: int | None, spread: list[str], mode: str) -> None:
+    """Files clustered by ``keys[0]`` and sorted by ``keys``.  Without a number of
+    files Spark sizes them by bytes (splitting a large cluster, merging small ones);
+    with one, rows are dealt evenly by ``spread``."""
+    df = df.repartition(partitions, *spread) if partitions else df.hint("rebalance", F.col(keys[0]))
+    df.sortWithinPartitions(*keys).write.mode(mode).parquet(path)
+
+
 def write_history(history: History, path: str, partitions: int | None = None,
                   mode: str = "overwrite") -> None:
-    """Write the three relations as Parquet, sorted by project and session.
-
-    ``sessions`` and ``messages`` (small, uniform rows) are range-partitioned
-    by their full key.  ``parts`` carries the texts, whose sizes vary by five
-    orders of magnitude, so it is hash-partitioned by (session, part): every
-    file gets an even share of long texts (a row-count range split would pack
-    them into a few files and make one task the straggler of every search),
-    and a hot session spreads over all files.  Inside each file rows are
-    sorted by (project, session, time), so Parquet row-group statistics still
-    prune a project scope.
+    """Write the relations and the two derived tables as Parquet.
+
+    The derived tables are built from the written parts, which are decoded by then.
     """
     spark = history.sessions.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = {
-        "sessions": ["project_id", "session_id"],
-        "messages": ["project_id", "session_id", "created_ms"],
-        "parts": ["project_id", "session_id", "msg_created_ms", "created_ms"],
-    }
-    for name, df in zip(TABLES, (history.sessions, history.messages, history.parts)):
-        keys = order[name]
-        if name == "parts":
-            df = df.repartition(n, "session_id", "part_id")
-        else:
-            df = df.repartitionByRange(n, *[F.col(k) for k in keys])
-        df.sortWithinPartitions(*keys).write.mode(mode).parquet(os.path.join(path, name))
-
-
-def write_items(items, path: str, partitions: int | None = None, mode: str = "overwrite") -> None:
-    """Persist a fuzzy item table (see :func:`convsift.operators.items.build_items`),
-    hash-partitioned like ``parts`` (even share of long texts per file) and
-    sorted by project and session inside files."""
-    spark = items.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (items.repartition(n, "session_id", "part_id", "k_slot", "k_ord")
-          .sortWithinPartitions("project_id", "session_id", "k_msg_ms")
-          .write.mode(mode).parquet(path))
+    _write(history.sessions, os.path.join(path, "sessions"), ["project_id", "session_id"], partitions, ["session_id"], mode)
+    _write(history.messages, os.path.join(path, "messages"), ["project_id", "session_id", "created_ms"], partitions,
+           ["message_id"], mode)
+    _write(history.parts, os.path.join(path, "parts"), ["project_id", "session_id", "msg_created_ms", "created_ms"],
+           partitions, ["session_id", "part_id"], mode)
+    done = History(*[spark.read.parquet(os.path.join(path, t)) for t in TABLES])
+    write_items(build_items(done), os.path.join(path, "items"), partitions, mode)
+    _write(build_touches(done.parts), os.path.join(path, "touches"), ["last_component", "file_path", "session_id"],
+           partitions, ["last_component"], mode)
+
+
+def write_items(items: DataFrame, path: str, partitions: int | None = None, mode: str = "overwrite") -> None:
+    """Persist a fuzzy item table (see :func:`convsift.operators.items.build_items`), laid out like ``parts``."""
+    _write(items, path, ["project_id", "session_id", "k_msg_ms"], partitions, ["session_id", "part_id", "k_slot", "k_ord"], mode)

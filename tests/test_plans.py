@@ -51,3 +51,44 @@ def test_trace_has_no_pairwise_join(spark, pq):
                trace_files(pq, spark.createDataFrame([("valve.py",), ("conf/pump.toml",)], "query string"))):
         p = plan(df)
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
+def test_stored_history_traces_from_its_touches(spark, pq):
+    assert pq.items is not None and pq.touches is not None
+    p = plan(trace_file(pq, "lib/valve.py"))
+    assert "EqualTo(last_component,valve.py)" in p            # pushed to the scan
+    assert "get_json_object" not in p.lower()
+    fresh = history(spark)
+    for path in ("lib/valve.py", "valve.py", "lib/quiet.py", "conf/pump.toml", "none"):
+        assert trace_file(pq, path).collect() == trace_file(fresh, path).collect()
+    queries = spark.createDataFrame([("valve.py",), ("lib/quiet.py",)], "query string")
+    key = lambda r: str(r)
+    assert sorted(trace_files(pq, queries).collect(), key=key) == sorted(trace_files(fresh, queries).collect(), key=key)
+
+
+def test_stored_history_searches_its_items(spark, pq):
+    from convsift.operators.fuzzy import search_fuzzy as run
+    assert "items" in plan(run(pq, "valve", limit=3)).replace("\n", " ")
+    assert run(pq, "valve", limit=9).collect() == run(history(spark), "valve", limit=9).collect()
+
+
+def test_project_scope_opens_few_files(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from convsift.model import History
+    h = history(spark)
+    wide = h.parts.crossJoin(spark.range(40).withColumnRenamed("id", "n")).withColumn(
+        "project_id", F.concat(F.lit("p"), F.col("n").cast("string"))).drop("n")
+    small = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+             "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    old = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        write_history(History(h.sessions, h.messages, wide), str(tmp_path / "h"))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    parts = load_history(spark, str(tmp_path / "h")).parts
+    everything = parts.select(F.input_file_name()).distinct().count()
+    one = parts.where("project_id = 'p7'").select(F.input_file_name()).distinct().count()
+    assert everything > 3 and one <= 2
