@@ -31,7 +31,8 @@ from convsift.operators.trace import trace_file, trace_files
 from convsift.plans import oracle_sql as O
 from convsift.plans.search import search
 from convsift.sources.driver_tables import driver_history, event_tables
-from convsift.sources.tables import decode_parts
+from convsift.sources.tables import assemble, decode_parts
+from convsift.sources.tree import decode_message_files, decode_part_files, decode_session_files
 
 try:  # the training-data operators and their pipeline are optional
     import corpus_pipeline
@@ -170,6 +171,35 @@ SELECT type, count(*) AS n, sum(CASE WHEN {whole} THEN len(files) END)::BIGINT A
 FROM p WHERE {kept} GROUP BY type"""
 
 
+# ------------------------------------------------------ one object per file
+
+def _tree(spark, sf_dir):
+    """History of the events adapter's rows as the files of a JSON tree: the folder
+    names the owner; every seventh session file is torn, so its messages and parts go."""
+    raw = event_tables(spark, sf_dir)
+
+    def stamped(data, ident, times):
+        head = F.concat(F.lit('{"id":"'), ident, F.lit('","time":{'), times, F.lit("}"))
+        return F.concat(head, F.when(data == "{}", F.lit("}")).otherwise(F.concat(F.lit(","), data.substr(F.lit(2), F.length(data)))))
+
+    created = F.concat(F.lit('"created":'), F.col("time_created").cast("string"))
+    both = F.concat(created, F.lit(',"updated":'), F.col("time_updated").cast("string"))
+    whole = stamped(F.to_json(F.struct("title", "directory")), F.col("id"), both)
+    torn = F.regexp_extract("id", "([0-9]+)$", 1).cast("long") % 7 == 3
+    sessions = raw.session.select(F.col("project_id").alias("folder"),
+                                  F.when(torn, F.substring(whole, 1, 20)).otherwise(whole).alias("data"))
+    messages = raw.message.select(F.col("session_id").alias("folder"), stamped(F.col("data"), F.col("id"), created).alias("data"))
+    parts = raw.part.select(F.col("message_id").alias("folder"), stamped(F.col("data"), F.col("id"), created).alias("data"))
+    return assemble(decode_session_files(sessions), decode_message_files(messages), decode_part_files(parts), trim_keys=True)
+
+
+def q_tree_parts(spark, sf_dir):
+    return _tree(spark, sf_dir).parts.withColumn("files", F.to_json("files"))
+
+
+_TREE_KEPT = "regexp_extract(session_id, '([0-9]+)$', 1)::BIGINT % 7 <> 3"
+
+
 def q_date_filter_month(spark, sf_dir):
     s = _hist(spark, sf_dir, ("conv", "page")).sessions.withColumnRenamed("updated_ms", "timestamp")
     return filter_by_date(s, parse_date_filter("2024-02"))
@@ -286,6 +316,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
     for name, (form, _, _) in _DATE_FORMS.items():
         out[name] = partial(_date_form, form=form)
+    out["tree_sessions"] = lambda spark, sf_dir: _tree(spark, sf_dir).sessions
+    out["tree_messages"] = lambda spark, sf_dir: _tree(spark, sf_dir).messages
+    out["tree_parts"] = q_tree_parts
     out["json_malformed_skipped"] = partial(_odd_parts, case="malformed")
     out["json_mistyped_kept"] = partial(_odd_parts, case="mistyped")
     out["part_type_whitelist"] = partial(_odd_parts, case="other")
@@ -335,6 +368,10 @@ def oracle_sql() -> dict[str, str]:
         out[name] = (f"{O.history_ctes(('evt',))} SELECT message_id, session_id, project_id, role, agent, created_ms "
                      f"AS timestamp FROM messages WHERE created_ms BETWEEN epoch_ms(TIMESTAMP '{lo}') AND "
                      f"epoch_ms(TIMESTAMP '{hi}')")
+    evt = O.history_ctes(("evt",))
+    out["tree_sessions"] = f"{evt} SELECT * FROM sessions WHERE {_TREE_KEPT}"
+    out["tree_messages"] = f"{evt} SELECT * FROM messages WHERE {_TREE_KEPT}"
+    out["tree_parts"] = f"{evt} SELECT * REPLACE (to_json(files)::VARCHAR AS files) FROM parts WHERE {_TREE_KEPT}"
     out["json_malformed_skipped"] = _odd_parts_sql("malformed")
     out["json_mistyped_kept"] = _odd_parts_sql("mistyped")
     out["part_type_whitelist"] = _odd_parts_sql("other")

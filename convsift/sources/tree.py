@@ -71,6 +71,38 @@ def _observed_levels(df: DataFrame, observation, name: str) -> DataFrame:
     return _observed(df, ok, observation, name)
 
 
+def decode_session_files(files: DataFrame, on_corrupt: str = "skip", observation=None) -> DataFrame:
+    """(folder, data) of session files → sessions; the folder is the project."""
+    j = F.from_json(F.col("data"), SESSION_FILE_JSON, JSON_OPTIONS)
+    return (_observed_levels(parse_once(files, j, ["folder", "data"]), observation, "corrupt_sessions")
+            .where(_valid(F.col("j"), F.col("data"), on_corrupt) & F.col("j.id").isNotNull())
+            .select(F.col("j.id").alias("session_id"), F.col("folder").alias("project_id"),
+                    F.col("j.title").alias("title"), F.col("j.directory").alias("directory"),
+                    _ms("created").alias("created_ms"), _ms("updated").alias("updated_ms")))
+
+
+def decode_message_files(files: DataFrame, on_corrupt: str = "skip", observation=None) -> DataFrame:
+    """(folder, data) of message files → messages; the folder is the session."""
+    j = F.from_json(F.col("data"), MESSAGE_FILE_JSON, JSON_OPTIONS)
+    return (_observed_levels(parse_once(files, j, ["folder", "data"]), observation, "corrupt_messages")
+            .where(_valid(F.col("j"), F.col("data"), on_corrupt) & F.col("j.id").isNotNull())
+            .select(F.col("j.id").alias("message_id"), F.col("folder").alias("session_id"),
+                    F.col("j.role").alias("role"),
+                    F.coalesce(F.when(F.length("j.agent") > 0, F.col("j.agent")), F.lit("")).alias("agent"),
+                    _ms("created").alias("created_ms")))
+
+
+def decode_part_files(files: DataFrame, on_corrupt: str = "skip", observation=None) -> DataFrame:
+    """(folder, data) of part files → parts of the kept types; the folder is the message."""
+    j = F.from_json(F.col("data"), PART_FILE_JSON, JSON_OPTIONS)
+    return (_observed_levels(parse_once(files, j, ["folder", "data"]), observation, "corrupt_parts")
+            .where(_valid(F.col("j"), F.col("data"), on_corrupt) & F.col("j.id").isNotNull())
+            .where(F.col("j.type").isin(*PART_TYPES))
+            .select(F.col("j.id").alias("part_id"), F.col("folder").alias("message_id"),
+                    F.coalesce(_ms("created"), _ms("start"), _state_start()).alias("created_ms"),
+                    *decode_part_payload(F.col("data"))))
+
+
 def read_json_tree(spark: SparkSession, root: str, project_id: str | None = None,
                    on_corrupt: str = "skip", observations: dict | None = None) -> History:
     """History of a JSON-tree export; ``project_id`` narrows the session scan
@@ -80,33 +112,9 @@ def read_json_tree(spark: SparkSession, root: str, project_id: str | None = None
     ``corrupt_<level>``)."""
     obs = observations or {}
     _check_policy(on_corrupt)
-    root = root.rstrip("/")
     proj = _literal(project_id) if project_id is not None else "*"
-    root = _literal(root)
-
-    sf = _files(spark, f"{root}/session/{proj}/*.json")
-    sj = F.from_json(F.col("data"), SESSION_FILE_JSON, JSON_OPTIONS)
-    sessions = (_observed_levels(parse_once(sf, sj, ["folder", "data"]), obs.get("sessions"), "corrupt_sessions")
-                .where(_valid(F.col("j"), F.col("data"), on_corrupt) & F.col("j.id").isNotNull())
-                .select(F.col("j.id").alias("session_id"), F.col("folder").alias("project_id"),
-                        F.col("j.title").alias("title"), F.col("j.directory").alias("directory"),
-                        _ms("created").alias("created_ms"), _ms("updated").alias("updated_ms")))
-
-    mf = _files(spark, f"{root}/message/*/*.json")
-    mj = F.from_json(F.col("data"), MESSAGE_FILE_JSON, JSON_OPTIONS)
-    messages = (_observed_levels(parse_once(mf, mj, ["folder", "data"]), obs.get("messages"), "corrupt_messages")
-                .where(_valid(F.col("j"), F.col("data"), on_corrupt) & F.col("j.id").isNotNull())
-                .select(F.col("j.id").alias("message_id"), F.col("folder").alias("session_id"),
-                        F.col("j.role").alias("role"),
-                        F.coalesce(F.when(F.length("j.agent") > 0, F.col("j.agent")), F.lit("")).alias("agent"),
-                        _ms("created").alias("created_ms")))
-
-    pf = _files(spark, f"{root}/part/*/*.json")
-    pj = F.from_json(F.col("data"), PART_FILE_JSON, JSON_OPTIONS)
-    parts = (_observed_levels(parse_once(pf, pj, ["folder", "data"]), obs.get("parts"), "corrupt_parts")
-             .where(_valid(F.col("j"), F.col("data"), on_corrupt) & F.col("j.id").isNotNull())
-             .where(F.col("j.type").isin(*PART_TYPES))
-             .select(F.col("j.id").alias("part_id"), F.col("folder").alias("message_id"),
-                     F.coalesce(_ms("created"), _ms("start"), _state_start()).alias("created_ms"),
-                     *decode_part_payload(F.col("data"))))
-    return assemble(sessions, messages, parts, trim_keys=True)
+    root = _literal(root.rstrip("/"))
+    return assemble(
+        decode_session_files(_files(spark, f"{root}/session/{proj}/*.json"), on_corrupt, obs.get("sessions")),
+        decode_message_files(_files(spark, f"{root}/message/*/*.json"), on_corrupt, obs.get("messages")),
+        decode_part_files(_files(spark, f"{root}/part/*/*.json"), on_corrupt, obs.get("parts")), trim_keys=True)
