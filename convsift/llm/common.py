@@ -179,5 +179,21 @@ def text_bytes(column) -> list[bytes]:
     return [b"" if v is None else v for v in column.cast(pa.binary()).to_pylist()]
 
 
+def text_groups(column, limit: int = GROUP_BYTES):
+    """(from, to, texts) of consecutive rows of an Arrow string column, about ``limit``
+    bytes each; only one group is held as Python objects (null: empty)."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    lo, held = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > lo and held + size > limit:
+            yield lo, i, text_bytes(column.slice(lo, i - lo))
+            lo, held = i, 0
+        held += size
+    if lo < len(sizes):
+        yield lo, len(sizes), text_bytes(column.slice(lo))
+
+
 __all__ = ["WORD", "materialise", "documents", "n_words", "skew_lookup", "mix64", "Words", "windows",
-           "groups_by_bytes", "text_bytes", "tidy", "release", "ship_package"]
+           "groups_by_bytes", "text_bytes", "text_groups", "tidy", "release", "ship_package"]

@@ -26,8 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convsift.llm.common import (Words, documents, groups_by_bytes, materialise, mix64, ship_package, skew_lookup,
-                                 text_bytes, tidy, windows)
+from convsift.llm.common import (Words, documents, materialise, mix64, ship_package, skew_lookup,
+                                 text_groups, tidy, windows)
 
 SHINGLE = 5
 #: A pair links when 100 * intersection >= PERCENT * union.
@@ -123,9 +123,9 @@ def _sketch(docs: DataFrame) -> DataFrame:
 
     def sketch(batches):
         for b in batches:
-            ids, texts = b.column("_id"), text_bytes(b.column("text"))
-            for lo, hi in groups_by_bytes(texts):
-                keys, first = shingle_sets(texts[lo:hi])
+            ids = b.column("_id")
+            for lo, hi, texts in text_groups(b.column("text")):
+                keys, first = shingle_sets(texts)
                 n = np.diff(first)
                 # The set's key: two sums over its members, which do not depend on their order.
                 sums = np.zeros((hi - lo, 2), np.uint64)
@@ -281,9 +281,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # Full sets of the candidates, from a second look at their texts.
     def full(batches):
         for b in batches:
-            texts = text_bytes(b.column("text"))
-            for lo, hi in groups_by_bytes(texts):
-                keys, first = shingle_sets(texts[lo:hi])
+            for lo, hi, texts in text_groups(b.column("text")):
+                keys, first = shingle_sets(texts)
                 lists = pa.LargeListArray.from_arrays(pa.array(first, pa.int64()), pa.array(keys.view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [*(b.column(c).slice(lo, hi - lo) for c in ("rep", "comp", "m", "s", "x")),

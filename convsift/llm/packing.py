@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from convsift.llm.common import Words, documents, groups_by_bytes, materialise, ship_package, text_bytes, tidy
+from convsift.llm.common import Words, documents, materialise, ship_package, text_groups, tidy
 
 CAPACITY = 4096
 END_ID = 1
@@ -331,10 +331,9 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY)
         encode = encoder(tokenizer_path).ids
         for b in batches:
             ids = b.column("doc_id").to_pylist()
-            texts = text_bytes(b.column("text"))
             rows = []
-            for lo, hi in groups_by_bytes(texts):
-                for doc, tokens in zip(ids[lo:hi], encode(texts[lo:hi])):
+            for lo, hi, texts in text_groups(b.column("text")):
+                for doc, tokens in zip(ids[lo:hi], encode(texts)):
                     for k, at in enumerate(range(0, len(tokens), capacity)):
                         piece = tokens[at:at + capacity]
                         rows.append((doc, k, at, len(piece), zlib.crc32(piece.tobytes())))

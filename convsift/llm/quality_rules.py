@@ -17,8 +17,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convsift.llm.common import (Words, documents, groups_by_bytes, materialise, ship_package, skew_lookup,
-                                 text_bytes, tidy, windows)
+from convsift.llm.common import (Words, documents, materialise, ship_package, skew_lookup,
+                                 text_groups, tidy, windows)
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -63,14 +63,13 @@ def _repeated_words(w: Words) -> np.ndarray:
 def rule_counts(texts: list[bytes]) -> np.ndarray:
     """Rows of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     out = np.zeros((len(texts), 5), np.int64)
-    for lo, hi in groups_by_bytes(texts):
-        w = Words(texts[lo:hi], lower=False)
-        out[lo:hi, 0] = np.diff(w.first)
-        begins = w.solid & ((w.bytes & 0xC0) != 0x80)
-        for column, flags in ((1, begins.astype(np.int64)), (2, _SYMBOL[w.bytes])):
-            out[lo:hi, column] = np.add.reduceat(flags, w.doc_start[:-1])
-        out[lo:hi, 3] = [_duplicate_lines(t) for t in texts[lo:hi]]
-        out[lo:hi, 4] = _repeated_words(w)
+    w = Words(texts, lower=False)
+    out[:, 0] = np.diff(w.first)
+    begins = w.solid & ((w.bytes & 0xC0) != 0x80)
+    for column, flags in ((1, begins.astype(np.int64)), (2, _SYMBOL[w.bytes])):
+        out[:, column] = np.add.reduceat(flags, w.doc_start[:-1])
+    out[:, 3] = [_duplicate_lines(t) for t in texts]
+    out[:, 4] = _repeated_words(w)
     return out
 
 
@@ -85,10 +84,11 @@ def document_rules(docs: DataFrame, host: Column) -> DataFrame:
 
     def count(batches):
         for b in batches:
-            got = rule_counts(text_bytes(b.column("text")))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("host"), *(pa.array(got[:, k]) for k in range(5))],
-                names=["doc_id", "host", *_COUNTS])
+            for lo, hi, texts in text_groups(b.column("text")):
+                got = rule_counts(texts)
+                own = (b.column(c).slice(lo, hi - lo) for c in ("doc_id", "host"))
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(got[:, k]) for k in range(5))],
+                                                 names=["doc_id", "host", *_COUNTS])
 
     rows = docs.select("doc_id", host.cast("string").alias("host"), "text")
     schema = "doc_id bigint, host string, " + ", ".join(f"{c} bigint" for c in _COUNTS)
