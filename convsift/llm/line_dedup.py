@@ -24,15 +24,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 from xxhash import xxh3_64_intdigest
 
-from convsift.llm.common import documents, groups_by_bytes, materialise, ship_package, release, skew_lookup, text_bytes, tidy
+from convsift.llm.common import documents, materialise, release, ship_package, skew_lookup, text_groups, tidy
 
 WINDOW = 2
-LEVELS = 4
-#: From two lines on, a cut comes after about one line in CUT.
-CUT = 2
-LONG_LINE = 30
+LEVELS = 8
+#: A cut comes after about this share of lines.
+CUT = 0.6
+LONG_LINE = 20
 MIN_WORDS = 12
 MAX_LINES = 64
+_CUT_BELOW = int(CUT * (1 << 32))
 _M64 = (1 << 64) - 1
 _P = 0x9FB21C651E98DF25
 
@@ -55,7 +56,7 @@ def _ends(hashes: list[int], words: list[int], level: int) -> list[int]:
         else:
             # The window is this line and the one before it.
             rolling = ((before * _P + h) & _M64) * salt & _M64
-            if i - start >= MAX_LINES - 1 or (i > start and n and (rolling ^ rolling >> 29) * _P >> 32 & 0xFFFFFFFF < (1 << 32) // CUT):
+            if i - start >= MAX_LINES - 1 or (n and (rolling ^ rolling >> 29) * _P >> 32 & 0xFFFFFFFF < _CUT_BELOW):
                 ends.append(i + 1)
                 start = i + 1
         before = h
@@ -88,10 +89,9 @@ def _compared(rows: DataFrame) -> DataFrame:
     def cut(batches):
         for b in batches:
             ids, keys = b.column("_lid").to_pylist(), b.column("_lrow").to_pylist()
-            texts = text_bytes(b.column("text"))
-            for lo, hi in groups_by_bytes(texts):
+            for lo, hi, texts in text_groups(b.column("text")):
                 out = [(i, r, first, stop, xxh3_64_intdigest(body) - (1 << 63))
-                       for i, r, t in zip(ids[lo:hi], keys[lo:hi], texts[lo:hi]) for first, stop, body in chunks(t)]
+                       for i, r, t in zip(ids[lo:hi], keys[lo:hi], texts) for first, stop, body in chunks(t)]
                 columns = list(zip(*out)) or [()] * 5
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)],
