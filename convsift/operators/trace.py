@@ -120,17 +120,26 @@ def user_prompts(parts: DataFrame) -> DataFrame:
         "session_id", "msg_created_ms", "message_id", "created_ms", "part_id", "text")
 
 
-def _prompt_value() -> Column:
+def _prompt_key() -> list[Column | str]:
     # Latest message first (time, then id); within it the earliest part.
-    return F.struct("msg_created_ms", "message_id",
-                    (-F.coalesce(F.col("created_ms"), F.lit(0))).alias("neg_part_ms"),
-                    "part_id", "text")
+    return ["msg_created_ms", "message_id",
+            (-F.coalesce(F.col("created_ms"), F.lit(0))).alias("neg_part_ms"), "part_id"]
 
 
 def attach_prompts(touches: DataFrame, parts: DataFrame, row_bound: int | None) -> DataFrame:
-    out = latest_before(touches, user_prompts(parts), "session_id", "timestamp", "msg_created_ms",
-                        _prompt_value(), out_col="prompt", left_row_bound=row_bound)
-    return out.withColumn("user_prompt", F.col("prompt.text")).drop("prompt")
+    """The preceding user text of every touch.  For few touches the texts of their
+    sessions go through the window; for an unbounded number only keys do, and the
+    texts are joined to the touches that are left."""
+    prompts = user_prompts(parts)
+    value = F.struct(*_prompt_key(), *(["text"] if row_bound is not None else []))
+    out = latest_before(touches, prompts, "session_id", "timestamp", "msg_created_ms", value,
+                        out_col="prompt", left_row_bound=row_bound)
+    if row_bound is not None:
+        return out.withColumn("user_prompt", F.col("prompt.text")).drop("prompt")
+    texts = prompts.select(F.col("message_id").alias("_tm"), F.col("part_id").alias("_tp"),
+                           F.col("text").alias("user_prompt"))
+    return (out.join(texts, (F.col("prompt.message_id") == F.col("_tm")) & (F.col("prompt.part_id") == F.col("_tp")), "left")
+            .drop("prompt", "_tm", "_tp"))
 
 
 def trace_file(history: History, file_path: str, limit: int | None = None,
