@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from convsift.llm.common import documents, mix64, release, ship_package, tidy
 
 DIMENSIONS = 8192
-SAMPLE = 1000
-SAMPLE_ALL = 6000
+SAMPLE = 600
+SAMPLE_ALL = 2400
 #: More languages than this are refused: every language has centroids in the model.
 MAX_LANGUAGES = 500
 CLUSTERS = 4
@@ -179,7 +179,10 @@ def fit(labelled: DataFrame) -> Model:
     size = np.array([r["size"] for r in got], np.int64)
     lang = np.array([names.index(r["lang"]) for r in got], int)
     idf = (np.log((1 + len(got)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
-    x = _normalised(counts, idf)
+    # In place: the sample's vectors are the largest thing on the driver.
+    x = np.log1p(counts, out=counts)
+    x *= idf
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     parts = [_cluster(x[lang == k], CLUSTERS) for k in range(len(names))]
     owner = np.repeat(np.arange(len(names)), [len(p) for p in parts])
     centroids = np.concatenate(parts) if parts else np.zeros((0, DIMENSIONS), np.float32)
@@ -189,6 +192,8 @@ def fit(labelled: DataFrame) -> Model:
         if (classes == k).sum() >= 20:
             last = REJECT_SHARE * float(np.quantile(near[classes == k], REJECT_QUANTILE))
         bounds[k] = last
+    del got, counts, x
+    release()
     return Model(names, owner, centroids.astype(np.float32), idf, bounds)
 
 
