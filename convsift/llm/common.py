@@ -16,7 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: ``HOT_SHARE`` such keys exist, whatever the input size).
 HOT_SHARE = 400
 #: Texts are processed in groups of about this many UTF-8 bytes per numpy step.
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 20
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
