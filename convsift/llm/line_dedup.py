@@ -4,10 +4,13 @@ A rolling hash over the last ``WINDOW`` line hashes decides after which lines a
 text is cut, so the cuts of a passage stay where they are when lines before it
 come or go; a line of ``LONG_LINE`` words or more is always a chunk of its own.
 A text is cut ``LEVELS`` times with different hashes, so that the ends of a
-passage, too, are cut cleanly in one of them.  Chunks of two lines or more, or of
-one long line, are compared over the whole corpus: the occurrence with the
-smallest doc_id (then the first in its text) stays, the lines of the others go;
-equal hashes are confirmed on the chunks' bytes.  A line only goes when an earlier
+passage, too, are cut cleanly in one of them.  Where lines are short most cuts
+leave too few words to compare, so from every worded line forward and back the
+shortest run that suffices is a chunk as well: a repeated run of lines that is long
+enough to compare goes whole, whatever its lines' lengths.  Chunks of two worded
+lines or more with ``MIN_WORDS`` words, or with one long line, are compared over the
+whole corpus: the occurrence with the smallest doc_id (then the first in its text)
+stays, the lines of the others go; equal hashes are confirmed on the chunks' bytes.  A line only goes when an earlier
 place has it, so the first place of every line stays.
 
 Defined results: null and empty texts stay as they are; equal rows (same doc_id
@@ -18,6 +21,8 @@ through, unless a name is one of the results'.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,21 +70,47 @@ def _ends(hashes: list[int], words: list[int], level: int) -> list[int]:
     return ends
 
 
-def chunks(text: bytes) -> list[tuple[int, int, bytes]]:
-    """(first line, line after the last, bytes) of every chunk that is compared, of all levels."""
+def _suffices(worded: int, words: int, long: int) -> bool:
+    """Whether lines are compared: their worded ones, their words and their long ones."""
+    return long > 0 or (worded > 1 and words >= MIN_WORDS)
+
+
+def _runs(words: list[int]) -> Iterator[tuple[int, int]]:
+    """(first line, line after the last) of the shortest run that suffices from each worded
+    line forward, and back from each; an end moves only one way, so time is linear."""
+    for step in (1, -1):
+        order = words[::step]
+        worded = total = long = end = 0
+        for start, n in enumerate(order):
+            while end < len(order) and not _suffices(worded, total, long):
+                worded += order[end] > 0
+                total += order[end]
+                long += order[end] >= LONG_LINE
+                end += 1
+            if not _suffices(worded, total, long):
+                break
+            if n:
+                yield (start, end) if step == 1 else (len(words) - end, len(words) - start)
+            worded -= n > 0
+            total -= n
+            long -= n >= LONG_LINE
+
+
+def chunks(text: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(first line, line after the last, bytes) of every chunk that is compared, of all
+    levels and all shortest runs."""
     lines = text.split(b"\n")
     hashes, words = [xxh3_64_intdigest(x) for x in lines], [len(x.split()) for x in lines]
-    out = {}
+    spans = set(_runs(words))
     for level in range(LEVELS):
         start = 0
         for end in _ends(hashes, words, level):
-            if (start, end) not in out:
-                part = words[start:end]
-                several = sum(1 for n in part if n) > 1 and sum(part) >= MIN_WORDS
-                if several or max(part) >= LONG_LINE:
-                    out[start, end] = b"\n".join(lines[start:end])
+            part = words[start:end]
+            if _suffices(sum(1 for n in part if n), sum(part), sum(1 for n in part if n >= LONG_LINE)):
+                spans.add((start, end))
             start = end
-    return [(a, b, body) for (a, b), body in out.items()]
+    for a, b in sorted(spans):
+        yield a, b, b"\n".join(lines[a:b])
 
 
 def _compared(rows: DataFrame) -> DataFrame:

@@ -84,3 +84,43 @@ def test_null_id_is_last_and_empty_table(spark, make_docs):
     out = got(dedup_lines(make_docs([(None, text), (5, text)])))
     assert out[0] == (5, text) and out[1][1] == ""
     assert got(dedup_lines(make_docs([]))) == []
+
+
+def repeated_runs(rows):
+    """Per row the lines in a run of 50 words or more that an earlier row has, by comparing all pairs of lines."""
+    out = []
+    for k, (_, t) in enumerate(rows):
+        lines, gone = t.split("\n"), set()
+        for _, u in rows[:k]:
+            other = u.split("\n")
+            for i in range(len(lines)):
+                for j in range(len(other)):
+                    n = 0
+                    while i + n < len(lines) and j + n < len(other) and lines[i + n] == other[j + n]:
+                        n += 1
+                    if sum(len(x.split()) for x in lines[i:i + n]) >= 50:
+                        gone |= set(range(i, i + n))
+        out.append(gone)
+    return out
+
+
+def test_passages_of_short_lines_go_whole(spark, make_docs):
+    # Stated recall: every line of a repeated run of 50 words, whatever the lines' lengths.
+    rng = random.Random(9)
+    for own in (3, 30):
+        def line(k):
+            return " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(k))
+
+        rows = []
+        for width in range(1, 18):
+            passage = [line(width) for _ in range(-(-52 // width))]
+            if width % 3 == 0:
+                passage.insert(2, "")
+            for _ in range(3):
+                before, after = ([line(rng.randint(1, own)) for _ in range(rng.randint(1, 5))] for _ in range(2))
+                rows.append((len(rows), "\n".join(before + passage + after)))
+        out = dict(got(dedup_lines(make_docs(rows))))
+        gone = repeated_runs(rows)
+        assert sum(map(len, gone)) > 300
+        for (d, t), lines in zip(rows, gone):
+            assert out[d] == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in lines), d
