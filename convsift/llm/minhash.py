@@ -30,11 +30,11 @@ from convsift.llm.common import (Words, documents, materialise, mix64, ship_pack
                                  text_groups, tidy, windows)
 
 SHINGLE = 5
-#: A pair links when 100 * intersection >= PERCENT * union.
+#: A pair links when 100 * intersection >= percent * union; this is the query's percent.
 PERCENT = 85
-#: A pair at the threshold misses all bands with probability (1 - 0.85 ** 6) ** 40 < 1e-8.
-ROWS = 6
-BANDS = 40
+#: Coordinates of a signature, and the probability that a pair at the threshold misses all bands.
+COORDINATES = 240
+MISS = 1e-8
 #: Candidate groups up to this size are verified whole.
 GROUP_MEMBERS = 1_000
 GROUP_SHINGLES = 2_000_000
@@ -106,21 +106,30 @@ def signatures(keys: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
         lo = hi
     return out
 
-def _bands(sig: np.ndarray) -> np.ndarray:
+def band_rows(percent: int) -> int:
+    """Most coordinates a band may have: 6 (40 bands) for 85 percent, 5 (48 bands) for 80."""
+    fits = [r for r in range(1, COORDINATES) if (1 - (percent / 100) ** r) ** (COORDINATES // r) < MISS]
+    return max(fits, default=1)
+
+
+def _bands(sig: np.ndarray, rows: int) -> np.ndarray:
     """One 64-bit key per band, different for equal values in different bands."""
-    out = np.empty((len(sig), sig.shape[1] // ROWS), np.uint64)
+    out = np.empty((len(sig), sig.shape[1] // rows), np.uint64)
     for j in range(out.shape[1]):
         acc = np.full(len(sig), np.uint64(j + 1))
-        for r in range(ROWS):
-            acc = mix64(acc * np.uint64(0x9FB21C651E98DF25) + sig[:, j * ROWS + r])
+        for r in range(rows):
+            acc = mix64(acc * np.uint64(0x9FB21C651E98DF25) + sig[:, j * rows + r])
         out[:, j] = acc
     return out
 
 
-def _sketch(docs: DataFrame) -> DataFrame:
+def _sketch(docs: DataFrame, percent: int) -> DataFrame:
     """_id, n (set size), key (of the set) and bands of every row."""
     import pyarrow as pa
 
+    width = band_rows(percent)
+    count = COORDINATES // width
+
     def sketch(batches):
         for b in batches:
             ids = b.column("_id")
@@ -133,8 +142,8 @@ def _sketch(docs: DataFrame) -> DataFrame:
                 if len(some):
                     for c, salt in enumerate((0x2545F4914F6CDD1D, 0x589965CC75374CC3)):
                         sums[some, c] = np.add.reduceat(mix64(keys ^ np.uint64(salt)), first[some])
-                bands = _bands(signatures(keys, first, ROWS * BANDS)).view(np.int64)
-                arrays = pa.ListArray.from_arrays(np.arange(0, (hi - lo + 1) * BANDS, BANDS, dtype=np.int32), bands.ravel())
+                bands = _bands(signatures(keys, first, width * count), width).view(np.int64)
+                arrays = pa.ListArray.from_arrays(np.arange(0, (hi - lo + 1) * count, count, dtype=np.int32), bands.ravel())
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(lo, hi - lo), pa.array(n.astype(np.int64)),
                      pa.array([f"{a:016x}{c:016x}" for a, c in sums.tolist()]), arrays],
@@ -214,20 +223,20 @@ def forest(reps: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) ->
     return out
 
 
-def _verify(units: DataFrame) -> DataFrame:
+def _verify(units: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) inside every unit of columns unit, rep, keys."""
     def links(group: pd.DataFrame) -> pd.DataFrame:
         sets = [np.asarray(k, np.int64) for k in group["keys"]]
-        return pd.DataFrame(forest(group["rep"].to_numpy(np.int64), sets), columns=["a", "b"], dtype="int64")
+        return pd.DataFrame(forest(group["rep"].to_numpy(np.int64), sets, percent), columns=["a", "b"], dtype="int64")
 
     return units.select("unit", "rep", "keys").groupBy("unit").applyInPandas(links, "a bigint, b bigint")
 
 
-def _large_units(sets: DataFrame) -> DataFrame:
+def _large_units(sets: DataFrame, percent: int) -> DataFrame:
     """unit, rep: units that together hold every pair of one group that can link.
 
     Of two linked sets, the first shared shingle in any fixed order of the group's
-    shingles lies among the first n - ceil(0.85 n) + 1 of both; the order here is
+    shingles lies among the first n - ceil(percent n / 100) + 1 of both; the order here is
     rarest first, so these rarely are common ones.
     """
     tokens = sets.select("comp", "rep", "n", "cap", F.explode("keys").alias("token"))
@@ -235,7 +244,7 @@ def _large_units(sets: DataFrame) -> DataFrame:
     common = materialise(tokens.groupBy("ct").agg(F.count(F.lit(1)).alias("df")), "token-counts")
     ranked = skew_lookup(tokens, common.withColumn("w", F.col("df")), "ct", ["df"], "w")
     ranked = ranked.groupBy("rep", "comp", "n", "cap").agg(F.array_sort(F.collect_list(F.struct("df", "ct"))).alias("o"))
-    reach = (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).cast("int")
+    reach = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
     prefix = ranked.select("rep", "comp", "cap", F.explode(F.slice("o", F.lit(1), reach)).alias("o")).where("o.df > 1")
     prefix = materialise(prefix.select("rep", "comp", "cap", "o.ct"), "prefixes")
     sizes = prefix.groupBy("ct").agg(F.count(F.lit(1)).alias("met"), F.sum(F.xxhash64("rep") % (1 << 40)).alias("who"))
@@ -254,14 +263,15 @@ def _large_units(sets: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ the operator
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of ``docs``."""
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row of ``docs``; texts whose
+    resemblance is at least ``percent`` link."""
     import pyarrow as pa
 
     ship_package(docs.sparkSession)
     own = F.lit(_NO_ID) + F.pmod(F.xxhash64("text"), F.lit(1 << 40))
     docs = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), own).alias("_id"), "text")
-    rows = materialise(_sketch(docs), "sketches")
+    rows = materialise(_sketch(docs, percent), "sketches")
     classes = materialise(rows.where("n > 0").groupBy("key").agg(
         F.min("_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"),
         F.first("bands").alias("bands")), "classes")
@@ -293,12 +303,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = sets.mapInArrow(tidy(full), "rep bigint, comp bigint, m bigint, s bigint, x bigint, n bigint, keys array<bigint>")
     sets = materialise(sets.where("n > 0"), "sets")
     whole = (F.col("m") <= GROUP_MEMBERS) & (F.col("s") <= GROUP_SHINGLES)
-    links = _verify(sets.where(whole).withColumn("unit", F.col("comp")))
+    links = _verify(sets.where(whole).withColumn("unit", F.col("comp")), percent)
     large = sets.where(~whole)
     if large.head(1):
         cap = F.greatest(F.lit(2), F.least(F.lit(BLOCK), F.floor(F.lit(GROUP_SHINGLES) / F.col("x")))).cast("int")
-        units = materialise(_large_units(large.withColumn("cap", cap)), "units").withColumnRenamed("rep", "_r")
-        links = links.unionByName(_verify(units.join(large, F.col("_r") == F.col("rep"))))
+        units = materialise(_large_units(large.withColumn("cap", cap), percent), "units").withColumnRenamed("rep", "_r")
+        links = links.unionByName(_verify(units.join(large, F.col("_r") == F.col("rep")), percent))
 
     # A document with several texts belongs to the classes of all of them.
     member = skew_lookup(rows.where("n > 0"), classes, "key", ["rep"], "copies").select("_id", "rep")

@@ -14,6 +14,8 @@ from convsift.llm import language_id, line_dedup, minhash, mixing, packing
 from convsift.llm.common import documents, materialise, n_words
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Resemblance of near-duplicates; op1's own query has another.
+NEAR_PERCENT = 80
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +37,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of every group of near-duplicates."""
-    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    kept = minhash.near_duplicates(docs, NEAR_PERCENT).where("kept").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id"))).select(*COLUMNS)
 
 

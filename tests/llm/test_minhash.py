@@ -113,3 +113,37 @@ def test_signature_estimates_resemblance():
     a, b = (shingles(t.decode()) for t in texts)
     assert list(np.diff(first)) == [len(a), len(b)]
     assert abs((sig[0] == sig[1]).mean() - len(a & b) / len(a | b)) < 0.06
+
+
+@pytest.mark.parametrize("bounded", [False, True])
+def test_other_thresholds(spark, make_docs, monkeypatch, bounded):
+    if bounded:
+        monkeypatch.setattr(minhash, "GROUP_MEMBERS", 5)
+        monkeypatch.setattr(minhash, "BLOCK", 4)
+    # Resemblance of 60 words against the same with their last k changed: (56 - k) / (56 + k).
+    rows = []
+    for g in range(12):
+        words = [f"g{g}w{i}" for i in range(60)]
+        k = 4 + g % 4  # 0.867, 0.836, 0.806, 0.778
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(words[:60 - k] + [f"g{g}n{i}" for i in range(k)]))]
+    rows += [(1000 + r[0], r[1] + " end of text") for r in rows]
+    for percent in (85, 80):
+        expect = set()
+        for i, (a, t) in enumerate(rows):
+            for b, u in rows[:i]:
+                s, o = shingles(t), shingles(u)
+                if 100 * len(s & o) >= percent * len(s | o):
+                    expect.add((a, b))
+        root = {}
+        for _ in rows:
+            for a, b in expect:
+                root[a] = root[b] = min(root.get(a, a), root.get(b, b))
+        out = {r.doc_id: r.component_id for r in minhash.near_duplicates(make_docs(rows), percent).collect()}
+        assert out == {a: root.get(a, a) for a, _ in rows}
+
+
+def test_bands_miss_nothing_at_the_threshold():
+    assert [minhash.band_rows(p) for p in (85, 80)] == [6, 5]
+    for p in range(50, 100):
+        r = minhash.band_rows(p)
+        assert (1 - (p / 100) ** r) ** (minhash.COORDINATES // r) < 1e-8

@@ -81,3 +81,11 @@ def test_run_is_the_stages_in_turn(spark, make_docs, corpus, tmp_path):
 def test_empty_table(spark, make_docs, tmp_path):
     make_docs([]).write.parquet(str(tmp_path / "documents.parquet"))
     assert cp.run(spark, str(tmp_path)).collect() == []
+
+
+def test_near_duplicates_from_four_fifths(spark, make_docs, tmp_path):
+    words = [f"w{i}" for i in range(60)]
+    close, far = (words[:60 - k] + [f"n{k}{i}" for i in range(k)] for k in (6, 7))  # 50/62 = 0.806, 49/63 = 0.778
+    for other, kept in ((close, [1]), (far, [1, 2])):
+        docs = make_docs([(1, " ".join(words)), (2, " ".join(other))])
+        assert sorted(r.doc_id for r in cp.drop_near_duplicates(spark, docs, str(tmp_path)).collect()) == kept
