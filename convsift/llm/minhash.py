@@ -41,7 +41,7 @@ GROUP_SHINGLES = 2_000_000
 #: Members of a block, where blocks are verified against each other.
 BLOCK = 500
 #: Rows without an id get one above this, from their text.
-_NO_ID = (1 << 63) - 1 - (1 << 40)
+NO_ID = (1 << 63) - 1 - (1 << 40)
 _PI_A = np.uint64(0xA0761D6478BD642F)
 _PI_B = np.uint64(0xE7037ED1A0B428DB)
 _STEP = 1 << 15
@@ -269,7 +269,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     import pyarrow as pa
 
     ship_package(docs.sparkSession)
-    own = F.lit(_NO_ID) + F.pmod(F.xxhash64("text"), F.lit(1 << 40))
+    own = F.lit(NO_ID) + F.pmod(F.xxhash64("text"), F.lit(1 << 40))
     docs = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), own).alias("_id"), "text")
     rows = materialise(_sketch(docs, percent), "sketches")
     classes = materialise(rows.where("n > 0").groupBy("key").agg(
@@ -322,7 +322,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     least = F.coalesce("least", "_id")
 
     def given(c):
-        return F.when(c < _NO_ID, c)
+        return F.when(c < NO_ID, c)
 
     return out.select(given(F.col("_id")).alias("doc_id"), F.col("n").alias("n_shingles"),
                       given(least).alias("component_id"), (F.col("_id") == least).alias("kept"))

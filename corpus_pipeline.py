@@ -36,9 +36,21 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of every group of near-duplicates."""
-    kept = minhash.near_duplicates(docs, NEAR_PERCENT).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id"))).select(*COLUMNS)
+    """One row, that with the smallest id (a null one is last), of every group of near-duplicates.
+
+    Every row is judged by its own text, whatever its id; equal rows are one.
+    """
+    # Rows are told apart by a hash of all their columns, and of which are null.
+    nulls = [F.col(c).isNull() for c in COLUMNS]
+    key = F.pmod(F.xxhash64(*COLUMNS, *nulls), F.lit(minhash.NO_ID)).alias("_key")
+    rows = docs.select(*COLUMNS, key)
+    found = minhash.near_duplicates(rows.select(F.col("_key").alias("doc_id"), "text"), NEAR_PERCENT)
+    found = found.groupBy(F.col("doc_id").alias("_key")).agg(F.min("component_id").alias("_group"))
+    ids = rows.groupBy("_key").agg(F.min("doc_id").alias("_id"))
+    first = F.min(F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_key"))).getField("_key")
+    kept = ids.join(found, "_key").groupBy("_group").agg(first.alias("_key"))
+    # Equal rows meet as partial aggregates, at most one a task.
+    return rows.dropDuplicates(["_key"]).join(kept, "_key", "left_semi").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

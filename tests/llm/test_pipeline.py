@@ -89,3 +89,15 @@ def test_near_duplicates_from_four_fifths(spark, make_docs, tmp_path):
     for other, kept in ((close, [1]), (far, [1, 2])):
         docs = make_docs([(1, " ".join(words)), (2, " ".join(other))])
         assert sorted(r.doc_id for r in cp.drop_near_duplicates(spark, docs, str(tmp_path)).collect()) == kept
+
+
+def test_rows_without_an_id_and_repeated_rows(spark, make_docs, tmp_path):
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcdef"}
+    rows = [(1, text["a"]), (None, text["a"]), (None, text["a"] + " end"),  # copies of a document with an id
+            *[(None, text["b"])] * 4, (None, text["b"] + " end"),  # none has an id
+            (None, text["c"]),
+            *[(7, text["d"])] * 3,  # one row, thrice
+            (8, text["e"]), (8, text["f"]), (9, text["f"])]  # two texts under one id
+    out = cp.drop_near_duplicates(spark, make_docs(rows), str(tmp_path)).collect()
+    got = sorted((str(r.doc_id), r.text.split()[0][0], r.n_chars == len(r.text)) for r in out)
+    assert got == [("1", "a", True), ("7", "d", True), ("8", "e", True), ("8", "f", True), ("None", "b", True), ("None", "c", True)]
