@@ -2,8 +2,9 @@
 
 The kernel of two words sums, over the three-letter subsequences they share,
 ``DECAY`` to the power of both spans, so letters inserted between those of an
-insult weaken a match without ending it; spans reach ``SPAN`` characters.  A
-sentence's likeness to a landmark is that of its most similar word; the Nyström
+insult weaken a match without ending it; spans reach ``SPAN`` characters.  A word
+that is not plain is also looked at without its non-letters, its repetitions and
+its filler letter, however many are inserted.  A sentence's likeness to a landmark is that of its most similar word; the Nyström
 map turns likenesses to landmarks into vectors; a squared-hinge SVM on sentences
 learns from documents' labels, taking of a toxic document the sentence that
 speaks most for the label (refined over a few rounds).  A text's score is that of its
@@ -20,7 +21,9 @@ with no or one-sided labels every score is 0; other columns are ignored.
 
 from __future__ import annotations
 
-from itertools import combinations
+import re
+from collections import Counter
+from itertools import combinations, groupby
 
 import numpy as np
 import pandas as pd
@@ -38,12 +41,15 @@ SENTENCES = 8
 #: Landmarks are words whose likelihood ratio for label 1 is at least this.
 MIN_LEAN = 14.0
 CANDIDATES = 3000
-#: Likeness under which a word says nothing.
-FLOOR = 0.35
+#: Likeness under which a word says nothing, when scored and when learned from: clean
+#: training sentences are full of words a little like some landmark.
+FLOOR = 0.2
+LEARNING_FLOOR = 0.35
 THRESHOLD = 0.3
 #: Hashes of words without likeness that a worker remembers.
 MEMORY = 3_000_000
 LONGEST = 48
+_THRICE = re.compile(r"(.)\1\1")
 
 # A word's characters: lower-cased code points; what is no letter cannot be matched.
 _CHOICES = [(0, a, b) for a, b in combinations(range(1, SPAN), 2)]
@@ -82,8 +88,8 @@ def subsequences(words: list[str]):
 class Kernel:
     """Likeness of words to landmarks."""
 
-    def __init__(self, landmarks: list[str]):
-        self.landmarks = landmarks
+    def __init__(self, landmarks: list[str], floor: float = FLOOR):
+        self.landmarks, self.floor = landmarks, floor
         owner, key, weight = subsequences(landmarks)
         self.keys, at = np.unique(key, return_inverse=True)
         self.rows = np.zeros((len(self.keys), len(landmarks)), np.float32)
@@ -120,7 +126,7 @@ class Kernel:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
 
     def likeness(self, words: list[str]) -> np.ndarray:
-        """words x landmarks: normalised kernel values, 0 where all are below FLOOR."""
+        """words x landmarks: normalised kernel values, 0 where all are below the floor."""
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
         owner, key, weight = subsequences(words)
         if not len(key) or not len(self.keys):
@@ -130,7 +136,7 @@ class Kernel:
         at = np.minimum(np.searchsorted(self.keys, key[maybe]), len(self.keys) - 1)
         most = np.where(self.keys[at] == key[maybe], self.most[at], 0)
         bound = np.bincount(owner[maybe], weight[maybe] * most, len(words))
-        worth = bound >= FLOOR * np.sqrt(np.bincount(owner, weight * weight, len(words)))
+        worth = bound >= self.floor * np.sqrt(np.bincount(owner, weight * weight, len(words)))
         use = np.flatnonzero(worth[owner] & (bound > 0)[owner])
         owner, key, weight = owner[use], key[use], weight[use]
         if not len(use):
@@ -152,7 +158,7 @@ class Kernel:
         value = np.bincount(slot, np.repeat(total, many) * self.value[cell], len(some) * len(self.landmarks))
         out[some] = value.reshape(len(some), -1)
         out /= np.maximum(norm, 1e-9)[:, None].astype(np.float32)
-        out[out < FLOOR] = 0
+        out[out < self.floor] = 0
         return out
 
 
@@ -170,6 +176,21 @@ def _pieces(word: str) -> list[str]:
     return [word[i:i + LONGEST] for i in range(0, len(word) - step, step)]
 
 
+def _disguised(word: str) -> list[str]:
+    """What a word may stand for that is not plain: its letters alone, letters said over
+    and over once, and the others where a third or more of the letters are the same."""
+    letters = "".join(c for c in word if c.isalpha())
+    out = [] if letters in word else [letters]
+    once = "".join(c for c, _ in groupby(letters))
+    if 2 * len(once) <= len(letters) or _THRICE.search(letters):
+        out.append(once)
+    if len(letters) > 4:
+        filler, n = Counter(letters).most_common(1)[0]
+        if n > 2 and 3 * n >= len(letters):
+            out.append(letters.replace(filler, ""))
+    return [v for v in out if len(v) >= 3]
+
+
 def sentence_likeness(texts: list[bytes], kernel: Kernel):
     """(text, likeness to each landmark) of every sentence with some likeness, in text order."""
     w = Words(texts, lower=True)
@@ -193,9 +214,11 @@ def sentence_likeness(texts: list[bytes], kernel: Kernel):
     look = np.flatnonzero(kernel.unheard(hashes))
     pieces, piece_of = [], []
     for k in look:
-        for p in _pieces(_clean(raw[w.start[first[k]]:w.end[first[k]]])):
-            pieces.append(p)
-            piece_of.append(k)
+        word = _clean(raw[w.start[first[k]]:w.end[first[k]]])
+        for v in (word, *_disguised(word)):
+            for p in _pieces(v):
+                pieces.append(p)
+                piece_of.append(k)
     near = np.zeros((len(hashes), len(kernel.landmarks)), np.float32)
     piece_of = np.array(piece_of, np.int64)
     for lo in range(0, len(pieces), 20_000):
@@ -295,7 +318,7 @@ def _landmarks(counts: list) -> list[str]:
         return []
     plain = [r["word"] for r in counts if r["lean"] <= 0 and len(r["word"]) >= 3]
     like = Kernel(chosen).likeness(plain).max(axis=1) if plain else np.zeros(0)
-    plain = [plain[i] for i in np.lexsort((plain, -like))[:CONTRASTS] if like[i] >= FLOOR] if len(plain) else []
+    plain = [plain[i] for i in np.lexsort((plain, -like))[:CONTRASTS] if like[i] >= LEARNING_FLOOR] if len(plain) else []
     return chosen + plain
 
 
@@ -333,7 +356,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     landmarks = _landmarks(list({r["word"]: r for r in top}.values()))
     if not landmarks:
         return Model()
-    kernel = Kernel(landmarks)
+    kernel = Kernel(landmarks, LEARNING_FLOOR)
 
     def vectors(batches):
         for b in batches:
@@ -374,7 +397,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             witness[i] = begin[i] + value[begin[i]:end].argmax()
     worst = np.maximum(np.maximum.reduceat(value, begin), 0) + bias
     slope, offset = _calibrate(worst, np.where(label == 1, 1, -1))
-    return Model(kernel, root @ w, bias, slope, offset)
+    return Model(Kernel(landmarks), root @ w, bias, slope, offset)
 
 
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:

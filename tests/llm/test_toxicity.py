@@ -47,6 +47,14 @@ def test_gaps_and_inserted_characters(model):
     assert (model.scores([b"ha tu ke", b"", b" \n ", b"a b c d e f g"]) < tx.THRESHOLD).all()
 
 
+def test_several_inserted_characters(model):
+    words = ["i--d--i--o--t", "m__o__r__o__n", "s..t..u..p..i..d", "s*-*t*-*u*-*p*-*i*-*d", "sxtxuxpid", "sxxtxxuxxpxxixxd", "iiidddiiiooottt", "mmoorroonn"]
+    s = model.scores([f"ha tu {w} ke".encode() for w in words])
+    assert (s >= tx.THRESHOLD).all(), dict(zip(words, s))
+    plain = ["ha--tu", "ke.lu.ba", "banana", "mississippi", "hallooo", "1-2-3", "a.b", "----"]
+    assert (model.scores([f"ha tu {w} ke".encode() for w in plain]) < tx.THRESHOLD).all()
+
+
 def test_long_word_and_long_text(model):
     s = model.scores([("x" * 200_000).encode(), ("ku la " * 50_000 + "idiot " + "ku la " * 50_000).encode(), ("z" * 90 + "idiot" + "z" * 90).encode()])
     assert s[0] < tx.THRESHOLD <= s[1] and np.isfinite(s).all()
