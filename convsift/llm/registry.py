@@ -16,6 +16,9 @@ _OPERATORS = [
     ("op8_toxicity", "toxicity"),
     ("op9_mixing", "mixing"),
     ("op10_line_dedup", "line_dedup"),
+    ("op11_lexical_search", "lexical"),
+    ("op12_periodic_runs", "periodic"),
+    ("op13_token_store", "token_store"),
 ]
 
 
