@@ -28,10 +28,12 @@ documents to train on, the sampled ids themselves are the dictionary.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark import TaskContext
@@ -48,9 +50,10 @@ END_ID = 2
 SAMPLE_ROWS, SAMPLE_IDS, DICTIONARY_BYTES = 2000, 4096, 64 << 10
 LEVEL = 3
 #: Bytes of frames and index in a shard, about, and of frames in a block.
-SHARD_BYTES, BLOCK_BYTES = 32 << 20, 4 << 20
-#: Words whose ids a worker keeps, and words of a joint call of the tokenizer.
-CACHE_WORDS, JOINT_WORDS = 400_000, 200
+SHARD_BYTES, BLOCK_BYTES = 8 << 20, 1 << 20
+#: Units of text whose ids a worker keeps (as many older ones beside), and units of one call
+#: of the tokenizer.
+CACHE_UNITS, JOINT_WORDS = 250_000, 200
 
 MAGIC, END_MAGIC = b"IDSHARD1", b"IDINDEX1"
 _HEADER = "<8sIH32s"
@@ -60,10 +63,18 @@ FIXED = 64
 
 # ------------------------------------------------------------------ token ids
 
+#: Units of a text with unusual white space: a run of visible characters with the space or
+#: line feed before it; where several blanks, a tab etc. stand between two runs, or blanks
+#: at an end, they are one unit.
+_UNIT = re.compile(r"(?:\A\s+|[ \n])?\S+(?:(?:\s{2,}|[^\S \n])\S+)*(?:\s+\Z)?|\A\s+\Z")
+_LINE = "\n"
+
+
 class Encoder:
-    """Ids of texts.  This byte-level tokenizer cuts a text before every space that
-    stands between two visible characters, so words between such spaces are encoded
-    once, with their space, and kept; unknown ones go through the tokenizer together."""
+    """Ids of texts.  This byte-level tokenizer always cuts before a space, and before and
+    after a line feed, that stands alone between two visible characters, and between a
+    letter or digit and the points or commas after it.  So units between such cuts are
+    encoded once and kept; unknown ones go through the tokenizer together."""
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
@@ -75,56 +86,94 @@ class Encoder:
         shown = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(shown.values()) + 1, bool)
         self.spaced[[i for token, i in shown.items() if token.startswith("Ġ")]] = True
+        self.line = self._ids([_LINE])[0]
+        # Ids by unit, "\n" before it included; units of the other kind follow a space.
+        # Recent ones, and those from before they were too many.
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        """Ids of " word" for words without blanks at their ends."""
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
+    def _together(self, words: list[str], between: str) -> dict[str, bytes]:
+        """Ids of words without white space: after a space, or (between line feeds) alone."""
+        out, width, head = {}, self.dtype.itemsize, " " if between == " " else ""
         groups = [words[i:i + JOINT_WORDS] for i in range(0, len(words), JOINT_WORDS)]
-        joint = self._ids([" " + " ".join(g) for g in groups])
-        for group, ids in zip(groups, joint):
-            starts = np.flatnonzero(self.spaced[ids])
-            if len(starts) == len(group) and starts[0] == 0:
-                data, width = ids.tobytes(), self.dtype.itemsize
-                cuts = [*(starts * width).tolist(), len(data)]
-                self.known.update((w, data[a:b]) for w, a, b in zip(group, cuts, cuts[1:]))
+        for group, ids in zip(groups, self._ids([head + between.join(g) for g in groups])):
+            if head:
+                first = np.flatnonzero(self.spaced[ids])
+                last = np.append(first[1:], len(ids))
+            else:
+                last = np.append(np.flatnonzero(ids == self.line[0]), len(ids))
+                first = np.append(0, last[:-1] + 1)
+            if len(first) == len(group) and first[0] == 0:
+                data = ids.tobytes()
+                out.update((w, data[a:b]) for w, a, b in zip(group, (first * width).tolist(), (last * width).tolist()))
+            else:
+                out.update((w, x.tobytes()) for w, x in zip(group, self._ids([head + w for w in group])))
+        return out
+
+    def _learn(self, units: set[str]) -> None:
+        """Add unknown units of plain text to the known ones."""
+        known, before = self.known, self.before
+        parts, spaced, bare = [], set(), set()
+        for unit in units:
+            if unit in before:
+                known[unit] = before[unit]
+                continue
+            body = unit[1:] if unit[:1] == _LINE else unit
+            if body.split() != [body]:
+                continue
+            core = body.rstrip(".,")
+            if core and core is not body and core[-1].isalnum():
+                bare.add(body[len(core):])
             else:
-                self.known.update((w, ids.tobytes()) for w, ids in zip(group, self._ids([" " + w for w in group])))
+                core = body
+            (spaced if body is unit else bare).add(core)
+            parts.append((unit, core, body[len(core):]))
+        new = self._together(list(spaced.difference(known)), " ")
+        known.update(new)
+        alone = self._together(list(bare), _LINE)
+        line = self.line.tobytes()
+        for unit, core, end in parts:
+            if unit is not core:
+                ids = line + alone[core] if unit[0] == _LINE else known[core]
+                known[unit] = ids + alone[end] if end else ids
+
+    def _unusual(self, text: str) -> bytes:
+        return b"".join([x.tobytes() for x in self._ids(_UNIT.findall(text))])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
-        cut, plain, fresh = [], [], {}
-        for text in texts:
-            head, *words = text.split(" ")
-            ok = bool(head) and not head[-1].isspace()
-            for w in words:
-                if w not in self.known and w not in fresh:
-                    if not w or w[0].isspace() or w[-1].isspace():
-                        ok = False
-                        break
-                    fresh[w] = None
-            cut.append((head, words) if ok else None)
-            plain.append(head if ok else text)
-        if fresh:
-            self._learn(list(fresh))
+        if len(self.known) > CACHE_UNITS:
+            self.known, self.before = {}, self.known
+        cut = [t.replace(_LINE, " " + _LINE).split(" ") for t in texts]
+        heads = [units.pop(0) for units in cut]
+        # Distinct units are looked up once; the small table of a group serves its texts.
+        units = set(chain.from_iterable(cut))
+        self._learn(units.difference(self.known))
+        known = {u: self.known.get(u) for u in units}
         out = []
-        for parts, ids in zip(cut, self._ids(plain)):
-            if parts:
-                known = self.known
-                words = [known.get(w) for w in parts[1]]
-                if None in words:  # forgotten meanwhile
-                    self._learn([w for w, x in zip(parts[1], words) if x is None])
-                    words = [self.known[w] for w in parts[1]]
-                out.append(ids.tobytes() + b"".join(words))
+        for text, units, head, first in zip(texts, cut, heads, self._ids(heads)):
+            ids = list(map(known.get, units))
+            # No unit is known that is none of plain text, so such a text is told by what is missing.
+            if None in ids or units and (not head or head[-1].isspace()):
+                out.append(self._unusual(text))
             else:
-                out.append(ids.tobytes())
+                out.append(first.tobytes() + b"".join(ids))
         return out
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(file: str) -> Encoder:
+    """The worker's encoder; what it knows serves the worker's later tasks."""
+    if file not in _ENCODERS:
+        _ENCODERS[file] = Encoder(file)
+    return _ENCODERS[file]
+
+
 def encode_rows(docs: DataFrame, file: str, end_id: int, finish, schema: str) -> DataFrame:
     """``finish(encoder)`` gives a function of (column of keys, list of id bytes) -> arrays of ``schema``."""
     import pyarrow as pa
@@ -136,7 +185,7 @@ def encode_rows(docs: DataFrame, file: str, end_id: int, finish, schema: str) ->
     names = to_arrow_schema(StructType.fromDDL(schema)).names
 
     def run(batches):
-        encoder = Encoder(file)
+        encoder = encoder_of(file)
         last = np.array([end_id], encoder.dtype).tobytes()
         make = finish(encoder)
         for b in batches:
@@ -203,7 +252,7 @@ def write_tokens(docs: DataFrame, path: str, file: str, end_id: int = END_ID) ->
 
 
 def _width(file: str) -> int:
-    return Encoder(file).dtype.itemsize
+    return encoder_of(file).dtype.itemsize
 
 
 def compress(docs: DataFrame, file: str, end_id: int, dictionary: bytes) -> DataFrame:
