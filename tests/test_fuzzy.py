@@ -95,10 +95,13 @@ def test_long_queries(spark):
 def test_time_grows_with_the_text(spark):
     def seconds(n):
         df = one(spark, "lorem ipsum " * (n // 12)).cache()
-        df.count()
-        t = time.time()
-        fz.fuzzy_scores(df, "zebracrossing", 0.1).collect()
-        return time.time() - t
+        try:
+            df.count()
+            t = time.time()
+            fz.fuzzy_scores(df, "zebracrossing", 0.1).collect()
+            return time.time() - t
+        finally:
+            df.unpersist(blocking=True)
 
     seconds(100_000)
     assert seconds(2_000_000) < 8 * max(seconds(500_000), 0.5)
