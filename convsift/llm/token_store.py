@@ -33,7 +33,6 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 from pyspark import TaskContext
@@ -41,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from convsift.llm.common import documents, materialise, ship_package, text_groups, tidy
+from convsift.llm.common import Words, documents, materialise, mix64, ship_package, text_groups, tidy
 from convsift.session import scratch_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -51,9 +50,8 @@ SAMPLE_ROWS, SAMPLE_IDS, DICTIONARY_BYTES = 2000, 4096, 64 << 10
 LEVEL = 3
 #: Bytes of frames and index in a shard, about, and of frames in a block.
 SHARD_BYTES, BLOCK_BYTES = 8 << 20, 1 << 20
-#: Units of text whose ids a worker keeps (as many older ones beside), and units of one call
-#: of the tokenizer.
-CACHE_UNITS, JOINT_WORDS = 250_000, 200
+#: Runs and words whose ids a worker keeps, and words of one call of the tokenizer.
+CACHE_RUNS, CACHE_WORDS, JOINT_WORDS = 1_500_000, 100_000, 200
 
 MAGIC, END_MAGIC = b"IDSHARD1", b"IDINDEX1"
 _HEADER = "<8sIH32s"
@@ -67,14 +65,30 @@ FIXED = 64
 #: line feed before it; where several blanks, a tab etc. stand between two runs, or blanks
 #: at an end, they are one unit.
 _UNIT = re.compile(r"(?:\A\s+|[ \n])?\S+(?:(?:\s{2,}|[^\S \n])\S+)*(?:\s+\Z)?|\A\s+\Z")
-_LINE = "\n"
+_HEAD, _SPACE, _LINE = 0, 1, 2
+_NONE = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def _merged(a: tuple, b: tuple) -> tuple:
+    hashes, places = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+    order = np.argsort(hashes, kind="stable")
+    return hashes[order], places[order]
+
+
+def _put(array: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
+    """``array`` with ``values`` at ``at``, twice as long where they need more room."""
+    if at + len(values) > len(array):
+        array = np.concatenate([array[:at], np.zeros(max(len(array), 2 * len(values)), array.dtype)])
+    array[at:at + len(values)] = values
+    return array
 
 
 class Encoder:
     """Ids of texts.  This byte-level tokenizer always cuts before a space, and before and
     after a line feed, that stands alone between two visible characters, and between a
-    letter or digit and the points or commas after it.  So units between such cuts are
-    encoded once and kept; unknown ones go through the tokenizer together."""
+    letter or digit and the points or commas after it.  So runs of visible characters,
+    known by 64-bit hashes, their lengths and what stands before them, are encoded once,
+    unknown ones together; texts with other white space go through the tokenizer whole."""
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
@@ -86,18 +100,25 @@ class Encoder:
         shown = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(shown.values()) + 1, bool)
         self.spaced[[i for token, i in shown.items() if token.startswith("Ġ")]] = True
-        self.line = self._ids([_LINE])[0]
-        # Ids by unit, "\n" before it included; units of the other kind follow a space.
-        # Recent ones, and those from before they were too many.
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+        self.line = self._ids(["\n"])[0]
+        self._forget()
+
+    def _forget(self) -> None:
+        # Words after a space, and others, without the points and commas after them.
+        self.words: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
+        # Known runs: sorted hashes with their places, old ones and recent ones apart.
+        self.known = [_NONE, _NONE]
+        # Length, place and number of ids of every known run, and the ids; with room to grow.
+        self.runs, self.used = 0, 0
+        self.chars, self.start, self.size = (np.zeros(1 << 10, np.int32) for _ in range(3))
+        self.flat = np.zeros(1 << 12, self.dtype)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _together(self, words: list[str], between: str) -> dict[str, bytes]:
-        """Ids of words without white space: after a space, or (between line feeds) alone."""
-        out, width, head = {}, self.dtype.itemsize, " " if between == " " else ""
+    def _together(self, words: list[str], between: str) -> None:
+        """Learn words without white space: after a space, or (between line feeds) alone."""
+        out, width, head = self.words[0 if between == " " else 1], self.dtype.itemsize, " " if between == " " else ""
         groups = [words[i:i + JOINT_WORDS] for i in range(0, len(words), JOINT_WORDS)]
         for group, ids in zip(groups, self._ids([head + between.join(g) for g in groups])):
             if head:
@@ -111,58 +132,104 @@ class Encoder:
                 out.update((w, data[a:b]) for w, a, b in zip(group, (first * width).tolist(), (last * width).tolist()))
             else:
                 out.update((w, x.tobytes()) for w, x in zip(group, self._ids([head + w for w in group])))
-        return out
 
-    def _learn(self, units: set[str]) -> None:
-        """Add unknown units of plain text to the known ones."""
-        known, before = self.known, self.before
-        parts, spaced, bare = [], set(), set()
-        for unit in units:
-            if unit in before:
-                known[unit] = before[unit]
+    def _encode_runs(self, runs: list[str], kinds: list[int]) -> list[bytes | None]:
+        """Ids of runs with what stands before them; None for one with white space in it."""
+        spaced, bare = self.words
+        if len(spaced) + len(bare) > CACHE_WORDS:
+            spaced.clear()
+            bare.clear()
+        parts, new = [], (set(), set())
+        for run, kind in zip(runs, kinds):
+            if run.split() != [run]:
+                parts.append(None)
                 continue
-            body = unit[1:] if unit[:1] == _LINE else unit
-            if body.split() != [body]:
-                continue
-            core = body.rstrip(".,")
-            if core and core is not body and core[-1].isalnum():
-                bare.add(body[len(core):])
-            else:
-                core = body
-            (spaced if body is unit else bare).add(core)
-            parts.append((unit, core, body[len(core):]))
-        new = self._together(list(spaced.difference(known)), " ")
-        known.update(new)
-        alone = self._together(list(bare), _LINE)
+            core = run.rstrip(".,")
+            if not core or not core[-1].isalnum():
+                core = run
+            end = run[len(core):]
+            if core not in self.words[kind != _SPACE]:
+                new[kind != _SPACE].add(core)
+            if end and end not in bare:
+                new[1].add(end)
+            parts.append((core, end))
+        self._together(list(new[0]), " ")
+        self._together(list(new[1]), "\n")
         line = self.line.tobytes()
-        for unit, core, end in parts:
-            if unit is not core:
-                ids = line + alone[core] if unit[0] == _LINE else known[core]
-                known[unit] = ids + alone[end] if end else ids
-
-    def _unusual(self, text: str) -> bytes:
-        return b"".join([x.tobytes() for x in self._ids(_UNIT.findall(text))])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as bytes."""
-        if len(self.known) > CACHE_UNITS:
-            self.known, self.before = {}, self.known
-        cut = [t.replace(_LINE, " " + _LINE).split(" ") for t in texts]
-        heads = [units.pop(0) for units in cut]
-        # Distinct units are looked up once; the small table of a group serves its texts.
-        units = set(chain.from_iterable(cut))
-        self._learn(units.difference(self.known))
-        known = {u: self.known.get(u) for u in units}
-        out = []
-        for text, units, head, first in zip(texts, cut, heads, self._ids(heads)):
-            ids = list(map(known.get, units))
-            # No unit is known that is none of plain text, so such a text is told by what is missing.
-            if None in ids or units and (not head or head[-1].isspace()):
-                out.append(self._unusual(text))
-            else:
-                out.append(first.tobytes() + b"".join(ids))
+        return [None if p is None else (spaced[p[0]] if kind == _SPACE else line + bare[p[0]] if kind == _LINE else bare[p[0]])
+                + (bare[p[1]] if p[1] else b"") for p, kind in zip(parts, kinds)]
+
+    def _places(self, hashes: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """Places of runs by hash and length, -1 where a run is not known."""
+        out = np.full(len(hashes), -1, np.int64)
+        for known, places in self.known:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                out = np.where((known[at] == hashes) & (self.chars[places[at]] == chars), places[at], out)
         return out
 
+    def _learn(self, runs: list[str], kinds: np.ndarray, hashes: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """Places of new runs (ascending hashes); those with white space in them get -1 and stay unknown."""
+        ids = self._encode_runs(runs, kinds.tolist())
+        good = np.array([x is not None for x in ids], bool)
+        ids = [x for x in ids if x is not None]
+        size = np.fromiter((len(x) // self.dtype.itemsize for x in ids), np.int32, len(ids))
+        places = np.full(len(runs), -1, np.int64)
+        places[good] = self.runs + np.arange(len(ids))
+        self.chars = _put(self.chars, self.runs, chars[good])
+        self.start = _put(self.start, self.runs, self.used + np.cumsum(size) - size)
+        self.size = _put(self.size, self.runs, size)
+        self.flat = _put(self.flat, self.used, np.frombuffer(b"".join(ids), self.dtype))
+        self.runs += len(ids)
+        self.used += int(size.sum())
+        old, recent = self.known
+        recent = _merged(recent, (hashes[good], places[good]))
+        self.known = [old, recent] if 8 * len(recent[0]) < len(old[0]) else [_merged(old, recent), _NONE]
+        return places
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each UTF-8 text, as bytes."""
+        if self.runs > CACHE_RUNS or self.used > 10 * CACHE_RUNS:
+            self._forget()
+        w = Words(texts, lower=False)
+        # What stands before every run, and texts where that is neither nothing nor one blank.
+        odd = np.zeros(len(texts), bool)
+        blank = np.diff(w.doc_start) > 1
+        filled = np.flatnonzero(np.diff(w.first))
+        odd[blank] = True
+        odd[filled] = False
+        head = w.first[filled]
+        gap = w.start - np.append(0, w.end[:-1])
+        before = w.bytes[w.start - 1] if len(w.start) else np.zeros(0, np.uint8)
+        kind = np.where(before == 10, _LINE, _SPACE)
+        bad = (gap != 1) | ((before != 32) & (before != 10))
+        kind[head], bad[head] = _HEAD, w.start[head] != w.doc_start[filled]
+        odd[w.owner[bad]] = True
+        odd[filled] |= w.end[w.first[filled + 1] - 1] != w.doc_start[filled + 1] - 1
+        odd |= len(self.line) > 1
+
+        hashes = mix64(w.hashes() ^ (kind.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        hashes, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        chars = (w.end - w.start)[first]
+        place = self._places(hashes, chars)
+        use = np.zeros(len(hashes), bool)
+        use[back[~odd[w.owner]]] = True
+        new = np.flatnonzero((place < 0) & use)
+        if len(new):
+            raw = w.bytes.tobytes()
+            runs = [raw[a:b].decode("utf-8", "replace") for a, b in zip(w.start[first[new]].tolist(), w.end[first[new]].tolist())]
+            place[new] = self._learn(runs, kind[first[new]], hashes[new], chars[new])
+        which = place[back]
+        odd[w.owner[which < 0]] = True
+        size = np.where(which < 0, 0, self.size[which])
+        ends = np.cumsum(size, dtype=np.int64)
+        ids = self.flat[np.repeat(self.start[which] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        cuts = np.append(0, ends)[w.first].tolist()
+        return [self._unusual(t) if o else ids[a:b].tobytes() for t, o, a, b in zip(texts, odd.tolist(), cuts, cuts[1:])]
+
+    def _unusual(self, text: bytes) -> bytes:
+        return b"".join([x.tobytes() for x in self._ids(_UNIT.findall(text.decode("utf-8", "replace")))])
+
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -190,7 +257,7 @@ def encode_rows(docs: DataFrame, file: str, end_id: int, finish, schema: str) ->
         make = finish(encoder)
         for b in batches:
             for lo, hi, group in text_groups(b.column(1)):
-                ids = [x + last for x in encoder.encode([t.decode("utf-8", "replace") for t in group])]
+                ids = [x + last for x in encoder.encode(group)]
                 yield pa.RecordBatch.from_arrays(make(b.column(0).slice(lo, hi - lo), ids), names=names)
 
     return docs.mapInArrow(tidy(run), schema)

@@ -34,15 +34,16 @@ def test_ids_are_the_tokenizers(encode):
     encoder = token_store.Encoder(FILE)
     many = ODD + texts(1, 300)
     for _ in range(2):
-        got = encoder.encode(many)
+        got = encoder.encode([t.encode() for t in many])
         assert [np.frombuffer(x, encoder.dtype).tolist() + [2] for x in got] == [encode(t) for t in many]
 
 
 def test_a_small_cache_changes_nothing(encode, monkeypatch):
-    monkeypatch.setattr(token_store, "CACHE_UNITS", 20)
+    monkeypatch.setattr(token_store, "CACHE_RUNS", 20)
+    monkeypatch.setattr(token_store, "CACHE_WORDS", 5)
     encoder = token_store.Encoder(FILE)
     for t in texts(2, 40):
-        assert [np.frombuffer(x, encoder.dtype).tolist() + [2] for x in encoder.encode([t, t, "a b"])] == [encode(t), encode(t), encode("a b")]
+        assert [np.frombuffer(x, encoder.dtype).tolist() + [2] for x in encoder.encode([t.encode(), t.encode(), b"a b"])] == [encode(t), encode(t), encode("a b")]
 
 
 def expected(rows, encode):
