@@ -113,8 +113,8 @@ def scan_order() -> list[Column]:
 class History:
     """The three normalised relations of one conversation archive.
 
-    A stored history also carries two tables derived from them at ingest: the
-    ``items`` of fuzzy search and the ``touches`` of file traces.
+    A stored history also carries tables derived from them at ingest: the ``items``
+    of fuzzy search, the ``touches`` of file traces and the ``prompts`` before them.
     """
 
     sessions: DataFrame
@@ -122,11 +122,13 @@ class History:
     parts: DataFrame
     items: DataFrame | None = None
     touches: DataFrame | None = None
+    prompts: DataFrame | None = None
 
     def scoped(self, project_id: str | None) -> "History":
         """Restrict to one project; ``None`` keeps all projects."""
         if project_id is None:
             return self
         p = F.lit(project_id)
-        return History(*(None if t is None else t.where(F.col("project_id") == p) for t in (
-            self.sessions, self.messages, self.parts, self.items, self.touches)))
+        scoped = (None if t is None else t.where(F.col("project_id") == p) for t in (
+            self.sessions, self.messages, self.parts, self.items, self.touches))
+        return History(*scoped, self.prompts)  # prompts are found by session

@@ -1,25 +1,15 @@
-"""As-of lookup: for each left row, the latest right row of the same group
-that lies strictly earlier (J3).
-
-Formulation: union both sides and run a window ordered by (time, side) whose
-frame ends one row before the current one; at equal times left rows sort
-first, so the match stays strictly earlier.  Right rows are compared by a
-struct whose leading fields are the ordering keys, so ``max`` picks the
-latest one deterministically.
-
-Skew: a window partitioned by group alone would put one enormous group
-into one task.  Rows per group are therefore counted first (one aggregate
-with map-side combine) and the driver checks whether any group exceeds
-``hot_rows``:
-
-* none (the usual case): one window partition per group, nothing else;
-* some: those groups are cut at quantiles of their own times (about
-  count / hot_rows buckets each, ``MAX_BUCKETS`` at most), the window runs per
-  (group, bucket), and a running max over per-bucket summaries of the hot
-  groups (one row per bucket, not per event) carries the best value of all
-  earlier buckets; answer = local result, else that carry.
-
-Only rows sharing one millisecond of one group cannot be split.
+"""As-of lookup by validity intervals: for each left row, the latest right row of
+the same group that lies strictly earlier (J3).
+
+A right row is valid after its own time, up to and including the next one's.  Time is
+cut into buckets of ``BUCKET_MS``; the intervals of a group start anew in every
+bucket that a left row asks for, with the value carried into it, so a lookup is an
+equality on (group, bucket) and a range: one interval holds for every left row.
+
+Nothing here sorts a whole group: rows of one millisecond are first reduced to the
+greatest, so a (group, bucket) has at most ``BUCKET_MS`` of them; the values carried
+into buckets run over one row per bucket within a day, and over one row per day.  No
+group needs counting beforehand, and building a lookup runs no job.
 """
 
 from __future__ import annotations
@@ -29,92 +19,80 @@ from pyspark.sql import functions as F
 
 from ..functions.broadcast import broadcast_if_bounded
 
-MAX_BUCKETS = 256             # finest split of one hot group
-HOT_ROWS = 1_000_000          # rows one window task may take before its group is split
-
-
-def _hot_groups(L: DataFrame, R: DataFrame, by: str, ts_l: str, hot_rows: int,
-                count_left: bool) -> DataFrame:
-    """Groups above ``hot_rows`` rows with their bucket origin and width.
-
-    Any rule that is the same on both sides is correct; the counts only steer
-    load balance, so a left side of proven small size is not counted."""
-    rows = R.select(F.col(by), F.col("_t"))
-    if count_left:
-        rows = rows.unionByName(L.select(F.col(by), F.col(ts_l).alias("_t")))
-    # Bounds are quantiles of the group's own times, so buckets hold equal shares
-    # however the times bunch; a group that is not hot needs no bounds.
-    counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-    parts = F.least(F.lit(MAX_BUCKETS), F.ceil(F.col("_n") / F.lit(hot_rows)) + 1)
-    shares = F.array(*(F.lit(i / MAX_BUCKETS) for i in range(1, MAX_BUCKETS)))
-    hot = rows.join(counts, by).groupBy(by).agg(
-        F.percentile_approx("_t", shares, 100 * MAX_BUCKETS).alias("_q"), F.max(parts).alias("_k"))
-    # Of the finest bounds, every (MAX_BUCKETS / parts)-th.
-    step = F.greatest(F.lit(1), F.floor(F.lit(MAX_BUCKETS) / F.col("_k")).cast("int"))
-    return hot.select(by, F.array_distinct(F.filter("_q", lambda x, i: (i + 1) % step == 0)).alias("_q"))
-
-
-def _with_bucket(df: DataFrame, hot: DataFrame, by: str, ts: str) -> DataFrame:
-    """Bucket number: how many bounds lie below the time (so equal times stay together)."""
-    d = df.join(hot, by, "left")
-    b = F.when(F.col("_q").isNull(), F.lit(0).cast("long")) \
-        .otherwise(F.size(F.filter("_q", lambda x: x < F.col(ts))).cast("long"))
-    return d.withColumn("_b", b).withColumn("_split", F.col("_q").isNotNull()).drop("_q")
-
-
-def latest_before(left: DataFrame, right: DataFrame, by: str, left_ts: str,
-                  right_ts: str, right_value: Column, out_col: str = "asof",
-                  left_row_bound: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Return ``left`` with ``out_col`` = max ``right_value`` over right rows
-    with the same ``by`` and ``right_ts < left_ts`` (null when none).
-
-    ``right_value`` must be a struct whose leading fields order the rows.
-    When ``left_row_bound`` proves ``left`` small, right rows are first
-    restricted to the groups present on the left (a broadcast semi-join),
-    so a lookup for a few rows does not shuffle the whole right side.
-    Runs one small job on the driver's behalf (the hot-group check).
-    """
-    left_cols = left.columns
-    R = right.select(F.col(by), F.col(right_ts).alias("_t"), right_value.alias("_v"))
+BUCKET_MS = 600_000
+DAY_MS = 86_400_000
+#: Bucket of left rows without a time; nothing is earlier than these.
+NO_TIME = -(1 << 62)
+
+
+def bucket_of(ts: Column, width: int = BUCKET_MS) -> Column:
+    """Start of the bucket that holds a time."""
+    return F.coalesce(ts - F.pmod(ts, F.lit(width)), F.lit(NO_TIME))
+
+
+def within(ts: Column) -> Column:
+    """Whether an interval of the time's bucket holds it."""
+    return F.col("from_ms").isNull() | ((ts > F.col("from_ms")) & (ts <= F.col("to_ms")))
+
+
+def validity_intervals(right: DataFrame, by: str, right_ts: str, value: Column, left: DataFrame, left_ts: str) -> DataFrame:
+    """``by``, bucket, from_ms (exclusive), to_ms (inclusive) and value of the intervals
+    in all buckets that ``left`` has times in; the value is null before the first."""
+    rows = (right.where(F.col(right_ts).isNotNull())
+            .select(F.col(by), F.col(right_ts).alias("from_ms"), value.alias("value"))
+            .withColumn("bucket", bucket_of(F.col("from_ms")))
+            .groupBy(by, "bucket", "from_ms").agg(F.max("value").alias("value")))
+    asked = left.select(F.col(by), bucket_of(F.col(left_ts)).alias("bucket")).distinct()
+
+    # One row per bucket: its last value, and whether it is asked for.
+    kind = rows.schema["value"].dataType
+    last = rows.groupBy(by, "bucket").agg(F.max_by("value", "from_ms").alias("last"))
+    buckets = (last.withColumn("asked", F.lit(False))
+               .unionByName(asked.select(by, "bucket", F.lit(None).cast(kind).alias("last"), F.lit(True).alias("asked")))
+               .groupBy(by, "bucket").agg(F.max("last").alias("last"), F.max("asked").alias("asked"))
+               .withColumn("day", bucket_of(F.col("bucket"), DAY_MS)))
+    earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
+    days = buckets.where("last IS NOT NULL").groupBy(by, "day").agg(F.max_by("last", "bucket").alias("last"))
+    days = buckets.select(by, "day").distinct().join(days, [by, "day"], "left")
+    days = days.withColumn("before", F.last("last", ignorenulls=True).over(earlier.partitionBy(by).orderBy("day")))
+    carried = F.last("last", ignorenulls=True).over(earlier.partitionBy(by, "day").orderBy("bucket"))
+    carry = (buckets.withColumn("inside", carried).where("asked")
+             .join(days.select(by, "day", "before"), [by, "day"])
+             .select(by, "bucket", (F.col("bucket") - 1).alias("from_ms"), F.coalesce("inside", "before").alias("value"),
+                     F.lit(True).alias("asked")))
+
+    bucket = Window.partitionBy(by, "bucket")
+    end = F.coalesce(F.lead("from_ms").over(bucket.orderBy("from_ms")), F.col("bucket") + (BUCKET_MS - 1))
+    # A bucket's carried value comes first in it; buckets without one were not asked for.
+    return (rows.withColumn("asked", F.lit(False)).select(carry.columns).unionByName(carry)
+            .withColumn("to_ms", end).withColumn("asked", F.max("asked").over(bucket)).where("asked")
+            .select(by, "bucket", F.when(F.col("bucket") != NO_TIME, F.col("from_ms")).alias("from_ms"), "to_ms", "value"))
+
+
+def look_up(left: DataFrame, intervals: DataFrame, by: str, left_ts: str, left_row_bound: int | None = None) -> DataFrame:
+    """``left`` with the columns of the one interval that holds each row's time.
+
+    ``intervals`` must cover the buckets of ``left``.  A left side of proven small size
+    is broadcast, so the intervals are scanned once and not shuffled."""
+    # Both sides may come from the same rows, so the left columns get names of their own.
+    at = left.select(*(F.col(c).alias(f"_l_{c}") for c in left.columns), bucket_of(F.col(left_ts)).alias("_bucket"))
     if left_row_bound is not None:
-        groups = broadcast_if_bounded(left.select(by).distinct(), left_row_bound)
-        R = R.join(groups, by, "left_semi")
-
-    count_left = left_row_bound is None or left_row_bound > hot_rows
-    hot = _hot_groups(left, R, by, left_ts, hot_rows, count_left)
-    split = not hot.isEmpty()
-    if split:
-        L = _with_bucket(left, hot, by, left_ts)
-        R = _with_bucket(R, hot, by, "_t")
-    else:
-        L = left.withColumn("_b", F.lit(0).cast("long")).withColumn("_split", F.lit(False))
-        R = R.withColumn("_b", F.lit(0).cast("long")).withColumn("_split", F.lit(False))
-
-    v_type = R.schema["_v"].dataType
-    l_struct = F.struct(*[F.col(c) for c in left_cols])
-    l_type = L.select(l_struct.alias("_l")).schema["_l"].dataType
-    u_left = L.select(F.col(by), "_b", F.col(left_ts).alias("_t"), F.lit(0).alias("_side"),
-                      F.lit(None).cast(v_type).alias("_v"), l_struct.alias("_l"))
-    u_right = R.select(F.col(by), "_b", "_t", F.lit(1).alias("_side"), "_v",
-                       F.lit(None).cast(l_type).alias("_l"))
-    w_local = (Window.partitionBy(by, "_b").orderBy("_t", "_side")
-               .rowsBetween(Window.unboundedPreceding, -1))
-    local = (u_left.unionByName(u_right)
-             .withColumn("_local", F.max(F.when(F.col("_side") == 1, F.col("_v"))).over(w_local))
-             .where(F.col("_side") == 0)
-             .select(F.col(by).alias("_g"), "_b", "_local", "_l"))
-    if not split:
-        return local.select(*[F.col("_l")[c].alias(c) for c in left_cols], F.col("_local").alias(out_col))
-
-    # Hot groups only: one row per (group, bucket) seen on either side (right
-    # rows bring their best value) in one map-side-combined aggregate, then a
-    # running max over those bucket rows carries earlier buckets forward.
-    buckets = (R.where("_split").select(F.col(by), "_b", F.col("_v").alias("_best"))
-               .unionByName(L.where("_split").select(F.col(by), "_b", F.lit(None).cast(v_type).alias("_best")))
-               .groupBy(by, "_b").agg(F.max("_best").alias("_best")))
-    w_carry = Window.partitionBy(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = (buckets.withColumn("_carry", F.max("_best").over(w_carry))
-             .select(F.col(by).alias("_g"), "_b", "_carry"))
-    joined = local.join(carry, ["_g", "_b"], "left")
-    return joined.select(*[F.col("_l")[c].alias(c) for c in left_cols],
-                         F.coalesce(F.col("_local"), F.col("_carry")).alias(out_col))
+        at = broadcast_if_bounded(at, left_row_bound)
+    values = [c for c in intervals.columns if c not in (by, "bucket", "from_ms", "to_ms")]
+    same = (F.col(by) == F.col(f"_l_{by}")) & (F.col("bucket") == F.col("_bucket")) & within(F.col(f"_l_{left_ts}"))
+    return intervals.join(at, same).select(*(F.col(f"_l_{c}").alias(c) for c in left.columns), *values)
+
+
+def latest_before(left: DataFrame, right: DataFrame, by: str, left_ts: str, right_ts: str, right_value: Column,
+                  out_col: str = "asof", left_row_bound: int | None = None) -> DataFrame:
+    """``left`` with ``out_col`` = max ``right_value`` over right rows with the same ``by``
+    and ``right_ts < left_ts`` (null when none; rows without a group are dropped).
+
+    ``right_value`` must be a struct whose leading fields order the rows.  When
+    ``left_row_bound`` proves ``left`` small, right rows are first restricted to the
+    groups present on the left (a broadcast semi-join)."""
+    if left_row_bound is not None:
+        groups = broadcast_if_bounded(left.select(F.col(by)).distinct(), left_row_bound)
+        right = right.join(groups, by, "left_semi")
+    intervals = validity_intervals(right, by, right_ts, right_value, left, left_ts)
+    return look_up(left, intervals.withColumnRenamed("value", out_col), by, left_ts, left_row_bound)

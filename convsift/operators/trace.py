@@ -9,11 +9,14 @@ earliest over the whole result, before any limit — is flagged
 in its session.  Rows come newest first; the limit applies last.
 
 Plan (single path): one pass over ``parts`` with the path rule as a
-predicate (no union: a part is either a tool call or a patch); the
-de-duplication is an aggregate with map-side combine; the arg-min is a
-scalar subquery (one row, no cross join); ordering + limit is a top-N; the
-prompt lookup runs on the ≤ N surviving rows only (session titles travel
-with the parts, so no join is needed for them).
+predicate (no union: a part is either a tool call or a patch), or over the
+stored touches; the de-duplication is an aggregate with map-side combine; the
+arg-min is a scalar subquery (one row, no cross join); ordering + limit is a
+top-N, and without a limit (``ALL``) a sort over ranges; the prompt is found by
+an equality and a range in the stored validity intervals (built in the same plan
+where none are stored).  Session titles travel with the parts.  Results of any
+length are also read page by page (:func:`trace_page`): a page starts after the
+key of the last row of the one before, so no page sorts those before it.
 
 Plan (batch, :func:`trace_files`): a table of queries is matched with one
 equi-join on (key, exact) after each candidate is offered under its full
@@ -24,20 +27,26 @@ lands whole in one task.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import PathQuery, last_component, normalize_query_col
 from ..model import TRACE_COLUMNS, History
-from .asof import latest_before
+from .asof import latest_before, look_up, validity_intervals
 
 DEFAULT_LIMIT = 50
+#: Limit of a trace that keeps every touch.
+ALL = "all"
 TOUCH_TOOLS = ("write", "edit")
 TOP_N_SALTS = 64
 
 
-def trace_limit(limit: int | None) -> int:
-    """``limit ?? 50``; zero is kept (no rows), negative is an error."""
+def trace_limit(limit: int | str | None) -> int | None:
+    """``limit ?? 50``; zero is kept (no rows), negative is an error, ``ALL`` is None."""
+    if limit == ALL:
+        return None
     if limit is None:
         return DEFAULT_LIMIT
     if limit < 0:
@@ -126,48 +135,95 @@ def _prompt_key() -> list[Column | str]:
             (-F.coalesce(F.col("created_ms"), F.lit(0))).alias("neg_part_ms"), "part_id"]
 
 
-def attach_prompts(touches: DataFrame, parts: DataFrame, row_bound: int | None) -> DataFrame:
-    """The preceding user text of every touch.  For few touches the texts of their
-    sessions go through the window; for an unbounded number only keys do, and the
-    texts are joined to the touches that are left."""
-    prompts = user_prompts(parts)
+def build_prompts(parts: DataFrame) -> DataFrame:
+    """The stored table of preceding prompts: per session the intervals of time in which
+    a user's text is the latest, in every bucket that an assistant touches files in.
+    Only keys pass the windows; the texts are joined to the intervals that are left."""
+    touches = _assistant_parts(parts).select("session_id", "msg_created_ms")
+    found = validity_intervals(user_prompts(parts), "session_id", "msg_created_ms", F.struct(*_prompt_key()),
+                               touches, "msg_created_ms")
+    return _with_texts(found, parts, "value").select("session_id", "bucket", "from_ms", "to_ms", "user_prompt")
+
+
+def _with_texts(df: DataFrame, parts: DataFrame, key: str) -> DataFrame:
+    texts = user_prompts(parts).select(F.col("message_id").alias("_tm"), F.col("part_id").alias("_tp"),
+                                       F.col("session_id").alias("_ts"), F.col("text").alias("user_prompt"))
+    same = (F.col("session_id") == F.col("_ts")) & (F.col(f"{key}.message_id") == F.col("_tm")) & (F.col(f"{key}.part_id") == F.col("_tp"))
+    return df.join(texts, same, "left").drop("_tm", "_tp", "_ts")
+
+
+def attach_prompts(touches: DataFrame, history: History, row_bound: int | None) -> DataFrame:
+    """The preceding user text of every touch: from the stored intervals, or else from
+    those of the touches' own buckets.  For few touches these hold the texts; for an
+    unbounded number only keys, and the texts are joined to the touches."""
+    if history.prompts is not None:
+        return look_up(touches, history.prompts, "session_id", "timestamp", row_bound)
     value = F.struct(*_prompt_key(), *(["text"] if row_bound is not None else []))
-    out = latest_before(touches, prompts, "session_id", "timestamp", "msg_created_ms", value,
+    out = latest_before(touches, user_prompts(history.parts), "session_id", "timestamp", "msg_created_ms", value,
                         out_col="prompt", left_row_bound=row_bound)
     if row_bound is not None:
         return out.withColumn("user_prompt", F.col("prompt.text")).drop("prompt")
-    texts = prompts.select(F.col("message_id").alias("_tm"), F.col("part_id").alias("_tp"),
-                           F.col("text").alias("user_prompt"))
-    return (out.join(texts, (F.col("prompt.message_id") == F.col("_tm")) & (F.col("prompt.part_id") == F.col("_tp")), "left")
-            .drop("prompt", "_tm", "_tp"))
+    return _with_texts(out, history.parts, "prompt").drop("prompt")
+
+
+def _flagged(history: History, q: PathQuery, corpus_range, normalize_stored: bool) -> DataFrame:
+    """All touches of one path, without repeats, the earliest flagged."""
+    found = (touches_for(history.parts, q, normalize_stored) if history.touches is None or normalize_stored
+             else stored_touches(history.touches, q))
+    if corpus_range is not None:
+        found = found.where(F.col("timestamp").between(F.lit(corpus_range.start_ms),
+                                                       F.lit(corpus_range.end_ms)))
+    touches = dedupe(found, ["session_id", "message_id", "file_path"])
+    first = touches.select(F.min(_first_key())).scalar()
+    return touches.withColumn("first_touch", F.coalesce(_first_key() == first, F.lit(False)))
 
 
-def trace_file(history: History, file_path: str, limit: int | None = None,
+def trace_file(history: History, file_path: str, limit: int | str | None = None,
                project_id: str | None = None, corpus_range=None,
                normalize_stored: bool = False) -> DataFrame:
     """Touch history of one file; rows newest first (``TRACE_COLUMNS``).
 
-    ``corpus_range`` keeps only touches inside a :class:`DateRange` *before*
-    the first-touch flag and the limit (prompts are still looked up over the
-    whole session)."""
+    ``limit`` ``ALL`` keeps every touch.  ``corpus_range`` keeps only touches inside a
+    :class:`DateRange` *before* the first-touch flag and the limit (prompts are still
+    looked up over the whole session)."""
     n = trace_limit(limit)
-    q = PathQuery.of(file_path)
     h = history.scoped(project_id)
-    keys = ["session_id", "message_id", "file_path"]
-    found = (touches_for(h.parts, q, normalize_stored) if h.touches is None or normalize_stored
-             else stored_touches(h.touches, q))
-    if corpus_range is not None:
-        found = found.where(F.col("timestamp").between(F.lit(corpus_range.start_ms),
-                                                       F.lit(corpus_range.end_ms)))
-    touches = dedupe(found, keys)
-    first = touches.select(F.min(_first_key())).scalar()
-    flagged = touches.withColumn("first_touch", F.coalesce(_first_key() == first, F.lit(False)))
-    limited = flagged.orderBy(*_newest_first()).limit(n)
-    return (attach_prompts(limited, h.parts, n)
+    flagged = _flagged(h, PathQuery.of(file_path), corpus_range, normalize_stored)
+    kept = flagged if n is None else flagged.orderBy(*_newest_first()).limit(n)
+    return (attach_prompts(kept, h, n)
             .orderBy(*_newest_first())
             .select(*TRACE_COLUMNS))
 
 
+# Columns of a row's place in a trace, newest first; only the first descends.
+_PLACE = ["timestamp", "source_priority", "session_id", "message_id", "file_path"]
+
+
+def _after(cursor: str) -> Column:
+    """Rows that come after a cursor's row (rows without a time are the last)."""
+    at = json.loads(cursor)
+    rest = F.struct(*_PLACE[1:]) > F.struct(*(F.lit(at[c]).alias(c) for c in _PLACE[1:]))
+    time = F.col("timestamp")
+    if at["timestamp"] is None:
+        return time.isNull() & rest
+    return time.isNull() | (time < at["timestamp"]) | ((time == at["timestamp"]) & rest)
+
+
+def trace_page(history: History, file_path: str, after: str | None = None, size: int = 1000,
+               project_id: str | None = None) -> DataFrame:
+    """``size`` rows of the whole trace of a file that come after the row with the cursor
+    ``after`` (None: from the newest on), with the ``cursor`` of each.  The pages put
+    together are the trace without a limit, the first touch flagged on its page."""
+    n = trace_limit(size)
+    h = history.scoped(project_id)
+    rows = _flagged(h, PathQuery.of(file_path), None, False)
+    if after is not None:
+        rows = rows.where(_after(after))
+    rows = rows.orderBy(*_newest_first()).limit(n)
+    return (attach_prompts(rows, h, n).orderBy(*_newest_first())
+            .select(*TRACE_COLUMNS, F.to_json(F.struct(*_PLACE), {"ignoreNullFields": "false"}).alias("cursor")))
+
+
 def _batch_candidates(parts: DataFrame, normalize_stored: bool = False, project: bool = False) -> DataFrame:
     """Every stored path a touch could match: tool inputs and patch files, in one
     pass (a part is either a tool call or a patch)."""
@@ -217,9 +273,10 @@ def trace_files(history: History, queries: DataFrame, query_col: str = "query",
     firsts = touches.groupBy("query").agg(F.min(_first_key()).alias("_first"))
     flagged = (touches.join(firsts, "query", "inner")
                .withColumn("first_touch", _first_key() == F.col("_first")).drop("_first"))
-    if limit_per_query is not None:
-        flagged = top_n_per_group(flagged, "query", _newest_first(), trace_limit(limit_per_query))
-    out = attach_prompts(flagged, h.parts, None) if with_prompts else \
+    n = None if limit_per_query is None else trace_limit(limit_per_query)
+    if n is not None:
+        flagged = top_n_per_group(flagged, "query", _newest_first(), n)
+    out = attach_prompts(flagged, h, None) if with_prompts else \
         flagged.withColumn("user_prompt", F.lit(None).cast("string"))
     return out.select("query", *TRACE_COLUMNS)
 

@@ -8,8 +8,8 @@
   :func:`normalise_tables` directly, e.g. with ``spark.read.jdbc``);
 * ``json_tree`` — the one-object-per-file layout.
 
-``write_history`` also stores the item table of fuzzy search and the touch table
-of file traces.  Files are sized by bytes: rows are clustered by project (touches
+``write_history`` also stores the item table of fuzzy search, the touch table of file
+traces and the validity intervals of the prompts before them.  Files are sized by bytes: rows are clustered by project (touches
 by last path component) and rebalanced, so a scope opens few files and a large
 project or long texts spread over many.
 """
@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 
 from ..model import History
 from ..operators.items import build_items
-from ..operators.trace import build_touches
+from ..operators.trace import build_prompts, build_touches
 from .tables import normalise_tables
 from .tree import read_json_tree
 
 TABLES = ("sessions", "messages", "parts")
-DERIVED = ("items", "touches")
+DERIVED = ("items", "touches", "prompts")
 
 
 def _stored(spark: SparkSession, path: str):
@@ -66,7 +66,7 @@ def _write(df: DataFrame, path: str, keys: list[str], partitions: int | None, sp
 
 def write_history(history: History, path: str, partitions: int | None = None,
                   mode: str = "overwrite") -> None:
-    """Write the relations and the two derived tables as Parquet.
+    """Write the relations and the derived tables as Parquet.
 
     The derived tables are built from the written parts, which are decoded by then.
     """
@@ -80,6 +80,8 @@ def write_history(history: History, path: str, partitions: int | None = None,
     write_items(build_items(done), os.path.join(path, "items"), partitions, mode)
     _write(build_touches(done.parts), os.path.join(path, "touches"), ["last_component", "file_path", "session_id"],
            partitions, ["last_component"], mode)
+    _write(build_prompts(done.parts), os.path.join(path, "prompts"), ["session_id", "bucket", "from_ms"], partitions,
+           ["session_id", "bucket"], mode)
 
 
 def write_items(items: DataFrame, path: str, partitions: int | None = None, mode: str = "overwrite") -> None:

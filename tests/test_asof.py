@@ -3,41 +3,46 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from convsift.operators.asof import latest_before
+from convsift.operators.asof import BUCKET_MS, DAY_MS, NO_TIME, latest_before, validity_intervals
 
 
-@pytest.mark.parametrize("seed,bound,hot", [(1, None, 1_000_000), (2, 500, 1_000_000),
-                                             (3, None, 20), (4, 500, 5), (5, None, 1), (6, 500, 150)])
-def test_latest_strictly_before_matches_brute_force(spark, seed, bound, hot):
+@pytest.mark.parametrize("seed,bound,spread", [(1, None, 200), (2, 500, 200), (3, None, 3 * BUCKET_MS), (4, 500, 5 * BUCKET_MS),
+                                               (5, None, 3 * DAY_MS), (6, 500, 400 * DAY_MS), (7, None, 1)])
+def test_latest_strictly_before_matches_brute_force(spark, seed, bound, spread):
     rnd = random.Random(seed)
-    # group "hot" holds most rows; times collide often (ties must stay strict)
-    left = [(i, rnd.choice(["hot", "hot", "hot", "a", "b"]), rnd.randint(0, 200)) for i in range(300)]
-    right = [(rnd.choice(["hot", "hot", "a", "c"]), rnd.randint(0, 200), f"v{j}") for j in range(400)]
+
+    def time():
+        # Times collide often, also at the edges of buckets and days, and may be negative.
+        t = rnd.randint(-spread, spread)
+        return rnd.choice([t, t // 7 * 7, t // BUCKET_MS * BUCKET_MS, t // DAY_MS * DAY_MS - 1])
+
+    left = [(i, rnd.choice(["hot", "hot", "hot", "a", "b"]), time()) for i in range(300)]
+    left += [(300 + i, g, None) for i, g in enumerate(["hot", "a", "b", "b"])]
+    right = [(rnd.choice(["hot", "hot", "a", "c"]), time(), f"v{j}") for j in range(400)] + [("hot", None, "never")]
     ldf = spark.createDataFrame(left, "id int, g string, t long")
     rdf = spark.createDataFrame(right, "g string, rt long, val string")
-    out = latest_before(ldf, rdf, "g", "t", "rt", F.struct("rt", "val"),
-                        left_row_bound=bound, hot_rows=hot)
-    got = {r.id: (None if r.asof is None else (r.asof.rt, r.asof.val)) for r in out.collect()}
+    out = latest_before(ldf, rdf, "g", "t", "rt", F.struct("rt", "val"), left_row_bound=bound)
+    assert out.columns == ["id", "g", "t", "asof"]
+    rows = out.collect()
+    got = {r.id: (None if r.asof is None else (r.asof.rt, r.asof.val)) for r in rows}
     for i, g, t in left:
-        cands = [(rt, v) for gg, rt, v in right if gg == g and rt < t]
+        cands = [(rt, v) for gg, rt, v in right if gg == g and t is not None and rt is not None and rt < t]
         assert got[i] == (max(cands) if cands else None), (i, g, t)
-    assert len(got) == len(left)
-
-
-def test_hot_group_is_split(spark):
-    from convsift.operators.asof import _hot_groups, _with_bucket
-    rows = [("hot", t) for t in range(1000)] + [("cold", t) for t in range(10)]
-    df = spark.createDataFrame(rows, "g string, t long")
-    hot = _hot_groups(df, df.withColumnRenamed("t", "_t"), "g", "t", 100, True)
-    b = _with_bucket(df, hot, "g", "t")
-    per = {r.g: r.n for r in b.groupBy("g").agg(F.countDistinct("_b").alias("n")).collect()}
-    assert per["cold"] == 1 and per["hot"] >= 10
-
-
-def test_outlier_does_not_undo_the_split(spark):
-    from convsift.operators.asof import _hot_groups, _with_bucket
-    rows = [("hot", 0)] + [("hot", 10_000_000 + t) for t in range(2000)]
-    df = spark.createDataFrame(rows, "g string, t long")
-    hot = _hot_groups(df, df.withColumnRenamed("t", "_t"), "g", "t", 400, False)
-    sizes = [r["count"] for r in _with_bucket(df, hot, "g", "t").groupBy("_b").count().collect()]
-    assert sum(sizes) == 2001 and max(sizes) <= 2 * 400
+    assert len(got) == len(rows) == len(left)
+
+
+def test_intervals_cover_each_bucket_once(spark):
+    right = spark.createDataFrame([("a", 5, 1), ("a", BUCKET_MS + 9, 2), ("a", 9 * BUCKET_MS, 3), ("b", 1, 4)], "g string, t long, v int")
+    left = spark.createDataFrame([("a", 7), ("a", BUCKET_MS * 3), ("c", 8), ("a", None)], "g string, t long")
+    rows = validity_intervals(right, "g", "t", F.struct("v"), left, "t").collect()
+    found = sorted((r.g, r.bucket, r.from_ms, r.to_ms, r.value.v if r.value else None) for r in rows if r.bucket != NO_TIME)
+    assert found == [("a", 0, -1, 5, None), ("a", 0, 5, BUCKET_MS - 1, 1),
+                     ("a", 3 * BUCKET_MS, 3 * BUCKET_MS - 1, 4 * BUCKET_MS - 1, 2), ("c", 0, -1, BUCKET_MS - 1, None)]
+    assert [(r.g, r.from_ms, r.value) for r in rows if r.bucket == NO_TIME] == [("a", None, None)]
+
+
+def test_a_group_of_one_time_is_reduced_first(spark):
+    """Rows of one millisecond meet as partial aggregates, before any window."""
+    df = spark.range(1000).selectExpr("'hot' AS g", "5L AS t", "id AS v")
+    plan = latest_before(df, df.withColumnRenamed("t", "rt"), "g", "t", "rt", F.struct("v"))._jdf.queryExecution().executedPlan().toString()
+    assert "partial_max" in plan

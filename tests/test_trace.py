@@ -1,6 +1,7 @@
 import pytest
 
-from convsift.operators.trace import trace_file, trace_files
+from convsift.operators.trace import ALL, trace_file, trace_files, trace_page
+from convsift.sources.history import load_history, write_history
 from history_data import HOUSE, ORCHARD, at, frames, history
 from convsift.sources.tables import normalise_tables
 
@@ -74,9 +75,75 @@ def test_nothing_stays_cached_and_new_rows_are_seen(spark, tmp_path):
         read = [spark.read.parquet(str(tmp_path / n)) for n in "smp"]
         return len(rows(trace_file(normalise_tables(*read), "valve.py")))
 
+    def cached():
+        return spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+
+    held = cached()
     before = found()
-    assert spark.sparkContext._jsc.sc().getPersistentRDDs().isEmpty()
+    assert cached() == held
     p.where("message_id = 's-audit-m1'").limit(1).selectExpr(
         "'late' AS id", "message_id", "session_id", "time_created", "time_updated",
         "'{\"type\":\"patch\",\"files\":[\"lib/valve.py\"]}' AS data").write.mode("append").parquet(str(tmp_path / "p"))
     assert found() == before + 1
+
+
+def test_all_touches_without_a_top_n(hist):
+    whole = trace_file(hist, "valve.py", limit=ALL)
+    assert rows(whole) == rows(trace_file(hist, "valve.py", limit=10_000))
+    assert "TakeOrdered" not in whole._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 100])
+def test_pages_together_are_the_trace(hist, size):
+    got, after = [], None
+    while True:
+        page = rows(trace_page(hist, "valve.py", after, size))
+        got += page
+        if len(page) < size:
+            break
+        after = page[-1]["cursor"]
+    assert [{k: v for k, v in r.items() if k != "cursor"} for r in got] == rows(trace_file(hist, "valve.py", limit=ALL))
+
+
+def test_a_page_after_rows_without_a_time(spark):
+    s, m, p = frames(spark)
+    h = normalise_tables(s, m.selectExpr("id", "session_id", "CASE WHEN id LIKE '%m1' THEN time_created END AS time_created",
+                                         "time_updated", "data"), p)
+    whole = rows(trace_file(h, "valve.py", limit=ALL))
+    assert any(r["timestamp"] is None for r in whole) and any(r["timestamp"] for r in whole)
+    got, after = [], None
+    for _ in whole:
+        (r,) = rows(trace_page(h, "valve.py", after, 1))
+        after = r.pop("cursor")
+        got.append(r)
+    assert got == whole
+    assert rows(trace_page(h, "valve.py", after, 1)) == []
+
+
+def test_stored_prompts_give_the_same_rows(spark, hist, tmp_path):
+    write_history(hist, str(tmp_path))
+    stored = load_history(spark, str(tmp_path))
+    assert stored.prompts is not None
+    paths = ["lib/valve.py", "valve.py", "lib/quiet.py", "conf/pump.toml", "lib/none.py"]
+    for p in paths:
+        for limit in (2, 50, ALL):
+            assert rows(trace_file(stored, p, limit=limit)) == rows(trace_file(hist, p, limit=limit)), (p, limit)
+    queries = spark.createDataFrame([(p,) for p in paths], "query string")
+    key = lambda r: (r["query"], -r["timestamp"], r["session_id"])
+    assert sorted(rows(trace_files(stored, queries)), key=key) == sorted(rows(trace_files(hist, queries)), key=key)
+
+
+def test_building_a_trace_runs_no_job(spark, hist, tmp_path):
+    write_history(hist, str(tmp_path))
+    stored = load_history(spark, str(tmp_path))
+    queries = spark.createDataFrame([("valve.py",)], "query string")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("build", "")
+    try:
+        for h in (hist, stored):
+            trace_file(h, "valve.py")
+            trace_file(h, "valve.py", limit=ALL)
+            trace_files(h, queries, limit_per_query=3)
+        assert list(tracker.getJobIdsForGroup("build")) == []
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
