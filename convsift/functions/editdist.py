@@ -9,10 +9,11 @@ at the mirrored position, so the last column reaching the minimum gives the
 leftmost start.
 
 The numpy form advances a whole batch of texts one character per step with
-``uint64`` bit vectors (queries up to 64 characters); longer queries use
-Python integers per text.  Texts are expected to be short windows (the
-Spark side cuts long texts into overlapping windows), and rows are grouped
-by length so padding stays small.
+``uint64`` bit vectors.  Queries above 64 characters take ceil(m / 64) vectors a
+text: the lowest runs first, and the step at its last row (up, level or down)
+goes into the next one.  Texts are expected to be short windows (the Spark side
+cuts long texts into overlapping windows), and rows are grouped by length so
+padding stays small.
 """
 
 from __future__ import annotations
@@ -118,31 +119,63 @@ def _scan_group(texts_rev: list[str], keys: np.ndarray, masks: np.ndarray, m: in
     return lens, best[inv], last[inv]
 
 
-def _scan_bigint(text_rev: str, query_rev: str):
-    """Same scan with Python integers (queries longer than 64 characters)."""
-    m = len(query_rev)
-    peq: dict[str, int] = {}
-    for i, ch in enumerate(query_rev):
-        peq[ch] = peq.get(ch, 0) | (1 << i)
-    full, top = (1 << m) - 1, 1 << (m - 1)
-    pv, mv, score, best, last = full, 0, m, m, -1
-    for j, ch in enumerate(text_rev):
-        eq = peq.get(ch, 0)
-        xv = eq | mv
-        xh = ((((eq & pv) + pv) & full) ^ pv) | eq
-        ph = (mv | ~(xh | pv)) & full
-        mh = pv & xh
-        if ph & top:
-            score += 1
-        elif mh & top:
-            score -= 1
-        ph = (ph << 1) & full
-        mh = (mh << 1) & full
-        pv = (mh | ~(xv | ph)) & full
-        mv = ph & xv
-        if score <= best:
-            best, last = score, j
-    return best, last
+def _scan_blocks(texts_rev: list[str], query_rev: str):
+    """The scan with several words a text (queries longer than 64 characters)."""
+    m, n = len(query_rev), len(texts_rev)
+    words = [query_rev[i:i + 64] for i in range(0, m, 64)]
+    lens = np.fromiter((len(t) for t in texts_rev), dtype=np.int64, count=n)
+    order = np.argsort(-lens, kind="stable")
+    lens_sorted = lens[order]
+    width = int(lens_sorted[0]) if n else 0
+    codes = np.full((max(width, 1), n), _PAD, dtype=np.uint32)
+    for col, i in enumerate(order):
+        if texts_rev[i]:
+            codes[:len(texts_rev[i]), col] = _codes(texts_rev[i])
+    # Distinct query characters by number (0: none of them); masks of each in every word.
+    keys = np.array(sorted({ord(ch) for ch in query_rev}), dtype=np.uint32)
+    idx = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
+    number = np.where(keys[idx] == codes, idx + 1, 0).astype(np.int32)
+    del codes, idx
+    masks = np.zeros((len(words), len(keys) + 1), dtype=np.uint64)
+    for w, part in enumerate(words):
+        for i, ch in enumerate(part):
+            masks[w, np.searchsorted(keys, ord(ch)) + 1] |= np.uint64(1 << i)
+    live = n - np.searchsorted(lens_sorted[::-1], np.arange(width), side="right")
+
+    tops = [np.uint64(len(part) - 1) for part in words]
+    one = np.uint64(1)
+    pv = np.full((len(words), n), 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
+    mv = np.zeros((len(words), n), dtype=np.uint64)
+    score = np.full(n, m, dtype=np.int64)
+    best = np.full(n, m, dtype=np.int64)
+    last = np.full(n, -1, dtype=np.int64)
+    for j in range(width):
+        c = int(live[j])
+        up = down = None  # the step into the word above; none enters the lowest
+        at = number[j, :c]
+        for w, top in enumerate(tops):
+            eq, Pv, Mv = masks[w][at], pv[w, :c], mv[w, :c]
+            Xv = eq | Mv
+            if down is not None:
+                eq = eq | down
+            Xh = (((eq & Pv) + Pv) ^ Pv) | eq
+            Ph = Mv | ~(Xh | Pv)
+            Mh = Pv & Xh
+            out_up, out_down = (Ph >> top) & one, (Mh >> top) & one
+            Ph <<= one
+            Mh <<= one
+            if up is not None:
+                Ph |= up
+                Mh |= down
+            pv[w, :c] = Mh | ~(Xv | Ph)
+            mv[w, :c] = Ph & Xv
+            up, down = out_up, out_down
+        score[:c] += up.astype(np.int64) - down.astype(np.int64)
+        np.minimum(best[:c], score[:c], out=best[:c])
+        np.copyto(last[:c], j, where=score[:c] == best[:c])
+    inv = np.empty_like(order)
+    inv[order] = np.arange(n)
+    return lens, best[inv], last[inv]
 
 
 def best_alignment(texts: list[str | None], query: str, max_dist: int):
@@ -159,16 +192,12 @@ def best_alignment(texts: list[str | None], query: str, max_dist: int):
     order = sorted((i for i in range(n) if texts[i]), key=lambda i: len(texts[i]))
     if m <= 64:
         keys, masks = _peq(q_rev)
-        for g in range(0, len(order), GROUP_ROWS):
-            ids = order[g:g + GROUP_ROWS]
-            lens, best, last = _scan_group([texts[i][::-1] for i in ids], keys, masks, m)
-            ok = (best <= max_dist) & (last >= 0)
-            sel = np.asarray(ids, dtype=np.int64)[ok]
-            dist[sel] = best[ok]
-            start[sel] = lens[ok] - 1 - last[ok]
-    else:
-        for i in order:
-            b, last = _scan_bigint(texts[i][::-1], q_rev)
-            if b <= max_dist and last >= 0:
-                dist[i], start[i] = b, len(texts[i]) - 1 - last
+    for g in range(0, len(order), GROUP_ROWS):
+        ids = order[g:g + GROUP_ROWS]
+        texts_rev = [texts[i][::-1] for i in ids]
+        lens, best, last = _scan_group(texts_rev, keys, masks, m) if m <= 64 else _scan_blocks(texts_rev, q_rev)
+        ok = (best <= max_dist) & (last >= 0)
+        sel = np.asarray(ids, dtype=np.int64)[ok]
+        dist[sel] = best[ok]
+        start[sel] = lens[ok] - 1 - last[ok]
     return dist, start
