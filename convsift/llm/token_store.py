@@ -51,7 +51,7 @@ LEVEL = 3
 #: Bytes of frames and index in a shard, about, and of frames in a block.
 SHARD_BYTES, BLOCK_BYTES = 8 << 20, 1 << 20
 #: Runs and words whose ids a worker keeps, and words of one call of the tokenizer.
-CACHE_RUNS, CACHE_WORDS, JOINT_WORDS = 1_500_000, 100_000, 200
+CACHE_RUNS, CACHE_WORDS, JOINT_WORDS = 700_000, 80_000, 500
 
 MAGIC, END_MAGIC = b"IDSHARD1", b"IDINDEX1"
 _HEADER = "<8sIH32s"
@@ -429,23 +429,25 @@ def read_dictionary(spark: SparkSession, path: str) -> bytes:
     return bytes(rows[0].content)[:-1] if rows else b""
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """Per document: doc_id, shard, start (ids before it in its shard), n_tokens, ids_crc32
-    (checksum of the ids as 32-bit words) and ids."""
+    (checksum of the ids as 32-bit words) and ids (unless only the others are wanted)."""
     import pyarrow as pa
 
     ship_package(spark)
     dictionary = read_dictionary(spark, path)
+    schema = "doc_id bigint, shard bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + (", ids array<int>" if with_ids else "")
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def batch(rows):
         shard, doc_id, start, ids = zip(*rows)
         wide = [x.astype("<u4") for x in ids]
         ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-        flat = pa.array(np.concatenate(wide).astype(np.int32))
         columns = [pa.array(doc_id, pa.int64()), pa.array(shard, pa.int64()), pa.array(start, pa.int64()),
-                   pa.array(np.diff(ends), pa.int64()), pa.array([zlib.crc32(x) for x in wide], pa.int64()),
-                   pa.ListArray.from_arrays(pa.array(ends), flat)]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "shard", "start", "n_tokens", "ids_crc32", "ids"])
+                   pa.array(np.diff(ends), pa.int64()), pa.array([zlib.crc32(x) for x in wide], pa.int64())]
+        if with_ids:
+            columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(wide).astype(np.int32))))
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     def parse(batches):
         for b in batches:
@@ -461,7 +463,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                     yield batch(rows)
 
     files = spark.read.format("binaryFile").load(f"{path}/shards").select("content")
-    return files.mapInArrow(tidy(parse), "doc_id bigint, shard bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids array<int>")
+    return files.mapInArrow(tidy(parse), schema)
 
 
 def shard_starts(spark: SparkSession, path: str) -> DataFrame:
@@ -537,7 +539,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = scratch_path(spark, f"tokens-{uuid.uuid4().hex}")
     write_tokens(documents(spark, sf_dir), path, str(public_tokenizers.path(TOKENIZER)))
-    back = materialise(read_tokens(spark, path).drop("ids"), f"tokens-back-{uuid.uuid4().hex}")
+    back = materialise(read_tokens(spark, path, with_ids=False), f"tokens-back-{uuid.uuid4().hex}")
     starts = shard_starts(spark, path).withColumnRenamed("shard", "_shard")
     out = back.join(starts, F.col("shard") == F.col("_shard"))
     return out.select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")

@@ -80,6 +80,8 @@ def test_many_small_shards(spark, make_docs, encode, tmp_path, monkeypatch):
     assert run(spark, tmp_path, make_docs(rows).repartition(5)) == expected(rows, encode)
     path = str(tmp_path / "store")
     token_store.write_tokens(make_docs(rows), path, FILE)
+    ids = {r.doc_id: (r.n_tokens, r.ids) for r in token_store.read_tokens(spark, path).where("doc_id BETWEEN 100 AND 130").collect()}
+    assert ids == {d: (len(encode(t)), encode(t)) for d, t in rows if d is not None and 100 <= d <= 130}
     shards = [f for f in os.listdir(f"{path}/shards") if f.startswith("part-")]
     assert len(shards) > 10
     once = Counter(d for d, _ in rows)
