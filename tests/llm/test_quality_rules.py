@@ -1,6 +1,8 @@
+import os
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from convsift.llm import quality_rules as q
@@ -15,20 +17,25 @@ def brute(text):
     covered = {i + j for i in range(len(w) - 7) if grams[tuple(w[i:i + 8])] > 1 for j in range(8)}
     lines = Counter(x for x in text.split("\n") if WORD.search(x))
     failed = len(w) < 20 or 100 * len(covered) > 30 * len(w)
-    return (len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), sum(n - 1 for n in lines.values()), len(covered), failed)
+    chars, symbols, again = sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), sum(n - 1 for n in lines.values())
+    stutters = sum(a == b for a, b in zip(w, w[1:]))
+    rules = [10 * symbols > len(w), 100 * again > 40 * sum(lines.values()), not 3 * len(w) <= chars <= 12 * len(w), 100 * stutters > 20 * len(w)]
+    return (len(w), chars, symbols, again, len(covered), sum(lines.values()), stutters, failed, sum(rules))
 
 
-GOOD = " ".join(f"w{i}" for i in range(40))
-ROWS = [(1, None), (2, ""), (3, " \t\n"), (4, GOOD), (5, "a b c d e f g h " * 4), (6, "x\ny\nx\n\n \n \nx"), (7, "é# ü* 日本 |<>$%&"),
+GOOD = " ".join(f"word{i}" for i in range(40))
+ODD_LINES = "the same line\n" * 7 + GOOD
+JUNK = " ".join(f"&w{i}" for i in range(25))
+ROWS = [(12, ODD_LINES), (13, JUNK), (14, "go go go stop " * 9), (15, "abcdefghijklmnopq " * 30), (16, "a\nb " * 25), (1, None), (2, ""), (3, " \t\n"), (4, GOOD), (5, "a b c d e f g h " * 4), (6, "x\ny\nx\n\n \n \nx"), (7, "é# ü* 日本 |<>$%&"),
         (8, "a " * 100_000), (9, GOOD + "\n" + GOOD), (10, GOOD + " 1 2 3 4 5 6 7 8 z 1 2 3 4 5 6 7 8"), (11, " a b")]
 
 
 def counts(r):
-    return (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed)
+    return (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.n_lines, r.n_stutters, r.base_failed, r.n_failed)
 
 
 def test_counts(spark, make_docs, clashing):
-    out = q.quality_rules(clashing(make_docs(ROWS)).drop("host")).collect()
+    out = q.quality_rules(clashing(make_docs(ROWS))).collect()
     assert {r.doc_id: counts(r) for r in out} == {d: brute(t) for d, t in ROWS}
 
 
@@ -60,3 +67,36 @@ def test_other_host_expression(spark, make_docs):
     docs = make_docs([(i, "short", "en", "a") for i in range(90)] + [(i, GOOD, "de", "a") for i in range(100, 190)])
     out = q.quality_rules(docs, host=F.col("lang"), max_rate=0.5).collect()
     assert all(r.kept == (r.doc_id >= 100) for r in out)
+
+
+def test_hosts_decide_what_a_failed_rule_means(spark, make_docs):
+    """One document with symbols stays where hardly any other fails, goes on an ordinary host;
+    a host of junk loses its clean documents too, a mixed one keeps them."""
+    rows = [(i, GOOD if i else JUNK, None, "clean") for i in range(400)]
+    rows += [(1000 + i, GOOD if i % 6 else JUNK, None, "mixed") for i in range(400)]
+    rows += [(2000 + i, JUNK if i % 25 else GOOD, None, "junk") for i in range(400)]
+    rows += [(3000, JUNK, None, None), (3001, GOOD, None, None)]
+    out = {r.doc_id: r.kept for r in q.quality_rules(make_docs(rows)).collect()}
+    assert all(out[i] for i in range(400))
+    assert all(out[1000 + i] == bool(i % 6) for i in range(400))
+    assert not any(out[2000 + i] for i in range(400))
+    assert not out[3000] and out[3001]
+
+
+def test_two_failed_rules_are_not_forgiven(spark, make_docs):
+    rows = [(i, GOOD if i else "go& " * 8 + JUNK, None, "clean") for i in range(300)]
+    assert [r.doc_id for r in q.quality_rules(make_docs(rows)).collect() if not r.kept] == [0]
+
+
+def test_the_prior_never_drowns_a_host(spark, make_docs):
+    """Hosts that differ by no more than chance are not all given the mean."""
+    rows = [(100 * h + i, JUNK if i < 10 + h % 3 else GOOD, None, f"h{h}") for h in range(20) for i in range(100)]
+    rates = {r.host: r.shrunk_rate for r in q.quality_rules(make_docs(rows)).collect()}
+    assert rates["h2"] - rates["h0"] > 0.005
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables")
+def test_verdict_changes_rows_of_the_given_table(spark):
+    out = q.query(spark, "/root/testdata/sf0.01")
+    n = out.where("NOT base_failed AND NOT kept").count()
+    assert 20 < n < 200
