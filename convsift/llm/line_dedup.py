@@ -1,17 +1,17 @@
 """Line deduplication by content-defined chunks of lines.
 
-A rolling hash over the last ``WINDOW`` line hashes decides after which lines a
-text is cut, so the cuts of a passage stay where they are when lines before it
-come or go; a line of ``LONG_LINE`` words or more is always a chunk of its own.
-A text is cut ``LEVELS`` times with different hashes, so that the ends of a
-passage, too, are cut cleanly in one of them.  Where lines are short most cuts
-leave too few words to compare, so from every worded line forward and back the
-shortest run that suffices is a chunk as well: a repeated run of lines that is long
-enough to compare goes whole, whatever its lines' lengths.  Chunks of two worded
-lines or more with ``MIN_WORDS`` words, or with one long line, are compared over the
-whole corpus: the occurrence with the smallest doc_id (then the first in its text)
-stays, the lines of the others go; equal hashes are confirmed on the chunks' bytes.  A line only goes when an earlier
-place has it, so the first place of every line stays.
+A rolling hash over the last line hashes decides after which lines a text is cut, so
+the cuts of a passage stay where they are when lines before it come or go; a line is
+likelier to end with a cut the more words it has, and a line of ``LONG_LINE`` words or
+more is always a chunk of its own.  From every cut a chunk grows until it has two worded
+lines and ``MIN_WORDS`` words, and ends at the next cut.  Texts are cut once for each of
+``LEVELS``, with different hashes.  Chunks are compared over the whole corpus: the
+occurrence with the smallest doc_id (then the first in its text) stays, the others go;
+equal hashes are confirmed on the chunks' bytes.  Before its first cut and after its last
+one a passage has lines that no chunk holds, so a repeated chunk is extended over the
+neighbouring lines, of up to ``EXTEND_WORDS`` words, that are those of the first occurrence,
+byte by byte (not over empty lines at its edge, which separate).  A line only goes when
+an earlier place has it, so the first place of every line stays.
 
 Defined results: null and empty texts stay as they are; equal rows (same doc_id
 and text) keep the same text; a null doc_id counts as larger than all others; a
@@ -26,90 +26,86 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, StructType
 from xxhash import xxh3_64_intdigest
 
 from convsift.llm.common import documents, materialise, release, ship_package, skew_lookup, text_groups, tidy
 
-WINDOW = 2
-LEVELS = 8
-#: A cut comes after about this share of lines.
-CUT = 0.6
+#: Lines that the rolling hash of each level covers.
+LEVELS = (1, 1, 1, 1, 2)
+#: A cut comes after a line with a chance of its words in this number, at most MAX_CUT.
+CUT_WORDS, MAX_CUT = 20, 0.7
 LONG_LINE = 20
 MIN_WORDS = 12
 MAX_LINES = 64
-_CUT_BELOW = int(CUT * (1 << 32))
+EXTEND_WORDS = 60
 _M64 = (1 << 64) - 1
 _P = 0x9FB21C651E98DF25
 
 
-def chunk_ends(lines: list[bytes], level: int = 0) -> list[int]:
-    """Ascending ends (exclusive) of the chunks of ``lines``."""
-    return _ends([xxh3_64_intdigest(x) for x in lines], [len(x.split()) for x in lines], level)
+def _cut_below(words: int) -> int:
+    return int(min(MAX_CUT, words / CUT_WORDS) * (1 << 32))
 
 
-def _ends(hashes: list[int], words: list[int], level: int) -> list[int]:
-    ends: list[int] = []
-    start, before = 0, 0
+def cuts(hashes: list[int], words: list[int], level: int) -> list[int]:
+    """Ascending places (numbers of lines before them) at which a text of ``len(words)``
+    lines is cut, its end included; ``MAX_LINES`` without a cut end with one."""
+    out, window = [], LEVELS[level]
     salt = (2 * level + 1) * _P & _M64
-    for i, (h, n) in enumerate(zip(hashes, words)):
+    for i, n in enumerate(words):
         if n >= LONG_LINE:
-            if i > start:
-                ends.append(i)
-            ends.append(i + 1)
-            start = i + 1
-        else:
-            # The window is this line and the one before it.
-            rolling = ((before * _P + h) & _M64) * salt & _M64
-            if i - start >= MAX_LINES - 1 or (n and (rolling ^ rolling >> 29) * _P >> 32 & 0xFFFFFFFF < _CUT_BELOW):
-                ends.append(i + 1)
-                start = i + 1
-        before = h
-    if start < len(words):
-        ends.append(len(words))
-    return ends
-
-
-def _suffices(worded: int, words: int, long: int) -> bool:
-    """Whether lines are compared: their worded ones, their words and their long ones."""
-    return long > 0 or (worded > 1 and words >= MIN_WORDS)
-
-
-def _runs(words: list[int]) -> Iterator[tuple[int, int]]:
-    """(first line, line after the last) of the shortest run that suffices from each worded
-    line forward, and back from each; an end moves only one way, so time is linear."""
-    for step in (1, -1):
-        order = words[::step]
-        worded = total = long = end = 0
-        for start, n in enumerate(order):
-            while end < len(order) and not _suffices(worded, total, long):
-                worded += order[end] > 0
-                total += order[end]
-                long += order[end] >= LONG_LINE
-                end += 1
-            if not _suffices(worded, total, long):
-                break
-            if n:
-                yield (start, end) if step == 1 else (len(words) - end, len(words) - start)
-            worded -= n > 0
-            total -= n
-            long -= n >= LONG_LINE
+            if i and (not out or out[-1] < i):
+                out.append(i)
+            out.append(i + 1)
+        elif n:
+            rolling = 0
+            for h in hashes[max(0, i + 1 - window):i + 1]:
+                rolling = (rolling * _P + h) & _M64
+            rolling = rolling * salt & _M64
+            if (rolling ^ rolling >> 29) * _P >> 32 & 0xFFFFFFFF < _cut_below(n) or i + 1 - (out[-1] if out else 0) >= MAX_LINES:
+                out.append(i + 1)
+    if words and (not out or out[-1] < len(words)):
+        out.append(len(words))
+    return out
+
+
+def spans(hashes: list[int], words: list[int]) -> set[tuple[int, int]]:
+    """(first line, line after the last) of every chunk that is compared, of all levels."""
+    n = len(words)
+    total, worded = [0], [0]
+    for x in words:
+        total.append(total[-1] + x)
+        worded.append(worded[-1] + (x > 0))
+    # Enough lines from each line on (a chunk of short lines ends before a long one).
+    enough, end = [], 0
+    for start in range(n):
+        end = max(end, start)
+        while end < n and not (worded[end] - worded[start] > 1 and total[end] - total[start] >= MIN_WORDS):
+            end += 1
+        full = worded[end] - worded[start] > 1 and total[end] - total[start] >= MIN_WORDS
+        enough.append(end if full else n + 1)
+    long = [i for i, x in enumerate(words) if x >= LONG_LINE] + [n]
+    out = {(i, i + 1) for i in long[:-1]}
+    for level in range(len(LEVELS)):
+        ends = cuts(hashes, words, level)
+        k = j = 0
+        for start in [0, *ends[:-1]]:
+            while long[j] < start:
+                j += 1
+            need = enough[start]
+            while k < len(ends) and ends[k] < need:
+                k += 1
+            stop = min(ends[k] if k < len(ends) else n + 1, max(need, start + MAX_LINES))
+            if stop <= long[j]:
+                out.add((start, stop))
+    return out
 
 
 def chunks(text: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(first line, line after the last, bytes) of every chunk that is compared, of all
-    levels and all shortest runs."""
+    """(first line, line after the last, bytes) of every chunk that is compared."""
     lines = text.split(b"\n")
     hashes, words = [xxh3_64_intdigest(x) for x in lines], [len(x.split()) for x in lines]
-    spans = set(_runs(words))
-    for level in range(LEVELS):
-        start = 0
-        for end in _ends(hashes, words, level):
-            part = words[start:end]
-            if _suffices(sum(1 for n in part if n), sum(part), sum(1 for n in part if n >= LONG_LINE)):
-                spans.add((start, end))
-            start = end
-    for a, b in sorted(spans):
+    for a, b in sorted(spans(hashes, words)):
         yield a, b, b"\n".join(lines[a:b])
 
 
@@ -132,32 +128,90 @@ def _compared(rows: DataFrame) -> DataFrame:
         tidy(cut), "_lid bigint, _lrow bigint, pos int, stop int, chash bigint")
 
 
-@F.pandas_udf(ArrayType(StructType().add("pos", "integer").add("stop", "integer").add("body", "binary")))
+def _neighbours(lines: list[bytes], at: range) -> list[bytes]:
+    """The lines at the given places: up to a long one, and until they have EXTEND_WORDS words."""
+    out, words = [], 0
+    for i in at:
+        n = len(lines[i].split())
+        if n >= LONG_LINE or words >= EXTEND_WORDS:
+            break
+        out.append(lines[i])
+        words += n
+    return out
+
+
+_LINES = ArrayType(BinaryType())
+
+
+@F.pandas_udf(ArrayType(StructType().add("body", "binary").add("before", _LINES).add("after", _LINES)))
 def _bodies(text: pd.Series, wanted: pd.Series) -> pd.Series:
-    """Bytes of the wanted spans of lines of a text."""
+    """Bytes of the wanted spans of lines of a text; for those that stay also the lines
+    before (nearest first) and after."""
     out = []
-    for t, spans in zip(text, wanted):
-        lines = (t or "").encode().split(b"\n")
-        out.append([{"pos": s["pos"], "stop": s["stop"], "body": b"\n".join(lines[s["pos"]:s["stop"]])} for s in spans])
+    for t, places in zip(text, wanted):
+        lines, rows = (t or "").encode().split(b"\n"), []
+        for s in places:
+            a, b = s["pos"], s["stop"]
+            before = after = []
+            if s["stays"]:
+                before = _neighbours(lines, range(a - 1, max(a - 1 - MAX_LINES, -1), -1))
+                after = _neighbours(lines, range(b, min(b + MAX_LINES, len(lines))))
+            rows.append({"body": b"\n".join(lines[a:b]), "before": before, "after": after})
+        out.append(rows)
     release()
     return pd.Series(out)
 
 
-@F.pandas_udf(StringType())
-def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
-    """A text without the given spans of lines."""
+@F.pandas_udf(ArrayType(StructType().add("pos", "integer").add("stop", "integer").add("left", "long").add("right", "long")))
+def _stretches(wanted: pd.Series) -> pd.Series:
+    """Spans that touch, joined; with the hashes of the first and the last one."""
     out = []
-    for t, spans in zip(text, gone):
-        if t is not None and spans is not None and len(spans):
-            drop = {k for s in spans for k in range(s["pos"], s["stop"])}
+    for places in wanted:
+        rows: list[dict] = []
+        for s in sorted(places, key=lambda s: (s["pos"], -s["stop"])):
+            if rows and s["pos"] <= rows[-1]["stop"]:
+                if s["stop"] > rows[-1]["stop"]:
+                    rows[-1].update(stop=s["stop"], right=s["chash"])
+            else:
+                rows.append({"pos": s["pos"], "stop": s["stop"], "left": s["chash"], "right": s["chash"]})
+        out.append(rows)
+    return pd.Series(out)
+
+
+def _more(lines: list[bytes], at: range, first: list[bytes] | None) -> int:
+    """How many of the lines at ``at`` are those of ``first``; empty ones at the end don't count."""
+    n = 0
+    for k, (i, line) in enumerate(zip(at, first if first is not None else ()), 1):
+        if lines[i] != line:
+            break
+        if line.split():
+            n = k
+    return n
+
+
+@F.pandas_udf(StructType().add("text", "string").add("removed", "long"))
+def _without(text: pd.Series, gone: pd.Series) -> pd.DataFrame:
+    """A text without the given stretches of lines and their neighbours that the first
+    occurrence has too, and the number of stretches taken out."""
+    texts, removed = [], []
+    for t, places in zip(text, gone):
+        drop: set[int] = set()
+        if t is not None and places is not None:
+            lines = t.encode().split(b"\n")
+            for s in places:
+                a = s["pos"] - _more(lines, range(s["pos"] - 1, -1, -1), s["before"])
+                b = s["stop"] + _more(lines, range(s["stop"], len(lines)), s["after"])
+                drop.update(range(a, b))
             t = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in drop)
-        out.append(t)
+        texts.append(t)
+        removed.append(sum(k - 1 not in drop for k in drop))
     release()
-    return pd.Series(out, dtype=object)
+    return pd.DataFrame({"text": pd.Series(texts, dtype=object), "removed": pd.Series(removed, dtype="int64")})
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated chunks taken out of ``text``, and their number as ``removed_chunks``."""
+    """``docs`` with repeated chunks taken out of ``text``, and the number of stretches of
+    lines that went as ``removed_chunks``."""
     ship_package(docs.sparkSession)
     own = [c for c in docs.columns if c != "removed_chunks"]
     # Rows are told apart by id and text; a null id sorts last.
@@ -173,26 +227,33 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     # Bytes are compared by their least and greatest under a hash, which pre-aggregate.
     per_doc = again.groupBy(F.col("_lid").alias("_pi"), F.col("_lrow").alias("_pr")).agg(
-        F.array_sort(F.collect_set(F.struct("pos", "stop", "chash"))).alias("_again"))
+        F.array_sort(F.collect_set(F.struct("pos", "stop", "chash", "stays"))).alias("_again"))
     some = docs.select("_lid", "_lrow", "text").join(per_doc.hint("merge"), (F.col("_lid") == F.col("_pi")) & (F.col("_lrow") == F.col("_pr")))
     some = some.select("_lid", "_lrow", "_again", _bodies("text", F.col("_again")).alias("_b"))
     some = some.select("_lid", "_lrow", F.explode(F.arrays_zip("_again", "_b")).alias("z"))
-    some = some.select("_lid", "_lrow", "z._again.pos", "z._again.stop", "z._again.chash", "z._b.body")
-    apart = some.groupBy("chash").agg(F.min("body").alias("lo"), F.max("body").alias("hi")).where("lo <> hi")
-    apart = materialise(apart.select(F.col("chash").alias("_a")), "unlike-chunks")
-    gone = again.where("NOT stays")
-    if apart.head(1):
-        # Different bytes under one hash: the first occurrence of the same bytes stays.
+    some = some.select("_lid", "_lrow", "z._again.*", "z._b.*")
+    beside = F.max(F.when(F.col("stays"), F.struct("before", "after")))
+    info = some.groupBy("chash").agg(F.min("body").alias("lo"), F.max("body").alias("hi"), beside.alias("beside"), F.count(F.lit(1)).alias("n"))
+    info = materialise(info.select("chash", (F.col("lo") != F.col("hi")).alias("apart"), "beside.before", "beside.after", "n"), "first-chunks")
+    gone = again.where("NOT stays").select("_lid", "_lrow", "pos", "stop", "chash")
+    if info.where("apart").head(1):
+        # Different bytes under one hash: the first occurrence of the same bytes stays, not extended.
+        apart = info.where("apart").select(F.col("chash").alias("_a"))
         alike = some.join(apart, F.col("chash") == F.col("_a")).withColumn("at", F.struct("_lid", "_lrow", "pos"))
         least = alike.groupBy(F.col("chash").alias("_lc"), F.col("body").alias("_lb")).agg(F.min("at").alias("_first"))
-        alike = alike.join(least, (F.col("chash") == F.col("_lc")) & (F.col("body") == F.col("_lb")))
-        gone = gone.join(apart, F.col("chash") == F.col("_a"), "left_anti").select("_lid", "_lrow", "pos", "stop").unionByName(
-            alike.where("at <> _first").select("_lid", "_lrow", "pos", "stop"))
-    gone = gone.groupBy(F.col("_lid").alias("_gi"), F.col("_lrow").alias("_gr")).agg(F.collect_set(F.struct("pos", "stop")).alias("_gone"))
+        alike = alike.join(least, (F.col("chash") == F.col("_lc")) & (F.col("body") == F.col("_lb"))).where("at <> _first")
+        gone = gone.join(apart, F.col("chash") == F.col("_a"), "left_anti").unionByName(
+            alike.select("_lid", "_lrow", "pos", "stop", F.lit(None).cast("long").alias("chash")))
+    rows = gone.groupBy("_lid", "_lrow").agg(F.collect_set(F.struct("pos", "stop", "chash")).alias("_spans"))
+    rows = materialise(rows.select("_lid", "_lrow", F.inline(_stretches("_spans"))), "stretches")
+    for side, lines in (("left", "before"), ("right", "after")):
+        rows = skew_lookup(rows, info.select(F.col("chash").alias(side), lines, "n"), side, [lines], "n")
+    gone = rows.groupBy(F.col("_lid").alias("_gi"), F.col("_lrow").alias("_gr")).agg(
+        F.collect_list(F.struct("pos", "stop", "before", "after")).alias("_gone"))
     out = docs.join(gone.hint("merge"), (F.col("_lid") == F.col("_gi")) & (F.col("_lrow") == F.col("_gr")), "left")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(_without("text", "_gone"))
-    return out.select(*(c for c in own if c != "text"), text.alias("text"),
-                      F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("removed_chunks")).select(
+    out = out.withColumn("_done", _without("text", "_gone"))
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.col("_done.text"))
+    return out.select(*(c for c in own if c != "text"), text.alias("text"), F.col("_done.removed").alias("removed_chunks")).select(
         *own, "removed_chunks")
 
 
