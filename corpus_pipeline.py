@@ -38,19 +38,27 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row, that with the smallest id (a null one is last), of every group of near-duplicates.
 
-    Every row is judged by its own text, whatever its id; equal rows are one.
+    Every row is judged by its own text, whatever its id; equal rows are one.  A row that
+    line removal has changed is also judged by the text it had before, if its id names one
+    text of ``documents``: what is left of a copy no longer resembles the other one.
     """
-    # Rows are told apart by a hash of all their columns, and of which are null.
+    # Rows are known by a hash of all their columns, and of which are null; different rows
+    # under one hash are judged as one document but all stay or go together.
     nulls = [F.col(c).isNull() for c in COLUMNS]
     key = F.pmod(F.xxhash64(*COLUMNS, *nulls), F.lit(minhash.NO_ID)).alias("_key")
     rows = docs.select(*COLUMNS, key)
-    found = minhash.near_duplicates(rows.select(F.col("_key").alias("doc_id"), "text"), NEAR_PERCENT)
+    before = documents(spark, sf_dir).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_d")).agg(
+        F.min("text").alias("_old"), F.count(F.lit(1)).alias("_n")).where("_n = 1")
+    torn = rows.select("doc_id", "_key", F.xxhash64("text").alias("_h")).join(before, F.col("doc_id") == F.col("_d"))
+    torn = torn.where(F.xxhash64("_old") != F.col("_h")).select("_key", F.col("_old").alias("text"))
+    texts = rows.select("_key", "text").unionByName(torn).withColumnRenamed("_key", "doc_id")
+    found = minhash.near_duplicates(materialise(texts, "near-texts"), NEAR_PERCENT)
     found = found.groupBy(F.col("doc_id").alias("_key")).agg(F.min("component_id").alias("_group"))
     ids = rows.groupBy("_key").agg(F.min("doc_id").alias("_id"))
     first = F.min(F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_key"))).getField("_key")
     kept = ids.join(found, "_key").groupBy("_group").agg(first.alias("_key"))
     # Equal rows meet as partial aggregates, at most one a task.
-    return rows.dropDuplicates(["_key"]).join(kept, "_key", "left_semi").select(*COLUMNS)
+    return rows.join(kept, "_key", "left_semi").select(*COLUMNS).dropDuplicates(COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
