@@ -146,8 +146,9 @@ def build_prompts(parts: DataFrame) -> DataFrame:
 
 
 def _with_texts(df: DataFrame, parts: DataFrame, key: str) -> DataFrame:
-    texts = user_prompts(parts).select(F.col("message_id").alias("_tm"), F.col("part_id").alias("_tp"),
-                                       F.col("session_id").alias("_ts"), F.col("text").alias("user_prompt"))
+    # A session that two projects have gives each of its texts twice.
+    texts = user_prompts(parts).groupBy(F.col("session_id").alias("_ts"), F.col("message_id").alias("_tm"), F.col("part_id").alias("_tp")).agg(
+        F.min("text").alias("user_prompt"))
     same = (F.col("session_id") == F.col("_ts")) & (F.col(f"{key}.message_id") == F.col("_tm")) & (F.col(f"{key}.part_id") == F.col("_tp"))
     return df.join(texts, same, "left").drop("_tm", "_tp", "_ts")
 

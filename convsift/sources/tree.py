@@ -103,10 +103,63 @@ def decode_part_files(files: DataFrame, on_corrupt: str = "skip", observation=No
                     *decode_part_payload(F.col("data"))))
 
 
+#: Files of a level: schema of their JSON, and the columns decoded from it.
+_LEVELS = {
+    "session": (SESSION_FILE_JSON, "session_id", lambda: [
+        F.col("folder").alias("project_id"), F.col("j.title").alias("title"), F.col("j.directory").alias("directory"),
+        _ms("created").alias("created_ms"), _ms("updated").alias("updated_ms")]),
+    "message": (MESSAGE_FILE_JSON, "message_id", lambda: [
+        F.col("j.role").alias("role"), F.coalesce(F.when(F.length("j.agent") > 0, F.col("j.agent")), F.lit("")).alias("agent"),
+        _ms("created").alias("created_ms")]),
+    "part": (PART_FILE_JSON, "part_id", lambda: [
+        F.coalesce(_ms("created"), _ms("start"), _state_start()).alias("created_ms"), *decode_part_payload(F.col("data"))]),
+}
+LEVELS = tuple(_LEVELS)
+# Why a file gives no row.
+EMPTY, MALFORMED, NO_ID, OTHER_TYPE = "empty", "malformed", "no id", "other type"
+
+
+def staged_files(files: DataFrame, level: str) -> DataFrame:
+    """(src, folder, data) of one level's files in one pass: every file with the reason
+    ``reject`` that it gives no row and its ``data``, or (reject null) with its columns."""
+    schema, ident, columns = _LEVELS[level]
+    parsed = parse_once(files, F.from_json(F.col("data"), schema, JSON_OPTIONS), ["src", "folder", "data"])
+    reason = (F.when(F.trim(F.coalesce("data", F.lit(""))) == "", EMPTY)
+              .when(F.col("j").isNull() | F.col("j._corrupt_record").isNotNull(), MALFORMED)
+              .when(F.col("j.id").isNull(), NO_ID))
+    if level == "part":
+        reason = reason.when(~F.coalesce(F.col("j.type").isin(*PART_TYPES), F.lit(False)), OTHER_TYPE)
+    return parsed.select("src", "folder", reason.alias("reject"), F.when(reason.isNotNull(), F.col("data")).alias("data"),
+                         F.col("j.id").alias(ident), *columns())
+
+
+def list_files(spark: SparkSession, root: str, level: str) -> DataFrame:
+    """(src, level, length, modified) of the files of one level; their contents are not read."""
+    pattern = f"{_literal(root.rstrip('/'))}/{level}/*/*.json"
+    try:
+        files = spark.read.format("binaryFile").load(pattern)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "src string, level string, length bigint, modified bigint")
+    return files.select(F.col("_metadata.file_path").alias("src"), F.lit(level).alias("level"),
+                        F.col("_metadata.file_size").alias("length"),
+                        F.unix_micros("_metadata.file_modification_time").alias("modified"))
+
+
+def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(src, folder, data) of files, whole."""
+    path = F.col("_metadata.file_path")
+    return spark.read.text(paths, wholetext=True).select(path.alias("src"), _folder(path).alias("folder"), F.col("value").alias("data"))
+
+
 def read_json_tree(spark: SparkSession, root: str, project_id: str | None = None,
                    on_corrupt: str = "skip", observations: dict | None = None) -> History:
-    """History of a JSON-tree export; ``project_id`` narrows the session scan
-    to one project folder.  ``observations`` may map ``"sessions"``,
+    """History of a JSON-tree export.  ``project_id`` narrows it to one project: its
+    session folder is read first, then the message folders of its sessions, then the part
+    folders of their messages (by name, up to ``MAX_FOLDERS`` of them; beyond, the level
+    is listed whole and the other folders' rows fall out in the join).
+    ``observations`` may map ``"sessions"``,
     ``"messages"`` and ``"parts"`` to :class:`pyspark.sql.Observation` objects
     that count the unreadable files skipped at that level (metric
     ``corrupt_<level>``)."""
@@ -114,7 +167,32 @@ def read_json_tree(spark: SparkSession, root: str, project_id: str | None = None
     _check_policy(on_corrupt)
     proj = _literal(project_id) if project_id is not None else "*"
     root = _literal(root.rstrip("/"))
-    return assemble(
-        decode_session_files(_files(spark, f"{root}/session/{proj}/*.json"), on_corrupt, obs.get("sessions")),
-        decode_message_files(_files(spark, f"{root}/message/*/*.json"), on_corrupt, obs.get("messages")),
-        decode_part_files(_files(spark, f"{root}/part/*/*.json"), on_corrupt, obs.get("parts")), trim_keys=True)
+    sessions = decode_session_files(_files(spark, f"{root}/session/{proj}/*.json"), on_corrupt, obs.get("sessions"))
+    within = (lambda level, owners, ident: _owned(spark, root, level, owners, ident)) if project_id is not None else (
+        lambda level, owners, ident: _files(spark, f"{root}/{level}/*/*.json"))
+    messages = decode_message_files(within("message", sessions, "session_id"), on_corrupt, obs.get("messages"))
+    parts = decode_part_files(within("part", messages, "message_id"), on_corrupt, obs.get("parts"))
+    return assemble(sessions, messages, parts, trim_keys=True)
+
+
+#: Folders that a scoped read names one by one.
+MAX_FOLDERS = 10_000
+
+
+def _owned(spark: SparkSession, root: str, level: str, owners: DataFrame, ident: str) -> DataFrame:
+    """Files in the folders that ``owners``' trimmed ids name."""
+    names = owners.select(F.trim(F.col(ident)).alias("name")).distinct().limit(MAX_FOLDERS + 1).collect()
+    if len(names) > MAX_FOLDERS:
+        return _files(spark, f"{root}/{level}/*/*.json")
+    there = [p for r in names if r.name and _exists(spark, p := f"{root}/{level}/{_literal(r.name)}/*.json")]
+    if not there:
+        return spark.createDataFrame([], "folder string, data string")
+    df = spark.read.text(there, wholetext=True)
+    return df.select(_folder(F.col("_metadata.file_path")).alias("folder"), F.col("value").alias("data"))
+
+
+def _exists(spark: SparkSession, pattern: str) -> bool:
+    """Whether a pattern names any file."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return found is not None and len(found) > 0
