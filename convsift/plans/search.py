@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from datetime import datetime, timezone, tzinfo
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.dates import filter_by_date, parse_date_filter
 from ..functions.patterns import build_matcher
@@ -21,6 +21,7 @@ from ..operators.fuzzy import search_fuzzy
 from ..operators.keyword import search_keyword
 from ..operators.report import format_matches, format_traces
 from ..operators.trace import trace_file
+from ..sources.store import load_matching, load_store
 
 MODES = ("keyword", "fuzzy")
 DATE_SCOPES = ("result", "corpus")
@@ -58,6 +59,17 @@ def search(history: History, query: str | None = None, file_path: str | None = N
     return out
 
 
+def search_store(spark: SparkSession, store: str, **kwargs) -> DataFrame:
+    """:func:`search` in a store (:mod:`convsift.sources.store`); a keyword search reads only
+    the slots that hold its pattern's trigrams."""
+    query, project = kwargs.get("query"), kwargs.get("project_id")
+    if query and not kwargs.get("file_path") and kwargs.get("mode", "keyword") == "keyword":
+        history = load_matching(spark, store, query, kwargs.get("regex", False), project)
+    else:
+        history = load_store(spark, store, project)
+    return search(history, **kwargs)
+
+
 def search_report(history: History, **kwargs) -> str:
     """Text report of :func:`search` (the tool's return value)."""
     df = search(history, **kwargs)
