@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import os
 import sys
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,11 +27,15 @@ from convsift.functions.editdist import allowed_errors
 from convsift.operators.fuzzy import MIN_MATCH_CHARS, search_fuzzy
 from convsift.operators.items import PATH_TOKEN, build_items
 from convsift.operators.keyword import search_keyword
-from convsift.operators.report import match_entries, trace_entries
-from convsift.operators.trace import trace_file, trace_files
+from convsift.operators.report import batch_entries, match_entries, trace_entries
+from convsift.operators.trace import ALL as ALL_TOUCHES
+from convsift.operators.trace import trace_file, trace_files, trace_page
 from convsift.plans import oracle_sql as O
-from convsift.plans.search import search
-from convsift.sources.driver_tables import driver_history, event_tables
+from convsift.plans.search import search, search_store
+from convsift.sources.driver_tables import conversation_tables, driver_history, event_tables
+from convsift.sources.history import load_history, write_history
+from convsift.session import scratch_path
+from convsift.sources.store import ingest_frames, load_store, rejects
 from convsift.sources.tables import assemble, decode_parts
 from convsift.sources.tree import decode_message_files, decode_part_files, decode_session_files
 
@@ -173,24 +178,113 @@ FROM p WHERE {kept} GROUP BY type"""
 
 # ------------------------------------------------------ one object per file
 
-def _tree(spark, sf_dir):
-    """History of the events adapter's rows as the files of a JSON tree: the folder
-    names the owner; every seventh session file is torn, so its messages and parts go."""
-    raw = event_tables(spark, sf_dir)
+def _tree_files(spark, sf_dir) -> dict[str, DataFrame]:
+    return _raw_files(event_tables(spark, sf_dir))
 
+
+def _raw_files(raw) -> dict[str, DataFrame]:
+    """An adapter's rows as the files of a JSON tree, a frame (id, folder, n, data) for each
+    level; the folder names the owner, n is the number that the row's owner ends with."""
     def stamped(data, ident, times):
         head = F.concat(F.lit('{"id":"'), ident, F.lit('","time":{'), times, F.lit("}"))
         return F.concat(head, F.when(data == "{}", F.lit("}")).otherwise(F.concat(F.lit(","), data.substr(F.lit(2), F.length(data)))))
 
     created = F.concat(F.lit('"created":'), F.col("time_created").cast("string"))
     both = F.concat(created, F.lit(',"updated":'), F.col("time_updated").cast("string"))
-    whole = stamped(F.to_json(F.struct("title", "directory")), F.col("id"), both)
-    torn = F.regexp_extract("id", "([0-9]+)$", 1).cast("long") % 7 == 3
-    sessions = raw.session.select(F.col("project_id").alias("folder"),
-                                  F.when(torn, F.substring(whole, 1, 20)).otherwise(whole).alias("data"))
-    messages = raw.message.select(F.col("session_id").alias("folder"), stamped(F.col("data"), F.col("id"), created).alias("data"))
-    parts = raw.part.select(F.col("message_id").alias("folder"), stamped(F.col("data"), F.col("id"), created).alias("data"))
-    return assemble(decode_session_files(sessions), decode_message_files(messages), decode_part_files(parts), trim_keys=True)
+
+    def files(rows, folder, owner, data):
+        n = F.regexp_extract(owner, "([0-9]+)$", 1).cast("long").alias("n")
+        return rows.select(F.col("id"), F.col(folder).alias("folder"), n, data.alias("data"))
+
+    return {"session": files(raw.session, "project_id", "id", stamped(F.to_json(F.struct("title", "directory")), F.col("id"), both)),
+            "message": files(raw.message, "session_id", "id", stamped(F.col("data"), F.col("id"), created)),
+            "part": files(raw.part, "message_id", "message_id", stamped(F.col("data"), F.col("id"), created))}
+
+
+def _tree(spark, sf_dir):
+    """History of the tree; every seventh session file is torn, so its messages and parts go."""
+    files = _tree_files(spark, sf_dir)
+    torn = files["session"].withColumn("data", F.when(F.col("n") % 7 == 3, F.substring("data", 1, 20)).otherwise(F.col("data")))
+    return assemble(decode_session_files(torn), decode_message_files(files["message"]), decode_part_files(files["part"]), trim_keys=True)
+
+
+# ------------------------------------------------------- growing histories
+
+def _grown(spark, sf_dir):
+    """A store after two ingests of the tree, and the versions.  The first one sees draft
+    titles, torn and missing session files, messages and parts that are not there yet, and
+    files that will go; the second one sees the tree as it is."""
+    n, now = F.col("n"), {}
+    for level, files in _tree_files(spark, sf_dir).items():
+        src = F.concat_ws("/", F.lit(level), "folder", "id")
+        now[level] = files.select(src.alias("src"), "folder", "data", F.lit(2).cast("long").alias("modified"), "n")
+    same = F.lit(1).cast("long")
+    sessions = now["session"].where(n % 11 != 4).withColumn("data", F.when(n % 7 == 3, F.substring("data", 1, 20)).when(
+        n % 2 == 0, F.regexp_replace("data", '"title":"', '"title":"Draft: ')).otherwise(F.col("data")))
+    messages = now["message"].where(n % 4 != 1)
+    parts = now["part"].where(n % 6 != 5).withColumn("data", F.when(n % 9 == 0, F.lit('{"id":"x","type":"step"}')).otherwise(F.col("data")))
+    extra = parts.where(n % 10 == 0).withColumn("src", F.concat("src", F.lit("-draft"))).withColumn(
+        "data", F.regexp_replace("data", '^\\{"id":"', '{"id":"draft-'))
+    before = {"session": sessions, "message": messages, "part": parts.unionByName(extra)}
+    # Files that stay as they are keep their time.
+    old = {level: f.withColumn("modified", same) for level, f in before.items()}
+    now["message"] = now["message"].withColumn("modified", F.when(n % 4 != 1, same).otherwise(F.col("modified")))
+    now["part"] = now["part"].withColumn("modified", F.when((n % 6 != 5) & (n % 9 != 0), same).otherwise(F.col("modified")))
+    path = scratch_path(spark, f"grown-{uuid.uuid4().hex}")
+    versions = [ingest_frames(spark, path, files, slots=16) for files in (old, now)]
+    return path, versions
+
+
+def q_grown_parts(spark, sf_dir):
+    path, _ = _grown(spark, sf_dir)
+    return load_store(spark, path).parts.withColumn("files", F.to_json("files"))
+
+
+def q_grown_trace(spark, sf_dir):
+    path, _ = _grown(spark, sf_dir)
+    return trace_files(load_store(spark, path), _event_basenames(spark, sf_dir))
+
+
+def q_grown_items(spark, sf_dir):
+    path, _ = _grown(spark, sf_dir)
+    return load_store(spark, path).items
+
+
+def _conversation_store(spark, sf_dir) -> str:
+    """A store of the conversations, one file a row."""
+    raw = conversation_tables(spark, sf_dir)
+    path = scratch_path(spark, f"conversations-{uuid.uuid4().hex}")
+    files = {level: f.withColumn("src", F.concat_ws("/", F.lit(level), "folder", "id")).withColumn("modified", F.lit(1).cast("long"))
+             for level, f in _raw_files(raw).items()}
+    ingest_frames(spark, path, files, slots=16)
+    return path
+
+
+def _posted(spark, sf_dir, *, query, regex=False, limit=50):
+    return search_store(spark, _conversation_store(spark, sf_dir), query=query, regex=regex, limit=limit)
+
+
+def q_stored_history(spark, sf_dir):
+    """A trace in tables that were written and loaded."""
+    path = scratch_path(spark, f"stored-{uuid.uuid4().hex}")
+    write_history(_hist(spark, sf_dir, ("evt",)), path)
+    return trace_file(load_history(spark, path), "f7.ts", limit=ALL_TOUCHES)
+
+
+def q_ingest_rejects(spark, sf_dir):
+    """Files without a row by level and reason, after either ingest."""
+    path, versions = _grown(spark, sf_dir)
+    counts = [rejects(spark, path, v).groupBy("level", "reason").agg(F.count(F.lit(1)).alias("files")).withColumn("version", F.lit(v.number))
+              for v in versions]
+    return counts[0].unionByName(counts[1])
+
+
+REJECTS_SQL = """
+WITH s AS (SELECT DISTINCT user_id AS n FROM events),
+p AS (SELECT event_id AS n, unnest(CASE WHEN event_type = 'purchase' THEN [0, 1] ELSE [0] END) FROM events)
+SELECT 'session' AS level, 'malformed' AS reason, count(*) AS files, 1 AS version FROM s WHERE n % 7 = 3 AND n % 11 <> 4 HAVING count(*) > 0
+UNION ALL
+SELECT 'part', 'other type', count(*) + sum((n % 10 = 0)::INT)::BIGINT, 1 FROM p WHERE n % 9 = 0 AND n % 6 <> 5 HAVING count(*) > 0"""
 
 
 def q_tree_parts(spark, sf_dir):
@@ -213,11 +307,28 @@ def q_report_trace(spark, sf_dir):
     return trace_entries(_trace(spark, sf_dir, path="f3.ts", limit=20))
 
 
+def q_trace_pages(spark, sf_dir):
+    """Three pages of 400 rows, each after the last row of the one before."""
+    h, after, pages = _hist(spark, sf_dir, ("evt",)), None, []
+    for number in (1, 2, 3):
+        page = trace_page(h, "shared.ts", after, 400)
+        pages.append(page.drop("cursor").withColumn("page", F.lit(number)))
+        last = page.select("cursor").tail(1)
+        if not last:
+            break
+        after = last[0].cursor
+    return reduce(DataFrame.unionByName, pages)
+
+
 def q_trace_batch(spark, sf_dir):
     h = _hist(spark, sf_dir, ("evt",))
     return trace_files(h, _event_basenames(spark, sf_dir))
 
 
+def q_report_batch(spark, sf_dir):
+    return batch_entries(q_trace_batch_limited(spark, sf_dir))
+
+
 def q_trace_batch_limited(spark, sf_dir):
     h = _hist(spark, sf_dir, ("evt",))
     return trace_files(h, _event_basenames(spark, sf_dir), limit_per_query=5)
@@ -241,11 +352,19 @@ _KEYWORD = {
 }
 #: The same pattern in the SQL engine's dialect, where that differs.
 _SQL_PATTERNS = {"keyword_regex_dialect": r'[{\[]"k":\s*"?1[\s\S]*\}\z'}
+#: Searches that look their trigrams up first; the last one has none and reads everything.
+_POSTED = {
+    "keyword_postings": dict(query="reaument", limit=40),
+    "keyword_postings_regex": dict(query="ver[a-z]+tion", regex=True, limit=40),
+    "keyword_postings_none": dict(query="t.on", regex=True, limit=40),
+}
 _KEYWORD_DATE = {
     "keyword_limit_then_date": (dict(query="the", sources=("conv",), limit=40),
                                 "2024-01-04",
                                 ("2024-01-04 00:00:00", "2024-01-04 23:59:59.999")),
 }
+#: A query of 90 characters, so of two machine words, with two errors.
+LONG_QUERY = "Thsh was tionlywh onershann, by thtion threea. Onth the ly ated ononea of with.\nOf shou an"
 _FUZZY = {
     "fuzzy_substring": dict(query="thatantion", threshold=0.3, limit=30, sources=("conv",)),
     "fuzzy_topk": dict(query="reaument", threshold=0.25, limit=10, role="user", sources=("conv",)),
@@ -253,6 +372,7 @@ _FUZZY = {
     "fuzzy_paths": dict(query="shared.ts", threshold=0.2, limit=40, sources=("evt",)),
     "fuzzy_default_limit": dict(query="the", limit=None, sources=("conv",), role="user"),
     "fuzzy_documents": dict(query="reaument", threshold=0.25, limit=20, sources=("doc",)),
+    "fuzzy_long_query": dict(query=LONG_QUERY, threshold=0.1, limit=20, sources=("conv",)),
     "fuzzy_no_match": dict(query="qwertyuiop", threshold=0.1, limit=5, sources=("conv",)),
 }
 _TRACE = {
@@ -260,8 +380,8 @@ _TRACE = {
     "trace_basename": dict(path="f7.ts", project_id="proj_1", limit=30),
     "trace_backslash": dict(path="src\\f7.ts", project_id="proj_1", limit=30),
     "trace_shared_patch_only": dict(path="src/shared.ts", limit=100),
-    "trace_first_touch_all": dict(path="shared.ts", limit=5000),
-    "trace_prompt_asof": dict(path="src/f7.ts", limit=100000),
+    "trace_first_touch_all": dict(path="shared.ts", limit=ALL_TOUCHES),
+    "trace_prompt_asof": dict(path="src/f7.ts", limit=ALL_TOUCHES),
     "trace_default_limit": dict(path="shared.ts", limit=None),
     "trace_first_touch": dict(path="f7.ts", project_id="proj_2", limit=3),
 }
@@ -319,6 +439,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out["tree_sessions"] = lambda spark, sf_dir: _tree(spark, sf_dir).sessions
     out["tree_messages"] = lambda spark, sf_dir: _tree(spark, sf_dir).messages
     out["tree_parts"] = q_tree_parts
+    out["grown_parts"] = q_grown_parts
+    out["grown_trace"] = q_grown_trace
+    out["grown_items"] = q_grown_items
+    out["ingest_rejects"] = q_ingest_rejects
     out["json_malformed_skipped"] = partial(_odd_parts, case="malformed")
     out["json_mistyped_kept"] = partial(_odd_parts, case="mistyped")
     out["part_type_whitelist"] = partial(_odd_parts, case="other")
@@ -326,6 +450,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         out[name] = partial(_kw, **kw)
     for name, (kw, date, _) in _KEYWORD_DATE.items():
         out[name] = partial(_kw, date=date, **kw)
+    for name, kw in _POSTED.items():
+        out[name] = partial(_posted, **kw)
+    out["stored_history"] = q_stored_history
     for name, kw in _TRACE.items():
         out[name] = partial(_trace, **kw)
     for name, kw in _FUZZY.items():
@@ -335,8 +462,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out["unified_trace_date"] = q_unified_trace_date
     out["unified_keyword_corpus_date"] = q_unified_keyword_corpus_date
     out["unified_fuzzy_corpus_date"] = q_unified_fuzzy_corpus_date
+    out["trace_pages"] = q_trace_pages
     out["trace_batch"] = q_trace_batch
     out["trace_batch_limited"] = q_trace_batch_limited
+    out["report_batch"] = q_report_batch
     out["report_matches"] = q_report_matches
     out["report_trace"] = q_report_trace
     if llm_registry is not None:
@@ -372,15 +501,24 @@ def oracle_sql() -> dict[str, str]:
     out["tree_sessions"] = f"{evt} SELECT * FROM sessions WHERE {_TREE_KEPT}"
     out["tree_messages"] = f"{evt} SELECT * FROM messages WHERE {_TREE_KEPT}"
     out["tree_parts"] = f"{evt} SELECT * REPLACE (to_json(files)::VARCHAR AS files) FROM parts WHERE {_TREE_KEPT}"
+    out["grown_parts"] = f"{evt} SELECT * REPLACE (to_json(files)::VARCHAR AS files) FROM parts"
+    out["grown_trace"] = O.trace_batch_sql(BATCH_QUERIES_SQL)
+    out["grown_items"] = O.items_sql(PATH_TOKEN, ("evt",))
+    out["ingest_rejects"] = REJECTS_SQL
     out["json_malformed_skipped"] = _odd_parts_sql("malformed")
     out["json_mistyped_kept"] = _odd_parts_sql("mistyped")
     out["part_type_whitelist"] = _odd_parts_sql("other")
     for name, kw in _KEYWORD.items():
         out[name] = _kw_sql(**{**kw, "limit": kw["limit"] or 50, "query": _SQL_PATTERNS.get(name, kw["query"])})
+    for name, kw in _POSTED.items():
+        out[name] = _kw_sql(sources=("conv",), **kw)
+    out["stored_history"] = O.trace_sql("f7.ts", None, ("evt",), None)
     for name, (kw, _, bounds) in _KEYWORD_DATE.items():
         out[name] = _kw_sql(date_bounds=bounds, **kw)
     for name, kw in _TRACE.items():
-        out[name] = O.trace_sql(kw["path"], kw.get("limit") or 50, ("evt",), kw.get("project_id"))
+        limit = None if kw.get("limit") == ALL_TOUCHES else kw.get("limit") or 50
+        out[name] = O.trace_sql(kw["path"], limit, ("evt",), kw.get("project_id"))
+    out["trace_pages"] = O.trace_sql("shared.ts", 1200, ("evt",), None, page_size=400)
     for name, kw in _FUZZY.items():
         out[name] = _fz_sql(**kw)
     out["items_build"] = O.items_sql(PATH_TOKEN, ALL)
@@ -395,6 +533,7 @@ def oracle_sql() -> dict[str, str]:
                                                    corpus_range=("2024-01-02 00:00:00", "2024-01-03 23:59:59.999"))
     out["trace_batch"] = O.trace_batch_sql(BATCH_QUERIES_SQL)
     out["trace_batch_limited"] = O.trace_batch_sql(BATCH_QUERIES_SQL, limit_per_query=5)
+    out["report_batch"] = O.trace_batch_sql(BATCH_QUERIES_SQL, limit_per_query=5, report=True)
     out["report_matches"] = _kw_sql(query="tion", sources=("conv",), limit=20, report=True)
     out["report_trace"] = O.trace_sql("f3.ts", 20, ("evt",), None, report=True)
     if llm_registry is not None:

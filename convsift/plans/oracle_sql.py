@@ -289,18 +289,25 @@ def _prompts_cte() -> str:
             "WHERE role = 'user' AND type = 'text')")
 
 
-def trace_sql(query: str, limit: int = 50, sources=("evt",), project_id: str | None = None,
-              report: bool = False, date_range: tuple[str, str] | None = None) -> str:
+def _trace_entry_sql(over: str) -> str:
+    """Fixed texts of the trace report, as in ``operators/report.py``."""
+    return (",\n  concat_ws(chr(10), concat('## ', s.title), concat('- Session ID: ', r.session_id),"
+            " concat('- Date: ', strftime(make_timestamp(r.timestamp * 1000), '%Y-%m-%d %H:%M:%S')),"
+            " concat('- Status: ', CASE WHEN r.first_touch THEN 'First seen' ELSE 'Later touch' END),"
+            " concat('- File: ', r.file_path),"
+            " CASE WHEN length(r.tool_name) > 0 THEN concat('- Tool: ', r.tool_name) END,"
+            " CASE WHEN length(p.text) > 0 THEN concat('- Preceding User Prompt: \"', p.text, '\"') END) AS entry,\n"
+            f"  concat('Found ', count(*) OVER ({over}), ' file trace matches in conversation history:') AS header")
+
+
+def trace_sql(query: str, limit: int | None = 50, sources=("evt",), project_id: str | None = None,
+              report: bool = False, date_range: tuple[str, str] | None = None, page_size: int | None = None) -> str:
     scope = f"AND project_id = {sql_str(project_id)}" if project_id else ""
     select = TRACE_SELECT
+    if page_size:
+        select += f", (1 + (r.place - 1) // {page_size})::INT AS page"
     if report:
-        select += (",\n  concat_ws(chr(10), concat('## ', s.title), concat('- Session ID: ', r.session_id),"
-                   " concat('- Date: ', strftime(make_timestamp(r.timestamp * 1000), '%Y-%m-%d %H:%M:%S')),"
-                   " concat('- Status: ', CASE WHEN r.first_touch THEN 'First seen' ELSE 'Later touch' END),"
-                   " concat('- File: ', r.file_path),"
-                   " CASE WHEN length(r.tool_name) > 0 THEN concat('- Tool: ', r.tool_name) END,"
-                   " CASE WHEN length(p.text) > 0 THEN concat('- Preceding User Prompt: \"', p.text, '\"') END) AS entry,\n"
-                   "  concat('Found ', count(*) OVER (), ' file trace matches in conversation history:') AS header")
+        select += _trace_entry_sql("")
     return f"""{history_ctes(sources)},
 {_prompts_cte()},
 touch_rows AS (
@@ -318,16 +325,18 @@ dedup AS (
                                               ORDER BY source_priority, part_created_ms, part_id) AS rn
                  FROM matched) WHERE rn = 1),
 flagged AS (
-  SELECT *, row_number() OVER (ORDER BY timestamp, source_priority, session_id, message_id, file_path) = 1 AS first_touch
+  SELECT *, row_number() OVER (ORDER BY timestamp, source_priority, session_id, message_id, file_path) = 1 AS first_touch,
+         row_number() OVER (ORDER BY timestamp DESC, source_priority, session_id, message_id, file_path) AS place
   FROM dedup),
-r AS (SELECT * FROM flagged ORDER BY timestamp DESC, source_priority, session_id, message_id, file_path LIMIT {limit})
+r AS (SELECT * FROM flagged {f"WHERE place <= {limit}" if limit is not None else ""})
 SELECT {select}
 FROM r ASOF LEFT JOIN prompts p ON r.session_id = p.session_id AND r.timestamp > p.msg_created_ms
 JOIN sessions s ON s.session_id = r.session_id
 {f"WHERE r.timestamp {_bounds(date_range)}" if date_range else ""}"""
 
 
-def trace_batch_sql(queries_sql: str, sources=("evt",), limit_per_query: int | None = None) -> str:
+def trace_batch_sql(queries_sql: str, sources=("evt",), limit_per_query: int | None = None, report: bool = False) -> str:
+    select = TRACE_SELECT + (_trace_entry_sql("PARTITION BY r.query") if report else "")
     lim = f"WHERE rk <= {limit_per_query}" if limit_per_query is not None else ""
     return f"""{history_ctes(sources)},
 {_prompts_cte()},
@@ -360,7 +369,7 @@ flagged AS (
                                                        message_id, file_path) AS rk
   FROM dedup),
 r AS (SELECT * FROM flagged {lim})
-SELECT r.query, {TRACE_SELECT}
+SELECT r.query, {select}
 FROM r ASOF LEFT JOIN prompts p ON r.session_id = p.session_id AND r.timestamp > p.msg_created_ms
 JOIN sessions s ON s.session_id = r.session_id"""
 
