@@ -51,7 +51,7 @@ def main() -> None:
 
     def ingest():
         h = driver_history(spark, sf_dir, ("conv", "evt", "page", "doc"))
-        write_history(h, f"{out_dir}/history", partitions=cpus)
+        write_history(h, f"{out_dir}/history")
 
     t_ingest, _ = _timed(ingest)
     h = load_history(spark, f"{out_dir}/history")
