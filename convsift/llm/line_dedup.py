@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructType
 from xxhash import xxh3_64_intdigest
 
 from convsift.llm.common import documents, materialise, release, ship_package, skew_lookup, text_groups, tidy
@@ -189,29 +189,28 @@ def _more(lines: list[bytes], at: range, first: list[bytes] | None) -> int:
     return n
 
 
-@F.pandas_udf(StructType().add("text", "string").add("removed", "long"))
-def _without(text: pd.Series, gone: pd.Series) -> pd.DataFrame:
+@F.pandas_udf(StringType())
+def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
     """A text without the given stretches of lines and their neighbours that the first
-    occurrence has too, and the number of stretches taken out."""
-    texts, removed = [], []
+    occurrence has too."""
+    out = []
     for t, places in zip(text, gone):
-        drop: set[int] = set()
-        if t is not None and places is not None:
+        if t is not None and places is not None and len(places):
+            drop: set[int] = set()
             lines = t.encode().split(b"\n")
             for s in places:
                 a = s["pos"] - _more(lines, range(s["pos"] - 1, -1, -1), s["before"])
                 b = s["stop"] + _more(lines, range(s["stop"], len(lines)), s["after"])
                 drop.update(range(a, b))
             t = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in drop)
-        texts.append(t)
-        removed.append(sum(k - 1 not in drop for k in drop))
+        out.append(t)
     release()
-    return pd.DataFrame({"text": pd.Series(texts, dtype=object), "removed": pd.Series(removed, dtype="int64")})
+    return pd.Series(out, dtype=object)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated chunks taken out of ``text``, and the number of stretches of
-    lines that went as ``removed_chunks``."""
+    them that went as ``removed_chunks``."""
     ship_package(docs.sparkSession)
     own = [c for c in docs.columns if c != "removed_chunks"]
     # Rows are told apart by id and text; a null id sorts last.
@@ -251,10 +250,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     gone = rows.groupBy(F.col("_lid").alias("_gi"), F.col("_lrow").alias("_gr")).agg(
         F.collect_list(F.struct("pos", "stop", "before", "after")).alias("_gone"))
     out = docs.join(gone.hint("merge"), (F.col("_lid") == F.col("_gi")) & (F.col("_lrow") == F.col("_gr")), "left")
-    out = out.withColumn("_done", _without("text", "_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.col("_done.text"))
-    return out.select(*(c for c in own if c != "text"), text.alias("text"), F.col("_done.removed").alias("removed_chunks")).select(
-        *own, "removed_chunks")
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(_without("text", "_gone"))
+    return out.select(*(c for c in own if c != "text"), text.alias("text"),
+                      F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("removed_chunks")).select(*own, "removed_chunks")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
