@@ -104,20 +104,3 @@ def test_rows_without_an_id_and_repeated_rows(spark, make_docs, tmp_path):
     out = cp.drop_near_duplicates(spark, make_docs(rows), str(tmp_path)).collect()
     got = sorted((str(r.doc_id), r.text.split()[0][0], r.n_chars == len(r.text)) for r in out)
     assert got == [("1", "a", True), ("7", "d", True), ("8", "e", True), ("8", "f", True), ("None", "b", True), ("None", "c", True)]
-
-
-def test_copies_that_line_removal_tore(spark, make_docs, tmp_path):
-    """A near copy whose lines went to the first document is judged by its text before that."""
-    lines = [" ".join(f"{k}x{i}" for i in range(15)) for k in range(8)]
-    other = [" ".join(f"o{k}x{i}" for i in range(15)) for k in range(8)]
-    rows = [(1, "\n".join(lines)), (2, "\n".join(lines[:3] + [lines[3] + " edited"] + lines[4:])), (3, "\n".join(other)),
-            (4, "\n".join(other[:2] + lines[:2] + [f"own {i} " * 9 for i in range(3)])),
-            (5, "\n".join(other)), (5, "\n".join(lines))]  # an id with two texts names none
-    make_docs(rows).write.parquet(str(tmp_path / "documents.parquet"))
-    cut = cp.drop_repeated_lines(spark, make_docs(rows), str(tmp_path))
-    cut.write.parquet(str(tmp_path / "cut"))
-    docs = spark.read.parquet(str(tmp_path / "cut"))
-    torn = {r.doc_id: r.text for r in docs.collect()}
-    assert torn[2] == lines[3] + " edited" and torn[4].startswith("own 0")
-    out = cp.drop_near_duplicates(spark, docs, str(tmp_path)).collect()
-    assert sorted(r.doc_id for r in out) == [1, 3, 4]
