@@ -372,7 +372,7 @@ _FUZZY = {
     "fuzzy_paths": dict(query="shared.ts", threshold=0.2, limit=40, sources=("evt",)),
     "fuzzy_default_limit": dict(query="the", limit=None, sources=("conv",), role="user"),
     "fuzzy_documents": dict(query="reaument", threshold=0.25, limit=20, sources=("doc",)),
-    "fuzzy_long_query": dict(query=LONG_QUERY, threshold=0.1, limit=20, sources=("conv",)),
+    "fuzzy_long_query": dict(query=LONG_QUERY, threshold=0.03, limit=20, sources=("conv",)),
     "fuzzy_no_match": dict(query="qwertyuiop", threshold=0.1, limit=5, sources=("conv",)),
 }
 _TRACE = {
