@@ -5,6 +5,7 @@ import io
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from convsift.functions.patterns import build_matcher
 from convsift.operators.fuzzy import search_fuzzy
@@ -66,6 +67,22 @@ def test_stored_history_traces_from_its_touches(spark, pq):
     assert sorted(trace_files(pq, queries).collect(), key=key) == sorted(trace_files(fresh, queries).collect(), key=key)
 
 
+def test_a_trace_passes_the_history_once_for_its_touches(spark):
+    """Touches of a history without stored ones are written down, not found again by every use."""
+    h = history(spark)
+    queries = spark.createDataFrame([("valve.py",), ("conf/pump.toml",)], "query string")
+    for df in (trace_file(h, "lib/valve.py"), trace_file(h, "lib/valve.py", limit="all"), trace_files(h, queries)):
+        assert "get_json_object" not in plan(df).lower()
+
+
+def test_clustered_rows_are_written_where_they_are(spark, tmp_path):
+    from convsift.sources.history import _write
+    df = spark.range(0, 300, 1, 3).selectExpr("'p' AS project_id", "id")
+    _write(df, str(tmp_path / "t"), ["project_id", "id"], None, ["id"], "error", clustered=True)
+    files = spark.read.parquet(str(tmp_path / "t")).groupBy(F.input_file_name()).count().collect()
+    assert sorted(r["count"] for r in files) == [100, 100, 100]
+
+
 def test_stored_history_searches_its_items(spark, pq):
     from convsift.operators.fuzzy import search_fuzzy as run
     assert "items" in plan(run(pq, "valve", limit=3)).replace("\n", " ")
