@@ -147,3 +147,19 @@ def test_building_a_trace_runs_no_job(spark, hist, tmp_path):
         assert list(tracker.getJobIdsForGroup("build")) == []
     finally:
         spark.sparkContext._jsc.clearJobGroup()
+
+
+def test_pages_share_the_touches(spark):
+    from convsift.operators.trace import flagged_touches, in_page_order, trace_page
+    from convsift.session import written
+    h = history(spark)
+    touches, after, seen = flagged_touches(h, "valve.py"), None, []
+    while True:
+        page = trace_page(h, "valve.py", after, 2, touches=touches)
+        rows = page.collect()
+        assert rows == trace_page(h, "valve.py", after, 2).collect() == in_page_order(written(page, "page")).collect()
+        if not rows:
+            break
+        seen += rows
+        after = rows[-1].cursor
+    assert [r[:-1] for r in seen] == [tuple(r) for r in trace_file(h, "valve.py", limit="all").collect()] and len(seen) > 2
