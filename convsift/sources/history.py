@@ -56,11 +56,16 @@ def load_history(spark: SparkSession, path: str, layout: str = "parquet",
     raise ValueError("layout must be 'parquet', 'tables' or 'json_tree'")
 
 
-def _write(df: DataFrame, path: str, keys: list[str], partitions: int | None, spread: list[str], mode: str) -> None:
+def _write(df: DataFrame, path: str, keys: list[str], partitions: int | None, spread: list[str], mode: str,
+           clustered: bool = False) -> None:
     """Files clustered by ``keys[0]`` and sorted by ``keys``.  Without a number of
-    files Spark sizes them by bytes (splitting a large cluster, merging small ones);
-    with one, rows are dealt evenly by ``spread``."""
-    df = df.repartition(partitions, *spread) if partitions else df.hint("rebalance", F.col(keys[0]))
+    files Spark sizes them by bytes (splitting a large cluster, merging small ones), or
+    rows that are ``clustered`` as they come stay where they are; with one, rows are
+    dealt evenly by ``spread``."""
+    if partitions:
+        df = df.repartition(partitions, *spread)
+    elif not clustered:
+        df = df.hint("rebalance", F.col(keys[0]))
     df.sortWithinPartitions(*keys).write.mode(mode).parquet(path)
 
 
@@ -77,13 +82,16 @@ def write_history(history: History, path: str, partitions: int | None = None,
     _write(history.parts, os.path.join(path, "parts"), ["project_id", "session_id", "msg_created_ms", "created_ms"],
            partitions, ["session_id", "part_id"], mode)
     done = History(*[spark.read.parquet(os.path.join(path, t)) for t in TABLES])
-    write_items(build_items(done), os.path.join(path, "items"), partitions, mode)
+    # Items come row by row from files that are clustered by project.
+    write_items(build_items(done), os.path.join(path, "items"), partitions, mode, clustered=True)
     _write(build_touches(done.parts), os.path.join(path, "touches"), ["last_component", "file_path", "session_id"],
            partitions, ["last_component"], mode)
     _write(build_prompts(done.parts), os.path.join(path, "prompts"), ["session_id", "bucket", "from_ms"], partitions,
            ["session_id", "bucket"], mode)
 
 
-def write_items(items: DataFrame, path: str, partitions: int | None = None, mode: str = "overwrite") -> None:
+def write_items(items: DataFrame, path: str, partitions: int | None = None, mode: str = "overwrite",
+                clustered: bool = False) -> None:
     """Persist a fuzzy item table (see :func:`convsift.operators.items.build_items`), laid out like ``parts``."""
-    _write(items, path, ["project_id", "session_id", "k_msg_ms"], partitions, ["session_id", "part_id", "k_slot", "k_ord"], mode)
+    _write(items, path, ["project_id", "session_id", "k_msg_ms"], partitions, ["session_id", "part_id", "k_slot", "k_ord"], mode,
+           clustered)
