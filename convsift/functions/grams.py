@@ -27,18 +27,35 @@ def plain(text: Column) -> Column:
     return F.translate(text, _FOLDED, _LETTERS)
 
 
-def gram_codes(texts: list[bytes]) -> np.ndarray:
-    """Distinct trigrams of UTF-8 texts, seven bits a character, ascending."""
-    buf = np.frombuffer(b"\0".join([b"", *texts, b""]), np.uint8)
-    if len(buf) < 3:
-        return np.zeros(0, np.int32)
-    low = buf + np.where((buf >= 65) & (buf <= 90), 32, 0).astype(np.uint8)
-    ok = (low >= 32) & (low < 127)
+#: A byte as trigrams count it: printable ASCII in lower case, anything else 0.
+_COUNTED = np.zeros(256, np.uint8)
+_COUNTED[32:127] = np.arange(32, 127)
+_COUNTED[65:91] += 32
+
+
+def mark_grams(texts, seen: np.ndarray) -> None:
+    """Mark the trigrams of an Arrow array of strings (32-bit offsets) in ``seen``, by their
+    code: seven bits a character."""
+    _, at, data = texts.buffers()
+    ends = np.frombuffer(at, np.int32)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    low = _COUNTED[np.frombuffer(data or b"", np.uint8)[ends[0]:ends[-1]]]
+    if len(low) < 3:
+        return
+    ok = low > 0
     inside = ok[:-2] & ok[1:-1] & ok[2:]
+    # None reaches from one text into the next.
+    edges = (ends[1:-1] - ends[0])[:, None] - np.array([1, 2])
+    inside[edges[(edges >= 0) & (edges < len(inside))]] = False
     wide = low.astype(np.int32)
-    codes = (wide[:-2] << 14) | (wide[1:-1] << 7) | wide[2:]
+    seen[((wide[:-2] << 14) | (wide[1:-1] << 7) | wide[2:])[inside]] = True
+
+
+def gram_codes(texts: list[bytes]) -> np.ndarray:
+    """Distinct trigrams of UTF-8 texts, seven bits a character, ascending."""
+    import pyarrow as pa
+
     seen = np.zeros(1 << 21, bool)
-    seen[codes[inside]] = True
+    mark_grams(pa.array(texts, pa.binary()), seen)
     return np.flatnonzero(seen).astype(np.int32)
 
 

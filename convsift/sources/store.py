@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.grams import gram_codes, plain, required_grams
+from ..functions.grams import mark_grams, plain, required_grams
 from ..model import MESSAGE_SCHEMA, PART_SCHEMA, SESSION_SCHEMA, History
 from ..operators.items import build_items
 from ..operators.trace import build_prompts, build_touches
@@ -80,6 +80,8 @@ _DERIVED: dict[str, tuple[Callable[[History], DataFrame] | None, list[str]]] = {
     "prompts": (lambda h: build_prompts(h.parts), ["session_id", "bucket", "from_ms"]),
     "grams": (None, ["gram"]),  # needs the slots: build_grams
 }
+#: Derived tables whose rows each come from one row of a table in slots.
+_ROW_BY_ROW = ("items", "touches")
 #: Derived tables that a history has.
 _LOADED = ("items", "touches", "prompts")
 _SORTED = {"sessions": ["project_id", "session_id"], "messages": ["project_id", "session_id", "created_ms"],
@@ -107,13 +109,13 @@ def build_grams(parts: DataFrame) -> DataFrame:
         for b in batches:
             slots = b.column(0).to_numpy()
             for slot in np.unique(slots):
-                texts = b.column(1).filter(pa.array(slots == slot)).flatten()
-                texts = [v for v in texts.cast(pa.binary()).to_pylist() if v]
+                mine = slots == slot
+                texts = b.column(1) if mine.all() else b.column(1).filter(pa.array(mine))
                 if slot not in held:
                     if len(held) >= 8:
                         yield from flush()
                     held[int(slot)] = np.zeros(1 << 21, bool)
-                held[int(slot)][gram_codes(texts)] = True
+                mark_grams(texts.flatten(), held[int(slot)])
         yield from flush()
 
     fields = F.array("text", "tool", F.coalesce("input_json", F.lit("{}")), "output")
@@ -169,10 +171,12 @@ def _read(spark: SparkSession, store: str, version: Version | None, table: str,
     return spark.read.schema(with_batch).option("basePath", f"{store}/{table}").parquet(*paths).drop("batch")
 
 
-def _write(df: DataFrame, store: str, table: str, batch: str, keys: list[str]) -> dict[int, str]:
-    """Write rows with ``slot`` as a batch; the slots that it has."""
+def _write(df: DataFrame, store: str, table: str, batch: str, keys: list[str], clustered: bool = False) -> dict[int, str]:
+    """Write rows with ``slot`` as a batch; the slots that it has.  Rows that are
+    ``clustered`` come row by row from files of one slot each, and stay where they are."""
     spark, path = df.sparkSession, f"{store}/{table}/batch={batch}"
-    df.hint("rebalance", F.col("slot")).sortWithinPartitions("slot", *keys).write.partitionBy("slot").parquet(path)
+    dealt = df if clustered else df.hint("rebalance", F.col("slot"))
+    dealt.sortWithinPartitions("slot", *keys).write.partitionBy("slot").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     return {r.slot: batch for r in back.select("slot").distinct().collect()}  # at most one more than the store's slots
 
@@ -220,7 +224,8 @@ def ingest(spark: SparkSession, store: str, listing: DataFrame, fetch: Callable[
     number = 1 if old is None else old.number + 1
     n_slots = (slots or SLOTS) if old is None else old.n_slots
     batch = f"{number:06d}-{uuid.uuid4().hex[:8]}"
-    known = manifest(spark, store, old).select(F.col("src").alias("_s"), "length", "modified", F.col("level").alias("_l"))
+    known = None if old is None else manifest(spark, store, old).select(
+        F.col("src").alias("_s"), "length", "modified", F.col("level").alias("_l"))
     changes = _write_changes(listing, known, f"{store}/manifest/batch={batch}")
     if not changes.head(1):
         return old if old is not None else _first(spark, store, batch, n_slots)
@@ -245,7 +250,7 @@ def ingest(spark: SparkSession, store: str, listing: DataFrame, fetch: Callable[
     slot = slot_of(F.trim("session_id"), n_slots)
     for table, (build, keys) in _DERIVED.items():
         rows = build_grams(h.parts.withColumn("slot", slot)) if table == "grams" else build(h).withColumn("slot", slot)
-        written[table] = _write(rows, store, table, batch, keys)
+        written[table] = _write(rows, store, table, batch, keys, table in _ROW_BY_ROW)
     kept = {} if old is None else old.slots
     merged = {t: {s: b for s, b in kept.get(t, {}).items() if s not in touched} | found for t, found in written.items()}
     version = Version(number, n_slots, [*([] if old is None else old.batches), batch], merged)
@@ -261,9 +266,13 @@ def _first(spark: SparkSession, store: str, batch: str, n_slots: int) -> Version
     return version
 
 
-def _write_changes(listing: DataFrame, known: DataFrame, path: str) -> DataFrame:
-    """New, changed and removed files: one full join of the listing with the manifest."""
+def _write_changes(listing: DataFrame, known: DataFrame | None, path: str) -> DataFrame:
+    """New, changed and removed files: one full join of the listing with the manifest, or
+    the listing itself where there is none yet."""
     spark = listing.sparkSession
+    if known is None:
+        listing.select("src", "level", "length", "modified", F.lit(False).alias("gone")).where("src IS NOT NULL").write.parquet(path)
+        return spark.read.schema(f"{LISTING}, gone boolean").parquet(path)
     now = listing.select("src", "level", F.col("length").alias("_n"), F.col("modified").alias("_m"))
     both = now.join(known, F.col("src") == F.col("_s"), "full")
     gone = F.col("src").isNull()
@@ -276,29 +285,39 @@ def _write_changes(listing: DataFrame, known: DataFrame, path: str) -> DataFrame
 
 
 def _touched_slots(spark: SparkSession, store: str, old: Version | None, changed: DataFrame, new: dict, n_slots: int) -> set[int]:
-    """Slots of the sessions that changed files belong, or belonged, to."""
-    refs = [new["session"].select(F.trim("session_id").alias("sref")), new["message"].select(F.col("folder").alias("sref"))]
+    """Slots of the sessions that changed files belong, or belonged, to.
+
+    The new rows' own references come first: they need no join, and a large ingest has
+    touched every slot with them."""
+    def slots(refs: list[DataFrame]) -> set[int]:
+        found = refs[0]
+        for r in refs[1:]:
+            found = found.unionByName(r)
+        return {r.slot for r in found.select(slot_of(F.col("sref"), n_slots).alias("slot")).distinct().collect()}
+
+    touched = slots([new["session"].select(F.trim("session_id").alias("sref")), new["message"].select(F.col("folder").alias("sref"))]) | {PENDING}
+    if old is None or len(touched) > n_slots:
+        return touched
+    refs = []
     for table in _SCHEMAS:  # what the files gave before
         refs.append(_read(spark, store, old, table, _SCHEMAS[table]).select("src", "sref").join(changed, "src", "left_semi").select("sref"))
     # Parts reach their session through the message that their folder names; other
     # messages with the id of a new one share its parts.
     mrefs = new["part"].select(F.col("folder").alias("_m")).unionByName(new["message"].select(F.trim("message_id").alias("_m"))).distinct()
     owners = _read(spark, store, old, "messages", _SCHEMAS["messages"]).select(F.trim("message_id").alias("_m"), "sref")
-    refs.append(owners.unionByName(new["message"].select(F.trim("message_id").alias("_m"), F.col("folder").alias("sref")))
-                .join(mrefs, "_m", "left_semi").select("sref"))
-    found = refs[0]
-    for r in refs[1:]:
-        found = found.unionByName(r)
-    return {r.slot for r in found.select(slot_of(F.col("sref"), n_slots).alias("slot")).distinct().collect()} | {PENDING}
+    refs.append(owners.join(mrefs, "_m", "left_semi").select("sref"))
+    return touched | slots(refs)
 
 
 def _assemble_slots(spark: SparkSession, store: str, old: Version | None, changed: DataFrame, new: dict,
                     touched: set[int], n_slots: int) -> dict[str, DataFrame]:
     """The touched slots' rows: kept and new ones, with their owners attached again."""
     def pool(table: str, level: str, folder: str, *more: str) -> DataFrame:
+        fresh = new[level].select("src", "folder", *_DECODED[level])
+        if old is None:
+            return fresh
         stored = _read(spark, store, old, table, _SCHEMAS[table], touched).join(changed, "src", "left_anti")
         stored = stored.withColumn("folder", F.col(folder)).select("src", "folder", *_DECODED[level])
-        fresh = new[level].select("src", "folder", *_DECODED[level])
         # A row that several owners share is stored once for each.
         return (stored.dropDuplicates(["src"]) if level != "session" else stored).unionByName(fresh)
 
@@ -397,4 +416,10 @@ def ingest_frames(spark: SparkSession, store: str, files: dict[str, DataFrame],
     listing = listed(LEVELS[0])
     for level in LEVELS[1:]:
         listing = listing.unionByName(listed(level))
-    return ingest(spark, store, listing, lambda level, changed: files[level].select("src", "folder", "data").join(changed, "src", "left_semi"), slots)
+    everything = latest_version(spark, store.rstrip("/")) is None  # nothing to leave out
+
+    def fetch(level: str, changed: DataFrame) -> DataFrame:
+        found = files[level].select("src", "folder", "data").where("src IS NOT NULL")
+        return found if everything else found.join(changed, "src", "left_semi")
+
+    return ingest(spark, store, listing, fetch, slots)

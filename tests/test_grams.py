@@ -94,3 +94,16 @@ def test_batch_reports_are_the_single_ones_together(spark, tmp_path):
     assert text.where("query = 'lib/none.py'").count() == 0
     heads = {(r["query"], r.header) for r in batch_entries(traces).collect()}
     assert heads == {(p, TRACE_HEADER.format(n=traces.where(f"query = '{p}'").count())) for p in paths[:3]}
+
+
+def test_marked_grams_stay_inside_their_texts():
+    import numpy as np
+    import pyarrow as pa
+    from convsift.functions.grams import mark_grams
+    texts = ["ABcd", "", None, "e", "fg", "h\u00e9llo w", "xyz", "\n12"]
+    want = {g for t in texts if t for g in ("".join(c) for c in zip(t.lower(), t.lower()[1:], t.lower()[2:])) if all(" " <= c <= "~" for c in g)}
+    codes = {(ord(g[0]) << 14) | (ord(g[1]) << 7) | ord(g[2]) for g in want}
+    for a, expected in ((pa.array(texts), codes), (pa.array(["q", "rst", *texts]).slice(2), codes), (pa.array([], pa.string()), set())):
+        seen = np.zeros(1 << 21, bool)
+        mark_grams(a, seen)
+        assert set(np.flatnonzero(seen).tolist()) == expected

@@ -180,3 +180,17 @@ def test_scoped_tree_reads_only_its_folders(spark, tree):
         assert rows(getattr(scoped, t)) == rows(getattr(whole, t).where(f"project_id = '{data.ORCHARD}'"))
     read = {os.path.basename(os.path.dirname(f)) for t in TABLES for f in getattr(scoped, t).inputFiles()}
     assert read == {data.ORCHARD, "s-trees", "s-trees-m0", "s-trees-m1"}
+
+
+def test_a_first_ingest_compares_with_nothing(spark, tmp_path, monkeypatch):
+    """No manifest is joined, no changed files are looked for, and no stored rows read."""
+    read = st._read
+    monkeypatch.setattr(st, "manifest", None)
+    monkeypatch.setattr(st, "_read", lambda *a, **k: read(*a, **k) if a[2] is not None else 1 / 0)
+    files = {level: spark.createDataFrame(rows, "src string, folder string, data string, modified long") for level, rows in {
+        "session": [("a", "p", '{"id":"s","title":"T","time":{"created":1,"updated":2}}', 1)],
+        "message": [("b", "s", '{"id":"m","role":"user","time":{"created":1}}', 1)],
+        "part": [("c", "m", '{"id":"x","type":"text","text":"hello"}', 1)]}.items()}
+    path = str(tmp_path / "store")
+    st.ingest_frames(spark, path, files, slots=2)
+    assert [r.text for r in st.load_store(spark, path).parts.collect()] == ["hello"]
