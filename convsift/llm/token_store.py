@@ -50,8 +50,9 @@ SAMPLE_ROWS, SAMPLE_IDS, DICTIONARY_BYTES = 2000, 4096, 64 << 10
 LEVEL = 3
 #: Bytes of frames and index in a shard, about, and of frames in a block.
 SHARD_BYTES, BLOCK_BYTES = 8 << 20, 1 << 20
-#: Runs and words whose ids a worker keeps, and words of one call of the tokenizer.
-CACHE_RUNS, CACHE_WORDS, JOINT_WORDS = 700_000, 80_000, 500
+#: Units whose ids a worker keeps, units left when it forgets those used least, and units
+#: in one text for the tokenizer.
+CACHE_RUNS, CACHE_WORDS, JOINT_WORDS = 700_000, 350_000, 500
 
 MAGIC, END_MAGIC = b"IDSHARD1", b"IDINDEX1"
 _HEADER = "<8sIH32s"
@@ -66,13 +67,48 @@ FIXED = 64
 #: at an end, they are one unit.
 _UNIT = re.compile(r"(?:\A\s+|[ \n])?\S+(?:(?:\s{2,}|[^\S \n])\S+)*(?:\s+\Z)?|\A\s+\Z")
 _HEAD, _SPACE, _LINE = 0, 1, 2
-_NONE = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-
-
-def _merged(a: tuple, b: tuple) -> tuple:
-    hashes, places = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
-    order = np.argsort(hashes, kind="stable")
-    return hashes[order], places[order]
+#: White space that does not part runs.
+_BLANK = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: The first n bytes of a little-endian word; units beyond LONG bytes have a digest of the rest.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+LONG = 64
+_SIGN, _ALNUM = np.zeros(256, bool), np.zeros(256, bool)
+_SIGN[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
+_ALNUM[[c for c in range(33, 127) if chr(c).isalnum()]] = True
+
+
+def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """64-bit hashes of units and what stands before them, eight bytes at a time."""
+    length = end - start
+    words = np.ndarray(len(data), "<u8", np.append(data, np.zeros(8, np.uint8)), strides=(1,))
+    out = mix64((length << 2 | kind).astype(np.uint64) + np.uint64(1))
+    left, done = np.arange(len(start)), 0
+    while len(left) and done < LONG:
+        more = length[left] - done
+        out[left] = mix64(out[left] ^ (words[start[left] + done] & _FIRST[np.minimum(more, 8)]))
+        done += 8
+        left = left[more > 8]
+    for i in left.tolist():
+        rest = hashlib.blake2b(data[start[i] + done:end[i]], digest_size=8).digest()
+        out[i:i + 1] = mix64(out[i:i + 1] ^ np.frombuffer(rest, "<u8"))
+    return out
+
+
+def _tails(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Where the signs at the end of a run begin, if what stands before them is a letter or digit
+    (ASCII, or Latin letters of two bytes); else the run's end."""
+    out = end.copy()
+    which = np.flatnonzero(_SIGN[data[end - 1]])
+    sign = _SIGN[data]
+    turns = np.append(-1, np.flatnonzero(~sign[:-1] & sign[1:]))
+    last = turns[np.searchsorted(turns, end[which]) - 1]
+    which, last = which[last >= start[which]], last[last >= start[which]]
+    lead, byte = data[last - 1], data[last]
+    latin = (last > start[which]) & (lead >= 0xC3) & (lead <= 0xC9) & (byte >= 0x80) & (byte <= 0xBF)
+    latin &= (lead != 0xC3) | ((byte != 0x97) & (byte != 0xB7))
+    good = _ALNUM[byte] | latin
+    out[which[good]] = last[good] + 1
+    return out
 
 
 def _put(array: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
@@ -86,9 +122,10 @@ def _put(array: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
 class Encoder:
     """Ids of texts.  This byte-level tokenizer always cuts before a space, and before and
     after a line feed, that stands alone between two visible characters, and between a
-    letter or digit and the points or commas after it.  So runs of visible characters,
-    known by 64-bit hashes, their lengths and what stands before them, are encoded once,
-    unknown ones together; texts with other white space go through the tokenizer whole."""
+    letter or digit and the signs that end the run.  So units (runs of visible characters,
+    and the signs at their ends), known by 64-bit hashes, their lengths and what stands
+    before them, are encoded once, unknown ones together; texts with other white space go
+    through the tokenizer whole.  Of known units those used least are forgotten."""
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
@@ -104,93 +141,123 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        # Words after a space, and others, without the points and commas after them.
-        self.words: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
-        # Known runs: sorted hashes with their places, old ones and recent ones apart.
-        self.known = [_NONE, _NONE]
-        # Length, place and number of ids of every known run, and the ids; with room to grow.
+        # Hash, length, place and number of ids of every known unit, how often groups of texts
+        # used it again, and the ids; with room to grow.
         self.runs, self.used = 0, 0
+        self.hash = np.zeros(1 << 10, np.uint64)
         self.chars, self.start, self.size = (np.zeros(1 << 10, np.int32) for _ in range(3))
+        self.uses = np.zeros(1 << 10, np.uint8)
         self.flat = np.zeros(1 << 12, self.dtype)
+        self._slots()
+
+    def _slots(self) -> None:
+        """Slots of the known units, at least two for each; -1 in a free one."""
+        self.slot = np.full(1 << max(12, (2 * self.runs).bit_length()), -1, np.int32)
+        self._enter(np.arange(self.runs, dtype=np.int32))
+
+    def _enter(self, places: np.ndarray) -> None:
+        """Put units into the first free slot from their hash on."""
+        last = len(self.slot) - 1
+        at = (self.hash[places] & np.uint64(last)).astype(np.int64)
+        while len(places):
+            free = self.slot[at] < 0
+            self.slot[at[free]] = places[free]
+            lost = self.slot[at] != places
+            at, places = at[lost] + 1 & last, places[lost]
+
+    def _places(self, hashes: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """Places of units by hash and length, -1 where a unit is not known."""
+        last = len(self.slot) - 1
+        at = (hashes & np.uint64(last)).astype(np.int64)
+        out = self.slot[at]
+        left = np.flatnonzero((out >= 0) & ((self.hash[out] != hashes) | (self.chars[out] != chars)))
+        while len(left):
+            at[left] = at[left] + 1 & last
+            out[left] = place = self.slot[at[left]]
+            left = left[(place >= 0) & ((self.hash[place] != hashes[left]) | (self.chars[place] != chars[left]))]
+        return out
+
+    def _forget_rare(self) -> None:
+        """Keep the units used most, at most ``CACHE_WORDS``."""
+        uses = self.uses[:self.runs]
+        above = np.append(np.cumsum(np.bincount(uses, minlength=256)[::-1])[::-1][1:], 0)
+        keep = uses > np.argmax(above <= CACHE_WORDS)
+        size = self.size[:self.runs][keep]
+        ends = np.cumsum(size, dtype=np.int64)
+        if not len(size) or ends[-1] > 5 * CACHE_RUNS:
+            return self._forget()
+        self.flat = self.flat[np.repeat(self.start[:self.runs][keep] - (ends - size), size) + np.arange(ends[-1])]
+        self.hash, self.chars = self.hash[:self.runs][keep], self.chars[:self.runs][keep]
+        self.start, self.size, self.uses = (ends - size).astype(np.int32), size, uses[keep] >> 1
+        self.runs, self.used = len(size), int(ends[-1])
+        self._slots()
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _together(self, words: list[str], between: str) -> None:
-        """Learn words without white space: after a space, or (between line feeds) alone."""
-        out, width, head = self.words[0 if between == " " else 1], self.dtype.itemsize, " " if between == " " else ""
-        groups = [words[i:i + JOINT_WORDS] for i in range(0, len(words), JOINT_WORDS)]
-        for group, ids in zip(groups, self._ids([head + between.join(g) for g in groups])):
-            if head:
-                first = np.flatnonzero(self.spaced[ids])
-                last = np.append(first[1:], len(ids))
-            else:
-                last = np.append(np.flatnonzero(ids == self.line[0]), len(ids))
-                first = np.append(0, last[:-1] + 1)
-            if len(first) == len(group) and first[0] == 0:
-                data = ids.tobytes()
-                out.update((w, data[a:b]) for w, a, b in zip(group, (first * width).tolist(), (last * width).tolist()))
-            else:
-                out.update((w, x.tobytes()) for w, x in zip(group, self._ids([head + w for w in group])))
-
-    def _encode_runs(self, runs: list[str], kinds: list[int]) -> list[bytes | None]:
-        """Ids of runs with what stands before them; None for one with white space in it."""
-        spaced, bare = self.words
-        if len(spaced) + len(bare) > CACHE_WORDS:
-            spaced.clear()
-            bare.clear()
-        parts, new = [], (set(), set())
-        for run, kind in zip(runs, kinds):
-            if run.split() != [run]:
-                parts.append(None)
+    def _together(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, blank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of units with a blank (space or line feed) before each: all ids, the number of
+        each unit's, and which units were encoded: not those with white space in them."""
+        good = np.ones(len(start), bool)
+        length = end - start
+        ends = np.cumsum(length)
+        # The units' bytes, each unit behind a blank.
+        joined = np.full(int(ends[-1]) + len(start), blank, np.uint8)
+        solid = np.ones(len(joined), bool)
+        at = ends - length + np.arange(len(start))
+        solid[at] = False
+        joined[solid] = data[np.repeat(start - (ends - length), length) + np.arange(ends[-1])]
+        joined = joined.tobytes()
+        at = np.append(at, len(joined)).tolist()
+        groups = [(lo, min(lo + JOINT_WORDS, len(start))) for lo in range(0, len(start), JOINT_WORDS)]
+        texts = [joined[at[lo]:at[hi]].decode("utf-8", "replace") for lo, hi in groups]
+        for (lo, hi), text in zip(groups, texts):
+            if _BLANK.search(text):
+                good[lo:hi] = [not _BLANK.search(joined[a + 1:b].decode("utf-8", "replace")) for a, b in zip(at[lo:hi], at[lo + 1:hi + 1])]
+        if not good.all():
+            if not good.any():
+                return np.zeros(0, self.dtype), np.zeros(0, np.int64), good
+            ids, size, _ = self._together(data, start[good], end[good], blank)
+            return ids, size, good
+        all_ids, sizes = self._ids(texts), []
+        for i, (lo, hi) in enumerate(groups):
+            first = np.flatnonzero(self.spaced[all_ids[i]] if blank == 32 else all_ids[i] == self.line[0])
+            if len(first) != hi - lo or first[0]:
+                each = self._ids([joined[a:b].decode("utf-8", "replace") for a, b in zip(at[lo:hi], at[lo + 1:hi + 1])])
+                first, all_ids[i] = np.cumsum([0, *map(len, each[:-1])]), np.concatenate(each)
+            sizes.append(np.diff(first, append=len(all_ids[i])))
+        return np.concatenate(all_ids), np.concatenate(sizes), good
+
+    def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, kinds: np.ndarray, hashes: np.ndarray) -> None:
+        """Take in new units; those with white space in them stay unknown."""
+        before = self.runs
+        for blank in (32, 10):
+            which = np.flatnonzero((kinds == _SPACE) == (blank == 32))
+            if not len(which):
                 continue
-            core = run.rstrip(".,")
-            if not core or not core[-1].isalnum():
-                core = run
-            end = run[len(core):]
-            if core not in self.words[kind != _SPACE]:
-                new[kind != _SPACE].add(core)
-            if end and end not in bare:
-                new[1].add(end)
-            parts.append((core, end))
-        self._together(list(new[0]), " ")
-        self._together(list(new[1]), "\n")
-        line = self.line.tobytes()
-        return [None if p is None else (spaced[p[0]] if kind == _SPACE else line + bare[p[0]] if kind == _LINE else bare[p[0]])
-                + (bare[p[1]] if p[1] else b"") for p, kind in zip(parts, kinds)]
-
-    def _places(self, hashes: np.ndarray, chars: np.ndarray) -> np.ndarray:
-        """Places of runs by hash and length, -1 where a run is not known."""
-        out = np.full(len(hashes), -1, np.int64)
-        for known, places in self.known:
-            if len(known):
-                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-                out = np.where((known[at] == hashes) & (self.chars[places[at]] == chars), places[at], out)
-        return out
-
-    def _learn(self, runs: list[str], kinds: np.ndarray, hashes: np.ndarray, chars: np.ndarray) -> np.ndarray:
-        """Places of new runs (ascending hashes); those with white space in them get -1 and stay unknown."""
-        ids = self._encode_runs(runs, kinds.tolist())
-        good = np.array([x is not None for x in ids], bool)
-        ids = [x for x in ids if x is not None]
-        size = np.fromiter((len(x) // self.dtype.itemsize for x in ids), np.int32, len(ids))
-        places = np.full(len(runs), -1, np.int64)
-        places[good] = self.runs + np.arange(len(ids))
-        self.chars = _put(self.chars, self.runs, chars[good])
-        self.start = _put(self.start, self.runs, self.used + np.cumsum(size) - size)
-        self.size = _put(self.size, self.runs, size)
-        self.flat = _put(self.flat, self.used, np.frombuffer(b"".join(ids), self.dtype))
-        self.runs += len(ids)
-        self.used += int(size.sum())
-        old, recent = self.known
-        recent = _merged(recent, (hashes[good], places[good]))
-        self.known = [old, recent] if 8 * len(recent[0]) < len(old[0]) else [_merged(old, recent), _NONE]
-        return places
+            ids, size, good = self._together(data, start[which], end[which], blank)
+            which = which[good]
+            head = kinds[which] == _HEAD
+            if head.any():  # the line feed before these is not theirs
+                ids = np.delete(ids, (np.cumsum(size) - size)[head])
+                size = size - head
+            self.hash = _put(self.hash, self.runs, hashes[which])
+            self.chars = _put(self.chars, self.runs, (end - start)[which])
+            self.start = _put(self.start, self.runs, self.used + np.cumsum(size) - size)
+            self.size = _put(self.size, self.runs, size)
+            self.uses = _put(self.uses, self.runs, np.zeros(len(which), np.uint8))
+            self.flat = _put(self.flat, self.used, ids)
+            self.runs += len(which)
+            self.used += len(ids)
+        if 2 * self.runs > len(self.slot):
+            self._slots()
+        else:
+            self._enter(np.arange(before, self.runs, dtype=np.int32))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each UTF-8 text, as bytes."""
         if self.runs > CACHE_RUNS or self.used > 10 * CACHE_RUNS:
-            self._forget()
+            self._forget_rare()
         w = Words(texts, lower=False)
         # What stands before every run, and texts where that is neither nothing nor one blank.
         odd = np.zeros(len(texts), bool)
@@ -208,23 +275,33 @@ class Encoder:
         odd[filled] |= w.end[w.first[filled + 1] - 1] != w.doc_start[filled + 1] - 1
         odd |= len(self.line) > 1
 
-        hashes = mix64(w.hashes() ^ (kind.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-        hashes, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        chars = (w.end - w.start)[first]
-        place = self._places(hashes, chars)
-        use = np.zeros(len(hashes), bool)
-        use[back[~odd[w.owner]]] = True
-        new = np.flatnonzero((place < 0) & use)
+        # Signs at the end of a run become units of their own, with nothing before them.
+        tail = _tails(w.bytes, w.start, w.end)
+        cut = tail < w.end
+        before_it = np.append(0, np.cumsum(cut))
+        at = np.arange(len(cut)) + before_it[:-1]
+        start, end, kinds = (np.empty(len(cut) + before_it[-1], np.int64) for _ in range(3))
+        start[at], end[at], kinds[at] = w.start, tail, kind
+        at = at[cut] + 1
+        start[at], end[at], kinds[at] = tail[cut], w.end[cut], _HEAD
+        first = w.first + before_it[w.first]
+        owner = np.repeat(np.arange(len(texts)), np.diff(first))
+
+        hashes, chars = _hashes(w.bytes, start, end, kinds), end - start
+        which = self._places(hashes, chars)
+        seen = which[which >= 0]
+        uses = self.uses[seen]
+        self.uses[seen] = uses + (uses < 255)
+        new = np.flatnonzero((which < 0) & ~odd[owner])
         if len(new):
-            raw = w.bytes.tobytes()
-            runs = [raw[a:b].decode("utf-8", "replace") for a, b in zip(w.start[first[new]].tolist(), w.end[first[new]].tolist())]
-            place[new] = self._learn(runs, kind[first[new]], hashes[new], chars[new])
-        which = place[back]
-        odd[w.owner[which < 0]] = True
+            one = new[np.unique(hashes[new], return_index=True)[1]]
+            self._learn(w.bytes, start[one], end[one], kinds[one], hashes[one])
+            which[new] = self._places(hashes[new], chars[new])
+        odd[owner[which < 0]] = True
         size = np.where(which < 0, 0, self.size[which])
         ends = np.cumsum(size, dtype=np.int64)
         ids = self.flat[np.repeat(self.start[which] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-        cuts = np.append(0, ends)[w.first].tolist()
+        cuts = np.append(0, ends)[first].tolist()
         return [self._unusual(t) if o else ids[a:b].tobytes() for t, o, a, b in zip(texts, odd.tolist(), cuts, cuts[1:])]
 
     def _unusual(self, text: bytes) -> bytes:

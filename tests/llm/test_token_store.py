@@ -46,6 +46,45 @@ def test_a_small_cache_changes_nothing(encode, monkeypatch):
         assert [np.frombuffer(x, encoder.dtype).tolist() + [2] for x in encoder.encode([t.encode(), t.encode(), b"a b"])] == [encode(t), encode(t), encode("a b")]
 
 
+def handed(encoder):
+    """What the encoder hands to the tokenizer from now on, cut at blanks."""
+    out, ids = [], encoder._ids
+    encoder._ids = lambda texts: [out.extend(t.split()) for t in texts] and ids(texts)
+    return out
+
+
+def test_a_run_with_other_signs_at_its_end_is_not_encoded_again(encode):
+    encoder = token_store.Encoder(FILE)
+    words = handed(encoder)
+    many = ["a haus", "a haus! haus### haus$$$ haus.", "a année; année!? année"]
+    got = encoder.encode([t.encode() for t in many])
+    assert [np.frombuffer(x, encoder.dtype).tolist() + [2] for x in got] == [encode(t) for t in many]
+    assert Counter(words)["haus"] == Counter(words)["année"] == 1 and not any(w.startswith(("haus", "année")) for w in set(words) - {"haus", "année"})
+
+
+def test_runs_used_often_stay_known(encode, monkeypatch):
+    monkeypatch.setattr(token_store, "CACHE_RUNS", 300)
+    monkeypatch.setattr(token_store, "CACHE_WORDS", 150)
+    encoder = token_store.Encoder(FILE)
+    words = handed(encoder)
+    often = [f"often{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(40)]
+    for i in range(30):
+        text = " ".join(["x", *often, *(f"rare{i}x{j}" for j in range(60))])
+        assert np.frombuffer(encoder.encode([text.encode()])[0], encoder.dtype).tolist() + [2] == encode(text)
+        assert encoder.runs <= 300 + 101
+    assert {n for w, n in Counter(words).items() if w.startswith("often")} == {1}
+
+
+def test_signs_and_long_runs(encode):
+    long = ["x" * n + end for n in (7, 8, 9, 63, 64, 65, 72, 200) for end in ("", "a", "!", "é", "b!!")]
+    signs = ["é!", "×!", "x×!", "÷.", "ɏ.", "ɐ!", "中!", "²!", "it's!", "'s!", "'ll'", "!'s", "a…!", "a_", "_a_", "a\u00a0!", "a\x1c!", "a\x00!", "b\x00", "c", "!", "!!", "a!" * 9]
+    many = [" ".join(x) for x in (long, signs)] + ["\n".join(x) for x in (long, signs)] + long + signs + [" " + x for x in signs]
+    encoder = token_store.Encoder(FILE)
+    for _ in range(2):
+        got = encoder.encode([t.encode() for t in many])
+        assert [np.frombuffer(x, encoder.dtype).tolist() + [2] for x in got] == [encode(t) for t in many]
+
+
 def expected(rows, encode):
     """Rows in ascending order of ids, nulls last; of one id by the checksum of its ids."""
     out, at = [], 0
